@@ -89,7 +89,7 @@ def rarest(pages: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, l
 def fits(rule, url: Column, host: Column, path: Column) -> Column:
     """Whether a candidate's regular expression holds; for host rules over host and path. ``^`` and the
     escaped host keep the host's end exact: the path is empty or begins with a slash."""
-    return F.coalesce(F.when(rule["general"], url.rlike(rule["regex"])).otherwise(F.concat(host, path).rlike(rule["regex"])), F.lit(False))
+    return F.coalesce(F.when(rule["general"], F.rlike(url, rule["regex"])).otherwise(F.rlike(F.concat(host, path), rule["regex"])), F.lit(False))
 
 
 def _best(found: Column) -> Column:
