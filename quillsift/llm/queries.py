@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import mixing, url_filter
+from quillsift.llm import media, mixing, token_output, tokens, url_filter
 from quillsift.llm.common import documents
 
 #: Fixed rules of the URL query, then the method's own patterns for what no host rule decides.
@@ -23,10 +23,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(documents(spark, sf_dir))
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_table(documents(spark, sf_dir), "byte_bpe_50k.json", end=2)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir), "byte_bpe_50k.json", limit=1024)
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -78,7 +90,7 @@ FROM ruled
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op4_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
