@@ -83,7 +83,8 @@ class Encoder:
         parts, of = pieces.pre_tokens(data, bounds)
         if len(parts):
             code, distinct = pieces.coded(parts)
-            size = self.sizes[self.rows(distinct)]
+            rows = self.rows(distinct)
+            size = self.sizes[rows]
             doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
             pair, frequency = np.unique(doc * len(distinct) + code, return_counts=True)
             doc, code = np.divmod(pair, len(distinct))
