@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import media, mixing, token_output, tokens, url_filter
+from quillsift.llm import media, mixing, near_dedup, token_output, tokens, url_filter
 from quillsift.llm.common import documents
 
 #: Fixed rules of the URL query, then the method's own patterns for what no host rule decides.
@@ -39,6 +39,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), "byte_bpe_50k.json", limit=1024)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -90,7 +94,7 @@ FROM ruled
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op7_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op7_token_counts, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
