@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import langid, media, mixing, near_dedup, token_output, tokens, url_filter
+from quillsift.llm import decontam, langid, lm_score, media, mixing, near_dedup, token_output, tokens, url_filter
 from quillsift.llm.common import documents
 
 #: Fixed rules of the URL query, then the method's own patterns for what no host rule decides.
@@ -39,10 +39,18 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), "byte_bpe_50k.json", limit=1024)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir))
 
@@ -98,7 +106,7 @@ FROM ruled
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op5_language, op7_token_counts, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op5_language, op6_decontamination, op7_token_counts, op8_lm_score, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from quillsift.llm import pieces
 
 #: Pre-tokens that a worker remembers.
-MEMO = 1_000_000
+MEMO = 500_000
 
 _encoders: dict[str, "Encoder"] = {}
 
