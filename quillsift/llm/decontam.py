@@ -18,6 +18,7 @@ repeated rows are each reported; no item or no document gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import pieces
-from quillsift.llm.common import content_bytes, join_small, staged
+from quillsift.llm.common import content_bytes
 
 Q = 12
 #: Edits allowed for a byte of a window.
@@ -135,46 +136,66 @@ def align(window: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(cost.min())
 
 
+def portions(benchmark: DataFrame) -> Iterator[Index]:
+    """The benchmark in indexes of about PORTION bytes of items each."""
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    n = max(1, -(-content_bytes(items) // PORTION))
+    for k in range(n):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+        yield Index([(r["item_id"], r["text"]) for r in some.collect()])  # PORTION bytes
+
+
+def leaks(index: Index, texts: pa.Array) -> dict[tuple[int, int], int]:
+    """(number of the text, number of the window) -> edits, where they are within the window's budget."""
+    x, bounds = normal(*pieces.buffers(texts))
+    best: dict[tuple[int, int], int] = {}
+    for w, d in zip(*(v.tolist() for v in index.regions(x)[:2])):
+        k, t = int(index.edits[w]), index.text[w]
+        middle = min(max(d + k + len(t) // 2, 0), len(x) - 1)
+        doc = int(np.searchsorted(bounds, middle, "right")) - 1
+        lo, hi = max(d - k, int(bounds[doc])), min(d + 3 * k + 2 + len(t), int(bounds[doc + 1]))
+        if best.get((doc, w), k + 1):
+            best[doc, w] = min(best.get((doc, w), k + 1), align(t, x[lo:hi], k))
+    return {key: e for key, e in best.items() if e <= index.edits[key[1]]}
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits (of the item's best window) and windows (how many match) of each leaked item."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    portions = max(1, -(-content_bytes(items) // PORTION))
-    out = None
-    for k in range(portions):
-        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k).collect() if portions > 1 else items.collect()  # PORTION bytes
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in got]))
-        found = docs.select("doc_id", "text").mapInArrow(_search(shared), "doc_id long, item_id long, edits long, windows long")
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _search(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            for part in pieces.slices(batch, "text"):
-                x, bounds = normal(*pieces.buffers(part.column("text")))
-                window, start, _ = index.regions(x)
-                names, best = part.column("doc_id").to_pylist(), {}
-                for w, d, in zip(window.tolist(), start.tolist()):
-                    k, t = int(index.edits[w]), index.text[w]
-                    middle = min(max(d + k + len(t) // 2, 0), len(x) - 1)
-                    doc = int(np.searchsorted(bounds, middle, "right")) - 1
-                    lo, hi = max(d - k, int(bounds[doc])), min(d + 3 * k + 2 + len(t), int(bounds[doc + 1]))
-                    if best.get((doc, w), k + 1):
-                        best[doc, w] = min(best.get((doc, w), k + 1), align(t, x[lo:hi], k))
-                rows: dict[tuple[int, int], list[int]] = {}
-                for (doc, w), e in best.items():
-                    if e <= index.edits[w]:
-                        rows.setdefault((doc, index.item[w]), []).append(e)
-                if rows:
-                    yield pa.record_batch([pa.array([names[d] for d, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.int64()), pa.array([min(e) for e in rows.values()], pa.int64()), pa.array([len(e) for e in rows.values()], pa.int64())], ["doc_id", "item_id", "edits", "windows"])
-
-    return run
+
+    def one(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces.slices(batch, "text"):
+                    rows: dict[tuple[int, int], list[int]] = {}
+                    for (doc, w), e in leaks(shared.value, part.column("text")).items():
+                        rows.setdefault((doc, shared.value.item[w]), []).append(e)
+                    if rows:
+                        names = part.column("doc_id").to_pylist()
+                        values = [names[d] for d, _ in rows], [i for _, i in rows], [min(e) for e in rows.values()], [len(e) for e in rows.values()]
+                        yield pa.record_batch([pa.array(v, pa.int64()) for v in values], ["doc_id", "item_id", "edits", "windows"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, windows long")
+
+    return reduce(DataFrame.union, map(one, portions(benchmark)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found; rows that share an id go together."""
-    leaked = matches(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return join_small(docs, staged(leaked, "leaked"), F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns."""
+
+    def without(rows: DataFrame, index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = 0
+                for part in pieces.slices(batch, "text"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[doc for doc, _ in leaks(shared.value, part.column("text"))]] = False
+                    yield batch.slice(at, part.num_rows).filter(pa.array(keep))
+                    at += part.num_rows
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return reduce(without, portions(benchmark), docs)

@@ -197,19 +197,15 @@ def predict(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        k = len(m.langs)
         for batch in batches:
-            for part in pieces.slices(batch, "text", max(1 << 20, min(16 << 20, (128 << 20) // k))):
+            for part in pieces.slices(batch, "text", slice_bytes(m)):
                 code, words, script, of = text_words(part.column("text"))
                 label = viterbi(m.scores(words, script)[code], of)
                 doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
-                lettered = script[code] >= 0
-                votes = np.bincount(doc[lettered] * k + label[lettered], minlength=(len(of) - 1) * k).reshape(-1, k)
-                n, best = votes.sum(axis=1), votes.argmax(axis=1)
-                lang = [m.langs[b] if c else UND for b, c in zip(best.tolist(), n.tolist())]
+                lang, score = verdict(m, label, script[code] >= 0, doc, len(of) - 1)
                 edge = np.ones(len(label), bool)
                 edge[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
-                columns = [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(votes.max(axis=1) / np.maximum(1, n)), pa.array(np.bincount(doc[edge], minlength=len(of) - 1))]
+                columns = [part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(np.bincount(doc[edge], minlength=len(of) - 1))]
                 if spans:
                     lists: list[list[str]] = [[] for _ in lang]
                     cut = np.append(np.flatnonzero(edge), len(label))
@@ -221,6 +217,40 @@ def predict(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def slice_bytes(model: Model) -> int:
+    """Slices of text whose scores for all languages stay small."""
+    return max(1 << 20, min(16 << 20, (128 << 20) // len(model.langs)))
+
+
+def verdict(model: Model, label: np.ndarray, lettered: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[list[str], np.ndarray]:
+    """Each text's language and the share of its words."""
+    k = len(model.langs)
+    votes = np.bincount(doc[lettered] * k + label[lettered], minlength=n_docs * k).reshape(-1, k)
+    n = votes.sum(axis=1)
+    return [model.langs[b] if c else UND for b, c in zip(votes.argmax(axis=1).tolist(), n.tolist())], votes.max(axis=1) / np.maximum(1, n)
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+    """The rows whose text has a language with a score of ``least`` or more, with all their columns."""
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            at = 0
+            for part in pieces.slices(batch, "text", slice_bytes(m)):
+                code, words, script, of = text_words(part.column("text"))
+                doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+                lang, score = verdict(m, viterbi(m.scores(words, script)[code], of), script[code] >= 0, doc, len(of) - 1)
+                keep = np.array([x != UND for x in lang]) & (score >= least)
+                yield batch.slice(at, part.num_rows).filter(pa.array(keep))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_table(docs: DataFrame) -> DataFrame:
     out = predict(docs, train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import decontam, langid, lm_score, media, mixing, near_dedup, token_output, tokens, url_filter
+from quillsift.llm import decontam, langid, lm_score, media, mixing, near_dedup, secrets, token_output, tokens, url_filter
 from quillsift.llm.common import documents
 
 #: Fixed rules of the URL query, then the method's own patterns for what no host rule decides.
@@ -51,6 +51,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir))
 
@@ -106,7 +110,7 @@ FROM ruled
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op5_language, op6_decontamination, op7_token_counts, op8_lm_score, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op5_language, op6_decontamination, op7_token_counts, op8_lm_score, op9_secrets, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
