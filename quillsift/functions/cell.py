@@ -29,11 +29,14 @@ class CellScanner:
     """Detectors for a region ("" for all), with an optional recogniser of named entities."""
 
     def __init__(self, region: str = "", ner: Ner | None = None, regex: bool = True):
-        self.ner, self.regex = ner, regex
+        self.region, self.ner, self.regex = region, ner, regex
         self.columns = [(label, [(dialect.python(r.pattern), r.weight) for r in rules]) for label, rules in for_region(COLUMN_RULES, region).items()]
         self.values = [(label, _NEEDS.get(label, "0123456789"), [(dialect.python(r.pattern), r.weight, r.gated) for r in rules]) for label, rules in for_region(VALUE_RULES, region).items()]
         self.context = lru_cache(maxsize=65536)(self._context)
 
+    def __reduce__(self):
+        return CellScanner, (self.region, self.ner, self.regex)
+
     def column_labels(self, name: str) -> dict[str, float]:
         """label -> weight of its first matching rule."""
         name, out = name.lower(), {}

@@ -80,7 +80,7 @@ def matched(label: str, text: str) -> bool:
 
 
 def luhn_expr(digits: Column) -> Column:
-    return F.coalesce(F.luhn_check(digits), F.lit(False)) & digits.rlike("^[0-9]+$")
+    return F.coalesce(F.call_function("luhn_check", digits), F.lit(False)) & digits.rlike("^[0-9]+$")
 
 
 def _lookup(table: list, index: Column) -> Column:

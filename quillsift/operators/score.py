@@ -71,7 +71,7 @@ def tier_capped(found: DataFrame) -> DataFrame:
     """Without name and context, Tier2 and Tier3 weigh 0.69 at most."""
     loose = ~F.col("named") & ~F.col("context_matched")
     cap = loose & F.col("tier").isin("Tier2", "Tier3") & (F.col("weight") >= 0.70)
-    return found.withColumn("weight", F.when(cap, 0.69).otherwise(F.col("weight"))).withColumn("confidence", F.when(cap, "Medium").otherwise(F.col("confidence")))
+    return found.withColumns({"weight": F.when(cap, 0.69).otherwise(F.col("weight")), "confidence": F.when(cap, "Medium").otherwise(F.col("confidence"))})
 
 
 def domain_gated(found: DataFrame, domains: DataFrame) -> DataFrame:

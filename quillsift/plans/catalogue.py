@@ -1,9 +1,459 @@
-"""The named queries over the driver's tables, with their SQL counterparts."""
+"""The named queries over the driver's tables, with their SQL counterparts.
 
+Test tables hold no Indian identifiers, so many queries run on a view derived from customer keys; its
+expressions are plain SQL that both engines evaluate alike. The SQL of a query states the semantics in
+DuckDB's own operators, with rules in their RE2 form.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillsift.functions import documents as docs
+from quillsift.functions import validators
+from quillsift.functions.cell import CellScanner, PairScanner
+from quillsift.functions.column_rules import COLUMN_RULES
+from quillsift.functions.registry import LABELS, MERGED
+from quillsift.functions.value_rules import VALUE_RULES, for_region
+from quillsift.operators import cells, detect, resolve, score
+from quillsift.plans import report
+from quillsift.plans.scan import ScanConfig, scan
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
+_SCANNED = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
+    "orders": ["o_orderstatus", "o_orderdate", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus", "l_shipdate"], "events": ["ts", "event_type", "props"],
+    "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
+}
+_DATES = {"o_orderdate", "l_shipdate", "ts"}
+
+_K = "CAST(c_custkey AS STRING)"
+_DIGIT = [f"CAST(floor(c_custkey / {10**i}) AS BIGINT) % 10" for i in range(3)]
+_DOUBLED = [f"(({d}) * 2) % 10 + CAST(floor((({d}) * 2) / 10) AS BIGINT)" for d in _DIGIT]
+_CARD_CHECK = f"((10 - (8 + {_DOUBLED[2]} + {_DIGIT[1]} + {_DOUBLED[0]}) % 10) % 10 + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END) % 10"
+_GSTIN = [h + validators.gstin_check(h) for h in ("27ABCDE1234F1Z", "29PQRSX5678G2Z")]
+_PAN = "concat('ABCPE', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'), 'K')"
+_MOBILE = f"concat('9', lpad({_K}, 9, '0'))"
+
+#: Column -> SQL over customer, the same text for both engines.
+DERIVED = {
+    "mobile_no": _MOBILE,
+    "email": f"concat('user', {_K}, '@mail.example.com')",
+    "pan_number": _PAN,
+    "aadhaar": "CASE c_custkey % 3 WHEN 0 THEN '234567890107' WHEN 1 THEN '123456789010' ELSE '123456789012' END",
+    "card_number": f"concat('400000000000', CAST({_DIGIT[2]} AS STRING), CAST({_DIGIT[1]} AS STRING), CAST({_DIGIT[0]} AS STRING), CAST({_CARD_CHECK} AS STRING))",
+    "gstin": f"CASE c_custkey % 3 WHEN 0 THEN '{_GSTIN[0]}' WHEN 1 THEN '{_GSTIN[1]}' ELSE '27ABCDE1234F1ZX' END",
+    "ifsc": "concat('HDFC0', lpad(CAST(c_custkey % 1000000 AS STRING), 6, '0'))",
+    "vehicle": "concat('MH02BA', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))",
+    "upi": f"concat('name', {_K}, '@okaxis')",
+    "ip_addr": "concat('10.', CAST(c_custkey % 300 AS STRING), '.0.7')",
+    "device_mac": "concat('02:42:ac:11:00:', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'))",
+    "payload_json": f"concat('{{\"cvv\":\"', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '\",\"mobile\":\"', {_MOBILE}, '\"}}')",
+    "payload_query": f"concat('mobile=', {_MOBILE}, '&note=x', CAST(c_custkey % 10 AS STRING))",
+    "payload_xml": "concat('<r><cvv>', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '</cvv><z>', CAST(c_custkey % 10 AS STRING), '</z></r>')",
+    "payload_encoded": f"concat('mobile%3D', {_MOBILE})",
+    "notes": f"concat('write to user', {_K}, '@mail.example.com or call ', {_MOBILE}, ' today, thanks')",
+    "kv_text": f"concat('card: ', CAST(c_custkey % 1000 AS STRING), ', phone = ', {_MOBILE})",
+    **{f"col_0{i + 1}": f"CASE WHEN c_custkey % 100 < {n} THEN {_PAN} ELSE 'none' END" for i, n in enumerate((5, 10, 29, 30, 31))},
+    "created_at": "'9876543210'",
+}
+DERIVED_SQL = "SELECT c_custkey, " + ", ".join(f"{e} AS {n}" for n, e in DERIVED.items()) + " FROM customer"
+_VALUES = [n for n in DERIVED if n != "created_at"]
+_LONG = "SELECT 'derived.' || source AS source, value FROM (UNPIVOT (SELECT {cols} FROM ({derived})) ON {cols} INTO NAME source VALUE value)".format(cols=", ".join(_VALUES), derived=DERIVED_SQL)
+_CORPUS_SQL = f"WITH corpus AS ({_LONG} UNION ALL SELECT 'documents.text', text FROM documents UNION ALL SELECT 'customer.c_name', c_name FROM customer UNION ALL SELECT 'lineitem.l_returnflag', l_returnflag FROM lineitem)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: table(spark, sf_dir, t) for t in TABLES}
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{e} AS {n}" for n, e in DERIVED.items()])
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, value): the derived view's cells and three raw columns."""
+    one = derived(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(f"derived.{n}").alias("source"), F.col(n).alias("value")) for n in _VALUES])).alias("c")).select("c.*")
+    for t, c in (("documents", "text"), ("customer", "c_name"), ("lineitem", "l_returnflag")):
+        one = one.unionByName(table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("source"), F.col(c).alias("value")))
+    return one
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# --- cells ---
+
+
+def _unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [cells.cells(table(spark, sf_dir, t), t) for t in ("region", "nation", "supplier", "orders")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def _cell_sql(t: str, c: str) -> str:
+    e = f"strftime({c}, '%Y-%m-%d')" if c in _DATES else c
+    clean = rf"regexp_replace(replace({e}, chr(13), ''), '^[\s\x0B\x85\xA0]+|[\s\x0B\x85\xA0]+$', '', 'g')"
+    return f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {clean} AS value FROM {t} WHERE {e} IS NOT NULL AND {e} NOT IN ('', 'NULL', '<nil>') AND {clean} <> ''"
+
+
+def _cells_sql(names) -> str:
+    return " UNION ALL ".join(_cell_sql(t, c) for t in names for c in _SCANNED[t])
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for t, df in tables(spark, sf_dir).items():
+        part = cells.cells(df, t).select("table", "column")
+        out = part if out is None else out.union(part)
+    return cells.counts(out)
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.sample(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+# --- names ---
+
+
+def _names(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    named = [(t, c) for t, df in tables(spark, sf_dir).items() for c in cells.wanted(cells.flattened(df.schema))]
+    return named + [("derived", c) for c in cells.wanted(DERIVED)] + [("phrases", c) for c in _PHRASES]
+
+
+_PHRASES = (
+    "user email", "User-Name", "email_id", "Aadhaar_Card_Number", "pan card", "credit-card-no", "ip address", "mac_addr", "date of birth", "dob", "tan", "cin", "address", "bank account number",
+    "voter id", "passport-no", "gender", "fastag id", "vehicle registration mark", "uan number", "loan account", "policy no", "gst_number", "geo location", "login password", "oauth access token",
+    "nationality code", "cheque leaf number", "demat account", "micr code", "ifsc_code", "esic number", "ration card id", "sebi reg no", "abha health id", "epf member id", "upi vpa", "cif number", "x_phone_y",
+)
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.named(spark, _names(spark, sf_dir)).drop("tier", "domain")
+
+
+_RAW_NAMES = (
+    "region r_regionkey r_name|nation n_nationkey n_name n_regionkey|customer c_custkey c_name c_nationkey c_acctbal c_mktsegment|supplier s_suppkey s_name s_nationkey s_acctbal"
+    "|part p_partkey p_name p_brand p_type p_size p_retailprice|orders o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"
+    "|lineitem l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate|events event_id ts user_id event_type value props"
+    "|documents doc_id text lang source n_chars|pages page_id url html|benchmark item_id text|labels doc_id quality toxic|conversations conv_id turn role text|embeddings vec_id embedding label"
+)
+
+
+def _meta_sql() -> str:
+    raw = [(t.split()[0], c) for t in _RAW_NAMES.split("|") for c in t.split()[1:]]
+    names = raw + [("derived", c) for c in DERIVED if c != "created_at"] + [("phrases", c) for c in _PHRASES]
+    rules = ", ".join(f"({_quote(label)}, {i}, {_quote(r.pattern)}, {r.weight})" for label, rules in COLUMN_RULES.items() for i, r in enumerate(rules))
+    values = ", ".join(f"({_quote(t)}, {_quote(c)})" for t, c in names)
+    return f"""WITH names(t, c) AS (VALUES {values}), rules(label, nth, pattern, weight) AS (VALUES {rules}),
+hit AS (SELECT t, c, label, arg_min(weight, nth)::DOUBLE AS weight FROM names JOIN rules ON regexp_matches(lower(c), pattern) GROUP BY ALL)
+SELECT t AS "table", c AS "column", label, weight, CASE WHEN weight < 0.4 THEN 'Low' WHEN weight < 0.7 THEN 'Medium' ELSE 'High' END AS confidence,
+       row_number() OVER (PARTITION BY t, c ORDER BY weight DESC, label) = 1 AS is_context FROM hit"""
+
+
+# --- values ---
+
+
+def _detect(label: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hit = corpus(spark, sf_dir).select("source", detect.rule_number(label, F.col("value"), context=True).alias("rule"))
+        return hit.where("rule is not null").groupBy("source", "rule").agg(F.count("*").alias("hits"))
+
+    return run
+
+
+def _detect_sql(label: str) -> str:
+    case = " ".join(f"WHEN regexp_matches(lower(value), {_quote(r.pattern)}) THEN {i}" for i, r in enumerate(VALUE_RULES[label]))
+    return f"{_CORPUS_SQL} SELECT source, rule, count(*) AS hits FROM (SELECT source, CASE {case} END::INT AS rule FROM corpus) WHERE rule IS NOT NULL GROUP BY ALL"
+
+
+def _validate(column: str, check: Callable) -> Query:
+    return lambda spark, sf_dir: derived(spark, sf_dir).select("c_custkey", column, check(F.col(column)).alias("valid"))
+
+
+_DIGITS = "list_reverse(list_transform(string_split({c}, ''), lambda x: x::INT))"
+_VALIDATE_SQL = {
+    "validate_luhn": f"SELECT c_custkey, card_number, list_sum(list_transform({_DIGITS.format(c='card_number')}, lambda d, i: CASE WHEN i % 2 = 0 THEN (d * 2) % 10 + (d * 2) // 10 ELSE d END)) % 10 = 0 AS valid FROM (__D)",
+    "validate_verhoeff": f"SELECT c_custkey, aadhaar, list_reduce(list_prepend(0, list_transform({_DIGITS.format(c='aadhaar')}, lambda d, i: ({[x for r in validators.PERMUTED for x in r]})[((i - 1) % 8) * 10 + d + 1])), lambda c, x: ({[x for r in validators.PRODUCT for x in r]})[c * 10 + x + 1]) = 0 AS valid FROM (__D)",
+    "validate_gstin": "SELECT c_custkey, gstin, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((36 - list_sum(list_transform(string_split(substr(gstin, 1, 14), ''), lambda x, i: (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)) // 36 + (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)) % 36)) % 36) % 36 + 1 AS INT), 1) = substr(gstin, 15, 1) AS valid FROM (__D)",
+    "validate_ipv4": "SELECT c_custkey, ip_addr, len(string_split(ip_addr, '.')) = 4 AND list_bool_and(list_transform(string_split(ip_addr, '.'), lambda x: x::INT BETWEEN 0 AND 255)) AS valid FROM (__D)",
+    "validate_mac": "SELECT c_custkey, device_mac, regexp_full_match(device_mac, '(?i)[0-9a-f]{2}(:[0-9a-f]{2}){5}|[0-9a-f]{2}(-[0-9a-f]{2}){5}|[0-9a-f]{4}(\\.[0-9a-f]{4}){2}') AS valid FROM (__D)",
+}
+
+
+def _ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("fe80::"), F.lower(F.hex(F.col("c_custkey") % 70000)), F.when(F.col("c_custkey") % 3 == 0, "::1").otherwise("")).alias("address"))
+    check = F.udf(lambda a: validators.ip(a), "boolean")
+    return made.select("c_custkey", "address", check("address").alias("valid"))
+
+
+def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(region, label, len(rules)) for region in ("", "india", "us") for label, rules in for_region(VALUE_RULES, region).items()]
+    return spark.createDataFrame(rows, "region string, label string, rules int")
+
+
+def _region_sql() -> str:
+    rows = ", ".join(f"({_quote(label)}, {_quote(r.region or '')})" for label, rules in VALUE_RULES.items() for r in rules)
+    return f"WITH rules(label, tag) AS (VALUES {rows}), asked(region) AS (VALUES (''), ('india'), ('us')) SELECT region, label, count(*)::INT AS rules FROM asked JOIN rules ON region = '' OR tag = '' OR tag = region GROUP BY ALL"
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = derived(spark, sf_dir)
+    gated = [x for x in VALUE_RULES if all(r.gated for r in VALUE_RULES[x])]
+    parts = [df.agg(F.count(detect.rule_number(x, F.col("mobile_no"))).alias("plain"), F.count(detect.rule_number(x, F.col("mobile_no"), True)).alias("in_context")).select(F.lit(x).alias("label"), "plain", "in_context") for x in gated]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _gate_sql() -> str:
+    gated = [x for x in VALUE_RULES if all(r.gated for r in VALUE_RULES[x])]
+    return " UNION ALL ".join(f"SELECT {_quote(x)} AS label, 0::BIGINT AS plain, count(*) FILTER (WHERE regexp_matches(mobile_no, {_quote(VALUE_RULES[x][0].pattern)})) AS in_context FROM ({DERIVED_SQL})" for x in gated)
+
+
+# --- matches, for resolution ---
+
+_MATCHED = ("Email", "Phone", "UPIID", "CIFNumber", "UAN", "PANNumber")
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, label, weight, start, end, tier, context, in_context, detector) of labels in ``notes`` by their first firing rule."""
+    df, low = derived(spark, sf_dir), F.lower("notes")
+    found = []
+    for label in _MATCHED:
+        n, rules = detect.rule_number(label, F.col("notes")), VALUE_RULES[label]
+        at = F.lit(None).cast("int")
+        size, weight = at, F.lit(None).cast("double")
+        for i, r in enumerate(rules):
+            at = F.when(n == i, F.regexp_instr(low, F.lit(detect.dialect.java(r.pattern))) - 1).otherwise(at)
+            size = F.when(n == i, F.length(F.regexp_extract(low, detect.dialect.java(r.pattern), 0))).otherwise(size)
+            weight = F.when(n == i, r.weight).otherwise(weight)
+        found.append(F.struct(F.lit(label).alias("label"), weight.alias("weight"), at.alias("start"), (at + size).alias("end"), F.lit(LABELS[label][0]).alias("tier")))
+    context = F.when(F.col("c_custkey") % 4 == 0, "Phone").when(F.col("c_custkey") % 4 == 1, "Email")
+    out = df.select("c_custkey", context.alias("context"), F.explode(F.array(*found)).alias("m")).select("c_custkey", "context", "m.*")
+    return out.where("start is not null").withColumn("detector", F.lit("regex")).withColumn("in_context", F.col("label").eqNullSafe(F.col("context")))
+
+
+def _matches_sql() -> str:
+    parts = []
+    for label in _MATCHED:
+        rules = VALUE_RULES[label]
+        hit = "coalesce(" + ", ".join(f"nullif(regexp_extract(lower(notes), {_quote(r.pattern)}), '')" for r in rules) + ")"
+        weight = "CASE " + " ".join(f"WHEN regexp_matches(lower(notes), {_quote(r.pattern)}) THEN {r.weight}" for r in rules) + " END::DOUBLE"
+        parts.append(f"SELECT c_custkey, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, {weight} AS weight, lower(notes) AS low, {hit} AS hit FROM ({DERIVED_SQL})")
+    return f"""WITH raw AS ({' UNION ALL '.join(parts)}),
+matches AS (SELECT c_custkey, label, tier, weight, (strpos(low, hit) - 1)::INT AS "start", (strpos(low, hit) - 1 + length(hit))::INT AS "end",
+  CASE c_custkey % 4 WHEN 0 THEN 'Phone' WHEN 1 THEN 'Email' END AS context FROM raw WHERE hit IS NOT NULL),
+marked AS (SELECT *, label IS NOT DISTINCT FROM context AS in_context FROM matches)"""
+
+
+def _with_matches(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(_matches(spark, sf_dir))
+
+
+_RESOLVE = {
+    "context_boost": (_with_matches(lambda m: resolve.boosted(m).select("c_custkey", "label", "weight", "in_context")), "SELECT c_custkey, label, CASE WHEN in_context THEN 1.0 ELSE weight END::DOUBLE AS weight, in_context FROM marked"),
+    "unknown_cap": (_with_matches(lambda m: resolve.capped(m).select("c_custkey", "label", "weight")), "SELECT c_custkey, label, CASE WHEN context IS NULL AND tier IN ('Tier2', 'Tier3') AND weight >= 0.7 THEN 0.69 ELSE weight END::DOUBLE AS weight FROM marked"),
+    "field_winner": (
+        _with_matches(lambda m: resolve.field_winner(m, ["c_custkey"])),
+        "SELECT c_custkey, label, weight, in_context FROM marked QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY in_context DESC, weight DESC, label) = 1",
+    ),
+    "occurrence_groups": (
+        _with_matches(lambda m: resolve.occurrence_groups(m, ["c_custkey"])),
+        """, reach AS (SELECT *, max("end") OVER (PARTITION BY c_custkey ORDER BY "start", "end" DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM marked),
+        grouped AS (SELECT *, sum((r IS NULL OR "start" >= r)::INT) OVER (PARTITION BY c_custkey ORDER BY "start", "end" DESC, label ROWS UNBOUNDED PRECEDING)::INT AS occurrence FROM reach)
+        SELECT c_custkey, occurrence, label, weight, "start", "end" FROM grouped QUALIFY row_number() OVER (PARTITION BY c_custkey, occurrence ORDER BY weight DESC, label) = 1""",
+    ),
+    "row_merge": (
+        _with_matches(lambda m: resolve.row_merge(m.withColumn("c_custkey", F.col("c_custkey") % 100), ["c_custkey"])),
+        "SELECT c_custkey % 100 AS c_custkey, 'regex' AS detector, label, max(weight) AS weight, bool_or(in_context) AS in_context FROM marked GROUP BY ALL",
+    ),
+}
+
+
+# --- scoring ---
+
+
+def _proof(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence spun from part keys: per table and column some labels with weights at many densities."""
+    k = F.col("p_partkey")
+    label = F.element_at(F.array(*map(F.lit, _PROOF_LABELS)), (F.floor(k / 48) % len(_PROOF_LABELS) + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("t"), (k % 4).cast("string")).alias("table"), F.concat(F.lit("c"), (k % 12).cast("string")).alias("column"), label.alias("label"), ((k % 10 + 1) / 10).alias("w"), (k % 97 == 0).alias("ctx"))
+    values = p.where("w > 0.3").groupBy("table", "column", "label").agg(F.sum("w").alias("weight"), F.count("*").alias("matched"), F.bool_or("ctx").alias("in_context")).withColumn("detector", F.lit("regex"))
+    scanned = p.groupBy("table", "column").agg(F.count("*").alias("scanned"))
+    names = spark.createDataFrame([("t0", "c0", "PANNumber", 1.0), ("t1", "c1", "Email", 0.5), ("t1", "c1", "Phone", 1.0), ("t2", "c2", "UAN", 0.3)], "table string, column string, label string, weight double")
+    return values, scanned, names
+
+
+_PROOF_LABELS = ("PANNumber", "Email", "CIFNumber", "Phone", "UAN", "IPAddress", "Gender")
+_PROOF_SQL = f"""WITH p AS (SELECT 't' || (p_partkey % 4) AS t, 'c' || (p_partkey % 12) AS c, ({list(_PROOF_LABELS)})[(p_partkey // 48) % {len(_PROOF_LABELS)} + 1] AS label,
+  (p_partkey % 10 + 1) / 10.0::DOUBLE AS w, p_partkey % 97 = 0 AS ctx FROM part),
+hits AS (SELECT t, c, label, sum(w) AS weight, count(*) AS matched, bool_or(ctx) AS in_context FROM p WHERE w > 0.3 GROUP BY ALL),
+scanned AS (SELECT t, c, count(*) AS n FROM p GROUP BY ALL),
+names(t, c, label, weight) AS (VALUES ('t0', 'c0', 'PANNumber', 1.0), ('t1', 'c1', 'Email', 0.5), ('t1', 'c1', 'Phone', 1.0), ('t2', 'c2', 'UAN', 0.3)),
+tiers(label, tier, domain) AS (VALUES {', '.join(f"({_quote(x)}, {_quote(LABELS[x][0])}, {_quote(LABELS[x][1])})" for x in _PROOF_LABELS)}),
+final AS (SELECT h.*, n, EXISTS (FROM names m WHERE m.t = h.t AND m.c = h.c) AS named,
+  CASE WHEN h.label IN ({', '.join(_quote(x) for x in sorted(MERGED))}) AND m.weight >= 0.4 THEN (m.weight + h.weight / n) / 2 ELSE h.weight / n END::DOUBLE AS final
+  FROM hits h JOIN scanned USING (t, c) LEFT JOIN names m ON m.t = h.t AND m.c = h.c AND m.label = h.label),
+dense AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE matched / n >= 0.10) OVER (PARTITION BY t, c) AS sure FROM final)
+  WHERE named OR in_context OR matched / n >= CASE WHEN sure >= 2 THEN 0.10 ELSE 0.30 END),
+found AS (SELECT t, c, label, 'column detector' AS kind, weight::DOUBLE AS weight, false AS ctx, 0::BIGINT AS matched, 0::BIGINT AS n, true AS named FROM names
+  UNION ALL SELECT t, c, label, 'value detector', final, in_context, matched, n, named FROM dense),
+banded AS (SELECT f.*, tier, domain, CASE WHEN weight < 0.4 THEN 'Low' WHEN weight < 0.7 THEN 'Medium' ELSE 'High' END AS confidence FROM found f JOIN tiers USING (label)),
+domains AS (SELECT t, arg_min(domain, (-k, domain)) AS main FROM (SELECT t, domain, count(*) AS k FROM banded WHERE confidence <> 'Low' AND (kind = 'column detector' OR tier = 'Tier1') GROUP BY ALL) GROUP BY t),
+capped AS (SELECT * REPLACE (CASE WHEN NOT named AND NOT ctx AND tier <> 'Tier1' AND weight >= 0.7 THEN 0.69 ELSE weight END AS weight,
+  CASE WHEN NOT named AND NOT ctx AND tier <> 'Tier1' AND weight >= 0.7 THEN 'Medium' ELSE confidence END AS confidence) FROM banded),
+gated AS (SELECT capped.* FROM capped LEFT JOIN domains USING (t) WHERE named OR ctx OR tier <> 'Tier3' OR coalesce(domain = main, false)),
+won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, c, kind ORDER BY weight DESC, ctx DESC, label) AS nth FROM gated) WHERE NOT named OR nth = 1)
+"""
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+_OUT = 't AS "table", c AS "column", label'
+_SCORE: dict[str, tuple[Query, str]] = {
+    "hit_aggregate": (lambda s, d: _round(_proof(s, d)[0].drop("detector"), "weight"), f"SELECT {_OUT}, round(weight, 6) AS weight, matched, in_context FROM hits"),
+    "final_weight": (lambda s, d: _round(score.weighed(*_proof(s, d)).select("table", "column", "label", "named", "final"), "final"), f"SELECT {_OUT}, named, round(final, 6) AS final FROM final"),
+    "density_filter": (lambda s, d: score.dense(score.weighed(*_proof(s, d))).select("table", "column", "label", "matched", "scanned"), f"SELECT {_OUT}, matched, n AS scanned FROM dense"),
+    "dominant_domain": (lambda s, d: score.dominant_domain(score.candidates(*_proof(s, d))), 'SELECT t AS "table", main AS table_domain FROM domains'),
+    "tier_cap": (
+        lambda s, d: _round(score.tier_capped(score.candidates(*_proof(s, d))).select("table", "column", "label", "detector_type", "weight", "confidence"), "weight"),
+        f"SELECT {_OUT}, kind AS detector_type, round(weight, 6) AS weight, confidence FROM capped",
+    ),
+    "domain_gate": (
+        lambda s, d: (lambda f: score.domain_gated(score.tier_capped(f), score.dominant_domain(f)).select("table", "column", "label", "detector_type", "tier", "domain"))(score.candidates(*_proof(s, d))),
+        f"SELECT {_OUT}, kind AS detector_type, tier, domain FROM gated",
+    ),
+    "column_winner": (
+        lambda s, d: _round(score.findings(*_proof(s, d)).drop("detector"), "weight"),
+        f"SELECT {_OUT}, kind AS detector_type, round(weight, 6) AS weight, confidence, tier, domain, ctx AS context_matched, matched AS matched_count, n AS scanned_count FROM won",
+    ),
+    "report_summary": (
+        lambda s, d: report.summary(score.findings(*_proof(s, d))),
+        "SELECT t AS \"table\", confidence, kind AS detector_type, string_agg(c || ' as ' || label, ', ' ORDER BY c || ' as ' || label) AS items FROM won GROUP BY ALL",
+    ),
+    "report_counts": (
+        lambda s, d: report.counters(score.findings(*_proof(s, d))),
+        "SELECT count(DISTINCT t) AS tables, count(*) FILTER (WHERE kind = 'value detector') AS data, count(*) FILTER (WHERE kind <> 'value detector') AS meta, count(*) FILTER (WHERE kind = 'value detector' AND confidence = 'Low') AS low_data, count(*) FILTER (WHERE kind <> 'value detector' AND confidence = 'Low') AS low_meta FROM won",
+    ),
+    "report_filter_high": (lambda s, d: report.shown(score.findings(*_proof(s, d))).select("table", "column", "label", "detector_type"), f"SELECT {_OUT}, kind AS detector_type FROM won WHERE confidence = 'High'"),
+}
+
+
+# --- documents ---
+
+
+def _extract(t: str, key: str, column: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = derived(spark, sf_dir) if t == "derived" else table(spark, sf_dir, t)
+        pairs = F.udf(lambda v: docs.extract(v)[1] if v else [], "array<struct<key:string,value:string>>")
+        return df.select(key, F.explode(pairs(column)).alias("p")).select(key, "p.key", "p.value")
+
+    return run
+
+
+def _pairs_sql(*pairs: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT c_custkey, '{k}' AS key, {v} AS value FROM customer" for k, v in pairs)
+
+
+_CVV = "lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')"
+_EXTRACT: dict[str, tuple[Query, str | None]] = {
+    "extract_json": (_extract("events", "event_id", "props"), "SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"),
+    "extract_json_derived": (_extract("derived", "c_custkey", "payload_json"), _pairs_sql(("cvv", _CVV), ("mobile", _MOBILE))),
+    "extract_xml": (_extract("derived", "c_custkey", "payload_xml"), _pairs_sql(("cvv", _CVV), ("z", "CAST(c_custkey % 10 AS STRING)"))),
+    "extract_query": (_extract("derived", "c_custkey", "payload_query"), _pairs_sql(("mobile", _MOBILE), ("note", "'x' || (c_custkey % 10)"))),
+    "extract_urlencoded": (_extract("derived", "c_custkey", "payload_encoded"), _pairs_sql(("mobile", _MOBILE))),
+    "extract_text_kv": (
+        lambda s, d: derived(s, d).select("c_custkey", F.explode(F.udf(lambda v: [(m[1], m[2]) for m in docs.LOOSE.finditer(v)], "array<struct<key:string,value:string>>")("kv_text")).alias("p")).select("c_custkey", "p.key", "p.value"),
+        f"SELECT * FROM ({_pairs_sql(('card', 'CAST(c_custkey % 1000 AS STRING)'), ('phone', _MOBILE))}) WHERE length(value) >= 2",
+    ),
+    "extract_base64": (
+        lambda s, d: derived(s, d).select("c_custkey", F.base64(F.encode("payload_json", "utf-8")).alias("packed")).select("c_custkey", F.explode(F.udf(lambda v: docs.extract(v)[1], "array<struct<key:string,value:string>>")("packed")).alias("p")).select("c_custkey", "p.key", "p.value"),
+        _pairs_sql(("cvv", _CVV), ("mobile", _MOBILE)),
+    ),
+    "extract_pages_url": (_extract("pages", "page_id", "url"), None),
+    "segment_512": (
+        lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.udf(lambda v: docs.segments(v or ""), "array<string>")("text")).alias("nth", "segment")),
+        r"""WITH RECURSIVE words AS (SELECT doc_id, i, string_split_regex(trim(regexp_replace(text, '[\s\x0B\x85\xA0]+', ' ', 'g')), ' ')[i] AS w FROM (SELECT doc_id, text, unnest(range(1, len(string_split_regex(trim(regexp_replace(text, '[\s\x0B\x85\xA0]+', ' ', 'g')), ' ')) + 1)) AS i FROM documents WHERE strlen(text) >= 512)),
+        ends AS (SELECT doc_id, i, w, sum(strlen(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto, strlen(w) AS n FROM words),
+        cut(doc_id, nth, first_i, last_i) AS (
+          SELECT doc_id, 0, 1::BIGINT, max(i) FROM ends WHERE upto <= 513 OR i = 1 GROUP BY doc_id
+          UNION ALL
+          SELECT c.doc_id, c.nth + 1, c.last_i + 1, (SELECT max(e.i) FROM ends e WHERE e.doc_id = c.doc_id AND e.i > c.last_i AND (e.i = c.last_i + 1 OR e.upto - (SELECT b.upto FROM ends b WHERE b.doc_id = c.doc_id AND b.i = c.last_i) <= 513))
+          FROM cut c WHERE c.last_i < (SELECT max(i) FROM ends m WHERE m.doc_id = c.doc_id))
+        SELECT doc_id, nth, text AS segment FROM (SELECT doc_id, 0 AS nth, text FROM documents WHERE strlen(text) BETWEEN 1 AND 511)
+        UNION ALL SELECT c.doc_id, c.nth, string_agg(e.w, ' ' ORDER BY e.i) FROM cut c JOIN ends e ON e.doc_id = c.doc_id AND e.i BETWEEN c.first_i AND c.last_i GROUP BY c.doc_id, c.nth""",
+    ),
+}
+
+
+# --- whole scans ---
+
+
+def _scan(mode: str) -> Query:
+    return lambda spark, sf_dir: _round(scan(spark, tables(spark, sf_dir), ScanConfig(mode)), "weight")
+
+
+def _scan_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(scan(spark, {"derived": derived(spark, sf_dir)}, ScanConfig("deepscan")), "weight")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"email": "email", "phone number": "mobile_no", "pan": "pan_number", "description": "email", "dob": "vehicle"}
+    found = F.udf(lambda c, v, scanner=PairScanner(): scanner.detect(c, v), "string")
+    df = derived(spark, sf_dir)
+    each = df.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in names.items()])).alias("p"))
+    return each.select("c_custkey", "p.name", found("p.name", "p.value").alias("label"))
+
+
+_PAIRS_SQL = "SELECT c_custkey, name, label FROM customer, (VALUES ('email', 'Email'), ('phone number', 'Phone'), ('pan', 'PANNumber'), ('description', NULL), ('dob', NULL)) v(name, label)"
+
+#: What a full scan of the raw tables finds: two column names, nothing by value.
+_RAW_SQL = """SELECT * FROM (VALUES ('events', 'user_id', 'Username', 'column detector', 'regex', 0.5::DOUBLE, 'Medium', 'Tier3', 'Digital', false, 0::BIGINT, 0::BIGINT),
+  ('lineitem', 'l_quantity', 'UAN', 'column detector', 'regex', 0.3::DOUBLE, 'Low', 'Tier3', 'Employment', false, 0::BIGINT, 0::BIGINT))
+  f("table", "column", label, detector_type, detector, weight, confidence, tier, domain, context_matched, matched_count, scanned_count)"""
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    out: dict[str, tuple[Query, str | None]] = {
+        "scan_cells_unpivot": (_unpivot, _cells_sql(("region", "nation", "supplier", "orders"))),
+        "scan_cell_counts": (_counts, f'SELECT "table", "column", count(*) AS scanned FROM ({_cells_sql(_SCANNED)}) GROUP BY ALL'),
+        "scan_sample_10pct": (_sample, None),
+        "meta_scan_columns": (_meta, _meta_sql()),
+        "region_filter": (_region, _region_sql()),
+        "context_gate": (_gate, _gate_sql()),
+        "validate_ipv6": (_ipv6, None),
+        "pair_detect": (_pairs, _PAIRS_SQL),
+        "scan_meta": (_scan("metascan"), _RAW_SQL),
+        "scan_deep": (_scan("deepscan"), _RAW_SQL),
+        "scan_auto": (_scan(""), _RAW_SQL),
+        "scan_deep_derived": (_scan_derived, None),
+    }
+    for label in VALUE_RULES:
+        out[f"detect_{label.lower()}"] = (_detect(label), _detect_sql(label))
+    checks = {"luhn": ("card_number", validators.luhn_expr), "verhoeff": ("aadhaar", validators.verhoeff_expr), "gstin": ("gstin", validators.gstin_expr), "ipv4": ("ip_addr", validators.ipv4_expr), "mac": ("device_mac", validators.mac_expr)}
+    for name, (column, check) in checks.items():
+        out[f"validate_{name}"] = (_validate(column, check), _VALIDATE_SQL[f"validate_{name}"].replace("__D", DERIVED_SQL))
+    out |= {name: (q, f"{_matches_sql()} {sql}") for name, (q, sql) in _RESOLVE.items()}
+    out |= {name: (q, _PROOF_SQL + sql) for name, (q, sql) in _SCORE.items()}
+    return out | _EXTRACT
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for name, (q, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}
