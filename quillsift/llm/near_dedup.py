@@ -9,9 +9,11 @@ rest is confirmed by intersecting the full sets.
 
 Buckets are never expanded into all their pairs: in a few rounds each bucket compares its
 members with one leader (another one each round) and components grow from the confirmed
-links; members in the leader's component are skipped. What is left in different components
-afterwards is compared completely, the signature test inside the join, so no link between
-members of a bucket is lost. Components are found by alternating large-star and small-star
+links; members in the leader's component are skipped. Of what is left in different components,
+a member is set aside if too few of its shingles occur in any other component to reach the
+threshold with whatever text; the others are compared completely, inside the join, by tests that
+bound the similarity from above (sizes, signatures, bitmaps of the sets), each pair in the first
+band it shares. So no link between members of a bucket is lost. Components are found by alternating large-star and small-star
 steps; all tables between steps lie in the shared folder.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
@@ -121,8 +123,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sig array<long>, bands array<long>")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each hash modulo a power of two of 8 bits a shingle or more; halves of a longer map fold onto a shorter one."""
+    size = 64 << max(0, (len(shingles) - 1).bit_length() - 3)
+    bits = np.zeros(size, bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """digest, shingles (array of hashes) of every text that has any."""
+    """digest, shingles (array of hashes), bits (their bitmap) of every text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,16 +140,17 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 sets = [s for s in shingle_sets(part.column("text")) if len(s)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.record_batch([pa.array(map(digest, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["digest", "shingles"])
+                yield pa.record_batch([pa.array(map(digest, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["digest", "shingles", "bits"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "digest binary, shingles array<long>, bits array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
     """Similarity from two signatures: agreeing hashes by bit count, less the share that agrees by chance."""
-    low = F.lit(0x5555555555555555)
-    x = F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
-    differ = F.aggregate(x, F.lit(0), lambda s, v: s + F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(low)))
+    low, differ = F.lit(0x5555555555555555), F.lit(0)
+    for i in range(HASHES * BITS // 64):
+        x = a[i].bitwiseXOR(b[i])
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
     chance = 1.0 / (1 << BITS)
     return (1.0 - differ / HASHES - chance) / (1.0 - chance)
 
@@ -149,17 +160,47 @@ def near(a_n: Column, b_n: Column, a_sig: Column, b_sig: Column) -> Column:
     return (F.least(a_n, b_n) * 100 >= F.greatest(a_n, b_n) * PERCENT) & (estimate(a_sig, b_sig) >= CUT)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b of digests) whose full sets reach the threshold. Only the texts of classes in pairs are read again."""
-    asked = staged(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct(), "asked")
+def sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Staged (digest, shingles, bits) of the asked digests. Only texts with the least id of an asked class are read again."""
     lows = staged(classes.join(asked, "digest", "left_semi").select(F.col("low").alias("__low")).distinct(), "asked-ids")
     some = join_small(docs.select("doc_id", "text"), lows, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
-    sets = staged(join_small(full_sets(some), asked, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "sets")
+    return staged(join_small(full_sets(some), asked, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
+
+
+def reachable(a_n: Column, b_n: Column, a_bits: Column, b_bits: Column) -> Column:
+    """False only for pairs that cannot be linked: a bit that only one of two bitmaps has stands for a shingle that only it has,
+    so bit counts bound the intersection from above."""
+    small = F.least(F.size(a_bits), F.size(b_bits))
+
+    def fold(bits: Column) -> Column:
+        half = F.zip_with(F.slice(bits, F.lit(1), small), F.slice(bits, small + 1, small), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(bits) == small, bits).otherwise(half)
+
+    def alone(p: Column, q: Column) -> Column:
+        only = F.zip_with(p, q, lambda x, y: F.bit_count(x) - F.bit_count(x.bitwiseAND(y)))
+        return F.aggregate(only, F.lit(0), lambda s, v: s + v)
+
+    a, b = fold(a_bits), fold(b_bits)
+    most = F.least(a_n - alone(a, b), b_n - alone(b, a))
+    return (F.greatest(F.size(a_bits), F.size(b_bits)) > 2 * small) | (most * 100 >= (a_n + b_n - most) * PERCENT)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b of digests) whose full sets reach the threshold."""
     got = pairs.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return staged(got.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "links")
 
 
+def shareable(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(digest, most) of the members (digest, n, comp) that can still be linked with another component: ``most`` of their
+    shingles occur in other components, which bounds every intersection from above, and at least PERCENT of n is needed."""
+    tokens = sets.join(members, "digest").select("digest", F.xxhash64("comp").alias("comp"), F.explode("shingles").alias("token"))
+    across = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    most = tokens.select("token", "digest").join(across, "token", "left_semi").groupBy("digest").agg(F.count("*").alias("most"))
+    return staged(most.join(members.select("digest", "n"), "digest").where(F.col("most") * 100 >= F.col("n") * PERCENT).select("digest", "most"), "shareable")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reached) for all nodes of edges (a, b), by alternating stars."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -209,13 +250,24 @@ def groups(docs: DataFrame) -> DataFrame:
         if leaders:
             found = join_small(marked, mixed, "band").where(F.col("comp") != F.col("head.comp"))
             found = found.where(near(F.col("n"), F.col("head.n"), F.col("sig"), F.col("head.sig"))).select(F.col("digest").alias("p"), F.col("head.digest").alias("q"))
+            pairs = staged(found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
+            asked = staged(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "asked")
+            links = pairs if pairs.isEmpty() else confirm(pairs, sets_of(asked, docs, classes))
         else:
-            left = join_small(marked, mixed.select("band"), "band", "left_semi")
-            other = left.select("band", *[F.col(c).alias(f"{c}2") for c in ("digest", "n", "sig", "comp")])
-            found = left.join(other, (left["band"] == other["band"]) & (F.col("comp") < F.col("comp2")) & near(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2")))
-            found = found.select(F.col("digest").alias("p"), F.col("digest2").alias("q"))
-        pairs = staged(found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
-        links = confirm(pairs, docs, classes) if not pairs.isEmpty() else pairs
+            left = staged(join_small(marked, mixed.select("band"), "band", "left_semi"), "left")
+            members = staged(left.select("digest", "n", "comp").distinct(), "members")
+            sets = sets_of(members.select("digest"), docs, classes)
+            able = shareable(members, sets).join(sets.select("digest", "bits"), "digest").join(classes.select("digest", "bands"), "digest")
+            left = staged(join_small(left, staged(able, "able"), "digest"), "left")
+            other = left.select(*[F.col(c).alias(f"{c}2") for c in ("band", "digest", "n", "sig", "comp", "most", "bits", "bands")])
+            most_both = F.least("most", "most2")
+            enough = most_both * 100 >= (F.col("n") + F.col("n2") - most_both) * PERCENT
+            ours, theirs = F.col("bands"), F.col("bands2")
+            first = F.coalesce(*[F.when(ours[i] == theirs[i], ours[i]) for i in range(HASHES // ROWS)]) == F.col("band")
+            tests = enough & near(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2")) & first & reachable(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"))
+            found = left.join(other, (F.col("band") == F.col("band2")) & (F.col("comp") < F.col("comp2")) & tests)
+            pairs = staged(found.select(F.least("digest", "digest2").alias("a"), F.greatest("digest", "digest2").alias("b")).distinct(), "pairs")
+            links = pairs if pairs.isEmpty() else confirm(pairs, sets)
         new = links.count()
         if new:
             labels = _grown(labels, links)
