@@ -35,9 +35,11 @@ from quillsift.llm.langid import held_out
 
 #: Size of the model's vocabulary, of its vectors, training steps, and noise words a word.
 K, DIM, STEPS, NOISE = 1024, 24, 120, 8
+#: About so many bytes of text make a block.
+BLOCK_BYTES = 8 << 20
 #: Vocabulary entries of other words and of the end token.
 OTHER, END = 0, 1
-_BLOCK = "block string, doc_ids array<long>, held array<boolean>, sizes array<long>, codes binary, words array<binary>, train_n array<long>"
+_BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, codes binary, words array<binary>, train_n array<long>"
 
 
 def _press(codes: np.ndarray) -> bytes:
@@ -54,7 +56,7 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in pieces.slices(batch, "text"):
+            for some in pieces.slices(batch, "text", BLOCK_BYTES):
                 found, of = pieces.words(*pieces.buffers(some.column("text")))
                 code, distinct = pieces.coded(found)
                 held = some.column("held").to_numpy(zero_copy_only=False)
@@ -66,8 +68,8 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
                 codes = np.insert(rank[code], of[1:], 0)
                 sizes = np.diff(of) + 1
                 train = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(names))
-                row = [[uuid.uuid4().hex], [some.column("doc_id").to_pylist()], [held.tolist()], [sizes.tolist()], [_press(codes)], [names], [train.tolist()]]
-                kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+                row = [[uuid.uuid4().int >> 65], [some.column("doc_id").to_pylist()], [held.tolist()], [sizes.tolist()], [_press(codes)], [names], [train.tolist()]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
                 yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], ["block", "doc_ids", "held", "sizes", "codes", "words", "train_n"])
 
     return staged(docs.select("doc_id", "text", held_out(F.col("doc_id"), parts, part).alias("held")).mapInArrow(run, _BLOCK), "lm-blocks")
@@ -81,8 +83,10 @@ def pair_counts(table: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                now, train = model_ids(row, known)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                entry = np.fromiter((known.get(w, OTHER) for w in row["words"]), np.int64, len(row["words"]))
+                now, train = entry[_unpress(row["codes"])], np.repeat(~np.array(row["held"], bool), row["sizes"])
                 before = np.concatenate([[END], now[:-1]])
                 total += np.bincount((before * k + now)[train], minlength=k * k)
         at = np.flatnonzero(total)
@@ -94,12 +98,6 @@ def pair_counts(table: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def model_ids(row: dict, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary entries of a block's tokens, and which of them are of training documents."""
-    entry = np.fromiter((known.get(w, OTHER) for w in row["words"]), np.int64, len(row["words"]))
-    return entry[_unpress(row["codes"])], np.repeat(~np.array(row["held"], bool), row["sizes"])
-
-
 def train_nce(pairs: np.ndarray, dim: int = DIM, steps: int = STEPS, noise: int = NOISE, seed: int = 3) -> np.ndarray:
     """log10 probabilities of each entry (column) after each entry (row), from pair counts."""
     k = len(pairs)
@@ -138,20 +136,21 @@ def score(docs: DataFrame, size: int = K) -> DataFrame:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
     top = counts.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(size - 2).collect()  # the vocabulary
     vocabulary = [bytes(r["word"]) for r in top]
-    known = {b"": END} | {w: i + 2 for i, w in enumerate(vocabulary)}
     logs = train_nce(pair_counts(table, vocabulary)).astype(np.float32)
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     n_other, v_other = n - ends - sum(r["c"] for r in top), max(0, v - len(top) - (ends > 0))
-    shared = spark.sparkContext.broadcast((known, logs))
+    shared = spark.sparkContext.broadcast(logs)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        entry_of, log = shared.value
+        log = shared.value
         parts = []
         for row in left.to_pylist():
-            c = np.zeros(len(row["words"]))
-            c[right.column("pos").to_numpy()] = right.column("c").to_numpy()
             codes = _unpress(row["codes"])
-            now, _ = model_ids(row, entry_of)
+            at, packed = right.column("pos").to_numpy(), right.column("packed").to_numpy()
+            c, entry = np.zeros(codes.max() + 1), np.zeros(codes.max() + 1, np.int64)
+            c[at], entry[at] = packed // size, packed % size
+            entry[0] = END
+            now = entry[codes]
             before = np.concatenate([[END], now[:-1]])
             begins = np.cumsum([0, *row["sizes"][:-1]])
             base = np.log10((c + 1.0) / (n + v + 1.0))[codes]
@@ -163,6 +162,9 @@ def score(docs: DataFrame, size: int = K) -> DataFrame:
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()])))
-    back = mine.select("block", "pos", F.col("w.words").alias("word")).join(counts, "word").select(F.col("block").alias("of_block"), F.col("pos").cast("long").alias("pos"), "c")
-    whole = table.select("block", "doc_ids", "held", "sizes", "codes", "words")
+    entries = spark.createDataFrame([(bytearray(w), i) for w, i in [(b"", END), *zip(vocabulary, range(2, size))]], "word binary, entry long")
+    numbered = counts.join(F.broadcast(entries), "word", "left")  # size rows
+    packed = (F.col("c") * size + F.coalesce("entry", F.lit(OTHER))).alias("packed")
+    back = mine.select("block", "pos", F.col("w.words").alias("word")).join(numbered, "word").select(F.col("block").alias("of_block"), F.col("pos").cast("long").alias("pos"), packed)
+    whole = table.select("block", "doc_ids", "held", "sizes", "codes")
     return whole.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
