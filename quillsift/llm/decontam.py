@@ -117,14 +117,16 @@ class Index:
 
 
 def align(window: np.ndarray, text: np.ndarray, most: int) -> int:
-    """Fewest edits between the window and any stretch of ``text``, along diagonals 0 to len(text) - len(window); above
-    ``most`` if it is more. Row by row: cell j of row i stands for text position i + j."""
-    m, wide = len(window), len(text) - len(window)
-    if wide < 0:
-        text = np.concatenate([text, np.full(-wide, 0, np.uint8)])
-        wide = 0
+    """Fewest edits between the window and any stretch of ``text``; above ``most`` if it is more. ``most`` bytes that no text
+    has stand on both sides, so that paths may begin before the text or end behind it: a window's byte beside one of them
+    is as good as deleted. Row by row: cell j of row i stands for padded position i + j."""
+    m, wide = len(window), len(text) - len(window) + 2 * most
+    if wide < most:
+        return most + 1
     if text.tobytes().find(window.tobytes()) >= 0:
         return 0
+    outside = np.full(most, 0xFF, np.uint8)  # UTF-8 has no such byte
+    text = np.concatenate([outside, text, outside])
     steps = np.arange(wide + 1)
     cost = np.zeros(wide + 1, np.int64)
     for i in range(m):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,29 @@ def test_alignment_is_edit_distance():
         assert decontam.align(a, text, 8) == last.min()
 
 
+def fewest_edits(window, text):
+    last = [0] * (len(text) + 1)
+    for i, x in enumerate(window):
+        now = [i + 1]
+        for j, y in enumerate(text):
+            now.append(min(last[j] + (x != y), last[j + 1] + 1, now[j] + 1))
+        last = now
+    return min(last)
+
+
+@pytest.mark.parametrize("before, after", [("", ""), ("", " and so on for many more words"), ("many words come first and then ", ""), ("some words ", " more words")])
+def test_edited_items_at_the_borders_of_a_document(before, after):
+    index = decontam.Index([(1, ITEM)])
+    whole = next(w for w, t in enumerate(index.text) if len(t) == len(ITEM))
+    middles = [ITEM, ITEM.replace("miller", "miler"), ITEM.replace("miller", "milller"), ITEM[3:], ITEM[:-3], ITEM[5:].replace("third", "thd"), ITEM[4:-4], ITEM[:40] + ITEM[48:], ITEM[9:], ITEM[:-9]]
+    texts = [t for middle in middles for t in (ONE, before + middle + after)]  # neighbours in the slice must not help
+    found = decontam.leaks(index, pa.array(texts))
+    for doc, text in enumerate(texts):
+        edits = fewest_edits(ITEM, re.sub(" +", " ", text.lower()).lstrip())
+        assert found.get((doc, whole)) == (edits if edits <= 8 else None)
+    assert before or after or len({doc for doc, w in found if w == whole}) == 8
+
+
 def test_lm_scores(docs, nothing):
     out = got(lm_score.score(docs))
     words = {i: [*WORD.findall((r[1] or "").translate(AZ)), None] for i, r in enumerate(rows())}
