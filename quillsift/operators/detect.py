@@ -17,10 +17,23 @@ from quillsift.functions.value_rules import VALUE_RULES
 EVIDENCE = "table string, column string, detector string, label string, weight double, matched long, in_context boolean"
 
 
+#: White space as Python strips and splits it, in a class of Java's expressions.
+_BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_GENDER = "|".join(r.pattern.removeprefix("(?i)").strip("^$").replace(r"[\s-_]?", rf"(?:[-_]|[{_BLANK}]+)?") for r in VALUE_RULES["Gender"])
+
+
 def hopeless(value: Column) -> Column:
     """Cells of columns without context in which no rule, field or wrapping can be found: long, with a character that no
-    Base64 alphabet has, and without any digit or sign that a rule or a pair needs."""
-    return (F.length(value) > 40) & ~value.rlike("[0-9@:_=]") & value.rlike(r"[^A-Za-z0-9+/_=\-\s]")
+    Base64 alphabet has, and without any digit or sign that a rule or a pair needs. What needs none of these is kept:
+
+    - XML, whose leaf elements are pairs, so that rules in context and a recogniser apply;
+    - addresses of network devices in letters only;
+    - a gender as a segment of its own: one at the end of a text, or one before a word too long to share its segment (490
+      bytes at least). The labels left, Email to FASTagID, need a sign above or a context, which only pairs give here."""
+    bare = (F.length(value) > 40) & ~value.rlike("[0-9@:_=]") & value.rlike(rf"[^A-Za-z0-9+/_=\-{_BLANK}]")
+    device = r"(?i)[a-f]{2}(?:-[a-f]{2}){5}|[a-f]{4}(?:\.[a-f]{4}){2}"
+    gender = rf"(?i)(?:^|[{_BLANK}])(?:{_GENDER})[{_BLANK}]*\z"
+    return bare & ~value.rlike(rf"^[{_BLANK}]*<") & ~value.rlike(device) & ~value.rlike(gender) & ~value.rlike(rf"[^{_BLANK}]{{120}}")
 
 
 def evidence(cell_rows: DataFrame, make: Callable[[], CellScanner] = CellScanner) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 
 import pytest
 
@@ -184,3 +185,41 @@ def test_blanked_cells_can_say_nothing(spark):
     cells = spark.createDataFrame([("t", "c", t) for t in texts], "table string, column string, value string")
     for before, after in zip(cells.collect(), detect.blanked(cells, []).collect()):
         assert after["value"] is not None or CELLS.scan("c", before["value"]) == {}
+
+
+def test_letters_alone_can_say_something(spark):
+    from quillsift.operators import detect
+
+    rng = random.Random(7)
+    blanks = [" ", "\n", "\t", "\x1c", "\xa0", "\u2003", "  "]
+    devices = ["aa-bb-cc-dd-ee-ff", "AA-bb-CC-dd-EE-ff", "abcd.efab.cdef", "FACE.beef.cafe"]
+    genders = ["male", "Female", "prefer not to say", "prefer-not-to-disclose", "transgender", "M", "n"]
+    keys = ["gender", "sex", "name", "first-name", "address", "city", "loan-account-number", "policynumber", "fastagid", "account", "note"]
+    values = ["female", "Mumbai", "abcdefghijkl", "ABCD-EFGH-IJKL", "Ann Smith", "m", ""]
+    words = lambda n: " ".join(rng.choice(["adapter", "machine,", "of", "the.", "please", "été", "漢字"]) for _ in range(n))
+    texts = ["<profile><gender>female</gender><city>Mumbai</city></profile>", "the adapter of this machine is aa-bb-cc-dd-ee-ff, please check", "\xa0" * 50 + "male."]
+    for _ in range(60):
+        pairs = [(rng.choice(keys), rng.choice(values)) for _ in range(rng.randint(1, 5))]
+        texts.append(rng.choice(["", *blanks]) + "<profile>" + rng.choice(["", *blanks]).join(f"<{k}>{v}</{k}>" for k, v in pairs) + "</profile>")
+        texts.append(words(8) + rng.choice(blanks) + rng.choice(devices) + rng.choice([" ", ", ", "."]) + words(4))
+        filled = [words(n) for n in range(60, 100)]
+        full = [t for t in filled if len(t.encode()) < 512 and len(t.encode()) > 500] or filled[:1]
+        texts.append(rng.choice(full) + " zzzzzzzzzz. zzzzz" + rng.choice(blanks) + rng.choice(genders) + rng.choice(["", *blanks]))
+        texts.append("x." * 255 + "x" + rng.choice(blanks) + rng.choice(genders) + rng.choice(blanks) + "é." * 200)
+        texts.append(words(rng.randint(5, 150)))
+    coded = base64.b64encode('{"gender": "female", "city": "Mumbai"}'.encode()).decode()
+    texts += ["\xa0".join(coded), "\u2003" + coded]
+
+    def ner(text):
+        return [("Ann Smith", "PERSON")] if "Ann Smith" in text else []
+
+    scanners = [CELLS, CellScanner("", ner), CellScanner("", ner, regex=False)]
+    cells = spark.createDataFrame([("t", "c", t) for t in texts], "table string, column string, value string")
+    found = set()
+    for before, after in zip(cells.collect(), detect.blanked(cells, []).collect()):
+        for scanner in scanners:
+            labels = scanner.scan("c", before["value"])
+            found |= {label for _, label in labels}
+            assert after["value"] is not None or labels == {}, before["value"]
+    assert {"Gender", "MacAddress", "Name"} <= found
+    assert [r["value"] for r in detect.blanked(cells.limit(0).unionByName(spark.createDataFrame([("t", "c", "just a text, long enough and with nothing in it.")], cells.schema)), []).collect()] == [None]
