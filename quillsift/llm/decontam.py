@@ -1,7 +1,10 @@
 """Benchmark passages in documents, with edits, by q-gram lemma filtering.
 
 Texts are compared with A-Z lower-cased and white space as single blanks. An item is cut
-into overlapping windows of ``WINDOW`` bytes (shorter items are one window). A region within
+twice: into overlapping windows of ``WINDOW`` bytes (shorter items are one window), for whole
+passages whose edits are spread unevenly, and into windows of ``SHORT`` bytes every
+``SHORT_STEP``, so that a copied stretch of ``SHORT + SHORT_STEP - 1`` bytes holds a whole
+window wherever it lies. A region within
 ``k`` edits of a window of ``m`` bytes keeps at least ``m - Q + 1 - k * Q`` of its q-grams, all
 on k + 1 neighbouring diagonals. So the q-grams that a text shares with the benchmark are
 counted by window and overlapping diagonal band, bands that reach the bound are regions, and
@@ -32,6 +35,7 @@ Q = 12
 #: Edits allowed for a byte of a window.
 EDITS = 0.05
 WINDOW, STEP, LEAST = 200, 100, 32
+SHORT, SHORT_STEP = 80, 20
 PORTION = 8 << 20
 _BITS = 22
 
@@ -68,24 +72,37 @@ class Index:
     """Windows of a portion of the benchmark and their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.text = [], []
+        texts = []
         for item, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
             x = normal(raw, np.array([0, len(raw)]))[0] if len(raw) else raw
             x = x[:-1] if len(x) and x[-1] == 0x20 else x
-            if len(x) < LEAST:
-                continue
-            cuts = [0] if len(x) <= WINDOW else sorted({*range(0, len(x) - WINDOW, STEP), len(x) - WINDOW})
-            for c in cuts:
-                self.item.append(item)
-                self.text.append(x[c : c + WINDOW].copy())
-        self.edits = np.array([budget(len(t)) for t in self.text], np.int64)
-        self.need = np.array([len(t) - Q + 1 - e * Q for t, e in zip(self.text, self.edits)], np.int64)
-        hashes = [grams(t) for t in self.text]
+            if len(x) >= LEAST:
+                texts.append((item, x))
+        begins = np.cumsum([0, *(len(x) for _, x in texts)]).tolist()
+        self.item, self.text, starts = [], [], []
+        #: Numbers of the first window of each cut and of the one behind its last.
+        self.cuts = [0]
+        for size, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
+            for begin, (item, x) in zip(begins, texts):
+                if size == SHORT and len(x) <= SHORT:
+                    continue  # the item is its one window already
+                for c in [0] if len(x) <= size else sorted({*range(0, len(x) - size, step), len(x) - size}):
+                    self.item.append(item)
+                    self.text.append(x[c : c + size])
+                    starts.append(begin + c)
+            self.cuts.append(len(starts))
+        length = np.array([len(t) for t in self.text], np.int64)
+        self.edits = np.array([budget(m) for m in length.tolist()], np.int64)
+        self.need = length - Q + 1 - self.edits * Q
+        #: Where a window's first and last q-gram begin in all items laid end to end; both rise within a cut.
+        self.start = np.array(starts, np.int64)
+        self.last = self.start + length - Q
+        hashes = [grams(x) for _, x in texts]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        place = np.concatenate([b + np.arange(len(h)) for b, h in zip(begins, hashes)]) if hashes else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        self.window = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-        self.offset = np.concatenate([np.arange(len(h)) for h in hashes])[order] if hashes else np.zeros(0, np.int64)
+        self.place = place[order]
         self.gram, self.begin = np.unique(flat[order], return_index=True)
         self.count = np.diff(np.append(self.begin, len(flat)))
         self.map = np.zeros(1 << _BITS, bool)
@@ -99,10 +116,18 @@ class Index:
         hit = self.gram[i] == h[at] if len(self.gram) else np.zeros(0, bool)
         at, i = at[hit], i[hit]
         n = self.count[i]
-        where = np.repeat(self.begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window, pos = self.window[where], np.repeat(at, n)
+        place = self.place[np.repeat(self.begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pos = np.repeat(at, n)
+        window, which = [], []
+        for a, b in zip(self.cuts[:-1], self.cuts[1:]):  # windows that hold a place follow each other
+            first = a + np.searchsorted(self.last[a:b], place, "left")
+            n = a + np.searchsorted(self.start[a:b], place, "right") - first
+            window.append(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+            which.append(np.repeat(np.arange(len(place)), n))
+        window, which = np.concatenate(window), np.concatenate(which)
+        pos, place = pos[which], place[which]
         width = self.edits[window] + 1
-        band = (pos - self.offset[where] + WINDOW) // width
+        band = (pos - (place - self.start[window]) + WINDOW) // width
         key = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1])
         pos = np.concatenate([pos, pos])
         order = np.lexsort((pos, key))
@@ -162,7 +187,7 @@ def leaks(index: Index, texts: pa.Array) -> dict[tuple[int, int], int]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, edits (of the item's best window) and windows (how many match) of each leaked item."""
+    """doc_id, item_id, edits (of the item's best window among the longest that match) and windows (how many match) of each leaked item."""
 
     def one(index: Index) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -170,12 +195,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces.slices(batch, "text"):
-                    rows: dict[tuple[int, int], list[int]] = {}
+                    rows: dict[tuple[int, int], list[tuple[int, int]]] = {}
                     for (doc, w), e in leaks(shared.value, part.column("text")).items():
-                        rows.setdefault((doc, shared.value.item[w]), []).append(e)
+                        rows.setdefault((doc, shared.value.item[w]), []).append((-len(shared.value.text[w]), e))
                     if rows:
                         names = part.column("doc_id").to_pylist()
-                        values = [names[d] for d, _ in rows], [i for _, i in rows], [min(e) for e in rows.values()], [len(e) for e in rows.values()]
+                        values = [names[d] for d, _ in rows], [i for _, i in rows], [min(e)[1] for e in rows.values()], [len(e) for e in rows.values()]
                         yield pa.record_batch([pa.array(v, pa.int64()) for v in values], ["doc_id", "item_id", "edits", "windows"])
 
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, windows long")

@@ -301,6 +301,17 @@ def test_edited_items_at_the_borders_of_a_document(before, after):
     assert before or after or len({doc for doc, w in found if w == whole}) == 8
 
 
+def test_copied_stretches_are_found_wherever_they_lie():
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    item, other = (" ".join(word() for _ in range(60))[:394].strip() for _ in range(2))
+    index = decontam.Index([(1, ITEM), (2, other), (3, item)])
+    least = decontam.SHORT + decontam.SHORT_STEP - 1
+    stretches = [item[11:289], item[:200], ITEM[:150], ITEM[-150:], *(item[a : a + least] for a in range(0, len(item) - least, 13)), *(item[a : a + 120].replace("a", "", 2) for a in (0, 37, 270))]
+    found = decontam.leaks(index, pa.array([f"before {s} after" for s in stretches] + [f"before {item[:60]} after", ONE]))
+    assert {doc: index.item[w] for doc, w in found} == {i: 1 if i in (2, 3) else 3 for i in range(len(stretches))}
+
+
 def test_lm_scores(docs, nothing):
     out = got(lm_score.score(docs))
     words = {i: [*WORD.findall((r[1] or "").translate(AZ)), None] for i, r in enumerate(rows())}
