@@ -1,21 +1,31 @@
 """Benchmark passages in documents, with edits, by q-gram lemma filtering.
 
-Texts are compared with A-Z lower-cased and white space as single blanks. An item is cut
-twice: into overlapping windows of ``WINDOW`` bytes (shorter items are one window), for whole
-passages whose edits are spread unevenly, and into windows of ``SHORT`` bytes every
-``SHORT_STEP``, so that a copied stretch of ``SHORT + SHORT_STEP - 1`` bytes holds a whole
-window wherever it lies. A region within
-``k`` edits of a window of ``m`` bytes keeps at least ``m - Q + 1 - k * Q`` of its q-grams, all
-on k + 1 neighbouring diagonals. So the q-grams that a text shares with the benchmark are
-counted by window and overlapping diagonal band, bands that reach the bound are regions, and
-a region is confirmed by an alignment along the band.
-
-The benchmark's q-gram index travels to the tasks in portions of at most ``PORTION`` bytes of
-items; a larger benchmark takes more passes over the documents.
-
-Defined cases: null and empty texts match nothing; items of fewer than ``LEAST`` bytes are no
-evidence and are left out, as are items without an id; equal items are each reported;
-repeated rows are each reported; no item or no document gives an empty result.
+Texts are compared as characters (code points) with A-Z lower-cased, white space as single
+blanks, and rules such as ``-----`` or ``. . . .`` cut to a few characters. An item is cut twice: into overlapping windows of ``WINDOW`` characters (shorter items
+are one window), for whole passages whose edits are spread unevenly, and into windows of
+``SHORT`` characters every ``SHORT_STEP``, so that a copied stretch of ``SHORT + SHORT_STEP - 1``
+characters holds a whole window wherever it lies. A region within ``k`` edits of a window keeps
+all but ``k * Q`` of any set of its q-grams, on k + 1 neighbouring diagonals. So the q-grams that
+a text shares with the benchmark are counted by window and overlapping diagonal band, bands that
+reach the bound are regions, and a region is confirmed by an alignment along the band.
+
+A q-gram that stands in more than ``COMMON`` places is left out of the set that is counted, as long
+as the window's other q-grams suffice for the bound; windows that consist of little else are
+counted with all of theirs, equal ones once. Hits are expanded in steps of ``STEP_HITS`` places,
+so no text takes more memory than another.
+
+Items of fewer than ``LEAST`` characters allow no edit and hold too few q-grams for a bound. They are
+searched verbatim, between characters that are neither letters nor digits.
+
+The benchmark's index travels to the tasks in portions of at most ``PORTION`` bytes of items,
+counted before; an index holds about 40 bytes for each of them. A larger benchmark takes more
+passes over the documents.
+
+Defined cases: null and empty texts match nothing; items without text, without a letter or digit
+(fewer than LEAST characters) or without an id are left out; equal items are each reported;
+repeated rows are each reported; ties do not arise, every item is judged by itself; a very long
+text is searched whole; no item or no document gives an empty result; further columns of any
+name are not touched.
 """
 
 from __future__ import annotations
@@ -32,16 +42,21 @@ from quillsift.llm import pieces
 from quillsift.llm.common import content_bytes
 
 Q = 12
-#: Edits allowed for a byte of a window.
+#: Edits allowed for a character of a window.
 EDITS = 0.05
-WINDOW, STEP, LEAST = 200, 100, 32
+WINDOW, STEP = 200, 100
 SHORT, SHORT_STEP = 80, 20
-PORTION = 8 << 20
+#: From here on the lemma's bound is above zero with the edits allowed.
+LEAST = 32
+#: Repetitions of up to so many characters are cut to so many characters more than one period.
+PERIOD, AGAIN = 4, 8
+COMMON, STEP_HITS = 64, 1 << 17
+PORTION = 4 << 20
 _BITS = 22
 
 
 def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes with each run of white space as one blank, none at a text's start; and the new bounds."""
+    """Code points, A-Z lower-cased, with each run of white space as one blank and none at a text's start; and the new bounds."""
     blank = pieces._SPACE[data]
     keep = ~blank
     keep[1:] |= ~blank[:-1]
@@ -49,108 +64,184 @@ def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep[firsts] = ~blank[firsts]
     out = pieces._LOWER[data[keep]]
     out[blank[keep]] = 0x20
-    return out, np.concatenate([[0], np.cumsum(keep)])[bounds]
+    bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+    begins = (out & 0xC0) != 0x80
+    x = out.astype(np.uint32)
+    if not begins.all():
+        at, _, cp = pieces.points(out)
+        x[at] = cp
+        x, bounds = x[begins], np.concatenate([[0], np.cumsum(begins)])[bounds]
+    keep = ~repeated(x, bounds)
+    return x[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
+def repeated(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Characters that go on with a repetition of 1 to PERIOD characters which has lasted for AGAIN characters."""
+    out, place = np.zeros(len(x), bool), np.arange(len(x))
+    for p in range(1, PERIOD + 1):
+        same = np.zeros(len(x), bool)
+        same[p:] = x[p:] == x[:-p]
+        for i in range(p):
+            edge = bounds[:-1] + i
+            same[edge[edge < len(x)]] = False
+        out |= place - np.maximum.accumulate(np.where(same, -1, place)) > AGAIN
+    return out
+
+
+def normal_text(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    x = normal(raw, np.array([0, len(raw)]))[0] if len(raw) else np.zeros(0, np.uint32)
+    return x[:-1] if len(x) and x[-1] == 0x20 else x
 
 
 def grams(x: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each q-gram."""
-    n = len(x) - Q + 1
-    if n <= 0:
+    """A 64-bit hash of each q-gram, out of hashes of 2, 4 and 8 characters."""
+    if len(x) < Q:
         return np.zeros(0, np.uint64)
-    x = np.ascontiguousarray(x)
-    a = np.ndarray((n,), "<u8", x.data, 0, (1,)).astype(np.uint64)
-    b = np.ndarray((n,), "<u4", x.data, 8, (1,)).astype(np.uint64)
-    a = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return a ^ (a >> np.uint64(29))
+    h, four = x.astype(np.uint64), None
+    for n, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xD6E8FEB86659FD93), (4, 0xC2B2AE3D27D4EB4F)):
+        h = h[:-n] * np.uint64(factor) + h[n:]
+        h ^= h >> np.uint64(29)
+        four = h if n == 2 else four
+    h = h[:-4] * np.uint64(0x9FB21C651E98DF25) + four[8:]
+    return h ^ (h >> np.uint64(32))
 
 
 def budget(m: int) -> int:
     return int(m * EDITS)
 
 
+def _expanded(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... n[i] of them, for all i."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Index:
     """Windows of a portion of the benchmark and their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        texts = []
-        for item, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            x = normal(raw, np.array([0, len(raw)]))[0] if len(raw) else raw
-            x = x[:-1] if len(x) and x[-1] == 0x20 else x
-            if len(x) >= LEAST:
-                texts.append((item, x))
-        begins = np.cumsum([0, *(len(x) for _, x in texts)]).tolist()
-        self.item, self.text, starts = [], [], []
+        cut = [(item, normal_text(text)) for item, text in items]
+        texts = [(item, x) for item, x in cut if len(x) >= LEAST]
+        self.short: dict[str, list[int]] = {}
+        for item, x in cut:
+            words = "".join(map(chr, x.tolist()))
+            if len(x) < LEAST and any(map(str.isalnum, words)):
+                self.short.setdefault(words, []).append(item)
+        self.flat = np.concatenate([x for _, x in texts]) if texts else np.zeros(0, np.uint32)
+        begins = np.cumsum([0, *(len(x) for _, x in texts)])
+        item, start, size = [], [], []
         #: Numbers of the first window of each cut and of the one behind its last.
         self.cuts = [0]
-        for size, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
-            for begin, (item, x) in zip(begins, texts):
-                if size == SHORT and len(x) <= SHORT:
+        for most, step in ((WINDOW, STEP), (SHORT, SHORT_STEP)):
+            for begin, (name, x) in zip(begins.tolist(), texts):
+                if most == SHORT and len(x) <= SHORT:
                     continue  # the item is its one window already
-                for c in [0] if len(x) <= size else sorted({*range(0, len(x) - size, step), len(x) - size}):
-                    self.item.append(item)
-                    self.text.append(x[c : c + size])
-                    starts.append(begin + c)
-            self.cuts.append(len(starts))
-        length = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.array([budget(m) for m in length.tolist()], np.int64)
-        self.need = length - Q + 1 - self.edits * Q
-        #: Where a window's first and last q-gram begin in all items laid end to end; both rise within a cut.
-        self.start = np.array(starts, np.int64)
-        self.last = self.start + length - Q
-        hashes = [grams(x) for _, x in texts]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        place = np.concatenate([b + np.arange(len(h)) for b, h in zip(begins, hashes)]) if hashes else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.place = place[order]
-        self.gram, self.begin = np.unique(flat[order], return_index=True)
-        self.count = np.diff(np.append(self.begin, len(flat)))
+                at = [0] if len(x) <= most else sorted({*range(0, len(x) - most, step), len(x) - most})
+                item += [name] * len(at)
+                start += [begin + c for c in at]
+                size += [min(most, len(x))] * len(at)
+            self.cuts.append(len(start))
+        self.item = item
+        #: Where a window, and its last q-gram, begin in all items laid end to end; both rise within a cut.
+        self.start, self.size = np.array(start, np.int64), np.array(size, np.int64)
+        self.last = self.start + self.size - Q
+        self.edits = (self.size * EDITS).astype(np.int64)
+        hashes = grams(self.flat)
+        place = np.arange(len(hashes))
+        mine = place + Q <= begins[np.searchsorted(begins, place, "right")] if len(texts) else np.zeros(0, bool)
+        place = place[mine]
+        order = np.argsort(hashes[place], kind="stable")
+        self.place = place[order].astype(np.int32)
+        self.gram, self.begin, self.count = np.unique(hashes[self.place], return_index=True, return_counts=True)
+        rare = np.zeros(len(self.flat) + 1, np.int64)
+        rare[self.place + 1] = np.repeat(self.count <= COMMON, self.count)
+        rare = np.cumsum(rare)
+        counted = rare[self.last + 1] - rare[self.start] if len(start) else np.zeros(0, np.int64)
+        self.need = counted - self.edits * Q
+        #: Windows of mostly common q-grams, equal ones once, and all q-grams of these.
+        dull: dict[bytes, list[int]] = {}
+        for w in np.flatnonzero(self.need < 1).tolist():
+            dull.setdefault(self.window(w).tobytes(), []).append(w)
+        self.alike = {ws[0]: ws for ws in dull.values()}
+        at = [(w, grams(self.window(w))) for w in self.alike]
+        self.dull_gram = np.concatenate([np.zeros(0, np.uint64), *(g for _, g in at)])
+        order = np.argsort(self.dull_gram, kind="stable")
+        self.dull_gram = self.dull_gram[order]
+        self.dull_window = np.concatenate([np.zeros(0, np.int64), *(np.full(len(g), w) for w, g in at)])[order]
+        self.dull_place = np.concatenate([np.zeros(0, np.int64), *(self.start[w] + np.arange(len(g)) for w, g in at)])[order]
         self.map = np.zeros(1 << _BITS, bool)
         self.map[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def regions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window, first diagonal and shared q-grams of each band that reaches its window's bound."""
-        h = grams(x)
-        at = np.flatnonzero(self.map[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(self.gram, h[at]), max(0, len(self.gram) - 1))
-        hit = self.gram[i] == h[at] if len(self.gram) else np.zeros(0, bool)
-        at, i = at[hit], i[hit]
-        n = self.count[i]
-        place = self.place[np.repeat(self.begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        pos = np.repeat(at, n)
-        window, which = [], []
-        for a, b in zip(self.cuts[:-1], self.cuts[1:]):  # windows that hold a place follow each other
-            first = a + np.searchsorted(self.last[a:b], place, "left")
-            n = a + np.searchsorted(self.start[a:b], place, "right") - first
-            window.append(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-            which.append(np.repeat(np.arange(len(place)), n))
-        window, which = np.concatenate(window), np.concatenate(which)
-        pos, place = pos[which], place[which]
-        width = self.edits[window] + 1
-        band = (pos - (place - self.start[window]) + WINDOW) // width
-        key = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1])
-        pos = np.concatenate([pos, pos])
+    def window(self, w: int) -> np.ndarray:
+        return self.flat[self.start[w] : self.start[w] + self.size[w]]
+
+    def _counted(self, window: np.ndarray, place: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of (window, band) and how many positions hit each; a hit counts for its band and the one before."""
+        band = (pos - (place - self.start[window]) + WINDOW) // (self.edits[window] + 1) + 1
+        key = window << 40 | band
+        key, pos = np.concatenate([key, key - 1]), np.concatenate([pos, pos])
         order = np.lexsort((pos, key))
         key, pos = key[order], pos[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
-        key, shared = np.unique(key[new], return_counts=True)
-        window, band = key >> 40, key & ((1 << 40) - 1)
-        ok = shared >= self.need[window]
-        window, band, shared = window[ok], band[ok], shared[ok]
-        return window, band * (self.edits[window] + 1) - WINDOW, shared
+        return np.unique(key[new], return_counts=True)
+
+    def _hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, places and positions of shared q-grams, some millions at a time and in order of position."""
+        at = np.flatnonzero(self.map[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        i = np.minimum(np.searchsorted(self.gram, h[at]), max(0, len(self.gram) - 1))
+        hit = self.gram[i] == h[at] if len(self.gram) else np.zeros(0, bool)
+        at, i = at[hit], i[hit]
+        plain = self.count[i] <= COMMON
+        sources = [(at[plain], self.begin[i[plain]], self.count[i[plain]], None)]
+        if len(self.dull_gram):
+            lo = np.searchsorted(self.dull_gram, h[at], "left")
+            n = np.searchsorted(self.dull_gram, h[at], "right") - lo
+            sources.append((at[n > 0], lo[n > 0], n[n > 0], self.dull_window))
+        for at, lo, n, windows in sources:
+            ends = np.cumsum(n)
+            done = 0
+            while done < len(at):
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + STEP_HITS, "right")))
+                some = _expanded(lo[done:upto], n[done:upto])
+                pos = np.repeat(at[done:upto], n[done:upto])
+                done = upto
+                if windows is not None:
+                    yield windows[some], self.dull_place[some], pos
+                    continue
+                place = self.place[some].astype(np.int64)
+                for a, b in zip(self.cuts[:-1], self.cuts[1:]):  # windows that hold a place follow each other
+                    first = a + np.searchsorted(self.last[a:b], place, "left")
+                    each = a + np.searchsorted(self.start[a:b], place, "right") - first
+                    window = _expanded(first, each)
+                    ok = self.need[window] > 0  # the others are counted by all their q-grams
+                    yield window[ok], np.repeat(place, each)[ok], np.repeat(pos, each)[ok]
+
+    def regions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and first diagonal of each band that reaches its window's bound."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for window, place, pos in self._hits(grams(x)):
+            key, n = self._counted(window, place, pos)  # all hits of a window at a position are in one step
+            if len(keys):
+                key, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([counts, n]), len(key)).astype(np.int64)
+            keys, counts = key, n
+        window, band = keys >> 40, (keys & ((1 << 40) - 1)) - 1
+        full = self.size[window] - Q + 1 - self.edits[window] * Q
+        ok = counts >= np.where(self.need[window] > 0, self.need[window], full)
+        return window[ok], band[ok] * (self.edits[window[ok]] + 1) - WINDOW
 
 
 def align(window: np.ndarray, text: np.ndarray, most: int) -> int:
-    """Fewest edits between the window and any stretch of ``text``; above ``most`` if it is more. ``most`` bytes that no text
-    has stand on both sides, so that paths may begin before the text or end behind it: a window's byte beside one of them
+    """Fewest edits between the window and any stretch of ``text``; above ``most`` if it is more. ``most`` characters that no text
+    has stand on both sides, so that paths may begin before the text or end behind it: a window's character beside one of them
     is as good as deleted. Row by row: cell j of row i stands for padded position i + j."""
     m, wide = len(window), len(text) - len(window) + 2 * most
     if wide < most:
         return most + 1
-    if text.tobytes().find(window.tobytes()) >= 0:
+    if text.tobytes().find(window.tobytes()) % 4 == 0:
         return 0
-    outside = np.full(most, 0xFF, np.uint8)  # UTF-8 has no such byte
+    outside = np.full(most, 0xFFFFFFFF, np.uint32)
     text = np.concatenate([outside, text, outside])
     steps = np.arange(wide + 1)
     cost = np.zeros(wide + 1, np.int64)
@@ -172,35 +263,56 @@ def portions(benchmark: DataFrame) -> Iterator[Index]:
         yield Index([(r["item_id"], r["text"]) for r in some.collect()])  # PORTION bytes
 
 
-def leaks(index: Index, texts: pa.Array) -> dict[tuple[int, int], int]:
-    """(number of the text, number of the window) -> edits, where they are within the window's budget."""
+def _verbatim(short: dict[str, list[int]], texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(number of the text, item) of short items between characters that are neither letters nor digits."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for words in short:
+        machine.add_word(words, words)
+    machine.make_automaton()
+    for doc, text in enumerate(texts):
+        found = {w for end, w in machine.iter(text) if not text[end + 1 : end + 2].isalnum() and (end < len(w) or not text[end - len(w)].isalnum())}
+        yield from ((doc, item) for w in found for item in short[w])
+
+
+def leaks(index: Index, texts: pa.Array) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(number of the text, item) -> (size, edits) of its windows that are found within their budget."""
     x, bounds = normal(*pieces.buffers(texts))
     best: dict[tuple[int, int], int] = {}
-    for w, d in zip(*(v.tolist() for v in index.regions(x)[:2])):
-        k, t = int(index.edits[w]), index.text[w]
-        middle = min(max(d + k + len(t) // 2, 0), len(x) - 1)
-        doc = int(np.searchsorted(bounds, middle, "right")) - 1
-        lo, hi = max(d - k, int(bounds[doc])), min(d + 3 * k + 2 + len(t), int(bounds[doc + 1]))
-        if best.get((doc, w), k + 1):
-            best[doc, w] = min(best.get((doc, w), k + 1), align(t, x[lo:hi], k))
-    return {key: e for key, e in best.items() if e <= index.edits[key[1]]}
+    for w, d in zip(*(v.tolist() for v in index.regions(x))):
+        k, t = int(index.edits[w]), index.window(w)
+        lo, hi = max(d - k, 0), min(d + 3 * k + 2 + len(t), len(x))
+        for doc in range(int(np.searchsorted(bounds, lo, "right")) - 1, int(np.searchsorted(bounds, hi, "left"))):
+            if best.get((doc, w), k + 1):
+                part = x[max(lo, int(bounds[doc])) : min(hi, int(bounds[doc + 1]))]
+                best[doc, w] = min(best.get((doc, w), k + 1), align(t, part, k))
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for (doc, w), e in best.items():
+        if e <= index.edits[w]:
+            for same in index.alike.get(w, [w]):
+                found.setdefault((doc, index.item[same]), []).append((int(index.size[same]), e))
+    if index.short:
+        flat = x.astype("<u4").tobytes().decode("utf-32-le")
+        for doc, item in _verbatim(index.short, [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]):
+            found.setdefault((doc, item), []).append((0, 0))
+    return found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits (of the item's best window among the longest that match) and windows (how many match) of each leaked item."""
 
     def one(index: Index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # PORTION bytes of items
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces.slices(batch, "text"):
-                    rows: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                    for (doc, w), e in leaks(shared.value, part.column("text")).items():
-                        rows.setdefault((doc, shared.value.item[w]), []).append((-len(shared.value.text[w]), e))
+                    rows = leaks(shared.value, part.column("text"))
                     if rows:
                         names = part.column("doc_id").to_pylist()
-                        values = [names[d] for d, _ in rows], [i for _, i in rows], [min(e)[1] for e in rows.values()], [len(e) for e in rows.values()]
+                        edits = [min((-size, e) for size, e in v)[1] for v in rows.values()]
+                        values = [names[d] for d, _ in rows], [i for _, i in rows], edits, [len(v) for v in rows.values()]
                         yield pa.record_batch([pa.array(v, pa.int64()) for v in values], ["doc_id", "item_id", "edits", "windows"])
 
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, windows long")
@@ -212,7 +324,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns."""
 
     def without(rows: DataFrame, index: Index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # PORTION bytes of items
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +62,24 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[pa.
     return as_binary(_LOWER[kept] if lower else kept, np.flatnonzero(start[keep])), of
 
 
+def points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each character of two bytes or more begins, how many bytes it has, and its code point."""
+    at = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[at] >= 0xE0).astype(np.int64) + (data[at] >= 0xF0)
+    cp = data[at].astype(np.int64) & (0x7F >> size)
+    for i in (1, 2, 3):
+        more = size > i
+        cp[more] = cp[more] << 6 | (data[at[more] + i] & 0x3F)
+    return at, size, cp
+
+
+def spread(out: np.ndarray, at: np.ndarray, size: np.ndarray, values: np.ndarray) -> None:
+    """Give every byte of the characters at ``at`` its character's value."""
+    for i in range(4):
+        more = size > i
+        out[at[more] + i] = values[more]
+
+
 def coded(pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Number of each piece in the list of distinct pieces, and that list."""
     d = pc.dictionary_encode(pieces)
@@ -67,62 +88,59 @@ def coded(pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 # --- pre-tokens of the byte-level BPE: contractions, letters, numbers, other, white space ---
 
-_S, _L, _N, _O = range(4)
-
-
-def _kind(ch: str) -> int:
-    if ch in "\t\n\x0b\x0c\r \x85\xa0":
-        return _S
-    return {"L": _L, "N": _N}.get(unicodedata.category(ch)[0], _O)
-
-
-#: Code points from here on, and the ASCII separators 1C-1F, are left to the library.
-_SAFE_END = 0x240
-_KIND = np.array([_kind(chr(c)) for c in range(_SAFE_END)], np.uint8)
-_UNSAFE = np.zeros(256, bool)
-_UNSAFE[0x1C:0x20] = True
-_UNSAFE[0xC9:] = True
+_S, _L, _N, _O, _UNKNOWN = range(5)
 
 
-def safe_rows(data: np.ndarray, bounds: np.ndarray, specials: list[bytes]) -> np.ndarray:
-    """Which texts hold only characters that :func:`pre_tokens` knows, and none of the special strings."""
-    ok = np.ones(len(bounds) - 1, bool)
-    bad = np.flatnonzero(_UNSAFE[data]).tolist()
-    raw = data.tobytes() if specials else b""
-    for s in specials:
-        at = raw.find(s)
-        while at >= 0:
-            bad.append(at)
-            at = raw.find(s, at + 1)
-    if bad:
-        ok[np.searchsorted(bounds, np.unique(bad), "right") - 1] = False
-    return ok
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of every code point; one that Python's Unicode tables leave unassigned is unknown, as the library's may be newer."""
+    out = np.full(sys.maxunicode + 1, _O, np.uint8)
+    marks = np.frombuffer("".join(map(unicodedata.category, map(chr, range(len(out))))).encode(), np.uint8).reshape(-1, 2)
+    out[marks[:, 0] == ord("L")] = _L
+    out[marks[:, 0] == ord("N")] = _N
+    out[(marks[:, 0] == ord("C")) & (marks[:, 1] == ord("n"))] = _UNKNOWN
+    out[marks[:, 0] == ord("Z")] = _S
+    out[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85]] = _S
+    return out
 
 
-def pre_tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Pieces of safe texts, and each text's first piece's number.
+def pre_tokens(data: np.ndarray, bounds: np.ndarray, specials: re.Pattern[bytes] | None = None, ask: Callable[[str], int] | None = None) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of texts, and each text's first piece's number.
 
     A piece is a run of one kind with at most one blank in front; of a longer white-space
     run before something, the last character stands apart (or is that blank); an apostrophe
-    that opens a piece takes s, t, m, d, re, ve or ll with it.
+    that opens a piece takes s, t, m, d, re, ve or ll with it. Each match of ``specials`` is
+    a piece, and what stands before and behind it are texts of their own. ``ask`` gives the
+    kind of a character that Python does not know; it is asked once.
     """
     n = len(data)
     if not n:
         return as_binary(data, np.zeros(0, np.int64)), np.zeros(len(bounds), np.int64)
-    kind = _KIND[:256][data]
-    lead = np.flatnonzero(data >= 0xC2)
-    two = _KIND[((data[lead] & 0x1F).astype(np.int64) << 6) | (data[lead + 1] & 0x3F)]
-    kind[lead] = two
-    kind[lead + 1] = two
+    table = _kinds()
+    kind = table[:256][data]
+    lead, size, cp = points(data)
+    if ask is not None:
+        for c in np.unique(cp[table[cp] == _UNKNOWN]).tolist():
+            table[c] = ask(chr(c))
+    spread(kind, lead, size, table[cp])
+    edges, whole = bounds[:-1][np.diff(bounds) > 0], []
+    if specials is not None:
+        raw, ends = data.tobytes(), bounds.tolist()
+        whole = [m.span() for m in specials.finditer(raw)]
+        inside = np.searchsorted(bounds, [a for a, _ in whole], "right")
+        whole = [(a, b) for (a, b), i in zip(whole, inside.tolist()) if b <= ends[i]]
+        edges = np.unique(np.concatenate([edges, [x for ab in whole for x in ab if x < n]]).astype(np.int64))
     start = np.ones(n, bool)
     np.not_equal(kind[1:], kind[:-1], out=start[1:])
     first = np.zeros(n + 4, bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    first[edges] = True
     first[n:] = True
     start |= first[:n]
     runs = np.flatnonzero(start & (kind != _S) & ~first[:n])
     runs = runs[kind[runs - 1] == _S]
-    last = runs - 1 - (data[runs - 1] >= 0x80)
+    last = runs - 1
+    for _ in range(3):
+        last = last - ((data[last] & 0xC0) == 0x80)
     start[last] = True
     start[runs[data[runs - 1] == 0x20]] = False
     quote = np.flatnonzero((data == 0x27) & start)
@@ -138,5 +156,7 @@ def pre_tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarr
         rest = quote + size
         rest = rest[~first[rest]]
         start[rest[kind[rest] == _L]] = True
+    for a, b in whole:
+        start[a + 1 : b] = False
     starts = np.flatnonzero(start)
     return as_binary(data, starts), np.searchsorted(starts, bounds)

@@ -4,16 +4,19 @@ The library is asked once per distinct pre-token that a worker meets; a text's c
 then the sum over its pre-tokens of frequency times count, joined on dictionary codes
 inside the task. A join of (document, pre-token) rows across the cluster would move more
 bytes than the texts themselves, and a vocabulary of all pre-tokens has no bounded size,
-so each worker keeps its own table, emptied when it passes ``MEMO`` entries. Texts with
-characters beyond Latin script or with special strings go to the library whole.
+so each worker keeps its own table, emptied when it passes ``MEMO`` entries. Counting keeps
+numbers alone. Pre-tokens are cut the same way in all scripts; special strings are pieces
+of their own, as in the library.
 
-Defined cases: a null or empty text has no token; repeated rows give equal results; an
-empty table gives an empty result.
+Defined cases: a null or empty text has no token; repeated rows give equal results; a very
+long text is one slice and counted whole; there is nothing to tie; an empty table gives an
+empty result; only ``doc_id`` and ``text`` are read, so further columns do no harm.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +40,16 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """One vocabulary in one worker: pre-token -> row of a growing table of ids."""
+    """One vocabulary in one worker: pre-token -> number of its ids, and pre-token -> row of a growing table of ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        specials = sorted((t.content.encode() for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.specials = re.compile(b"|".join(map(re.escape, specials))) if specials else None
+        self.sizes_of: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -54,7 +59,26 @@ class Encoder:
         self.begins = np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def kind(self, ch: str) -> int:
+        """The library's kind of a character: one of a letter, a number or another sign forms one piece with it, or none does."""
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        return next((kind for mark, kind in (("a", pieces._L), ("1", pieces._N), (".", pieces._O)) if len(split(mark + ch)) == 1), pieces._S)
+
+    def pre_tokens(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        return pieces.pre_tokens(*pieces.buffers(texts), self.specials, self.kind)
+
+    def counted(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of ids of the distinct pre-tokens. The ids of unknown ones are made a few thousand at a time and dropped."""
+        names = distinct.to_pylist()
+        if len(self.sizes_of) > MEMO:
+            self.sizes_of.clear()
+        new = [p for p in names if p not in self.sizes_of]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            self.sizes_of.update(zip(some, map(len, self.whole([p.decode() for p in some]))))
+        return np.fromiter(map(self.sizes_of.__getitem__, names), np.int64, len(names))
 
     def rows(self, distinct: pa.Array) -> np.ndarray:
         """Table rows of the distinct pre-tokens; unknown ones are encoded by the library."""
@@ -63,7 +87,7 @@ class Encoder:
             self.clear()
         new = [p for p in names if p not in self.known]
         if new:
-            got = [e.ids for e in self.library.encode_batch([p.decode() for p in new], add_special_tokens=False)]
+            got = self.whole([p.decode() for p in new])
             sizes = np.array([len(x) for x in got], np.int64)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
@@ -72,51 +96,28 @@ class Encoder:
         return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
 
     def counts(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of each text."""
-        data, bounds = pieces.buffers(texts)
-        safe = pieces.safe_rows(data, bounds, self.specials)
-        out = np.zeros(len(texts), np.int64)
-        if not safe.all():
-            odd = np.flatnonzero(~safe)
-            out[odd] = [len(x) for x in self.whole(texts.take(pa.array(odd)).to_pylist())]
-            data, bounds = pieces.buffers(texts.filter(pa.array(safe)))
-        parts, of = pieces.pre_tokens(data, bounds)
-        if len(parts):
-            code, distinct = pieces.coded(parts)
-            rows = self.rows(distinct)
-            size = self.sizes[rows]
-            doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
-            pair, frequency = np.unique(doc * len(distinct) + code, return_counts=True)
-            doc, code = np.divmod(pair, len(distinct))
-            out[safe] = np.bincount(doc, weights=frequency * size[code], minlength=len(of) - 1).astype(np.int64)
-        return out
+        """Tokens of each text: frequencies of its distinct pre-tokens times their counts, added up."""
+        parts, of = self.pre_tokens(texts)
+        if not len(parts):
+            return np.zeros(len(texts), np.int64)
+        code, distinct = pieces.coded(parts)
+        size = self.counted(distinct)
+        doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        pair, frequency = np.unique(doc * len(distinct) + code, return_counts=True)
+        doc, code = np.divmod(pair, len(distinct))
+        return np.bincount(doc, weights=frequency * size[code], minlength=len(of) - 1).astype(np.int64)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and each text's number of ids."""
-        data, bounds = pieces.buffers(texts)
-        safe = pieces.safe_rows(data, bounds, self.specials)
-        n = np.zeros(len(texts), np.int64)
-        odd: list[list[int]] = []
-        if not safe.all():
-            odd = self.whole(texts.filter(pa.array(~safe)).to_pylist())
-            n[~safe] = [len(x) for x in odd]
-            data, bounds = pieces.buffers(texts.filter(pa.array(safe)))
-        parts, of = pieces.pre_tokens(data, bounds)
-        ids = np.zeros(0, np.uint32)
-        if len(parts):
-            code, distinct = pieces.coded(parts)
-            row = self.rows(distinct)[code]
-            size = self.sizes[row]
-            ends = np.cumsum(size)
-            ids = self.flat[np.repeat(self.begins[row] - (ends - size), size) + np.arange(ends[-1])]
-            n[safe] = np.diff(np.append(0, ends)[of])
-        if not odd:
-            return ids, n
-        out = np.empty(int(n.sum()), np.uint32)
-        mine = np.repeat(safe, n)
-        out[mine] = ids
-        out[~mine] = np.fromiter((i for x in odd for i in x), np.uint32, int(n[~safe].sum()))
-        return out, n
+        parts, of = self.pre_tokens(texts)
+        if not len(parts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        code, distinct = pieces.coded(parts)
+        row = self.rows(distinct)[code]
+        size = self.sizes[row]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.begins[row] - (ends - size), size) + np.arange(ends[-1])]
+        return ids, np.diff(np.append(0, ends)[of])
 
 
 def encoder(path: str) -> Encoder:

@@ -133,6 +133,18 @@ def test_token_counts_and_files(docs, nothing):
         start += len(ids)
 
 
+def test_main_path_for_all_scripts(spark, monkeypatch):
+    """No text is given to the library whole, and a table that is emptied between batches changes nothing."""
+    texts = ["“Curly” quotes — and it’s fine", "Съешь же ещё этих мягких булок", "我们今天去北京。", "a<|endoftext|>b <|endoftext|>", "สวัสดีชาวโลก 123", "x" * 5000]
+    want = [len(x) for x in library().whole(texts)]
+    e, asked = library(), []
+    whole = e.whole
+    e.whole = lambda some: (asked.extend(some), whole(some))[1]
+    monkeypatch.setattr(tokens, "MEMO", 3)
+    assert [int(e.counts(pa.array([t]))[0]) for t in texts] == want and [len(e.ids(pa.array([t]))[0]) for t in texts] == want
+    assert not set(asked) & set(texts[:5])
+
+
 def test_sentencepiece_counts(docs):
     out = got(tokens.count_tokens(docs, "piece_bpe_32k.model"))
     assert out[5][0]["n_tokens"] == 0 and out[1][0]["n_tokens"] > 20
@@ -144,7 +156,7 @@ def test_pre_tokens_agree_with_the_library():
     e = library()
 
     @hypothesis.settings(max_examples=150, deadline=None)
-    @hypothesis.given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t's re've'll!-_1²é\xa0\x85\r<|>"), st.characters(max_codepoint=0x2FF, exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=5))
+    @hypothesis.given(st.lists(st.lists(st.one_of(st.sampled_from([*" \n\t's re've'll!-_1²é\xa0\x85\r<|>’“\u3000漢Жж\u0378\u1c89\U0001f600", "<|endoftext|>"]), st.characters(exclude_categories=["Cs"])), max_size=30).map("".join), min_size=1, max_size=5))
     def same(texts):
         import pyarrow as pa
 
@@ -260,45 +272,55 @@ def test_decontamination(spark, docs):
     assert decontam.clean(docs, bench).columns == docs.columns
 
 
+def fewest_edits(window, text):
+    last = [0] * (len(text) + 1)
+    for i, x in enumerate(window):
+        now = [i + 1]
+        for j, y in enumerate(text):
+            now.append(min(last[j] + (x != y), last[j + 1] + 1, now[j] + 1))
+        last = now
+    return min(last)
+
+
 def test_alignment_is_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(60):
-        a = rng.integers(97, 100, 24).astype(np.uint8)
+        a = rng.integers(97, 100, 24).astype(np.uint32)
         b = list(a)
         for _ in range(rng.integers(0, 4)):
             at = rng.integers(0, len(b))
             b[at : at + rng.integers(0, 2)] = list(rng.integers(97, 100, rng.integers(0, 2)))
-        text = np.array([*rng.integers(97, 100, 5), *b, *rng.integers(97, 100, 5)], np.uint8)
-        last = np.zeros(len(text) + 1, int)
-        for i, x in enumerate(a):
-            now = [i + 1]
-            for j, y in enumerate(text):
-                now.append(min(last[j] + (x != y), last[j + 1] + 1, now[j] + 1))
-            last = np.array(now)
-        assert decontam.align(a, text, 8) == last.min()
+        text = np.array([*rng.integers(97, 100, 5), *b, *rng.integers(97, 100, 5)], np.uint32)
+        assert decontam.align(a, text, 8) == fewest_edits(a.tolist(), text.tolist())
 
 
-def fewest_edits(window, text):
-    last = [0] * (len(text) + 1)
-    for i, x in enumerate(window):
-        now = [i + 1]
-        for j, y in enumerate(text):
-            now.append(min(last[j] + (x != y), last[j + 1] + 1, now[j] + 1))
-        last = now
-    return min(last)
+GERMAN = "die Müller über den Höhen hörten früh die Glöcke läuten und gingen rüstig über die schöne Brücke zur großen Mühle am Flüßchen zurück"
 
 
-@pytest.mark.parametrize("before, after", [("", ""), ("", " and so on for many more words"), ("many words come first and then ", ""), ("some words ", " more words")])
-def test_edited_items_at_the_borders_of_a_document(before, after):
-    index = decontam.Index([(1, ITEM)])
-    whole = next(w for w, t in enumerate(index.text) if len(t) == len(ITEM))
-    middles = [ITEM, ITEM.replace("miller", "miler"), ITEM.replace("miller", "milller"), ITEM[3:], ITEM[:-3], ITEM[5:].replace("third", "thd"), ITEM[4:-4], ITEM[:40] + ITEM[48:], ITEM[9:], ITEM[:-9]]
-    texts = [t for middle in middles for t in (ONE, before + middle + after)]  # neighbours in the slice must not help
-    found = decontam.leaks(index, pa.array(texts))
-    for doc, text in enumerate(texts):
-        edits = fewest_edits(ITEM, re.sub(" +", " ", text.lower()).lstrip())
-        assert found.get((doc, whole)) == (edits if edits <= 8 else None)
-    assert before or after or len({doc for doc, w in found if w == whole}) == 8
+def changed(text, rng, k, kinds):
+    """``text`` with k edits at least two characters apart."""
+    out = list(text)
+    for at in sorted(rng.choice(np.arange(0, len(text) - 1, 3), k, replace=False).tolist(), reverse=True):
+        kind = rng.choice(kinds)
+        out[at : at + (kind != "insert")] = {"delete": "", "insert": "q", "change": "ß" if out[at] != "ß" else "ä"}[kind]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("item", [ITEM, GERMAN, ITEM[:60]])
+@pytest.mark.parametrize("before, after", [("", ""), ("", " and so on for many more words"), ("many words come first and then ", ""), ("some – words ", " more words")])
+def test_regions_against_brute_force(item, before, after):
+    """Every text within the budget of the whole item, by edit distance over all its stretches, is found, and no other one."""
+    rng = np.random.default_rng(len(item))
+    index = decontam.Index([(1, item), (2, "völlig anderes " * 9)])
+    most = decontam.budget(len(item))
+    texts = [before + changed(item, rng, k, kinds) + after for k in range(most + 2) for kinds in (["delete"], ["insert"], ["change"], ["delete", "insert", "change"])]
+    texts += [before + cut + after for cut in (item[3:], item[:-3], item[4:-4], item[9:], item[:-9], item[:40] + item[48:])]
+    found = decontam.leaks(index, pa.array([t for text in texts for t in (ONE, text)]))  # neighbours in the slice must not help
+    low = lambda t: re.sub(" +", " ", t.translate(AZ)).lstrip()
+    for i, text in enumerate(texts):
+        edits = fewest_edits(low(item), low(text))
+        assert [e for size, e in found.get((2 * i + 1, 1), []) if size == len(low(item))] == ([edits] if edits <= most else [])
+    assert not {key for key in found if key[0] % 2 == 0 or key[1] == 2}
 
 
 def test_copied_stretches_are_found_wherever_they_lie():
@@ -309,7 +331,37 @@ def test_copied_stretches_are_found_wherever_they_lie():
     least = decontam.SHORT + decontam.SHORT_STEP - 1
     stretches = [item[11:289], item[:200], ITEM[:150], ITEM[-150:], *(item[a : a + least] for a in range(0, len(item) - least, 13)), *(item[a : a + 120].replace("a", "", 2) for a in (0, 37, 270))]
     found = decontam.leaks(index, pa.array([f"before {s} after" for s in stretches] + [f"before {item[:60]} after", ONE]))
-    assert {doc: index.item[w] for doc, w in found} == {i: 1 if i in (2, 3) else 3 for i in range(len(stretches))}
+    assert dict(found) and {doc: i for doc, i in found} == {i: 1 if i in (2, 3) else 3 for i in range(len(stretches))}
+
+
+def test_short_items_are_found_verbatim():
+    index = decontam.Index([(1, "Paris"), (2, "what is  two plus two?"), (3, "..."), (4, ""), (5, "paris")])
+    texts = ["in PARIS.", "comparison parisian", "he asked: What is\ntwo plus two?", "what is two plus too?", "...", "paris"]
+    assert {key for key in decontam.leaks(index, pa.array(texts))} == {(0, 1), (0, 5), (2, 2), (5, 1), (5, 5)}
+
+
+def test_repeated_signs_and_templates_stay_bounded():
+    rule, template = "-" * 300, "choose the best answer to the question below and write only its letter into the box: "
+    items = [(i, f"{template}number {i * 7919} of the series {i} {rule} {'= ' * 90}") for i in range(150)]
+    index = decontam.Index(items)
+    seen = []
+    inner = index._counted
+    index._counted = lambda w, p, q: (seen.append(len(w)), inner(w, p, q))[1]
+    texts = ["-" * 200_000 + "= " * 50_000, "no dashes here at all", template + "something else", f"x {items[5][1][:130]}"]
+    found = decontam.leaks(index, pa.array(texts))
+    assert max(seen) <= 8 * decontam.STEP_HITS and sum(seen) < 4_000_000
+    assert not {doc for doc, _ in found} & {0, 1} and {i for doc, i in found if doc == 2} == {i for i, _ in items} and (3, 5) in found
+    assert "".join(map(chr, decontam.normal_text("A" + "-" * 50 + " b. . . . . . . . c 10000000000000000"))) == "a" + "-" * 9 + " b. . . . . c 1000000000"
+
+
+def test_many_portions_and_awkward_rows(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(i, ITEM.replace("council", f"council {i}")) for i in range(30)] + [(None, ITEM), (99, None), (98, "")], "item_id long, text string")
+    some = docs.union(docs.limit(1).select(F.lit(77).alias("doc_id"), F.lit(LONG + " " + ITEM.replace("council", "council 3") + " " + LONG).alias("text"), *docs.columns[2:])).withColumn("__keep", F.lit(1))
+    one = sorted(map(str, decontam.matches(some, bench).collect()))
+    monkeypatch.setattr(decontam, "PORTION", 1000)
+    assert one == sorted(map(str, decontam.matches(some, bench).collect())) and len(one) == 30
+    kept = decontam.clean(some, bench)
+    assert kept.columns == some.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in rows())
 
 
 def test_lm_scores(docs, nothing):
