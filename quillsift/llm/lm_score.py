@@ -5,17 +5,26 @@ its own list of distinct words, so later steps shuffle distinct words of blocks
 tokens. Word counts are added up over the blocks' training documents and joined back to the
 blocks (block, position, count); a task then has the exact count of every word it scores.
 
-The model's vocabulary is the most frequent words, the end token, and one entry for all
-other words. Its statistics are the counts of all word pairs of the whole training part on
-that vocabulary: ``K * K`` cells however large the corpus is. A context word's vector times
-a context matrix predicts the next word's vector; parameters maximise the noise-contrastive
-objective, noise being the unigram distribution, taken in expectation over all cells.
-Batched matrix products of all contexts and words then give scores that are normalised over
-the vocabulary. A word outside it takes the probability of that entry times its smoothed
-share among such words, so probabilities of all tokens add up to one in every context.
+The vocabulary is the most frequent words, ``32 * cube root of N`` of them for N training
+tokens, so it grows with the corpus (15,000 for half a gigabyte, 800,000 for 100 TB, when
+the parameters are about 100 MB), the end token, and one entry for all other words. The last
+``CONTEXT`` words' vectors, each times the context matrix of its distance, add up to the
+predicted vector. Entries are dealt by frequency to classes of equal size; the predicted vector
+times a class's vector, then times the vectors of the class's words, give P(class) and
+P(word | class), so a token's probability is normalised over the whole vocabulary at the cost of
+two square roots of it. A word outside takes the probability of the entry for others times its
+smoothed share among such words; all tokens' probabilities add up to one in every context.
+
+Training reads every training token once: tasks run stochastic steps over their blocks, with
+noise classes and noise words drawn from the unigram distribution, and their parameters are
+averaged by numbers of tokens. That happens ``ROUNDS`` times, each time over its own part of the
+blocks. Parameters never leave the size above, whatever the corpus.
 
 Defined cases: a null or empty text is the end token alone; with no training document the
-counts are 0 and the model is uniform; repeated rows get equal scores.
+counts are 0 and the model is uniform; a very long text is a block of its own and scored whole;
+equally frequent words enter the vocabulary in their own order; repeated rows get scores of
+equal texts, each for itself; an empty table gives an empty result; only ``doc_id`` and ``text``
+are read, so further columns do no harm.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +43,9 @@ from quillsift.llm import pieces
 from quillsift.llm.common import staged
 from quillsift.llm.langid import held_out
 
-#: Size of the model's vocabulary, of its vectors, training steps, and noise words a word.
-K, DIM, STEPS, NOISE = 1024, 24, 120, 8
+#: Words of context, size of the vectors, noise classes a step and noise words a token, tokens a step, rounds of averaging.
+CONTEXT, DIM, NOISE_CLASSES, NOISE_WORDS, STEP, ROUNDS = 3, 16, 32, 3, 2048, 2
+RATE = 0.1
 #: About so many bytes of text make a block.
 BLOCK_BYTES = 8 << 20
 #: Vocabulary entries of other words and of the end token.
@@ -75,96 +86,231 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
     return staged(docs.select("doc_id", "text", held_out(F.col("doc_id"), parts, part).alias("held")).mapInArrow(run, _BLOCK), "lm-blocks")
 
 
-def pair_counts(table: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
-    """How often each vocabulary entry follows each other one in the training documents; a document follows an end."""
-    k = len(vocabulary) + 2
-    known = {b"": END} | {w: i + 2 for i, w in enumerate(vocabulary)}
+def vocabulary_size(n: int) -> int:
+    """Entries for n training tokens, with those of other words and of the end."""
+    return 2 + round(32 * n ** (1 / 3))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                entry = np.fromiter((known.get(w, OTHER) for w in row["words"]), np.int64, len(row["words"]))
-                now, train = entry[_unpress(row["codes"])], np.repeat(~np.array(row["held"], bool), row["sizes"])
-                before = np.concatenate([[END], now[:-1]])
-                total += np.bincount((before * k + now)[train], minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["cell", "n"])
-
-    got = table.select("held", "sizes", "codes", "words").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # k * k rows at most
-    out = np.zeros(k * k)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(k, k)
-
-
-def train_nce(pairs: np.ndarray, dim: int = DIM, steps: int = STEPS, noise: int = NOISE, seed: int = 3) -> np.ndarray:
-    """log10 probabilities of each entry (column) after each entry (row), from pair counts."""
-    k = len(pairs)
-    joint = pairs / max(1.0, pairs.sum())
-    after = pairs.sum(axis=0) + 1.0
-    after /= after.sum()
-    rng = np.random.default_rng(seed)
-    p = {"words": rng.normal(0, 0.1, (k, dim)), "context": np.eye(dim) + rng.normal(0, 0.01, (dim, dim)), "bias": np.log(after)}
-    p = {n: v.astype(np.float32) for n, v in p.items()}
-    first, second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
-    seen, wrong = joint.astype(np.float32), (noise * np.outer(joint.sum(axis=1), after)).astype(np.float32)
-    offset = np.log(noise * after).astype(np.float32)
-    for step in range(1, steps + 1):
-        ahead = p["words"] @ p["context"]
-        odds = 1.0 / (1.0 + np.exp(-(ahead @ p["words"].T + p["bias"] - offset)))
-        g = seen * (1.0 - odds) - wrong * odds
-        to_ahead = g @ p["words"]
-        grad = {"words": g.T @ ahead + to_ahead @ p["context"].T, "context": p["words"].T @ to_ahead, "bias": g.sum(axis=0)}
-        rate = 0.03 * (1.0 - 0.9 * step / steps)
-        for n, d in grad.items():
-            first[n] = 0.9 * first[n] + 0.1 * d
-            second[n] = 0.99 * second[n] + 0.01 * d * d
-            p[n] += rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-9)
-    s = (p["words"] @ p["context"]) @ p["words"].T + p["bias"]
-    s = s.astype(np.float64)
-    top = s.max(axis=1, keepdims=True)
-    return (s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))) / np.log(10)
-
-
-def score(docs: DataFrame, size: int = K) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
-    spark = docs.sparkSession
-    table = blocks(docs)
-    mine = table.select("block", F.posexplode(F.arrays_zip("words", "train_n")).alias("pos", "w"))
-    counts = staged(mine.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.train_n").alias("c")).where("c > 0"), "lm-counts")
+
+@dataclass
+class Stats:
+    """Counts of the training part: tokens, distinct tokens, and of the words outside the vocabulary."""
+
+    n: int
+    v: int
+    n_other: int
+    v_other: int
+    words: list[bytes]
+    entry_counts: np.ndarray
+
+    @property
+    def entries(self) -> dict[bytes, int]:
+        return {b"": END} | {w: i + 2 for i, w in enumerate(self.words)}
+
+
+def statistics(counts: DataFrame, size: int | None = None) -> Stats:
+    """From (word, c) of all training words."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    top = counts.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(size - 2).collect()  # the vocabulary
-    vocabulary = [bytes(r["word"]) for r in top]
-    logs = train_nce(pair_counts(table, vocabulary)).astype(np.float32)
+    top = counts.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit((size or vocabulary_size(n)) - 2).collect()  # the vocabulary
     ends = counts.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    n_other, v_other = n - ends - sum(r["c"] for r in top), max(0, v - len(top) - (ends > 0))
-    shared = spark.sparkContext.broadcast(logs)
+    n_other = n - ends - sum(r["c"] for r in top)
+    return Stats(n, v, n_other, max(0, v - len(top) - (ends > 0)), [bytes(r["word"]) for r in top], np.array([n_other, ends, *(r["c"] for r in top)], np.float64))
+
+
+class Model:
+    """Parameters: vectors of context words, a matrix for each distance, vectors and biases of classes and of words."""
+
+    def __init__(self, counts: np.ndarray, dim: int = DIM, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        self.size = len(counts)
+        self.wide = int(np.ceil(np.sqrt(self.size)))  # words a class, and classes
+        share = np.zeros(self.wide * self.wide)
+        share[: self.size] = counts + 1.0
+        share = (share / share.sum()).reshape(self.wide, self.wide)
+        mass = share.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inside = np.where(mass[:, None] > 0, share / mass[:, None], 0.0)
+            self.p = {
+                "context": rng.normal(0, 0.1, (self.size, dim)),
+                "matrix": np.concatenate([np.eye(dim) / (i + 1) for i in range(CONTEXT)]),
+                "class": np.zeros((self.wide, dim)),
+                "class_bias": np.log(mass)[:, None],
+                "word": np.zeros((self.wide * self.wide, dim)),
+                "word_bias": np.log(inside).reshape(-1, 1),
+            }
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        #: Noise distributions: over classes, and over the words of each class.
+        self.mass, self.inside = mass, inside.reshape(-1)
+        self.upto = np.cumsum(share.reshape(-1))
+
+    def ahead(self, context: np.ndarray) -> np.ndarray:
+        """The predicted vectors; column j of ``context`` is the word j + 1 before."""
+        d = self.p["context"].shape[1]
+        return sum(self.p["context"][context[:, j]] @ self.p["matrix"][j * d : (j + 1) * d] for j in range(CONTEXT))
+
+    def log_probs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Normalised natural log probabilities of words after contexts, by products of batches and matrices."""
+        out = np.empty(len(word), np.float64)
+        for at in range(0, len(word), 1 << 15):
+            q, w = self.ahead(context[at : at + (1 << 15)]), word[at : at + (1 << 15)]
+            kind = w // self.wide
+            s = q @ self.p["class"].T + self.p["class_bias"][:, 0]
+            got = s[np.arange(len(w)), kind] - _log_sum(s)
+            order = np.argsort(kind, kind="stable")
+            kinds, begins = np.unique(kind[order], return_index=True)
+            for k, mine in zip(kinds.tolist(), np.split(order, begins[1:])):
+                rows = slice(k * self.wide, (k + 1) * self.wide)
+                s = q[mine] @ self.p["word"][rows].T + self.p["word_bias"][rows, 0]
+                got[mine] += s[np.arange(len(mine)), w[mine] - k * self.wide] - _log_sum(s)
+            out[at : at + len(w)] = got
+        return out
+
+    def learn(self, context: np.ndarray, word: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation with rates by AdaGrad."""
+        p, d, n = self.p, self.p["context"].shape[1], len(word)
+        q, kind = self.ahead(context), word // self.wide
+        noise = np.searchsorted(np.cumsum(self.mass), rng.random(NOISE_CLASSES) * self.mass.sum(), "right")
+        # classes: one true one and shared noise
+        every = np.concatenate([kind, noise])
+        bias = p["class_bias"][:, 0] - np.log(NOISE_CLASSES * np.maximum(self.mass, 1e-30)).astype(np.float32)
+        good = 1.0 - _logistic((q * p["class"][kind]).sum(axis=1) + bias[kind])
+        bad = -_logistic(q @ p["class"][noise].T + bias[noise])
+        to_q = good[:, None] * p["class"][kind] + bad @ p["class"][noise]
+        grad = np.concatenate([good[:, None] * q, bad.T @ q]), np.concatenate([good, bad.sum(axis=0)])[:, None]
+        self._add("class", every, grad[0], state)
+        self._add("class_bias", every, grad[1], state)
+        # words of the true class: the true one and noise of its own
+        begin = np.where(kind > 0, self.upto[kind * self.wide - 1], 0.0)
+        drawn = np.searchsorted(self.upto, begin[:, None] + rng.random((n, NOISE_WORDS)) * self.mass[kind][:, None], "right")
+        drawn = np.clip(drawn, (kind * self.wide)[:, None], (kind * self.wide + self.wide - 1)[:, None])
+        every = np.concatenate([word[:, None], np.minimum(drawn, self.size - 1)], axis=1)
+        rows = p["word"][every]
+        s = np.einsum("nkd,nd->nk", rows, q) + p["word_bias"][every, 0] - np.log(NOISE_WORDS * np.maximum(self.inside[every], 1e-30)).astype(np.float32)
+        g = -_logistic(s)
+        g[:, 0] += 1.0
+        to_q += np.einsum("nk,nkd->nd", g, rows)
+        self._add("word", every.reshape(-1), (g[:, :, None] * q[:, None, :]).reshape(-1, d), state)
+        self._add("word_bias", every.reshape(-1), g.reshape(-1, 1), state)
+        back = [to_q @ p["matrix"][j * d : (j + 1) * d].T for j in range(CONTEXT)]
+        turn = np.concatenate([p["context"][context[:, j]].T @ to_q for j in range(CONTEXT)])
+        self._add("context", context.T.reshape(-1), np.concatenate(back), state)
+        self._add("matrix", np.arange(CONTEXT * d), turn / n, state)
+
+    def _add(self, name: str, rows: np.ndarray, grad: np.ndarray, state: dict[str, np.ndarray]) -> None:
+        """Add up the gradients of each row, then step."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows, g = rows[begins], np.add.reduceat(grad[order], begins, axis=0)
+        seen = state.setdefault(name, np.full_like(self.p[name], 1e-2))
+        seen[rows] += g * g
+        self.p[name][rows] += RATE * g / np.sqrt(seen[rows])
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1)
+    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+
+
+def contexts(now: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The entries before each token of its document; the end token stands in front of a document."""
+    inner = np.arange(len(now)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full((len(now), CONTEXT), END, np.int64)
+    for j in range(CONTEXT):
+        ok = inner > j
+        out[ok, j] = now[np.flatnonzero(ok) - j - 1]
+    return out
+
+
+_CHUNK = 1 << 12
+
+
+def train(table: DataFrame, stats: Stats, rounds: int = ROUNDS, dim: int = DIM) -> Model:
+    """Average what the tasks learn from their blocks, round by round."""
+    context = table.sparkSession.sparkContext
+    model, entries = Model(stats.entry_counts, dim), context.broadcast(stats.entries)  # vocabulary_size(n) words
+
+    for turn in range(rounds):
+        shared = context.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine, known, state, rng, done = shared.value, entries.value, {}, np.random.default_rng(turn), 0
+            mine.p = {k: v.copy() for k, v in mine.p.items()}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i].as_py() for c in ("held", "sizes", "codes", "words")}
+                    now = np.fromiter((known.get(w, OTHER) for w in row["words"]), np.int64, len(row["words"]))[_unpress(row["codes"])]
+                    sizes = np.array(row["sizes"], np.int64)
+                    own = np.flatnonzero(np.repeat(~np.array(row["held"], bool), sizes))
+                    before = contexts(now, sizes)
+                    for at in range(0, len(own), STEP):
+                        some = own[at : at + STEP]
+                        mine.learn(before[some], now[some], state, rng)
+                    done += len(own)
+            if done:
+                for name, value in mine.p.items():
+                    for at in range(0, len(value), _CHUNK):
+                        part = np.ascontiguousarray(value[at : at + _CHUNK])
+                        yield pa.record_batch([pa.array([name]), pa.array([at]), pa.array([done]), pa.array([part.tobytes()], pa.binary())], ["name", "at", "n", "part"])
+
+        def mean(group: pa.Table) -> pa.Table:
+            n = group.column("n").to_numpy().astype(np.float64)
+            parts = np.stack([np.frombuffer(b, np.float32) for b in group.column("part").to_pylist()])
+            part = np.where(np.isfinite(parts[0]), (n / n.sum()) @ np.where(np.isfinite(parts), parts, 0.0), parts[0]).astype(np.float32)
+            return pa.table({"name": group.column("name").slice(0, 1), "at": group.column("at").slice(0, 1), "part": pa.array([part.tobytes()], pa.binary())})
+
+        some = table.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn).select("held", "sizes", "codes", "words")
+        learned = some.coalesce(context.defaultParallelism).mapInArrow(run, "name string, at long, n long, part binary")
+        for r in learned.groupBy("name", "at").applyInArrow(mean, "name string, at long, part binary").collect():  # the parameters
+            value = model.p[r["name"]]
+            value[r["at"] : r["at"] + _CHUNK] = np.frombuffer(r["part"], np.float32).reshape(-1, value.shape[1])
+    return model
+
+
+def prepare(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged blocks, their words (block, pos, w), and staged counts (word, c) of the training part."""
+    table = blocks(docs)
+    mine = table.select("block", F.posexplode(F.arrays_zip("words", "train_n")).alias("pos", "w"))
+    return table, mine, staged(mine.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.train_n").alias("c")).where("c > 0"), "lm-counts")
+
+
+def scored(table: DataFrame, mine: DataFrame, counts: DataFrame, stats: Stats, model: Model) -> DataFrame:
+    """Scores of all documents of the blocks."""
+    spark, n, v, n_other, v_other = table.sparkSession, stats.n, stats.v, stats.n_other, stats.v_other
+    shared, size = spark.sparkContext.broadcast(model), model.size  # vocabulary_size(n) vectors
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        log = shared.value
         parts = []
+        at, packed = right.column("pos").to_numpy(), right.column("packed").to_numpy()
         for row in left.to_pylist():
-            codes = _unpress(row["codes"])
-            at, packed = right.column("pos").to_numpy(), right.column("packed").to_numpy()
+            codes, sizes = _unpress(row["codes"]), np.array(row["sizes"], np.int64)
             c, entry = np.zeros(codes.max() + 1), np.zeros(codes.max() + 1, np.int64)
             c[at], entry[at] = packed // size, packed % size
             entry[0] = END
             now = entry[codes]
-            before = np.concatenate([[END], now[:-1]])
-            begins = np.cumsum([0, *row["sizes"][:-1]])
+            begins = np.cumsum(sizes) - sizes
             base = np.log10((c + 1.0) / (n + v + 1.0))[codes]
             rest = np.log10((c + 1.0) / (n_other + v_other + 1.0))[codes]
-            lm = log[before, now] + np.where(now == OTHER, rest, 0.0)
+            lm = shared.value.log_probs(contexts(now, sizes), now) / np.log(10) + np.where(now == OTHER, rest, 0.0)
             add = lambda x: pa.array(np.add.reduceat(x, begins))
-            parts.append(pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()), add((c > 0)[codes].astype(np.int64)), pa.array([n] * len(begins), pa.int64()), add(base), add(lm.astype(np.float64))], names))
+            parts.append(pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()), add((c > 0)[codes].astype(np.int64)), pa.array([n] * len(begins), pa.int64()), add(base), add(lm)], names))
         return pa.concat_tables(parts) if parts else pa.table([pa.array([], f.type) for f in kinds], names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()])))
-    entries = spark.createDataFrame([(bytearray(w), i) for w, i in [(b"", END), *zip(vocabulary, range(2, size))]], "word binary, entry long")
-    numbered = counts.join(F.broadcast(entries), "word", "left")  # size rows
+    entries = spark.createDataFrame([(bytearray(w), i) for w, i in stats.entries.items()], "word binary, entry long")
+    numbered = counts.join(F.broadcast(entries), "word", "left")  # vocabulary_size(n) rows
     packed = (F.col("c") * size + F.coalesce("entry", F.lit(OTHER))).alias("packed")
     back = mine.select("block", "pos", F.col("w.words").alias("word")).join(numbered, "word").select(F.col("block").alias("of_block"), F.col("pos").cast("long").alias("pos"), packed)
     whole = table.select("block", "doc_ids", "held", "sizes", "codes")
     return whole.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, size: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
+    table, mine, counts = prepare(docs)
+    stats = statistics(counts, size)
+    return scored(table, mine, counts, stats, train(table, stats))

@@ -378,11 +378,54 @@ def test_lm_scores(docs, nothing):
     assert not lm_score.score(nothing).collect()
 
 
-def test_lm_is_normalised_and_learns():
-    pairs = np.zeros((6, 6))
-    pairs[0, 1] = pairs[1, 2] = pairs[2, 0] = 1000
-    log = lm_score.train_nce(pairs, dim=6, steps=400)
-    assert np.allclose((10**log).sum(axis=1), 1) and log[0, 1] > math.log10(0.8)
+def test_lm_scores_against_brute_force(docs):
+    """Every text's score from the model's parameters, softmax by softmax over classes and words, in plain Python."""
+    table, mine, counts = lm_score.prepare(docs)
+    stats = lm_score.statistics(counts, 30)
+    model = lm_score.train(table, stats)
+    out = got(lm_score.scored(table, mine, counts, stats, model))
+    p, wide = {k: v.astype(float) for k, v in model.p.items()}, model.wide
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    words = {i: [*WORD.findall((r[1] or "").translate(AZ)), ""] for i, r in enumerate(rows())}
+    c = Counter(w for i, r in enumerate(rows()) if not held(r[0]) for w in words[i])
+    entry = {"": 1} | {w: i + 2 for i, w in enumerate(sorted((w for w in c if w), key=lambda w: (-c[w], w.encode()))[:28])}
+    assert stats.entries == {w.encode(): e for w, e in entry.items()}
+    outside = [n for w, n in c.items() if w not in entry]
+
+    def softmax(s):
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
+    def chances(before):
+        q = sum(p["context"][e] @ p["matrix"][j * 16 : j * 16 + 16] for j, e in enumerate(before))
+        kinds = softmax(p["class"] @ q + p["class_bias"][:, 0])
+        return np.concatenate([kinds[k] * softmax(p["word"][k * wide : (k + 1) * wide] @ q + p["word_bias"][k * wide : (k + 1) * wide, 0]) for k in range(wide) if kinds[k] > 0])
+
+    for i, r in enumerate(rows()):
+        if len(words[i]) > 1000:
+            continue
+        es, total = [entry.get(w, 0) for w in words[i]], 0.0
+        for t, (w, e) in enumerate(zip(words[i], es)):
+            every = chances([es[t - j - 1] if t > j else 1 for j in range(3)])
+            assert math.isclose(every.sum(), 1, rel_tol=1e-5)
+            total += math.log10(every[e]) + (0 if e else math.log10((c[w] + 1) / (sum(outside) + len(outside) + 1)))
+        assert all(math.isclose(g["score"], total, rel_tol=1e-4) for g in out[r[0]] if g["n_tokens"] == len(es)), r[0]
+
+
+def test_lm_vocabulary_grows_and_uses_its_context(spark):
+    assert lm_score.vocabulary_size(0) == 2 and lm_score.vocabulary_size(10**8) > 10_000 and lm_score.vocabulary_size(10**13) < 10**6
+    rng = np.random.default_rng(6)
+
+    def text():  # the word after "x" or "y" depends on the word before it: one word of context cannot tell
+        out = []
+        for _ in range(30):
+            a, b = rng.choice(["p", "q"]), rng.choice(["x", "y"])
+            out += [a, b, {"px": "one", "py": "two", "qx": "two", "qy": "one"}[a + b] + b, *rng.choice([f"w{i}" for i in range(9)], 2)]
+        return " ".join(out)
+
+    many = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string").repartition(2)
+    out = lm_score.score(many).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert out[0] / out[2] > out[1] / out[2] + 0.25  # better than the base by a quarter of a decade a token, on texts not seen
 
 
 def test_base_spans_of_secrets(spark, docs, nothing):
