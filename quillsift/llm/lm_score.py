@@ -44,7 +44,7 @@ from quillsift.llm.common import staged
 from quillsift.llm.langid import held_out
 
 #: Words of context, size of the vectors, noise classes a step and noise words a token, tokens a step, rounds of averaging.
-CONTEXT, DIM, NOISE_CLASSES, NOISE_WORDS, STEP, ROUNDS = 3, 16, 32, 3, 2048, 2
+CONTEXT, DIM, NOISE_CLASSES, NOISE_WORDS, STEP, ROUNDS = 3, 16, 32, 2, 4096, 2
 RATE = 0.1
 #: About so many bytes of text make a block.
 BLOCK_BYTES = 8 << 20
@@ -138,9 +138,10 @@ class Model:
                 "word_bias": np.log(inside).reshape(-1, 1),
             }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        #: Noise distributions: over classes, and over the words of each class.
-        self.mass, self.inside = mass, inside.reshape(-1)
-        self.upto = np.cumsum(share.reshape(-1))
+        #: Noise distributions, over classes and over the words of each class, as running sums; and the logs of expected noise.
+        self.mass, self.upto, self.class_upto = mass, np.cumsum(share.reshape(-1)), np.cumsum(mass)
+        self.class_noise = np.log(NOISE_CLASSES * np.maximum(mass, 1e-30)).astype(np.float32)
+        self.word_noise = np.log(NOISE_WORDS * np.maximum(inside.reshape(-1), 1e-30)).astype(np.float32)
 
     def ahead(self, context: np.ndarray) -> np.ndarray:
         """The predicted vectors; column j of ``context`` is the word j + 1 before."""
@@ -149,18 +150,24 @@ class Model:
 
     def log_probs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised natural log probabilities of words after contexts, by products of batches and matrices."""
-        out = np.empty(len(word), np.float64)
+        p, wide, out = self.p, self.wide, np.empty(len(word), np.float64)
+        d = p["context"].shape[1]
+        turned = [p["context"] @ p["matrix"][j * d : (j + 1) * d] for j in range(CONTEXT)]
         for at in range(0, len(word), 1 << 15):
-            q, w = self.ahead(context[at : at + (1 << 15)]), word[at : at + (1 << 15)]
-            kind = w // self.wide
-            s = q @ self.p["class"].T + self.p["class_bias"][:, 0]
-            got = s[np.arange(len(w)), kind] - _log_sum(s)
-            order = np.argsort(kind, kind="stable")
-            kinds, begins = np.unique(kind[order], return_index=True)
-            for k, mine in zip(kinds.tolist(), np.split(order, begins[1:])):
-                rows = slice(k * self.wide, (k + 1) * self.wide)
-                s = q[mine] @ self.p["word"][rows].T + self.p["word_bias"][rows, 0]
-                got[mine] += s[np.arange(len(mine)), w[mine] - k * self.wide] - _log_sum(s)
+            some, w = context[at : at + (1 << 15)], word[at : at + (1 << 15)]
+            q = turned[0][some[:, 0]]
+            for j in range(1, CONTEXT):
+                q += turned[j][some[:, j]]
+            kind, got = w // wide, np.empty(len(w), np.float32)
+            for lo in range(0, len(w), 1024):  # parts that stay in the processor's cache
+                got[lo : lo + 1024] = _log_share(q[lo : lo + 1024] @ p["class"].T + p["class_bias"][:, 0], kind[lo : lo + 1024])
+            order = np.argsort(_narrow(kind, wide), kind="stable")
+            ends = np.cumsum(np.bincount(kind, minlength=wide))
+            for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+                rows = slice(k * wide, (k + 1) * wide)
+                for lo in range(ends[k - 1] if k else 0, ends[k], 1024):
+                    mine = order[lo : min(lo + 1024, ends[k])]
+                    got[mine] += _log_share(q[mine] @ p["word"][rows].T + p["word_bias"][rows, 0], w[mine] - k * wide)
             out[at : at + len(w)] = got
         return out
 
@@ -168,51 +175,62 @@ class Model:
         """One step of noise-contrastive estimation with rates by AdaGrad."""
         p, d, n = self.p, self.p["context"].shape[1], len(word)
         q, kind = self.ahead(context), word // self.wide
-        noise = np.searchsorted(np.cumsum(self.mass), rng.random(NOISE_CLASSES) * self.mass.sum(), "right")
+        ones = np.concatenate([q, np.ones((n, 1), np.float32)], axis=1)
+        noise = np.searchsorted(self.class_upto, rng.random(NOISE_CLASSES) * self.class_upto[-1], "right")
         # classes: one true one and shared noise
-        every = np.concatenate([kind, noise])
-        bias = p["class_bias"][:, 0] - np.log(NOISE_CLASSES * np.maximum(self.mass, 1e-30)).astype(np.float32)
-        good = 1.0 - _logistic((q * p["class"][kind]).sum(axis=1) + bias[kind])
+        bias = p["class_bias"][:, 0] - self.class_noise
+        good = 1.0 - _logistic(np.einsum("nd,nd->n", q, p["class"][kind]) + bias[kind])
         bad = -_logistic(q @ p["class"][noise].T + bias[noise])
         to_q = good[:, None] * p["class"][kind] + bad @ p["class"][noise]
-        grad = np.concatenate([good[:, None] * q, bad.T @ q]), np.concatenate([good, bad.sum(axis=0)])[:, None]
-        self._add("class", every, grad[0], state)
-        self._add("class_bias", every, grad[1], state)
+        self._add("class", np.concatenate([kind, noise]), np.concatenate([good[:, None] * ones, bad.T @ ones]), state, self.wide)
         # words of the true class: the true one and noise of its own
         begin = np.where(kind > 0, self.upto[kind * self.wide - 1], 0.0)
-        drawn = np.searchsorted(self.upto, begin[:, None] + rng.random((n, NOISE_WORDS)) * self.mass[kind][:, None], "right")
-        drawn = np.clip(drawn, (kind * self.wide)[:, None], (kind * self.wide + self.wide - 1)[:, None])
-        every = np.concatenate([word[:, None], np.minimum(drawn, self.size - 1)], axis=1)
+        drawn = np.searchsorted(self.upto, begin + rng.random((NOISE_WORDS, n), np.float32) * self.mass[kind], "right")
+        drawn = np.clip(drawn, kind * self.wide, np.minimum(kind * self.wide + self.wide, self.size) - 1)
+        every = np.concatenate([word[None, :], drawn])
         rows = p["word"][every]
-        s = np.einsum("nkd,nd->nk", rows, q) + p["word_bias"][every, 0] - np.log(NOISE_WORDS * np.maximum(self.inside[every], 1e-30)).astype(np.float32)
-        g = -_logistic(s)
-        g[:, 0] += 1.0
-        to_q += np.einsum("nk,nkd->nd", g, rows)
-        self._add("word", every.reshape(-1), (g[:, :, None] * q[:, None, :]).reshape(-1, d), state)
-        self._add("word_bias", every.reshape(-1), g.reshape(-1, 1), state)
+        g = -_logistic(np.einsum("knd,nd->kn", rows, q) + (p["word_bias"][:, 0] - self.word_noise)[every])
+        g[0] += 1.0
+        to_q += np.einsum("kn,knd->nd", g, rows)
+        self._add("word", every.reshape(-1), (g[:, :, None] * ones).reshape(-1, d + 1), state, self.size)
         back = [to_q @ p["matrix"][j * d : (j + 1) * d].T for j in range(CONTEXT)]
         turn = np.concatenate([p["context"][context[:, j]].T @ to_q for j in range(CONTEXT)])
-        self._add("context", context.T.reshape(-1), np.concatenate(back), state)
-        self._add("matrix", np.arange(CONTEXT * d), turn / n, state)
+        self._add("context", context.T.reshape(-1), np.concatenate(back), state, self.size)
+        self._step("matrix", slice(None), turn / n, state)
 
-    def _add(self, name: str, rows: np.ndarray, grad: np.ndarray, state: dict[str, np.ndarray]) -> None:
-        """Add up the gradients of each row, then step."""
+    def _add(self, name: str, rows: np.ndarray, grad: np.ndarray, state: dict[str, np.ndarray], size: int) -> None:
+        """Add up the gradients of each row, then step; a column beyond the vectors is the bias."""
+        rows = _narrow(rows, size)
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        rows, g = rows[begins], np.add.reduceat(grad[order], begins, axis=0)
+        g = np.add.reduceat(grad[order], begins, axis=0)
+        d = self.p[name].shape[1]
+        self._step(name, rows[begins].astype(np.int64), g[:, :d], state)
+        if g.shape[1] > d:
+            self._step(f"{name}_bias", rows[begins].astype(np.int64), g[:, d:], state)
+
+    def _step(self, name: str, rows, g: np.ndarray, state: dict[str, np.ndarray]) -> None:
         seen = state.setdefault(name, np.full_like(self.p[name], 1e-2))
-        seen[rows] += g * g
-        self.p[name][rows] += RATE * g / np.sqrt(seen[rows])
+        total = seen[rows] + g * g
+        seen[rows] = total
+        self.p[name][rows] += RATE * g / np.sqrt(total)
+
+
+def _narrow(x: np.ndarray, size: int) -> np.ndarray:
+    """In 16 bits where they suffice, as these sort in linear time."""
+    return x.astype(np.uint16) if size <= 1 << 16 else x
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row of scores at one place."""
+    top = s[np.arange(len(s)), at]
+    np.exp(np.clip(s, None, 80.0, out=s), out=s)
+    return top - np.log(s.sum(axis=1))
 
 
 def contexts(now: np.ndarray, sizes: np.ndarray) -> np.ndarray:
