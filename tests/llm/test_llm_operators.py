@@ -406,7 +406,7 @@ def test_lm_scores_against_brute_force(docs):
             continue
         es, total = [entry.get(w, 0) for w in words[i]], 0.0
         for t, (w, e) in enumerate(zip(words[i], es)):
-            every = chances([es[t - j - 1] if t > j else 1 for j in range(3)])
+            every = chances([es[t - j - 1] if t > j else 1 for j in range(lm_score.CONTEXT)])
             assert math.isclose(every.sum(), 1, rel_tol=1e-5)
             total += math.log10(every[e]) + (0 if e else math.log10((c[w] + 1) / (sum(outside) + len(outside) + 1)))
         assert all(math.isclose(g["score"], total, rel_tol=1e-4) for g in out[r[0]] if g["n_tokens"] == len(es)), r[0]
