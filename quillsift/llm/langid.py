@@ -231,9 +231,10 @@ def verdict(model: Model, label: np.ndarray, lettered: np.ndarray, doc: np.ndarr
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
-    """The rows whose text has a language with a score of ``least`` or more, with all their columns."""
+    """The rows whose text has a language with a score of ``least`` or more, with all their columns. Without a model, where
+    nothing is labelled, no text can be rejected and all rows stay."""
     if model is None:
-        return docs.limit(0)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

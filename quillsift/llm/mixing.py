@@ -7,7 +7,8 @@ taken as a number in [0, 1), lies below the fraction.
 
 Defined cases: null or empty texts have size 0 and take nothing; a null source is
 a source of its own that sorts last; rows that agree in id and text draw the same
-number; an empty table gives an empty result. Only the named columns are read, so
+number; a very long text is counted whole; sources of equal weight and cap fill in order of
+their number; an empty table gives an empty result. Only the named columns are read, so
 further columns of any name do no harm.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import join_small, staged
+from quillsift.llm.common import join_small, staged, unused
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,8 +80,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 def emit(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 11) -> DataFrame:
     """The mixed corpus itself: every row of ``docs`` as often as it is taken, with its own columns."""
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    per = staged(targets(sized, weights, share, cap).select(F.col("source").alias("__mix_of"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target")), "mix-targets")
-    out = join_small(docs, per, F.col("source").eqNullSafe(F.col("__mix_of")))
-    n = copies(F.col("__mix_target"), F.col("__mix_size"), draw(F.col("doc_id"), F.col("text"), seed)).cast("int")
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(True), n)).alias("__mix_copy"))
-    return out.drop("__mix_copy")
+    of, size, target, copy = (unused(docs, f"mix_{name}") for name in ("of", "size", "target", "copy"))
+    per = staged(targets(sized, weights, share, cap).select(F.col("source").alias(of), F.col("source_size").alias(size), F.col("target").alias(target)), "mix-targets")
+    out = join_small(docs, per, F.col("source").eqNullSafe(F.col(of)))
+    n = copies(F.col(target), F.col(size), draw(F.col("doc_id"), F.col("text"), seed)).cast("int")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(True), n)).alias(copy)).drop(copy)

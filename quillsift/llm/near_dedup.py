@@ -21,7 +21,12 @@ A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6
 Defined cases: a text with fewer than five words is one shingle as a whole; one without
 words is linked with nothing; a null text counts as empty. A null id never becomes a
 component's id unless all its ids are null. Rows that repeat an id are judged each by
-their text. An empty table gives an empty result.
+their text. A very long text is one set like any other. Ties between leaders go by digest.
+An empty table gives an empty result. Further columns, of any name, are neither read nor
+changed.
+
+Texts are read twice at most: for the signatures, and for the full sets of classes that share
+a band. Tables of intermediate steps are deleted before the result is returned.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import pieces
-from quillsift.llm.common import join_small, staged
+from quillsift.llm.common import join_small, scratch, staged, unused
 
 WORDS = 5
 HASHES, ROWS = 128, 4
@@ -161,10 +166,11 @@ def near(a_n: Column, b_n: Column, a_sig: Column, b_sig: Column) -> Column:
 
 
 def sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Staged (digest, shingles, bits) of the asked digests. Only texts with the least id of an asked class are read again."""
-    lows = staged(classes.join(asked, "digest", "left_semi").select(F.col("low").alias("__low")).distinct(), "asked-ids")
-    some = join_small(docs.select("doc_id", "text"), lows, F.col("doc_id").eqNullSafe(F.col("__low")), "left_semi")
-    return staged(join_small(full_sets(some), asked, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
+    """Staged (digest, shingles, bits) of the asked digests. The texts with the least id of an asked class are read again,
+    once for all rounds; they are exchanged only where the ids are too many to broadcast."""
+    lows = staged(classes.join(asked, "digest", "left_semi").select(F.col("low").alias("of")).distinct(), "asked-ids")
+    some = join_small(docs.select("doc_id", "text"), lows, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    return staged(join_small(full_sets(some), staged(asked, "asked"), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
 
 
 def reachable(a_n: Column, b_n: Column, a_bits: Column, b_bits: Column) -> Column:
@@ -230,13 +236,23 @@ def _grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    rows = staged(signatures(docs), "signatures")
+    rows = staged(signatures(docs), "signatures", keep=True)
+    with scratch(docs.sparkSession):
+        ids = _named(docs, rows)
+    out = join_small(rows.select("doc_id", "n", "digest"), ids, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _named(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Staged (digest, least): the least id of each class's component."""
     classes = staged(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("digest", F.explode("bands").alias("band"))
     shared = staged(keyed.groupBy("band").count().where("count > 1").select("band"), "shared-bands")
     crowded = staged(join_small(keyed, shared, "band"), "crowded").join(classes.select("digest", "n", "sig"), "digest")
     crowded = staged(crowded.select("band", "digest", "n", "sig"), "crowded")
     labels: DataFrame | None = None
+    sets: DataFrame | None = None
     turn, leaders, most = 0, True, 0
     while True:
         marked = crowded.withColumn("comp", F.col("digest"))
@@ -247,16 +263,17 @@ def groups(docs: DataFrame) -> DataFrame:
         mixed, marked = staged(mixed, "mixed"), staged(marked, "marked")
         if mixed.isEmpty():
             break
+        if sets is None:
+            sets = sets_of(crowded.select("digest").distinct(), docs, classes)
         if leaders:
             found = join_small(marked, mixed, "band").where(F.col("comp") != F.col("head.comp"))
             found = found.where(near(F.col("n"), F.col("head.n"), F.col("sig"), F.col("head.sig"))).select(F.col("digest").alias("p"), F.col("head.digest").alias("q"))
             pairs = staged(found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
             asked = staged(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "asked")
-            links = pairs if pairs.isEmpty() else confirm(pairs, sets_of(asked, docs, classes))
+            links = pairs if pairs.isEmpty() else confirm(pairs, join_small(sets, asked, "digest", "left_semi"))
         else:
             left = staged(join_small(marked, mixed.select("band"), "band", "left_semi"), "left")
             members = staged(left.select("digest", "n", "comp").distinct(), "members")
-            sets = sets_of(members.select("digest"), docs, classes)
             able = shareable(members, sets).join(sets.select("digest", "bits"), "digest").join(classes.select("digest", "bands"), "digest")
             left = staged(join_small(left, staged(able, "able"), "digest"), "left")
             other = left.select(*[F.col(c).alias(f"{c}2") for c in ("band", "digest", "n", "sig", "comp", "most", "bits", "bands")])
@@ -280,13 +297,11 @@ def groups(docs: DataFrame) -> DataFrame:
         named = classes.select("digest", "low").join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     named = staged(named, "named")
     least = staged(named.groupBy("comp").agg(F.min("low").alias("least")), "least")
-    ids = staged(join_small(named, least, "comp").select("digest", "least"), "ids")
-    out = join_small(rows.select("doc_id", "n", "digest"), ids, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return staged(join_small(named, least, "comp").select("digest", "least"), "ids", keep=True)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id its group keeps; rows that share an id stay or go together."""
-    gone = groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return join_small(docs, staged(gone, "gone"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    name = unused(docs, "gone")
+    gone = groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return join_small(docs, staged(gone, "gone"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

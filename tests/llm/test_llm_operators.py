@@ -587,3 +587,49 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     n = Counter(r["doc_id"] for r in p.mix(spark, clean, folder).collect())
     out = Counter(r["doc_id"] for r in p.run(spark, folder).collect())
     assert n == out
+
+
+def test_near_dedup_without_broadcasts_and_with_clashing_names(spark, docs, monkeypatch):
+    from quillsift.llm import common
+
+    want = sorted(map(str, near_dedup.groups(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert want == sorted(map(str, near_dedup.groups(docs).collect()))
+    clash = docs.withColumnRenamed("band", "gone").withColumnRenamed("base", "GONE_").withColumnRenamed("size", "mix_of")
+    assert near_dedup.dedup(clash).columns == clash.columns and near_dedup.dedup(clash).count() == near_dedup.dedup(docs).count()
+    assert mixing.emit(clash).columns == clash.columns
+
+
+def test_near_dedup_in_a_hot_bucket(spark):
+    """Thousands of texts share a passage that puts many of them in common bands without linking them; a few are real copies."""
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"s{i}" for i in range(110))
+    own = lambda: " ".join(f"o{i}" for i in rng.integers(0, 10**6, 44))
+    texts = [f"{shared} {own()}" for _ in range(5000)]
+    texts += [t + " more" for t in texts[:7]]
+    out = near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: r["component_id"] for r in out.where("not kept").collect()} == {5000 + i: i for i in range(7)}
+
+
+def test_tables_between_steps_are_deleted(spark, docs, tmp_path, monkeypatch):
+    import os
+
+    from quillsift.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}")
+    assert near_dedup.groups(docs).count() == len(rows()) and sorted(x.split("-")[1] for x in os.listdir(tmp_path)) == ["ids", "signatures"]
+
+
+def test_pipeline_on_awkward_tables(spark, docs, tmp_path):
+    """Nulls everywhere, repeated rows, clashing names; then no label and no item; then no row."""
+    import corpus_pipeline as p
+
+    bench = spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string")
+    more = docs.withColumnRenamed("band", "gone").withColumnRenamed("size", "mix_size").withColumnRenamed("digest", "__gone")
+    for name, table, items in (("all", more, bench), ("unlabelled", more.withColumn("lang", F.lit(None).cast("string")), bench.limit(0)), ("none", more.limit(0), bench)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        assert (p.run(spark, folder).count() > 0) == (name != "none")
+        stage = p.language_id(spark, table, folder)
+        assert stage.columns == table.columns and (name != "unlabelled" or stage.count() == table.count())
