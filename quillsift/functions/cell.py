@@ -1,143 +1,91 @@
-"""The cell kernel: what one value of one column says, and what a column's name says.
-
-Regular expressions, validators, document fields, segments and overlap groups are sequential
-per cell, so this is plain Python that runs inside Arrow batches.
-"""
+"""What names stand for, and recognised entities: the two lookups of a scan that are Python functions over Arrow batches."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 from functools import lru_cache
 
-from quillsift.functions import dialect, documents, validators
+from pyspark.sql import functions as F
+
+from quillsift.functions import dialect
 from quillsift.functions.column_rules import COLUMN_RULES
-from quillsift.functions.registry import tier
-from quillsift.functions.value_rules import VALUE_RULES, for_region
+from quillsift.functions.value_rules import Rule, for_region
 
-#: label, weight, start, end (start -1: without a position)
-Match = tuple[str, float, int, int]
+#: text -> (entity, type) of a recogniser
 Ner = Callable[[str], list[tuple[str, str]]]
-
-#: What every match of a label's rules contains; "" is no condition. Labels not named need a digit.
-_NEEDS = {"Email": "@%", "UPIID": "@", "Gender": "", "OAuthToken": "", "MacAddress": "", "IPAddress": ".:", "LoanAccountNumber": "", "InsurancePolicyNumber": "", "FASTagID": ""}
 #: Entity types of a recogniser and the labels they stand for.
 ENTITIES = {"PERSON": "Name", "GPE": "Address"}
+#: Calls of a recogniser that run at once in a worker, and the seconds one may take; a late call finds nothing.
+NER_CALLS, NER_SECONDS = 4, 5.0
 
 
-class CellScanner:
-    """Detectors for a region ("" for all), with an optional recogniser of named entities."""
-
-    def __init__(self, region: str = "", ner: Ner | None = None, regex: bool = True):
-        self.region, self.ner, self.regex = region, ner, regex
-        self.columns = [(label, [(dialect.python(r.pattern), r.weight) for r in rules]) for label, rules in for_region(COLUMN_RULES, region).items()]
-        self.values = [(label, _NEEDS.get(label, "0123456789"), [(dialect.python(r.pattern), r.weight, r.gated) for r in rules]) for label, rules in for_region(VALUE_RULES, region).items()]
-        self.context = lru_cache(maxsize=65536)(self._context)
+class Names:
+    """Labels of column names and keys for a region ("" for all)."""
 
-    def __reduce__(self):
-        return CellScanner, (self.region, self.ner, self.regex)
+    def __init__(self, region: str = ""):
+        self.rules = [(label, [(dialect.python(r.pattern), r.weight) for r in rules]) for label, rules in for_region(COLUMN_RULES, region).items()]
 
-    def column_labels(self, name: str) -> dict[str, float]:
+    def labels(self, name: str) -> dict[str, float]:
         """label -> weight of its first matching rule."""
         name, out = name.lower(), {}
-        for label, rules in self.columns:
+        for label, rules in self.rules:
             for pattern, weight in rules:
                 if pattern.search(name):
                     out[label] = weight
                     break
         return out
 
-    def _context(self, name: str) -> str | None:
+    def context(self, name: str) -> str | None:
         """The label that a name stands for: largest weight, then first by label."""
-        found = self.column_labels(name)
+        found = self.labels(name)
         return min(found, key=lambda label: (-found[label], label)) if found else None
 
-    def value_labels(self, text: str, context: frozenset[str] = frozenset()) -> list[Match]:
-        """Every label whose first matching and valid rule fires; only a rule's leftmost match is tried."""
-        text, out = text.lower(), []
-        marks = set(text)
-        for label, needs, rules in self.values:
-            if needs and marks.isdisjoint(needs):
+
+@lru_cache(maxsize=None)
+def names(region: str = "") -> Names:
+    out = Names(region)
+    out.labels, out.context = lru_cache(maxsize=65536)(out.labels), lru_cache(maxsize=65536)(out.context)
+    return out
+
+
+def context_of(region: str = ""):
+    """Column function: name -> the label it stands for."""
+    return F.udf(lambda name: None if name is None else names(region).context(name), "string", useArrow=True)
+
+
+def name_labels(region: str = ""):
+    """Column function: name -> all its labels, sorted."""
+    return F.udf(lambda name: sorted(names(region).labels(name or "")), "array<string>", useArrow=True)
+
+
+def entity_kinds(ner: Ner, pieces: list[dict]) -> list[list[str]]:
+    """The labels that a recogniser finds in each of a cell's pieces (raw, context). It is asked only where the context is one of its
+    labels; a call that takes too long finds nothing."""
+    out: list[list[str]] = [[] for _ in pieces]
+    asked = [i for i, p in enumerate(pieces) if p["context"] in ENTITIES.values()]
+    if asked:
+        pool = ThreadPoolExecutor(NER_CALLS)
+        calls = {i: pool.submit(ner, re.sub(r"[\r\n]+", " ", pieces[i]["raw"])) for i in asked}
+        for i, call in calls.items():
+            try:
+                kinds = {kind for _, kind in call.result(NER_SECONDS)}
+            except Late:
                 continue
-            for pattern, weight, gated in rules:
-                if gated and label not in context:
-                    continue
-                m = pattern.search(text)
-                if m is None:
-                    continue
-                if validators.ip(m[1]) if label == "IPAddress" else validators.matched(label, m[0]):
-                    out.append((label, weight, m.start(), m.end()))
-                    break
-        return out
+            out[i] = [label for kind, label in ENTITIES.items() if kind in kinds]
+        pool.shutdown(wait=False, cancel_futures=True)
+    return out
 
-    def entity_labels(self, text: str, context: str | None) -> list[Match]:
-        if self.ner is None or context not in ENTITIES.values():
-            return []
-        kinds = {kind for _, kind in self.ner(re.sub(r"[\r\n]+", " ", text))}
-        return [(label, 0.7, -1, -1) for kind, label in ENTITIES.items() if kind in kinds]
-
-    def scan(self, column: str, value: str) -> dict[tuple[str, str], tuple[float, bool]]:
-        """(detector, label) -> (largest weight, whether any match was in context) of one cell."""
-        context = self.context(column)
-        fields, extracted = documents.logical_fields(column, value, context is None)
-        best: dict[tuple[str, str], tuple[float, bool]] = {}
-        for key, text in fields:
-            own = self.context(key) if extracted else context
-            for piece in documents.segments(text):
-                found = {"regex": self.value_labels(piece, frozenset([own]) if own else frozenset())} if self.regex else {}
-                if self.ner is not None:
-                    found["spacy"] = self.entity_labels(piece, own)
-                for detector, matches in found.items():
-                    weighed = [weigh(m, own) for m in matches]
-                    kept = occurrences(weighed) if context is None and not extracted else winner(weighed)
-                    for label, weight, _, _, in_context in kept:
-                        w, c = best.get((detector, label), (0.0, False))
-                        best[detector, label] = (max(w, weight), c or in_context)
-        return best
-
-
-Weighed = tuple[str, float, int, int, bool]
-
-
-def weigh(m: Match, context: str | None) -> Weighed:
-    """In context a label weighs 1; without any context only first-tier labels weigh 0.70 or more."""
-    label, weight, start, end = m
-    if context is not None:
-        return (label, 1.0, start, end, True) if label == context else (*m, False)
-    return (label, 0.69 if weight >= 0.70 and tier(label) != "Tier1" else weight, start, end, False)
-
-
-def winner(found: list[Weighed]) -> list[Weighed]:
-    """The one label of a field: in context first, then by weight, then by name."""
-    return [min(found, key=lambda m: (not m[4], -m[1], m[0]))] if found else []
-
-
-def occurrences(found: list[Weighed]) -> list[Weighed]:
-    """One winner (by weight, then by name) of each group of overlapping matches; matches without a position stay."""
-    if len(found) < 2:
-        return found
-    out, group, until = [m for m in found if m[3] <= m[2]], [], -1
-    for m in sorted((m for m in found if m[3] > m[2]), key=lambda m: (m[2], -m[3], m[0])):
-        if group and m[2] >= until:
-            out.append(min(group, key=lambda g: (-g[1], g[0])))
-            group, until = [], -1
-        group.append(m)
-        until = max(until, m[3])
-    return out + ([min(group, key=lambda g: (-g[1], g[0]))] if group else [])
-
-
-class PairScanner:
-    """Label of one (column, value) pair: every label of the column is context. An empty or "?" value says nothing; a value
-    without a label takes the column's first one; else the first label that both have, else none."""
 
-    def __init__(self, region: str = ""):
-        self.cells = CellScanner(region)
-
-    def detect(self, column: str, value: str) -> str | None:
-        if value in ("", "?"):
-            return None
-        by_name = self.cells.column_labels(column)
-        by_value = sorted({m[0] for m in self.cells.value_labels(value, frozenset(by_name))})
-        if not by_value:
-            return min(by_name, default=None)
-        return next((label for label in by_value if label in by_name), None)
+def register(label: str, columns: list[Rule] = (), values: list[Rule] = (), tier: str = "Tier3", domain: str | None = None) -> None:
+    """Add a detector of one's own: rules for names and for values of a new or known label, tried after those it has."""
+    from quillsift.functions import registry
+    from quillsift.functions.value_rules import VALUE_RULES
+
+    registry.LABELS.setdefault(label, (tier, domain))
+    for rules, more in ((COLUMN_RULES, columns), (VALUE_RULES, values)):
+        if more:
+            rules[label] = [*rules.get(label, []), *more]
+    names.cache_clear()

@@ -1,6 +1,7 @@
-"""Logical fields of a cell: key-value pairs of JSON, XML, query strings, Base64 wrappings and loose text.
+"""Logical fields of a cell: key-value pairs of JSON, XML, query strings, Base64 wrappings and loose text; and segments.
 
-Everything here works on one value at a time and runs inside the cell kernel.
+Documents are parsed one value at a time inside Arrow batches, as they may nest to any depth; what may be a document at all, and the
+cut of long texts into segments, are expressions.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ import re
 import xml.etree.ElementTree as ET
 from urllib.parse import unquote_plus
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from quillsift.functions.cell import names
 from quillsift.functions.validators import mac
 
 #: Loose pairs in broken JSON and in text.
@@ -173,33 +178,44 @@ def extract(text: str) -> tuple[str, Pairs]:
     return text, pairs
 
 
-def logical_fields(column: str, value: str, document: bool) -> tuple[Pairs, bool]:
-    """The fields to scan, and whether they came out of the value."""
-    if document:
+#: White space as Python strips and splits it, in a class of Java's expressions.
+BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def may_hold_fields(value: Column) -> Column:
+    """Whether :func:`extract` could find a pair or a wrapping: an opening bracket, a sign that parts a key from its value, or
+    nothing but the letters of Base64."""
+    return value.rlike(rf"^[{BLANK}]*[{{\[<]|[:=]|%3[dD]") | (F.length(value) >= 8) & value.rlike(rf"^[A-Za-z0-9+/_=\-{BLANK}]*\z")
+
+
+def document(region: str = ""):
+    """Column function: the text after one layer of unwrapping, and its pairs with the labels that the keys stand for."""
+
+    def run(value):
+        if value is None:
+            return None
         text, pairs = extract(value)
-        if pairs:
-            return pairs, True
-        value = text or value
-    return [(column, value)], False
-
-
-def segments(value: str, size: int = 512) -> list[str]:
-    """Values below ``size`` bytes as they are; longer ones packed word by word into pieces of less than that."""
-    if not value:
-        return []
-    if len(value.encode()) < size:
-        return [value]
-    out, now, used = [], [], 0
-    for word in value.split():
-        n = len(word.encode())
-        if now and used + n + 1 > size:
-            out.append(" ".join(now))
-            now, used = [], 0
-        used += n + bool(now)
-        now.append(word)
-    if now:
-        out.append(" ".join(now))
-    return out or [value]
+        return text, [(k, v, names(region).context(k)) for k, v in pairs]
+
+    return F.udf(run, "struct<text:string,pairs:array<struct<key:string,value:string,context:string>>>", useArrow=True)
+
+
+def segments(value: Column, size: int = 512) -> Column:
+    """Values below ``size`` bytes as they are; longer ones packed word by word into pieces of about that."""
+
+    def step(acc: Column, word: Column) -> Column:
+        n, fresh = F.octet_length(word), acc["now"].isNull()
+        full = ~fresh & (acc["used"] + n + 1 > size)
+        return F.struct(
+            F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"),
+            F.when(full | fresh, word).otherwise(F.concat(acc["now"], F.lit(" "), word)).alias("now"),
+            F.when(full | fresh, n).otherwise(acc["used"] + n + 1).alias("used"),
+        )
+
+    words = F.filter(F.split(value, f"[{BLANK}]+", -1), lambda w: w != "")
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("used"))
+    packed = F.aggregate(words, empty, step, lambda acc: F.when(acc["now"].isNull(), F.array(value)).otherwise(F.concat(acc["out"], F.array(acc["now"]))))
+    return F.when(F.coalesce(value, F.lit("")) == "", F.array().cast("array<string>")).when(F.octet_length(value) < size, F.array(value)).otherwise(packed)
 
 
 def human_list(items: list[str]) -> str:

@@ -63,19 +63,6 @@ def mac(text: str) -> bool:
     return bool(re.fullmatch(r"[0-9a-f]{2}([:-])(?:[0-9a-f]{2}\1){4}[0-9a-f]{2}|(?:[0-9a-f]{4}\.){2}[0-9a-f]{4}", text, re.I))
 
 
-def matched(label: str, text: str) -> bool:
-    """Whether a match of a label's value rule stands its check."""
-    if label == "CreditCard":
-        return luhn(text.translate(str.maketrans("", "", " -+")))
-    if label == "AdharcardNumber":
-        return verhoeff(text.translate(str.maketrans("", "", " -")))
-    if label == "GSTIN":
-        return gstin(text)
-    if label == "MacAddress":
-        return mac(text)
-    return True
-
-
 # --- as column expressions ---
 
 
@@ -110,5 +97,23 @@ def ipv4_expr(text: Column) -> Column:
     return text.rlike(rf"^{octet}(\.{octet}){{3}}(:[0-9]+)?\z")
 
 
+def ipv6_expr(text: Column) -> Column:
+    """Eight groups of hexadecimal digits, or fewer with one gap; not an IPv4 address mapped into IPv6."""
+    sides = F.split(F.lower(text), "::", -1)
+    groups = lambda side: F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    n, gap = F.size(left) + F.size(right), F.size(sides) == 2
+    hexes = F.forall(F.concat(left, right), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), 8 - n), right)
+    mapped = F.forall(F.slice(whole, 1, 5), lambda g: g.rlike(r"^0+\z")) & (F.get(whole, F.lit(5)) == "ffff")
+    return F.coalesce(hexes & (~gap & (F.size(sides) == 1) & (n == 8) | gap & (n <= 7)) & ~mapped, F.lit(False))
+
+
+def ip_expr(text: Column) -> Column:
+    """A match with a dot goes the IPv4 way (a port may follow; mapped addresses pass); others must be IPv6."""
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    return F.when(F.contains(text, F.lit(".")), ipv4_expr(text) | text.rlike(rf"^::ffff:{octet}(\.{octet}){{3}}\z")).otherwise(ipv6_expr(text))
+
+
 def mac_expr(text: Column) -> Column:
     return text.rlike(r"^(?i:[0-9a-f]{2}([:-])(?:[0-9a-f]{2}\1){4}[0-9a-f]{2}|(?:[0-9a-f]{4}\.){2}[0-9a-f]{4})\z")

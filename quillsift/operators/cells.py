@@ -50,17 +50,18 @@ def _leaf(c: Column, kind: T.DataType, decimals: bool) -> Column | None:
     return None
 
 
-def _fields(schema: T.StructType, path: tuple[str, ...] = ()) -> Iterable[tuple[tuple[str, ...], T.DataType]]:
+def leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> Iterable[tuple[tuple[str, ...], T.DataType]]:
+    """Path and type of every column that is no struct."""
     for f in schema.fields:
         if isinstance(f.dataType, T.StructType):
-            yield from _fields(f.dataType, (*path, f.name))
+            yield from leaves(f.dataType, (*path, f.name))
         else:
             yield (*path, f.name), f.dataType
 
 
 def flattened(schema: T.StructType) -> list[str]:
     """Dotted names of all leaves, scannable or not."""
-    return [".".join(path) for path, _ in _fields(schema)]
+    return [".".join(path) for path, _ in leaves(schema)]
 
 
 def _at(path: tuple[str, ...]) -> Column:
@@ -70,7 +71,7 @@ def _at(path: tuple[str, ...]) -> Column:
 def scannable(df: DataFrame, decimals: bool = True) -> dict[str, Column]:
     """Dotted name -> text expression of every column that is scanned. Numbers and booleans are not; maps are left to :func:`cells`."""
     out = {}
-    for path, kind in _fields(df.schema):
+    for path, kind in leaves(df.schema):
         name = ".".join(path)
         text = None if ignored(name) else _leaf(_at(path), kind, decimals)
         if text is not None:
@@ -91,7 +92,7 @@ def cells(df: DataFrame, table: str, decimals: bool = True) -> DataFrame:
     parts = []
     if entries:
         parts.append(df.select(F.explode(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())).alias("cell")))
-    for path, kind in _fields(df.schema):
+    for path, kind in leaves(df.schema):
         if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType) and not ignored(".".join(path)):
             each = df.select(F.explode(_at(path)).alias("k", "v"))
             name = F.concat(F.lit(".".join(path) + "."), F.col("k").cast("string"))

@@ -1,72 +1,165 @@
-"""Evidence from cells: an Arrow stage around the cell kernel, column-name evidence, and single-rule expressions."""
+"""From cells to evidence: fields, segments, rules, resolution and sums, as expressions on one row a cell.
+
+Only two things leave the JVM, in Arrow batches: values that may hold a document (JSON, XML, queries, Base64, loose pairs) and,
+if one is given, the recogniser of named entities. Nothing is shuffled before the sums of evidence, which hold one row a column
+and label.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillsift.functions import dialect
-from quillsift.functions.cell import CellScanner
+from quillsift.functions import dialect, documents
+from quillsift.functions.cell import ENTITIES, Names, Ner, context_of, entity_kinds, name_labels
 from quillsift.functions.registry import confidence, domain, tier
-from quillsift.functions.validators import gstin_expr, ipv4_expr, luhn_expr, mac_expr, verhoeff_expr
-from quillsift.functions.value_rules import VALUE_RULES
+from quillsift.functions.validators import gstin_expr, ip_expr, luhn_expr, mac_expr, verhoeff_expr
+from quillsift.functions.value_rules import VALUE_RULES, Rule, for_region
+from quillsift.operators import resolve
+
+#: Values of up to so many bytes are judged once a column.
+SHORT = 64
+#: What every match of a label's rules holds, in patterns that are quick to search; a text without it is not tried. Labels not named
+#: are tried always: their rules are tied to both ends of the text, or need a context.
+_NEEDS = {
+    "Email": "@|%40", "UPIID": "@", "OAuthToken": "ya29|1//|gh[opur]_|xox|eyj", "MacAddress": "[0-9a-f]{2}[:-][0-9a-f]{2}[:-]|[0-9a-f]{4}\\.[0-9a-f]{4}", "IPAddress": "[0-9]\\.[0-9]|[0-9a-f:]:[0-9a-f:]",
+    "Address": "[0-9][^\n]{0,99}(?:st|ave|rd|road|dr|h(?:igh)?wa?y|sq|tra?i?l|c(?:our)?t|park|pkwy|cir|boul|blvd)",
+    **dict.fromkeys(("PANNumber", "AdharcardNumber", "CreditCard", "ABHANumber", "GSTIN", "VehicleNumber"), "[0-9]{4}"), "TAN": "[0-9]{5}", "Phone": "[0-9]{5}",
+    **dict.fromkeys(("CIFNumber", "CIN", "PassportNumber", "ESIC"), "[0-9]{6}"), **dict.fromkeys(("DrivingLicenceNumber", "VoterID", "EPFMemberID"), "[0-9]{7}"),
+    "SEBIRegistration": "[0-9]{9}", "UAN": "[0-9]{12}", "DematAccountNumber": "[0-9]{14}",
+}
+_MARKS = sorted(set(_NEEDS.values()))
+_CHECKS = {"CreditCard": lambda m: luhn_expr(F.translate(m, " -+", "")), "AdharcardNumber": lambda m: verhoeff_expr(F.translate(m, " -", "")), "GSTIN": gstin_expr, "MacAddress": mac_expr, "IPAddress": ip_expr}
+
+
+def _first(label: str, rules: list[Rule], low: Column, contexts: Column, make) -> Column:
+    """What ``make`` says of the first rule of a label that matches ``low`` and whose leftmost match stands its check; else null."""
+    out, check = F.lit(None), _CHECKS.get(label)
+    for i, r in reversed(list(enumerate(rules))):
+        pattern = dialect.java(r.pattern)
+        hit = low.rlike(pattern)
+        if check is not None:
+            hit = hit & check(F.regexp_extract(low, pattern, 1 if label == "IPAddress" else 0))
+        if r.gated:
+            hit = F.array_contains(contexts, label) & hit
+        out = F.when(hit, make(i, r, pattern)).otherwise(out)
+    return out
 
-EVIDENCE = "table string, column string, detector string, label string, weight double, matched long, in_context boolean"
 
+def prepared(text: Column) -> Column:
+    """A text in the form that rules are tried on, and which characters it has."""
+    low = F.lower(text)
+    return F.struct(low.alias("low"), *[low.rlike(mark).alias(f"has{i}") for i, mark in enumerate(_MARKS)])
 
-#: White space as Python strips and splits it, in a class of Java's expressions.
-_BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_GENDER = "|".join(r.pattern.removeprefix("(?i)").strip("^$").replace(r"[\s-_]?", rf"(?:[-_]|[{_BLANK}]+)?") for r in VALUE_RULES["Gender"])
 
+def matches(text: Column, contexts: Column, rules: dict[str, list[Rule]] | None = None) -> Column:
+    """array<MATCH> of every label whose first matching and valid rule fires on a :func:`prepared` text; positions are those of its
+    leftmost match. Gated rules fire only for labels among ``contexts``."""
+    low, rules = text["low"], VALUE_RULES if rules is None else rules
 
-def hopeless(value: Column) -> Column:
-    """Cells of columns without context in which no rule, field or wrapping can be found: long, with a character that no
-    Base64 alphabet has, and without any digit or sign that a rule or a pair needs. What needs none of these is kept:
+    def found(label: str) -> Column:
+        def make(i: int, r: Rule, pattern: str) -> Column:
+            start = F.regexp_instr(low, F.lit(pattern)) - 1
+            return F.struct(F.lit(label).alias("label"), F.lit(float(r.weight)).alias("weight"), start.alias("start"), (start + F.length(F.regexp_extract(low, pattern, 0))).alias("end"), F.lit(False).alias("in_context"))
 
-    - XML, whose leaf elements are pairs, so that rules in context and a recogniser apply;
-    - addresses of network devices in letters only;
-    - a gender as a segment of its own: one at the end of a text, or one before a word too long to share its segment (490
-      bytes at least). The labels left, Email to FASTagID, need a sign above or a context, which only pairs give here."""
-    bare = (F.length(value) > 40) & ~value.rlike("[0-9@:_=]") & value.rlike(rf"[^A-Za-z0-9+/_=\-{_BLANK}]")
-    device = r"(?i)[a-f]{2}(?:-[a-f]{2}){5}|[a-f]{4}(?:\.[a-f]{4}){2}"
-    gender = rf"(?i)(?:^|[{_BLANK}])(?:{_GENDER})[{_BLANK}]*\z"
-    return bare & ~value.rlike(rf"^[{_BLANK}]*<") & ~value.rlike(device) & ~value.rlike(gender) & ~value.rlike(rf"[^{_BLANK}]{{120}}")
+        return _first(label, rules[label], low, contexts, make)
 
+    parts = []
+    for need in ("", *_MARKS):
+        some = [found(label) for label in rules if _NEEDS.get(label, "") == need]
+        if some:
+            hits = F.filter(F.array(*some), lambda m: m.isNotNull())
+            parts.append(F.when(text[f"has{_MARKS.index(need)}"], hits).otherwise(F.array().cast(f"array<{resolve.MATCH}>")) if need else hits)
+    return F.concat(*parts)
 
-def evidence(cell_rows: DataFrame, make: Callable[[], CellScanner] = CellScanner) -> DataFrame:
-    """Sums of evidence, partial within each batch: for a label its summed weight, number of cells and whether any was in
-    context; and a row without a label that counts the cells of a column."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = make()
-        for batch in batches:
-            total: dict[tuple, list] = {}
-            for table, column, value in zip(*(batch.column(c).to_pylist() for c in ("table", "column", "value"))):
-                total.setdefault((table, column, None, None), [0.0, 0, False])[1] += 1
-                if value is None:
-                    continue
-                for (detector, label), (weight, in_context) in scanner.scan(column, value).items():
-                    t = total.setdefault((table, column, detector, label), [0.0, 0, False])
-                    t[0] += weight
-                    t[1] += 1
-                    t[2] |= in_context
-            rows = [(*k, *v) for k, v in total.items()]
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(("table", "column", "detector", "label", "weight", "matched", "in_context"), r)) for r in rows], _SCHEMA)
+def fields(value: Column, context: Column, region: str = "") -> Column:
+    """struct<extracted, parts array<struct<text, context>>>: the key-value pairs that a value without a context holds, each with its
+    own context; else the value itself, or what it wraps."""
+    asked = documents.document(region)(F.when(context.isNull() & documents.may_hold_fields(value), value))
+    return resolve.let(asked, lambda doc: _fields(value, context, doc))
 
-    return cell_rows.mapInArrow(run, EVIDENCE)
 
+def _fields(value: Column, context: Column, doc: Column) -> Column:
+    extracted = F.coalesce(F.size(doc["pairs"]) > 0, F.lit(False))
+    alone = F.array(F.struct(F.coalesce(F.nullif(doc["text"], F.lit("")), value).alias("text"), context.alias("context")))
+    pairs = F.transform(doc["pairs"], lambda p: F.struct(p["value"].alias("text"), p["context"].alias("context")))
+    return F.struct(extracted.alias("extracted"), F.when(extracted, pairs).otherwise(alone).alias("parts"))
 
-_SCHEMA = pa.schema([("table", pa.string()), ("column", pa.string()), ("detector", pa.string()), ("label", pa.string()), ("weight", pa.float64()), ("matched", pa.int64()), ("in_context", pa.bool_())])
 
+def counted(cell_rows: DataFrame) -> DataFrame:
+    """(table, column, value, n): short values once a column with their number of cells, long ones as they are. Flags, dates and codes
+    are judged once; the longer a text, the less likely it comes again, and it would have to be moved."""
+    size = F.octet_length("value")
+    short = cell_rows.where(size <= SHORT).groupBy("table", "column", "value").agg(F.count("*").alias("n"))
+    return short.unionByName(cell_rows.where(size > SHORT).withColumn("n", F.lit(1).cast("long")))
 
-def blanked(cell_rows: DataFrame, known: list[str]) -> DataFrame:
-    """Hopeless values of columns outside ``known`` (those whose name gives a context) become null, so they are counted but not sent."""
-    skip = hopeless(F.col("value")) & ~F.col("column").isin(known) if known else hopeless(F.col("value"))
-    return cell_rows.withColumn("value", F.when(~skip, F.col("value")))
+
+def recognised(rows: DataFrame, ner: Ner) -> DataFrame:
+    """Rows with ``entities``, what a recogniser finds in each of their ``pieces``, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [entity_kinds(ner, pieces) for pieces in batch.column("pieces").to_pylist()]
+            yield batch.append_column("entities", pa.array(found, pa.list_(pa.list_(pa.string()))))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("entities", T.ArrayType(T.ArrayType(T.StringType())))]))
+
+
+def judged(cell_rows: DataFrame, contexts: dict[str, str | None], region: str = "", ner: Ner | None = None, regex: bool = True, open_names: bool = False) -> DataFrame:
+    """(table, column, n, found): per cell of (table, column, value) and, if there is one, its number n, the merged evidence of its fields and segments, array<struct<detector, label, weight, in_context>>.
+
+    ``contexts`` holds what the columns' names stand for; with ``open_names`` other names occur too (keys of maps and stores) and
+    are looked up in Arrow batches."""
+    known = {k: v for k, v in contexts.items() if v is not None}
+    context = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("column")] if known else F.lit(None).cast("string")
+    if open_names:
+        context = context_of(region)(F.col("column"))
+    rows = cell_rows if "n" in cell_rows.columns else cell_rows.withColumn("n", F.lit(1).cast("long"))
+    rows = rows.withColumn("context", context)
+    rows = rows.withColumn("fields", fields(F.col("value"), F.col("context"), region))
+    loose = F.col("context").isNull() & ~F.col("fields.extracted")
+    cut = F.transform(F.col("fields.parts"), lambda f: F.transform(documents.segments(f["text"]), lambda s: F.struct(prepared(s).alias("text"), s.alias("raw"), f["context"].alias("context"))))
+    rows = rows.select("table", "column", "n", loose.alias("loose"), F.flatten(cut).alias("pieces"))
+    rules = for_region(VALUE_RULES, region)
+
+    def piece(p: Column) -> Column:
+        found = matches(p["text"], F.array(p["context"]), rules)
+        found = resolve.capped(resolve.boosted(found, p["context"]), p["context"])
+        return F.struct(found.alias("all"))
+
+    parts = []
+    if regex:
+        each = F.transform(F.col("pieces"), piece)
+        kept = F.transform(each, lambda e: F.when(F.col("loose"), resolve.occurrence_groups(e["all"])).otherwise(resolve.field_winner(e["all"])))
+        parts.append(("regex", F.flatten(kept)))
+    if ner is not None:
+        rows = recognised(rows, ner)
+
+        def entities(p: Column, kinds: Column) -> Column:
+            every = [F.struct(F.lit(label).alias("label"), F.lit(0.7).alias("weight"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(False).alias("in_context")) for label in ENTITIES.values()]
+            hit = F.filter(F.array(*every), lambda m: F.array_contains(kinds, m["label"]))
+            weighed = resolve.capped(resolve.boosted(hit, p["context"]), p["context"])
+            return F.when(F.col("loose"), resolve.occurrence_groups(weighed)).otherwise(resolve.field_winner(weighed))
+
+        parts.append(("spacy", F.flatten(F.zip_with("pieces", "entities", entities))))
+    def by(detector: str, found: Column) -> Column:
+        return F.transform(resolve.row_merge(found), lambda m: F.struct(F.lit(detector).alias("detector"), m["label"].alias("label"), m["weight"].alias("weight"), m["in_context"].alias("in_context")))
+
+    merged = [by(*p) for p in parts]
+    return rows.select("table", "column", "n", F.concat(*merged).alias("found"))
+
+
+def evidence(judged_rows: DataFrame) -> DataFrame:
+    """Sums of evidence: for a label its summed weight, number of cells and whether any was in context; and a row without a label
+    that counts the cells of a column. One shuffle of partial sums."""
+    cell = F.array(F.struct(F.lit(None).cast("string").alias("detector"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("weight"), F.lit(False).alias("in_context")))
+    rows = judged_rows.select("table", "column", "n", F.explode(F.concat(cell, "found")).alias("m")).select("table", "column", "n", "m.*")
+    return rows.groupBy("table", "column", "detector", "label").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"), F.sum("n").alias("matched"), F.bool_or("in_context").alias("in_context"))
 
 
 def added(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,37 +168,34 @@ def added(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return total.where("label is not null"), total.where("label is null").select("table", "column", F.col("matched").alias("scanned"))
 
 
+def pair_labels(column: str, value: str, region: str = "") -> Column:
+    """Label of (column, value) pairs, both of them data: every label of the column's name is context. An empty or "?" value says
+    nothing; a value without a label takes the name's first one; else the first label that both have, else none."""
+    by_name = name_labels(region)(F.col(column))
+    pair = F.array(F.struct(prepared(F.col(value)).alias("text"), by_name.alias("names")))
+    judge = lambda p: F.struct(p["names"].alias("names"), F.transform(matches(p["text"], p["names"], for_region(VALUE_RULES, region)), lambda m: m["label"]).alias("labels"))
+    both = lambda p: F.when(F.size(p["labels"]) == 0, F.array_min(p["names"])).otherwise(F.array_min(F.array_intersect(p["labels"], p["names"])))
+    return F.when(~F.col(value).isin("", "?"), F.transform(F.transform(pair, judge), both)[0])
+
+
 def column_evidence(spark: SparkSession, names: list[tuple[str, str]], region: str = "") -> DataFrame:
     """(table, column, label, weight) of every label that a column's name stands for. Runs on the driver: names only."""
-    scanner = CellScanner(region)
-    rows = [(t, c, label, w) for t, c in names for label, w in sorted(scanner.column_labels(c).items())]
+    known = Names(region)
+    rows = [(t, c, label, w) for t, c in names for label, w in sorted(known.labels(c).items())]
     return spark.createDataFrame(rows, "table string, column string, label string, weight double")
 
 
 def named(spark: SparkSession, names: list[tuple[str, str]], region: str = "") -> DataFrame:
     """Column findings with the winner of each column marked: table, column, label, weight, confidence, tier, domain, is_context."""
-    scanner = CellScanner(region)
-    rows = [(t, c, label, w, confidence(w), tier(label), domain(label), label == scanner.context(c)) for t, c in names for label, w in sorted(scanner.column_labels(c).items())]
+    known = Names(region)
+    rows = [(t, c, label, w, confidence(w), tier(label), domain(label), label == known.context(c)) for t, c in names for label, w in sorted(known.labels(c).items())]
     return spark.createDataFrame(rows, "table string, column string, label string, weight double, confidence string, tier string, domain string, is_context boolean")
 
 
-# --- single rules as expressions ---
+# --- single rules ---
 
 
 def rule_number(label: str, value: Column, context: bool = False) -> Column:
-    """Number of the first rule of a label whose pattern occurs in the value (before validators); null if none."""
-    low, out = F.lower(value), F.lit(None).cast("int")
-    for i, r in reversed(list(enumerate(VALUE_RULES[label]))):
-        if context or not r.gated:
-            out = F.when(low.rlike(dialect.java(r.pattern)), i).otherwise(out)
-    return out
-
-
-def valid_number(label: str, value: Column) -> Column:
-    """Like :func:`rule_number`, but the leftmost match must also stand its check (cards, 12-digit ids, tax numbers, addresses)."""
-    low, out = F.lower(value), F.lit(None).cast("int")
-    for i, r in reversed(list(enumerate(VALUE_RULES[label]))):
-        found = F.regexp_extract(low, dialect.java(r.pattern), 1 if label == "IPAddress" else 0)
-        check = {"CreditCard": lambda m: luhn_expr(F.translate(m, " -+", "")), "AdharcardNumber": lambda m: verhoeff_expr(F.translate(m, " -", "")), "GSTIN": gstin_expr, "MacAddress": mac_expr, "IPAddress": ipv4_expr}.get(label)
-        out = F.when((found != "") & (check(found) if check else F.lit(True)), i).otherwise(out)
-    return out
+    """Number of the first rule of a label that fires on the value, by the expressions of the scan; null if none."""
+    contexts = F.array(F.lit(label)) if context else F.array().cast("array<string>")
+    return _first(label, VALUE_RULES[label], F.lower(value), contexts, lambda i, r, pattern: F.lit(i)).cast("int")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import documents as docs
 from quillsift.functions import validators
-from quillsift.functions.cell import CellScanner, PairScanner
 from quillsift.functions.column_rules import COLUMN_RULES
 from quillsift.functions.registry import LABELS, MERGED
 from quillsift.functions.value_rules import VALUE_RULES, for_region
@@ -64,8 +63,48 @@ DERIVED = {
 }
 DERIVED_SQL = "SELECT c_custkey, " + ", ".join(f"{e} AS {n}" for n, e in DERIVED.items()) + " FROM customer"
 _VALUES = [n for n in DERIVED if n != "created_at"]
+#: Values for every rule of every label, in the rules' order, and behind them near misses.
+SAMPLES = {
+    "Email": ("Ann.Lee+x@mail.example.org", "ann%40example.org", "!x#y@example.org", "ann@example", "@example.org"),
+    "PANNumber": ("abcpe1234k", "ABCDE1234F", "XYZWQ1234K", "ABCPE12345", "ABCP1234K"),
+    "AdharcardNumber": ("234567890107", "2345-6789-0107", "(2345) 6789 0107", "2345.6789.0107", "23456789010", "2345-67890-107"),
+    "BankAccountNumber": ("123456789", "1234 5678 9012 345", "12345678", "1234567890123456789"),
+    "DematAccountNumber": ("IN12345678901234", "1234567890123456", "1612345678901234", "IN1234567890123", "1412345678901234"),
+    "ChequeNumber": ("123456", "12345", "1234567"),
+    "CIFNumber": ("CIF123456", "cif123456789012", "12345678", "cif12345", "1234567"),
+    "LoanAccountNumber": ("LN-2024/00012345", "HL1234567890", "LN-1", "a b c"),
+    "InsurancePolicyNumber": ("POL-12345678", "LIC_00123", "PO-1", "a b c"),
+    "FASTagID": ("34161FA820328EE8", "ABCDEFGHIJ", "ABCDEFGHI", "A-B-C-D-E-F-G-H"),
+    "UPIID": ("ann@okaxis", "a.b-c@YBL", "ann@nobank", "a@ybl"),
+    "CVV": ("123", "1234", "12", "12345"),
+    "TAN": ("DELA12345B", "dela12345b", "DELA1234B", "DEL123456B"),
+    "CIN": ("L12345MH2001PLC123456", "u65999ka1999ptc000001", "X12345MH2001PLC123456", "L12345ZZ2001PLC123456"),
+    "DrivingLicenceNumber": ("MH12 2011 1234567", "ka-05-1999-7654321", "see DL 12 20111234567 there", "MH12 1811 1234567", "ZZ12 20111234567"),
+    "Gender": ("Female", "prefer not to say", "non-binary", "M", "females", "mf"),
+    "Phone": ("9876543210", "09876543210", "919876543210", "+91 98765 43210", "5876543210", "+91 58765 43210"),
+    "CreditCard": ("4111 1111 1111 1111", "5500000000000004", "3782 822463 10005", "378282246310005", "7111111111111111", "3682 822463 10005"),
+    "VoterID": ("ABC1234567", "abc1234567", "AB1234567", "ABC123456"),
+    "IFSC": ("HDFC0001234", "sbin0abc123", "HDFC1001234", "see HDFC0001234"),
+    "MICRCode": ("400240015", "40024001", "4002400155"),
+    "PassportNumber": ("A1234567", "AB123456", "A123456", "ABC12345"),
+    "ABHANumber": ("12-3456-7890-1234", "12 3456 7890 1234", "12345678901234", "12-3456-7890-123", "123456789012345"),
+    "UAN": ("101234567890", "001234567890", "10123456789"),
+    "EPFMemberID": ("MH/BAN/0001234/000/0012345", "MHBAN00012340000012345", "EPF 123456789012345", "MH/BAN/001234/000/0012345", "EPF 12345678901234"),
+    "GSTIN": ("27ABCDE1234F1Z5", "29abcde1234f2d6", "27ABCDE1234F0Z5", "7ABCDE1234F1Z5"),
+    "VehicleNumber": ("MH 02 BA 0001", "22 BH 1234 AA", "DL VA AB 1234", "123 CD 4567", "ZZ 02 BA 0001", "123 XX 4567"),
+    "IPAddress": ("10.20.30.40", "at 1.2.3.4:8080!", "fe80::1ff:fe23:4567:890a", "2001:db8::", "256.1.1.1", "1.2.3"),
+    "MacAddress": ("02:42:AC:11:00:02", "02-42-ac-11-00-02", "0242.ac11.0002", "02:42:AC:11:00", "02:42:AC:11:00:0G"),
+    "OAuthToken": ("ya29." + "a1B2c3D4e5" * 6, "1//" + "a1B2c3D4e5" * 5, "gho_" + "a1B2c3D4e5" * 4, "xoxb-1234567890-1234567890-" + "a1b2c3d4" * 4, "eyJ" + "a1B2c3D4e5" * 2 + "." + "a1B2c3D4e5" * 2 + ".abc", "ya29.short", "ghx_" + "a1B2c3D4e5" * 4),
+    "Address": ("12 long winding lane, oak street", "221 Baker street ", "7 days later", "Baker street"),
+    "ESIC": ("12-34-567890-123-4567", "12345678901234567", "12-34-56789-123-4567", "1234567890123456"),
+    "RationCard": ("MH1234567890", "ka-123456789012345", "MH123456789", "ZZ1234567890"),
+    "SEBIRegistration": ("INZ000123456", "inh123456789", "INX000123456", "INZ00012345"),
+    "BirthDate": ("31/12/1999", "2001-02-28", "32/12/1999", "1899-02-28"),
+    "Location": ("12.9716, 77.5946", "-90.0, 180", "91.0, 77.5", "12.9716 77.5946"),
+}
+_SAMPLES_SQL = "SELECT * FROM (VALUES " + ", ".join("('samples." + label + "', '" + v.replace("'", "''") + "')" for label, values in SAMPLES.items() for v in values) + ") s(source, value)"
 _LONG = "SELECT 'derived.' || source AS source, value FROM (UNPIVOT (SELECT {cols} FROM ({derived})) ON {cols} INTO NAME source VALUE value)".format(cols=", ".join(_VALUES), derived=DERIVED_SQL)
-_CORPUS_SQL = f"WITH corpus AS ({_LONG} UNION ALL SELECT 'documents.text', text FROM documents UNION ALL SELECT 'customer.c_name', c_name FROM customer UNION ALL SELECT 'lineitem.l_returnflag', l_returnflag FROM lineitem)"
+_CORPUS_SQL = f"WITH corpus AS ({_LONG} UNION ALL {_SAMPLES_SQL} UNION ALL SELECT 'documents.text', text FROM documents UNION ALL SELECT 'customer.c_name', c_name FROM customer UNION ALL SELECT 'lineitem.l_returnflag', l_returnflag FROM lineitem)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +120,9 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, value): the derived view's cells and three raw columns."""
+    """(source, value): the derived view's cells, the samples and three raw columns."""
     one = derived(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(f"derived.{n}").alias("source"), F.col(n).alias("value")) for n in _VALUES])).alias("c")).select("c.*")
+    one = one.unionByName(spark.createDataFrame([(f"samples.{label}", v) for label, values in SAMPLES.items() for v in values], "source string, value string"))
     for t, c in (("documents", "text"), ("customer", "c_name"), ("lineitem", "l_returnflag")):
         one = one.unionByName(table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("source"), F.col(c).alias("value")))
     return one
@@ -191,9 +231,15 @@ _VALIDATE_SQL = {
 
 
 def _ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("fe80::"), F.lower(F.hex(F.col("c_custkey") % 70000)), F.when(F.col("c_custkey") % 3 == 0, "::1").otherwise("")).alias("address"))
-    check = F.udf(lambda a: validators.ip(a), "boolean")
-    return made.select("c_custkey", "address", check("address").alias("valid"))
+    made = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_IPV6} AS address")
+    return made.select("c_custkey", "address", validators.ipv6_expr(F.col("address")).alias("valid"))
+
+
+_HEX4 = "lower(hex(c_custkey % 70000))"
+_IPV6 = f"""CASE c_custkey % 8 WHEN 0 THEN concat('fe80::', {_HEX4}, '::1') WHEN 1 THEN concat('fe80::', {_HEX4}) WHEN 2 THEN concat('1:2:3:4:5:6:7:', {_HEX4}) WHEN 3 THEN concat('1:2:3:4:5:6:7:8:', {_HEX4})
+  WHEN 4 THEN concat('::ffff:', {_HEX4}, ':7') WHEN 5 THEN concat({_HEX4}, '::') WHEN 6 THEN concat(':', {_HEX4}, '::1') ELSE concat('0:0:0:0:0:ffff:1:', {_HEX4}) END"""
+_IPV6_FORMS = ["([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", *[f"([0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}}){{{n - 1}}})?::([0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}}){{0,{6 - n}}})?" if n else "::([0-9a-f]{1,4}(:[0-9a-f]{1,4}){0,6})?" for n in range(7)], "[0-9a-f]{1,4}(:[0-9a-f]{1,4}){6}::"]
+_IPV6_SQL = f"SELECT c_custkey, address, regexp_full_match(address, '{'|'.join(_IPV6_FORMS)}') AND NOT regexp_full_match(address, '(::|(0+:){{5}})ffff:[0-9a-f]{{1,4}}:[0-9a-f]{{1,4}}') AS valid FROM (SELECT c_custkey, {_IPV6} AS address FROM customer)"
 
 
 def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,21 +273,10 @@ _MATCHED = ("Email", "Phone", "UPIID", "CIFNumber", "UAN", "PANNumber")
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c_custkey, label, weight, start, end, tier, context, in_context, detector) of labels in ``notes`` by their first firing rule."""
-    df, low = derived(spark, sf_dir), F.lower("notes")
-    found = []
-    for label in _MATCHED:
-        n, rules = detect.rule_number(label, F.col("notes")), VALUE_RULES[label]
-        at = F.lit(None).cast("int")
-        size, weight = at, F.lit(None).cast("double")
-        for i, r in enumerate(rules):
-            at = F.when(n == i, F.regexp_instr(low, F.lit(detect.dialect.java(r.pattern))) - 1).otherwise(at)
-            size = F.when(n == i, F.length(F.regexp_extract(low, detect.dialect.java(r.pattern), 0))).otherwise(size)
-            weight = F.when(n == i, r.weight).otherwise(weight)
-        found.append(F.struct(F.lit(label).alias("label"), weight.alias("weight"), at.alias("start"), (at + size).alias("end"), F.lit(LABELS[label][0]).alias("tier")))
+    """(c_custkey, context, found): the scan's matches of some labels in ``notes``."""
     context = F.when(F.col("c_custkey") % 4 == 0, "Phone").when(F.col("c_custkey") % 4 == 1, "Email")
-    out = df.select("c_custkey", context.alias("context"), F.explode(F.array(*found)).alias("m")).select("c_custkey", "context", "m.*")
-    return out.where("start is not null").withColumn("detector", F.lit("regex")).withColumn("in_context", F.col("label").eqNullSafe(F.col("context")))
+    found = detect.matches(detect.prepared(F.col("notes")), F.array(context), {label: VALUE_RULES[label] for label in _MATCHED})
+    return derived(spark, sf_dir).select("c_custkey", context.alias("context"), found.alias("found"))
 
 
 def _matches_sql() -> str:
@@ -254,29 +289,39 @@ def _matches_sql() -> str:
     return f"""WITH raw AS ({' UNION ALL '.join(parts)}),
 matches AS (SELECT c_custkey, label, tier, weight, (strpos(low, hit) - 1)::INT AS "start", (strpos(low, hit) - 1 + length(hit))::INT AS "end",
   CASE c_custkey % 4 WHEN 0 THEN 'Phone' WHEN 1 THEN 'Email' END AS context FROM raw WHERE hit IS NOT NULL),
-marked AS (SELECT *, label IS NOT DISTINCT FROM context AS in_context FROM matches)"""
+marked AS (SELECT *, label IS NOT DISTINCT FROM context AS in_context FROM matches),
+boosted AS (SELECT * REPLACE (CASE WHEN in_context THEN 1.0 ELSE weight END::DOUBLE AS weight) FROM marked),
+capped AS (SELECT * REPLACE (CASE WHEN context IS NULL AND tier <> 'Tier1' AND weight >= 0.7 THEN 0.69 ELSE weight END::DOUBLE AS weight) FROM boosted)"""
 
 
-def _with_matches(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(_matches(spark, sf_dir))
+def _with_matches(f: Callable[..., object], *columns: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = f(F.col("found"), F.col("context"))
+        return _matches(spark, sf_dir).select("c_custkey", F.posexplode(found).alias("nth", "m")).select("c_custkey", (F.col("nth") + 1).alias("occurrence"), "m.*").select("c_custkey", *columns)
+
+    return run
+
+
+def _weighed(m, c):
+    return resolve.capped(resolve.boosted(m, c), c)
 
 
 _RESOLVE = {
-    "context_boost": (_with_matches(lambda m: resolve.boosted(m).select("c_custkey", "label", "weight", "in_context")), "SELECT c_custkey, label, CASE WHEN in_context THEN 1.0 ELSE weight END::DOUBLE AS weight, in_context FROM marked"),
-    "unknown_cap": (_with_matches(lambda m: resolve.capped(m).select("c_custkey", "label", "weight")), "SELECT c_custkey, label, CASE WHEN context IS NULL AND tier IN ('Tier2', 'Tier3') AND weight >= 0.7 THEN 0.69 ELSE weight END::DOUBLE AS weight FROM marked"),
+    "context_boost": (_with_matches(resolve.boosted, "label", "weight", "in_context"), "SELECT c_custkey, label, weight, in_context FROM boosted"),
+    "unknown_cap": (_with_matches(_weighed, "label", "weight"), "SELECT c_custkey, label, weight FROM capped"),
     "field_winner": (
-        _with_matches(lambda m: resolve.field_winner(m, ["c_custkey"])),
-        "SELECT c_custkey, label, weight, in_context FROM marked QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY in_context DESC, weight DESC, label) = 1",
+        _with_matches(lambda m, c: resolve.field_winner(_weighed(m, c)), "label", "weight", "in_context"),
+        "SELECT c_custkey, label, weight, in_context FROM capped QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY in_context DESC, weight DESC, label) = 1",
     ),
     "occurrence_groups": (
-        _with_matches(lambda m: resolve.occurrence_groups(m, ["c_custkey"])),
-        """, reach AS (SELECT *, max("end") OVER (PARTITION BY c_custkey ORDER BY "start", "end" DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM marked),
+        _with_matches(lambda m, c: resolve.occurrence_groups(_weighed(m, c)), "occurrence", "label", "weight", "start", "end"),
+        """, reach AS (SELECT *, max("end") OVER (PARTITION BY c_custkey ORDER BY "start", "end" DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM capped),
         grouped AS (SELECT *, sum((r IS NULL OR "start" >= r)::INT) OVER (PARTITION BY c_custkey ORDER BY "start", "end" DESC, label ROWS UNBOUNDED PRECEDING)::INT AS occurrence FROM reach)
         SELECT c_custkey, occurrence, label, weight, "start", "end" FROM grouped QUALIFY row_number() OVER (PARTITION BY c_custkey, occurrence ORDER BY weight DESC, label) = 1""",
     ),
     "row_merge": (
-        _with_matches(lambda m: resolve.row_merge(m.withColumn("c_custkey", F.col("c_custkey") % 100), ["c_custkey"])),
-        "SELECT c_custkey % 100 AS c_custkey, 'regex' AS detector, label, max(weight) AS weight, bool_or(in_context) AS in_context FROM marked GROUP BY ALL",
+        _with_matches(lambda m, c: resolve.row_merge(F.concat(m, _weighed(m, c))), "label", "weight", "in_context"),
+        "SELECT c_custkey, label, max(weight) AS weight, bool_or(in_context) AS in_context FROM (SELECT c_custkey, label, weight, false AS in_context FROM marked UNION ALL SELECT c_custkey, label, weight, in_context FROM capped) GROUP BY ALL",
     ),
 }
 
@@ -355,13 +400,13 @@ _SCORE: dict[str, tuple[Query, str]] = {
 # --- documents ---
 
 
-def _extract(t: str, key: str, column: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = derived(spark, sf_dir) if t == "derived" else table(spark, sf_dir, t)
-        pairs = F.udf(lambda v: docs.extract(v)[1] if v else [], "array<struct<key:string,value:string>>")
-        return df.select(key, F.explode(pairs(column)).alias("p")).select(key, "p.key", "p.value")
+def _pairs_of(df: DataFrame, key: str, value) -> DataFrame:
+    asked = F.when(docs.may_hold_fields(value), value)
+    return df.select(key, F.explode(docs.document()(asked)["pairs"]).alias("p")).select(key, "p.key", "p.value")
 
-    return run
+
+def _extract(t: str, key: str, column: str) -> Query:
+    return lambda spark, sf_dir: _pairs_of(derived(spark, sf_dir) if t == "derived" else table(spark, sf_dir, t), key, F.col(column))
 
 
 def _pairs_sql(*pairs: tuple[str, str]) -> str:
@@ -376,25 +421,17 @@ _EXTRACT: dict[str, tuple[Query, str | None]] = {
     "extract_query": (_extract("derived", "c_custkey", "payload_query"), _pairs_sql(("mobile", _MOBILE), ("note", "'x' || (c_custkey % 10)"))),
     "extract_urlencoded": (_extract("derived", "c_custkey", "payload_encoded"), _pairs_sql(("mobile", _MOBILE))),
     "extract_text_kv": (
-        lambda s, d: derived(s, d).select("c_custkey", F.explode(F.udf(lambda v: [(m[1], m[2]) for m in docs.LOOSE.finditer(v)], "array<struct<key:string,value:string>>")("kv_text")).alias("p")).select("c_custkey", "p.key", "p.value"),
+        lambda s, d: _pairs_of(derived(s, d), "c_custkey", F.replace("kv_text", F.lit(" ="), F.lit(":"))),
         f"SELECT * FROM ({_pairs_sql(('card', 'CAST(c_custkey % 1000 AS STRING)'), ('phone', _MOBILE))}) WHERE length(value) >= 2",
     ),
-    "extract_base64": (
-        lambda s, d: derived(s, d).select("c_custkey", F.base64(F.encode("payload_json", "utf-8")).alias("packed")).select("c_custkey", F.explode(F.udf(lambda v: docs.extract(v)[1], "array<struct<key:string,value:string>>")("packed")).alias("p")).select("c_custkey", "p.key", "p.value"),
-        _pairs_sql(("cvv", _CVV), ("mobile", _MOBILE)),
-    ),
+    "extract_base64": (lambda s, d: _pairs_of(derived(s, d), "c_custkey", F.base64(F.encode("payload_json", "utf-8"))), _pairs_sql(("cvv", _CVV), ("mobile", _MOBILE))),
     "extract_pages_url": (_extract("pages", "page_id", "url"), None),
     "segment_512": (
-        lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.udf(lambda v: docs.segments(v or ""), "array<string>")("text")).alias("nth", "segment")),
-        r"""WITH RECURSIVE words AS (SELECT doc_id, i, string_split_regex(trim(regexp_replace(text, '[\s\x0B\x85\xA0]+', ' ', 'g')), ' ')[i] AS w FROM (SELECT doc_id, text, unnest(range(1, len(string_split_regex(trim(regexp_replace(text, '[\s\x0B\x85\xA0]+', ' ', 'g')), ' ')) + 1)) AS i FROM documents WHERE strlen(text) >= 512)),
-        ends AS (SELECT doc_id, i, w, sum(strlen(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto, strlen(w) AS n FROM words),
-        cut(doc_id, nth, first_i, last_i) AS (
-          SELECT doc_id, 0, 1::BIGINT, max(i) FROM ends WHERE upto <= 513 OR i = 1 GROUP BY doc_id
-          UNION ALL
-          SELECT c.doc_id, c.nth + 1, c.last_i + 1, (SELECT max(e.i) FROM ends e WHERE e.doc_id = c.doc_id AND e.i > c.last_i AND (e.i = c.last_i + 1 OR e.upto - (SELECT b.upto FROM ends b WHERE b.doc_id = c.doc_id AND b.i = c.last_i) <= 513))
-          FROM cut c WHERE c.last_i < (SELECT max(i) FROM ends m WHERE m.doc_id = c.doc_id))
-        SELECT doc_id, nth, text AS segment FROM (SELECT doc_id, 0 AS nth, text FROM documents WHERE strlen(text) BETWEEN 1 AND 511)
-        UNION ALL SELECT c.doc_id, c.nth, string_agg(e.w, ' ' ORDER BY e.i) FROM cut c JOIN ends e ON e.doc_id = c.doc_id AND e.i BETWEEN c.first_i AND c.last_i GROUP BY c.doc_id, c.nth""",
+        lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(docs.segments(F.col("text"))).alias("nth", "segment")),
+        r"""WITH packed AS (SELECT doc_id, list_reduce(string_split_regex(trim(regexp_replace(text, '[\s\x0B\x85\xA0]+', ' ', 'g')), ' '),
+            lambda acc, w: acc || CASE WHEN strlen(string_split(acc, chr(10))[-1]) + strlen(w) + 1 > 512 THEN chr(10) ELSE ' ' END || w) AS lines FROM documents WHERE strlen(text) >= 512)
+        SELECT doc_id, 0 AS nth, text AS segment FROM documents WHERE strlen(text) BETWEEN 1 AND 511
+        UNION ALL SELECT doc_id, (nth - 1)::INT, string_split(lines, chr(10))[nth] FROM (SELECT doc_id, lines, unnest(range(1, len(string_split(lines, chr(10))) + 1)) AS nth FROM packed)""",
     ),
 }
 
@@ -412,10 +449,9 @@ def _scan_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"email": "email", "phone number": "mobile_no", "pan": "pan_number", "description": "email", "dob": "vehicle"}
-    found = F.udf(lambda c, v, scanner=PairScanner(): scanner.detect(c, v), "string")
     df = derived(spark, sf_dir)
     each = df.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in names.items()])).alias("p"))
-    return each.select("c_custkey", "p.name", found("p.name", "p.value").alias("label"))
+    return each.select("c_custkey", "p.name", detect.pair_labels("p.name", "p.value").alias("label"))
 
 
 _PAIRS_SQL = "SELECT c_custkey, name, label FROM customer, (VALUES ('email', 'Email'), ('phone number', 'Phone'), ('pan', 'PANNumber'), ('description', NULL), ('dob', NULL)) v(name, label)"
@@ -434,7 +470,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         "meta_scan_columns": (_meta, _meta_sql()),
         "region_filter": (_region, _region_sql()),
         "context_gate": (_gate, _gate_sql()),
-        "validate_ipv6": (_ipv6, None),
+        "validate_ipv6": (_ipv6, _IPV6_SQL),
         "pair_detect": (_pairs, _PAIRS_SQL),
         "scan_meta": (_scan("metascan"), _RAW_SQL),
         "scan_deep": (_scan("deepscan"), _RAW_SQL),

@@ -1,7 +1,7 @@
 """Scan modes and the scan itself: tables in, findings out.
 
-All tables of a scan form one job: their cells are unpivoted, pass the cell kernel in Arrow batches,
-and meet again in one small aggregation.
+All tables of a scan form one job: their cells are unpivoted and judged by expressions on one row a cell,
+and meet again in one small aggregation. Its sums, one row a column and label, are written once; scoring reads them.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from quillsift.functions.cell import CellScanner, Ner
+from quillsift.functions.cell import Ner, Names
 from quillsift.operators import cells, detect, score
+from quillsift.sources.staging import staged
 
 MODES = {"metascan": "Meta Scan", "datascan": "Data Scan", "deepscan": "Deep Scan", "spacyscan": "Spacy Scan"}
 AUTO_TITLE = "Auto Scan"
@@ -56,9 +58,6 @@ class ScanConfig:
     def title(self) -> str:
         return MODES.get(self.mode, AUTO_TITLE)
 
-    def scanner(self) -> CellScanner:
-        return CellScanner(self.region, self.ner, regex=not self.ner_only)
-
 
 @dataclass(frozen=True)
 class TablePlan:
@@ -93,6 +92,12 @@ def value_cells(config: ScanConfig, tables: dict[str, DataFrame], plans: Iterabl
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def judge(config: ScanConfig, cell_rows: DataFrame, names: Iterable[tuple[str, str]], open_names: bool = False) -> DataFrame:
+    """Cells of columns with these names, judged as the configuration says."""
+    known = Names(config.region)
+    return detect.judged(detect.counted(cell_rows), {c: known.context(c) for _, c in names}, config.region, config.ner, not config.ner_only, open_names)
+
+
 def scan(spark: SparkSession, tables: dict[str, DataFrame], config: ScanConfig | None = None) -> DataFrame:
     """Findings over the chosen tables: table, column, label, detector_type, detector, weight, confidence, tier, domain,
     context_matched, matched_count, scanned_count."""
@@ -107,9 +112,8 @@ def scan(spark: SparkSession, tables: dict[str, DataFrame], config: ScanConfig |
     found = value_cells(config, tables, plans)
     if found is None:
         found = spark.createDataFrame([], "table string, column string, value string")
-    scanner = config.scanner()
-    known = sorted({c for _, c in names if scanner.context(c) is not None})
-    values, scanned = detect.added(detect.evidence(detect.blanked(found, known), config.scanner))
+    maps = any(isinstance(kind, T.MapType) for t in chosen for _, kind in cells.leaves(tables[t].schema))
+    values, scanned = detect.added(staged(detect.evidence(judge(config, found, names, maps)), "evidence"))
     return score.findings(values, scanned, by_name)
 
 

@@ -1,6 +1,6 @@
 """The scan over a stream: cells are judged as they come, and each micro-batch's evidence is added to the rest.
 
-The cell kernel keeps nothing between cells, so it runs on a stream as it is; sums of evidence are merged
+A cell is judged alone, so the scan's expressions run on a stream as they are; sums of evidence are merged
 in ``foreachBatch`` into a table from which findings can be made at any time.
 """
 
@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quillsift.operators import cells, detect, score
-from quillsift.plans.scan import ScanConfig
+from quillsift.plans.scan import ScanConfig, judge
 
 
 def start(stream: DataFrame, table: str, store: str, checkpoint: str, config: ScanConfig | None = None) -> StreamingQuery:
     """Judge a stream of rows; evidence parts are written below ``store``, one folder a micro-batch, so a repeated batch replaces itself."""
     config = config or ScanConfig()
+    names = [(table, c) for c in cells.wanted(cells.flattened(stream.schema))]
+    maps = any(isinstance(kind, T.MapType) for _, kind in cells.leaves(stream.schema))
 
     def merge(batch: DataFrame, number: int) -> None:
-        parts = detect.evidence(cells.cells(batch, table, config.scan_decimals), config.scanner)
-        total = parts.groupBy("table", "column", "detector", "label").agg(F.sum("weight").alias("weight"), F.sum("matched").alias("matched"), F.bool_or("in_context").alias("in_context"))
-        total.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        found = judge(config, cells.cells(batch, table, config.scan_decimals), names, maps)
+        detect.evidence(found).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

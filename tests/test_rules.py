@@ -6,8 +6,9 @@ import random
 
 import pytest
 
+from plain_cells import CellScanner, PairScanner, occurrences, segments, winner
+
 from quillsift.functions import dialect, documents, validators
-from quillsift.functions.cell import CellScanner, PairScanner, occurrences, winner
 from quillsift.functions.column_rules import COLUMN_RULES
 from quillsift.functions.registry import LABELS, MERGED, confidence, domain, tier
 from quillsift.functions.value_rules import VALUE_RULES, for_region
@@ -125,10 +126,10 @@ def test_base64_is_unwrapped_only_when_structured():
 
 
 def test_segments():
-    assert documents.segments("") == [] and documents.segments("a  b") == ["a  b"]
+    assert segments("") == [] and segments("a  b") == ["a  b"]
     long = "word " * 200
-    assert all(len(s) <= 512 for s in documents.segments(long)) and " ".join(documents.segments(long)).split() == long.split()
-    assert documents.segments("x" * 600 + " y") == ["x" * 600, "y"] and documents.segments("é" * 256) == ["é" * 256]
+    assert all(len(s) <= 512 for s in segments(long)) and " ".join(segments(long)).split() == long.split()
+    assert segments("x" * 600 + " y") == ["x" * 600, "y"] and segments("é" * 256) == ["é" * 256]
     assert documents.human_list(["a", "b", "c"]) == "a, b and c" and documents.human_list(["a"]) == "a"
 
 
@@ -165,61 +166,89 @@ def test_pairs(column, value, want):
     assert PairScanner().detect(column, value) == want
 
 
-def test_native_rules_agree_with_the_kernel(spark):
+def judged(spark, cells, contexts, **more):
+    """(table, column, value) rows judged by the scan's expressions, as the plain version reports them."""
     from pyspark.sql import functions as F
 
     from quillsift.operators import detect
 
-    texts = ["bob@x.co", "éa12345678", "a\n", "341610000000004", "MH02BA0001", "378282246310005", "male\n", "f", "12 main street", "10.0.0.1", "", "ya29." + "x" * 60, "fe80::1", "ABC1234567", "+91 98765 43210", "12-34-123456-123-1234"]
-    df = spark.createDataFrame([(t,) for t in texts], "value string")
-    for label, rules in VALUE_RULES.items():
-        got = [r[0] for r in df.select(detect.rule_number(label, F.col("value"), True)).collect()]
-        want = [next((i for i, r in enumerate(rules) if dialect.python(r.pattern).search(t.lower())), None) for t in texts]
-        assert got == want, label
+    df = spark.createDataFrame([("t", f"{i}", v) for i, (_, v) in enumerate(cells)], "table string, column string, value string")
+    known = {f"{i}": contexts(c) for i, (c, _) in enumerate(cells)}
+    out = {int(r["column"]): {(m["detector"], m["label"]): (m["weight"], m["in_context"]) for m in r["found"]} for r in detect.judged(df, known, **more).collect()}
+    return [out[i] for i in range(len(cells))]
 
 
-def test_blanked_cells_can_say_nothing(spark):
-    from quillsift.operators import detect
+def sample_values():
+    rng = random.Random(11)
+    out = ["341610000000004", "234567890107", "write bob@example.com or 9876543210 now", '{"cvv":"312"}', "<r><gender>female</gender><city>Mumbai</city></r>", "cvv=312&note=x", "mobile%3D9876543210", "male", "M",
+           "the adapter is aa-bb-cc-dd-ee-ff, ok", "bob@example.com " + "word " * 150 + "bob@example.com", "x." * 255 + "x male", "::ffff:1.2.3.4", "::ffff:102:304", "fe80::1", "10.0.0.300", "1.2.3.4:80", "a: b", "card: 4000000000000002, phone = 9876543210",
+           "12 main street", "é😀 9876543210 9876543211", "[1,2", "{bad: 4111111111111111}", "x" * 700, " ", "\u2003", "27ABCDE1234F1Z5", "MH02BA0001 and ABCDE1234F", base64.b64encode(b'{"gender": "female"}').decode(), "+91 98765-43210"]
+    from quillsift.plans.catalogue import SAMPLES
 
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["x. " * 30, "gh_ and. " * 9, "male", "bob at x. " * 7]
-    cells = spark.createDataFrame([("t", "c", t) for t in texts], "table string, column string, value string")
-    for before, after in zip(cells.collect(), detect.blanked(cells, []).collect()):
-        assert after["value"] is not None or CELLS.scan("c", before["value"]) == {}
+    out += [v for values in SAMPLES.values() for v in values]
+    for _ in range(60):
+        out.append(" ".join(rng.choice([*out[:30], "and", "of the", "key:", "name=", "12", "é"]) for _ in range(rng.randint(1, 60))))
+    out.append(json.dumps({"name": "Ann", "dob": "01/02/1990", "nested": {"phone": "9876543210", "list": ["bob@x.co", 5, None, True]}}))
+    return [v.strip() for v in out if v.strip()]
 
 
-def test_letters_alone_can_say_something(spark):
-    from quillsift.operators import detect
+def test_scan_expressions_against_plain_python(spark):
+    def ner(text):
+        return [("Ann", "PERSON")] if "Ann" in text else []
 
-    rng = random.Random(7)
-    blanks = [" ", "\n", "\t", "\x1c", "\xa0", "\u2003", "  "]
-    devices = ["aa-bb-cc-dd-ee-ff", "AA-bb-CC-dd-EE-ff", "abcd.efab.cdef", "FACE.beef.cafe"]
-    genders = ["male", "Female", "prefer not to say", "prefer-not-to-disclose", "transgender", "M", "n"]
-    keys = ["gender", "sex", "name", "first-name", "address", "city", "loan-account-number", "policynumber", "fastagid", "account", "note"]
-    values = ["female", "Mumbai", "abcdefghijkl", "ABCD-EFGH-IJKL", "Ann Smith", "m", ""]
-    words = lambda n: " ".join(rng.choice(["adapter", "machine,", "of", "the.", "please", "été", "漢字"]) for _ in range(n))
-    texts = ["<profile><gender>female</gender><city>Mumbai</city></profile>", "the adapter of this machine is aa-bb-cc-dd-ee-ff, please check", "\xa0" * 50 + "male."]
-    for _ in range(60):
-        pairs = [(rng.choice(keys), rng.choice(values)) for _ in range(rng.randint(1, 5))]
-        texts.append(rng.choice(["", *blanks]) + "<profile>" + rng.choice(["", *blanks]).join(f"<{k}>{v}</{k}>" for k, v in pairs) + "</profile>")
-        texts.append(words(8) + rng.choice(blanks) + rng.choice(devices) + rng.choice([" ", ", ", "."]) + words(4))
-        filled = [words(n) for n in range(60, 100)]
-        full = [t for t in filled if len(t.encode()) < 512 and len(t.encode()) > 500] or filled[:1]
-        texts.append(rng.choice(full) + " zzzzzzzzzz. zzzzz" + rng.choice(blanks) + rng.choice(genders) + rng.choice(["", *blanks]))
-        texts.append("x." * 255 + "x" + rng.choice(blanks) + rng.choice(genders) + rng.choice(blanks) + "é." * 200)
-        texts.append(words(rng.randint(5, 150)))
-    coded = base64.b64encode('{"gender": "female", "city": "Mumbai"}'.encode()).decode()
-    texts += ["\xa0".join(coded), "\u2003" + coded]
+    cells = [(c, v) for v in sample_values() for c in ("col_1", "email", "gender", "dob", "loan account", "full name", "fastag id")]
+    for plain, more in ((CellScanner(), {}), (CellScanner("india"), {"region": "india"}), (CellScanner("", ner), {"ner": ner}), (CellScanner("", ner, regex=False), {"ner": ner, "regex": False})):
+        got = judged(spark, cells, plain._context, **more)
+        for (column, value), found in zip(cells, got):
+            assert found == plain.scan(column, value), (column, value)
 
-    def ner(text):
-        return [("Ann Smith", "PERSON")] if "Ann Smith" in text else []
-
-    scanners = [CELLS, CellScanner("", ner), CellScanner("", ner, regex=False)]
-    cells = spark.createDataFrame([("t", "c", t) for t in texts], "table string, column string, value string")
-    found = set()
-    for before, after in zip(cells.collect(), detect.blanked(cells, []).collect()):
-        for scanner in scanners:
-            labels = scanner.scan("c", before["value"])
-            found |= {label for _, label in labels}
-            assert after["value"] is not None or labels == {}, before["value"]
-    assert {"Gender", "MacAddress", "Name"} <= found
-    assert [r["value"] for r in detect.blanked(cells.limit(0).unionByName(spark.createDataFrame([("t", "c", "just a text, long enough and with nothing in it.")], cells.schema)), []).collect()] == [None]
+
+def test_documents_that_are_not_sent_hold_no_field(spark):
+    from pyspark.sql import functions as F
+
+    values = sample_values()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    for r in df.select("i", documents.may_hold_fields(F.col("v")).alias("sent")).collect():
+        assert r["sent"] or documents.extract(values[r["i"]]) == (values[r["i"]], [])
+
+
+def test_segments_as_expressions(spark):
+    from pyspark.sql import functions as F
+
+    values = sample_values() + ["word " * 200, "x" * 600 + " y", "é" * 256, "a  b", "", "\u2003" * 300, "w\x1cv\u2028" * 200]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", documents.segments(F.col("v")).alias("s")).collect()
+    assert all(list(r["s"]) == segments(values[r["i"]]) for r in got)
+
+
+def test_late_recognisers_find_nothing(monkeypatch):
+    import time
+
+    from quillsift.functions import cell
+
+    monkeypatch.setattr(cell, "NER_SECONDS", 0.05)
+    ner = lambda text: time.sleep(0.3 if "slow" in text else 0) or [("x", "PERSON")]
+    assert cell.entity_kinds(ner, [{"raw": "slow", "context": "Name"}, {"raw": "quick", "context": "Name"}, {"raw": "quick", "context": None}]) == [[], ["Name"], []]
+
+
+def test_a_detector_of_ones_own(spark):
+    from quillsift.functions import cell
+    from quillsift.functions.value_rules import Rule
+    from quillsift.plans.scan import ScanConfig, scan
+
+    try:
+        cell.register("BadgeNumber", [Rule(r"\bbadge\b", 1.0)], [Rule(r"^bdg-[0-9]{5}$", 0.9)], tier="Tier1")
+        found = {(r["column"], r["label"], r["detector_type"]) for r in scan(spark, {"t": spark.createDataFrame([("BDG-12345", "x")], "code string, badge string")}, ScanConfig("deepscan")).collect()}
+        assert {("code", "BadgeNumber", "value detector"), ("badge", "BadgeNumber", "column detector")} <= found
+    finally:
+        for some in (COLUMN_RULES, VALUE_RULES, LABELS):
+            some.pop("BadgeNumber", None)
+        cell.names.cache_clear()
+
+
+def test_native_pairs(spark):
+    from quillsift.operators import detect
+
+    cells = [(c, v) for v in [*sample_values()[:60], "", "?", None] for c in ("email", "pan number", "dob", "description", "loan account", "user email")]
+    df = spark.createDataFrame(cells, "c string, v string").withColumn("label", detect.pair_labels("c", "v"))
+    plain = PairScanner()
+    assert all(r["label"] == (plain.detect(r["c"], r["v"]) if r["v"] is not None else None) for r in df.collect())
