@@ -36,9 +36,9 @@ _MARKS = sorted(set(_NEEDS.values()))
 _CHECKS = {"CreditCard": lambda m: luhn_expr(F.translate(m, " -+", "")), "AdharcardNumber": lambda m: verhoeff_expr(F.translate(m, " -", "")), "GSTIN": gstin_expr, "MacAddress": mac_expr, "IPAddress": ip_expr}
 
 
-def _first(label: str, rules: list[Rule], low: Column, contexts: Column, make) -> Column:
+def _first(label: str, rules: list[Rule], low: Column, contexts: Column, make, checked: bool = True) -> Column:
     """What ``make`` says of the first rule of a label that matches ``low`` and whose leftmost match stands its check; else null."""
-    out, check = F.lit(None), _CHECKS.get(label)
+    out, check = F.lit(None), _CHECKS.get(label) if checked else None
     for i, r in reversed(list(enumerate(rules))):
         pattern = dialect.java(r.pattern)
         hit = low.rlike(pattern)
@@ -196,6 +196,6 @@ def named(spark: SparkSession, names: list[tuple[str, str]], region: str = "") -
 
 
 def rule_number(label: str, value: Column, context: bool = False) -> Column:
-    """Number of the first rule of a label that fires on the value, by the expressions of the scan; null if none."""
+    """Number of the first rule of a label whose pattern occurs in the value (before checks); null if none."""
     contexts = F.array(F.lit(label)) if context else F.array().cast("array<string>")
-    return _first(label, VALUE_RULES[label], F.lower(value), contexts, lambda i, r, pattern: F.lit(i)).cast("int")
+    return _first(label, VALUE_RULES[label], F.lower(value), contexts, lambda i, r, pattern: F.lit(i), checked=False).cast("int")

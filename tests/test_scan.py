@@ -204,7 +204,8 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     live.start(stream, "t", f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination(120)
     got = live.findings(spark, f"{tmp_path}/store", [("t", "email"), ("t", "col_1")])
-    assert sorted(map(str, got.collect())) == sorted(map(str, scan(spark, {"t": df}).collect()))
+    shown = lambda f: sorted(map(str, f.withColumn("weight", F.round("weight", 9)).collect()))
+    assert shown(got) == shown(scan(spark, {"t": df}))
 
 
 def test_windowed_stream(spark, tmp_path):
@@ -225,7 +226,7 @@ def test_queries_against_sql(spark):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from read_parquet('{p}')")
     oracle = catalogue.oracle_sql()
     assert set(oracle) <= set(entry.queries())
-    for name in ("scan_cells_unpivot", "meta_scan_columns", "detect_email", "detect_creditcard", "validate_verhoeff", "occurrence_groups", "column_winner", "extract_query", "segment_512"):
+    for name in ("scan_cells_unpivot", "meta_scan_columns", "detect_email", "detect_cin", "detect_birthdate", "validate_verhoeff", "validate_ipv6", "pair_detect", "row_merge", "field_winner", "occurrence_groups", "column_winner", "extract_query", "segment_512"):
         df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
         want = con.execute(oracle[name]).df()
         names = sorted(df.columns)
