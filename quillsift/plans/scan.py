@@ -83,11 +83,17 @@ def plan(config: ScanConfig, table: str, count: Callable[[], int]) -> TablePlan:
     return TablePlan(table, "all", rows)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores is small; it is dealt out, since judging costs more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def value_cells(config: ScanConfig, tables: dict[str, DataFrame], plans: Iterable[TablePlan]) -> DataFrame | None:
     parts = []
     for p in plans:
         if p.reads != "names":
-            df = cells.sample(tables[p.table]) if p.reads == "sample" else tables[p.table]
+            df = cells.sample(tables[p.table]).repartition(tables[p.table].sparkSession.sparkContext.defaultParallelism) if p.reads == "sample" else spread(tables[p.table])
             parts.append(cells.cells(df, p.table, config.scan_decimals))
     return reduce(DataFrame.unionByName, parts) if parts else None
 

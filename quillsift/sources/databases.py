@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from urllib.parse import parse_qs, unquote, urlsplit
+from urllib.parse import parse_qs, quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillsift.operators.cells import SAMPLE_ROWS, SAMPLE_SEED
 
+_CERTIFICATES = ("sslrootcert", "sslcert", "sslkey")
 SSL_MODES = ("disable", "allow", "prefer", "require", "verify-ca", "verify-full")
 #: Engines with default port and schema.
 ENGINES = {"postgres": (5432, "public"), "mysql": (3306, ""), "sqlserver": (1433, "dbo"), "mongodb": (27017, ""), "redis": (6379, "")}
@@ -37,6 +38,8 @@ class Database:
     schema: str = ""
     sslmode: str = "require"
     sslrootcert: str = ""
+    sslcert: str = ""
+    sslkey: str = ""
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "engine", engine_name(self.engine))
@@ -67,7 +70,7 @@ def from_uri(text: str) -> Database:
     host, name = u.hostname or options.get("host", ""), unquote(u.path.lstrip("/")) or options.get("dbname", "")
     if not host or not name:
         raise ValueError("the URI must name a host and a database")
-    return Database(host, name, "postgres", u.port or 0, unquote(u.username or ""), unquote(u.password or ""), sslmode=options.get("sslmode", ""), sslrootcert=options.get("sslrootcert", ""))
+    return Database(host, name, "postgres", u.port or 0, unquote(u.username or ""), unquote(u.password or ""), **{k: options.get(k, "") for k in ("sslmode", *_CERTIFICATES)})
 
 
 def keyword_dsn(db: Database) -> str:
@@ -76,13 +79,13 @@ def keyword_dsn(db: Database) -> str:
     def show(v: str) -> str:
         return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if not v or any(c in v for c in " '\\\t\n") else v
 
-    parts = {"host": db.host, "port": str(db.port), "user": db.user, "password": db.password, "dbname": db.database, "sslmode": db.sslmode, "sslrootcert": db.sslrootcert}
+    parts = {"host": db.host, "port": str(db.port), "user": db.user, "password": db.password, "dbname": db.database, "sslmode": db.sslmode} | {k: getattr(db, k) for k in _CERTIFICATES}
     return " ".join(f"{k}={show(v)}" for k, v in parts.items() if v)
 
 
 def jdbc_url(db: Database) -> str:
     if db.engine == "postgres":
-        cert = f"&sslrootcert={db.sslrootcert}" if db.sslrootcert else ""
+        cert = "".join(f"&{k}={getattr(db, k)}" for k in _CERTIFICATES if getattr(db, k))
         return f"jdbc:postgresql://{db.host}:{db.port}/{db.database}?sslmode={db.sslmode}{cert}"
     if db.engine == "mysql":
         return f"jdbc:mysql://{db.host}:{db.port}/{db.database}?sslMode={'DISABLED' if db.sslmode == 'disable' else 'REQUIRED'}"
@@ -146,7 +149,7 @@ def load(spark: SparkSession, db: Database, reader: Callable[[SparkSession, Data
 
 
 def mongo_options(db: Database, collection: str) -> dict[str, str]:
-    who = f"{db.user}:{db.password}@" if db.user else ""
+    who = f"{quote(db.user, safe='')}:{quote(db.password, safe='')}@" if db.user else ""
     return {"connection.uri": f"mongodb://{who}{db.host}:{db.port}", "database": db.database, "collection": collection}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillsift.operators import cells, score
 from quillsift.plans import catalogue, report
-from quillsift.plans.scan import ScanConfig, plan, scan, scan_targets, with_timeout
+from quillsift.plans.scan import ScanConfig, plan, scan, scan_targets, spread, with_timeout
 from quillsift.sources import databases, files, keyvalue
 from quillsift.streaming import live
 
@@ -30,7 +30,7 @@ def test_cells_by_type(spark):
 
 def test_only_scanned_columns_are_read(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
-    tree = cells.cells(df, "customer")._jdf.queryExecution().executedPlan().toString()
+    tree = cells.cells(spread(df), "customer")._jdf.queryExecution().executedPlan().toString()
     assert "c_mktsegment" in tree and "c_acctbal" not in tree
 
 
