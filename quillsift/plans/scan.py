@@ -6,17 +6,24 @@ and meet again in one small aggregation. Its sums, one row a column and label, a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import logging
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillsift.functions.cell import Ner, Names
 from quillsift.operators import cells, detect, score
+from quillsift.sources.source import CellSource, Source, as_source
 from quillsift.sources.staging import staged
 
+log = logging.getLogger(__name__)
+
 MODES = {"metascan": "Meta Scan", "datascan": "Data Scan", "deepscan": "Deep Scan", "spacyscan": "Spacy Scan"}
 AUTO_TITLE = "Auto Scan"
 #: Auto mode reads tables with fewer rows whole; a deep scan of more than the second number of rows is asked for (fewer with a recogniser).
@@ -83,18 +90,26 @@ def plan(config: ScanConfig, table: str, count: Callable[[], int]) -> TablePlan:
     return TablePlan(table, "all", rows)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table in fewer partitions than there are cores is small; it is dealt out, since judging costs more than moving it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return dealt(df) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
 
 
-def value_cells(config: ScanConfig, tables: dict[str, DataFrame], plans: Iterable[TablePlan]) -> DataFrame | None:
+def value_cells(config: ScanConfig, source: Source, plans: Iterable[TablePlan]) -> DataFrame | None:
     parts = []
     for p in plans:
-        if p.reads != "names":
-            df = cells.sample(tables[p.table]).repartition(tables[p.table].sparkSession.sparkContext.defaultParallelism) if p.reads == "sample" else spread(tables[p.table])
-            parts.append(cells.cells(df, p.table, config.scan_decimals))
+        if p.reads == "names":
+            continue
+        if isinstance(source, CellSource):
+            parts.append(source.cells(p.table, p.reads == "sample"))
+            continue
+        # a sample is one partition; to ask for their number would run it
+        df = dealt(source.sample(p.table)) if p.reads == "sample" else spread(source.whole(p.table))
+        parts.append(cells.cells(df, p.table, config.scan_decimals))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -104,52 +119,77 @@ def judge(config: ScanConfig, cell_rows: DataFrame, names: Iterable[tuple[str, s
     return detect.judged(detect.counted(cell_rows), {c: known.context(c) for _, c in names}, config.region, config.ner, not config.ner_only, open_names)
 
 
-def scan(spark: SparkSession, tables: dict[str, DataFrame], config: ScanConfig | None = None) -> DataFrame:
-    """Findings over the chosen tables: table, column, label, detector_type, detector, weight, confidence, tier, domain,
-    context_matched, matched_count, scanned_count."""
-    config = config or ScanConfig()
-    chosen = cells.chosen(tables, config.include, config.exclude)
-    missing = [t for t in chosen if t not in tables]
+def scan(spark: SparkSession, tables: Source | Mapping[str, DataFrame], config: ScanConfig | None = None) -> DataFrame:
+    """Findings over the chosen tables of a source, or over DataFrames by name: table, column, label, detector_type, detector,
+    weight, confidence, tier, domain, context_matched, matched_count, scanned_count."""
+    config, source = config or ScanConfig(), as_source(tables)
+    known = source.tables()
+    chosen = cells.chosen(known, config.include, config.exclude)
+    missing = [t for t in chosen if t not in known]
     if missing:
         raise KeyError(f"no such table: {', '.join(missing)}")
-    plans = [plan(config, t, tables[t].count) for t in chosen]
-    names = [(t, c) for t in chosen for c in cells.wanted(cells.flattened(tables[t].schema))]
+    plans = [plan(config, t, lambda t=t: source.rows(t)) for t in chosen]
+    schemas = {t: source.schema(t) for t in chosen}
+    names = [(t, c) for t in chosen for c in cells.wanted(cells.flattened(schemas[t]))]
     by_name = detect.column_evidence(spark, names, config.region)
-    found = value_cells(config, tables, plans)
+    found = value_cells(config, source, plans)
     if found is None:
         found = spark.createDataFrame([], "table string, column string, value string")
-    maps = any(isinstance(kind, T.MapType) for t in chosen for _, kind in cells.leaves(tables[t].schema))
-    values, scanned = detect.added(staged(detect.evidence(judge(config, found, names, maps)), "evidence"))
+    open_names = isinstance(source, CellSource) or any(isinstance(kind, T.MapType) for t in chosen for _, kind in cells.leaves(schemas[t]))
+    values, scanned = detect.added(staged(detect.evidence(judge(config, found, names, open_names)), "evidence"))
     return score.findings(values, scanned, by_name)
 
 
-def scan_targets(spark: SparkSession, targets: dict[str, Callable[[], dict[str, DataFrame]]], config: ScanConfig | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """Several databases: findings with a ``target`` column, and the errors of targets that were skipped."""
-    from pyspark.sql import functions as F
-
+def scan_targets(
+    spark: SparkSession, targets: Mapping[str, Callable[[], Source | Mapping[str, DataFrame]]], config: ScanConfig | None = None, timeout: float | None = None
+) -> tuple[DataFrame | None, dict[str, str]]:
+    """Several databases: findings with a ``target`` column, and why targets were skipped. A database that cannot be opened, or
+    whose scan fails or takes more than ``timeout`` seconds, does not end the others' scan; what failed inside a scan is logged."""
     parts, skipped = [], {}
     for name, load in targets.items():
         try:
-            parts.append(scan(spark, load(), config).withColumn("target", F.lit(name)))
-        except Exception as e:  # one unreachable database must not end the others' scan
-            skipped[name] = str(e)
+            source = load()
+        except Exception as e:
+            skipped[name] = f"not opened: {e}"
+            continue
+        try:
+            parts.append(with_timeout(spark, timeout, lambda source=source: scan(spark, source, config)).withColumn("target", F.lit(name)))
+        except TimeoutError as e:
+            skipped[name] = f"stopped: {e}"
+        except Exception as e:
+            log.exception("scan of %s", name)
+            skipped[name] = f"scan failed: {e}"
     return (reduce(DataFrame.unionByName, parts) if parts else None), skipped
 
 
-def with_timeout(spark: SparkSession, seconds: float | None, work: Callable[[], object], group: str = "quillsift-scan"):
-    """Run ``work`` with its Spark jobs cancelled after ``seconds`` (None: no limit). The default limit of a database is 5 minutes."""
-    import threading
-
-    spark.sparkContext.setJobGroup(group, "scan", interruptOnCancel=True)
-    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobGroup(group)) if seconds else None
-    if timer:
-        timer.start()
+def with_timeout(spark: SparkSession, seconds: float | None, work: Callable[[], object]):
+    """Run ``work``; after ``seconds`` (None: no limit) its Spark jobs are cancelled and TimeoutError is raised."""
+    if seconds is None:
+        return work()
+    context, group, done, late = spark.sparkContext, f"quillsift-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while True:  # a job may be about to start
+                context.cancelJobGroup(group)
+                if done.wait(0.5):
+                    return
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.setJobGroup(group, "scan", interruptOnCancel=True)
+    watcher.start()
     try:
         return work()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no end after {seconds:g} seconds") from e
+        raise
     finally:
-        if timer:
-            timer.cancel()
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        done.set()
+        watcher.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
+#: Seconds for a database, unless the caller says otherwise.
 DEFAULT_TIMEOUT = 300.0

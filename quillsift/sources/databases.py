@@ -5,13 +5,15 @@ No driver or server is part of this repository; everything up to ``spark.read``
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from urllib.parse import parse_qs, quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from quillsift.operators.cells import SAMPLE_ROWS, SAMPLE_SEED
+from quillsift.operators.cells import SAMPLE_ROWS, SAMPLE_SEED, wanted
 
 _CERTIFICATES = ("sslrootcert", "sslcert", "sslkey")
 SSL_MODES = ("disable", "allow", "prefer", "require", "verify-ca", "verify-full")
@@ -126,33 +128,124 @@ def sample_query(db: Database, table: str, columns: list[str], rows: int = SAMPL
     return f"SELECT {names} FROM {where} TABLESAMPLE BERNOULLI (10) REPEATABLE ({seed}) LIMIT {rows}"
 
 
+def key_query(db: Database, table: str) -> str:
+    """Columns of the table's primary key, in order."""
+    schema, name = (t.replace("'", "''") for t in (db.schema, table))
+    return (
+        "SELECT k.column_name FROM information_schema.key_column_usage k JOIN information_schema.table_constraints c "
+        "ON k.constraint_name = c.constraint_name AND k.table_schema = c.table_schema AND k.table_name = c.table_name "
+        f"WHERE c.constraint_type = 'PRIMARY KEY' AND k.table_schema = '{schema}' AND k.table_name = '{name}' ORDER BY k.ordinal_position"
+    )
+
+
 def options(db: Database, query: str) -> dict[str, str]:
     return {"url": jdbc_url(db), "user": db.user, "password": db.password, "query": query, "fetchsize": "10000"}
 
 
 def partitioned(db: Database, table: str, column: str, low: int, high: int, parts: int) -> dict[str, str]:
-    """Options that read a table in parallel ranges of a numeric column."""
+    """Options that read a table in parallel ranges of a numeric column; rows without a value are in the first."""
     base = {k: v for k, v in options(db, "").items() if k != "query"}
-    return base | {"dbtable": qualified(db, table), "partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return base | {"dbtable": qualified(db, table), "partitionColumn": quoted(db, column), "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+
+def _jdbc(spark: SparkSession, given: dict[str, str]) -> DataFrame:
+    return spark.read.format("jdbc").options(**given).load()
+
+
+class Jdbc:
+    """The base tables of a database as a source of scans.
 
+    The engine draws the samples. A table read whole comes in ranges of an integer column, of the primary key if it has
+    one, a partition for every ``part_rows`` rows; without an integer column it comes in one. ``reader`` opens a
+    DataFrame from JDBC options. Raises ValueError if the schema does not exist.
+    """
 
-def read(spark: SparkSession, db: Database, query: str) -> DataFrame:
-    return spark.read.format("jdbc").options(**options(db, query)).load()
+    def __init__(self, spark: SparkSession, db: Database, reader: Callable[[SparkSession, dict[str, str]], DataFrame] = _jdbc, part_rows: int = 500_000):
+        self.spark, self.db, self.reader, self.part_rows = spark, db, reader, part_rows
+        if self._query(schema_query(db)).isEmpty():
+            raise ValueError(f"schema {db.schema} does not exist")
+        self._schemas: dict[str, T.StructType] = {}
 
+    def _query(self, query: str) -> DataFrame:
+        return self.reader(self.spark, options(self.db, query))
 
-def load(spark: SparkSession, db: Database, reader: Callable[[SparkSession, Database, str], DataFrame] = read) -> dict[str, DataFrame]:
-    """All base tables of a database; raises ValueError if its schema does not exist."""
-    if reader(spark, db, schema_query(db)).isEmpty():
-        raise ValueError(f"schema {db.schema} does not exist")
-    names = [r[0] for r in reader(spark, db, tables_query(db)).collect() if r[0]]
-    return {n: reader(spark, db, f"SELECT * FROM {qualified(db, n)}") for n in names}
+    def tables(self) -> list[str]:
+        return [r[0] for r in self._query(tables_query(self.db)).collect() if r[0]]
 
+    def schema(self, table: str) -> T.StructType:
+        if table not in self._schemas:
+            self._schemas[table] = self._query(f"SELECT * FROM {qualified(self.db, table)} WHERE 1 = 0").schema
+        return self._schemas[table]
 
-def mongo_options(db: Database, collection: str) -> dict[str, str]:
+    def rows(self, table: str) -> int:
+        return int(self._query(f"SELECT COUNT(*) AS n FROM {qualified(self.db, table)}").first()[0])
+
+    def split_column(self, table: str) -> str | None:
+        """An integer column to read by: the first of the primary key, else the first of the table."""
+        whole = {f.name for f in self.schema(table) if isinstance(f.dataType, T.IntegralType) or isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0}
+        keys = [r[0] for r in self._query(key_query(self.db, table)).collect()] if whole else []
+        return next((c for c in [*keys, *self.schema(table).names] if c in whole), None)
+
+    def whole(self, table: str) -> DataFrame:
+        column, name = self.split_column(table), qualified(self.db, table)
+        if column:
+            c = quoted(self.db, column)
+            low, high, n = self._query(f"SELECT MIN({c}) AS low, MAX({c}) AS high, COUNT(*) AS n FROM {name}").first()
+            if n > self.part_rows and low is not None:
+                return self.reader(self.spark, partitioned(self.db, table, column, int(low), int(high) + 1, -(-int(n) // self.part_rows)))
+        return self._query(f"SELECT * FROM {name}")
+
+    def sample(self, table: str) -> DataFrame:
+        return self._query(sample_query(self.db, table, wanted(self.schema(table).names) or self.schema(table).names))
+
+
+def mongo_options(db: Database, collection: str, sample: bool = False, uri: str = "") -> dict[str, str]:
+    """Options of the Mongo connector; a sample is drawn by the server."""
     who = f"{quote(db.user, safe='')}:{quote(db.password, safe='')}@" if db.user else ""
-    return {"connection.uri": f"mongodb://{who}{db.host}:{db.port}", "database": db.database, "collection": collection}
+    out = {"connection.uri": uri or f"mongodb://{who}{db.host}:{db.port}", "database": db.database, "collection": collection}
+    return out | ({"aggregation.pipeline": json.dumps([{"$sample": {"size": SAMPLE_ROWS}}])} if sample else {})
+
+
+def _connector(spark: SparkSession, given: dict[str, str]) -> DataFrame:
+    return spark.read.format("mongodb").options(**given).load()
+
+
+def _collections(uri: str, database: str) -> list[str]:
+    import pymongo  # optional; needed where collections are not named
+
+    return pymongo.MongoClient(uri)[database].list_collection_names()
+
+
+class Mongo:
+    """The collections of a Mongo database as a source of scans; nested fields are flattened when cells are taken.
+
+    ``collections`` names them, else they are listed. ``uri`` replaces host, port and user.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        db: Database,
+        collections: Iterable[str] | None = None,
+        uri: str = "",
+        reader: Callable[[SparkSession, dict[str, str]], DataFrame] = _connector,
+        lister: Callable[[str, str], list[str]] = _collections,
+    ):
+        self.spark, self.db, self.uri, self.reader, self.lister = spark, db, uri, reader, lister
+        self.named = None if collections is None else list(collections)
+
+    def tables(self) -> list[str]:
+        found = self.named if self.named is not None else sorted(self.lister(mongo_options(self.db, "", uri=self.uri)["connection.uri"], self.db.database))
+        return [n for n in found if n and not n.startswith("system.")]
+
+    def schema(self, table: str) -> T.StructType:
+        return self.whole(table).schema
+
+    def rows(self, table: str) -> int:
+        return self.whole(table).count()
 
+    def whole(self, table: str) -> DataFrame:
+        return self.reader(self.spark, mongo_options(self.db, table, uri=self.uri))
 
-def mongo(spark: SparkSession, db: Database, collections: list[str]) -> dict[str, DataFrame]:
-    """Collections through the Mongo connector; nested fields are flattened when cells are taken."""
-    return {c: spark.read.format("mongodb").options(**mongo_options(db, c)).load() for c in collections}
+    def sample(self, table: str) -> DataFrame:
+        return self.reader(self.spark, mongo_options(self.db, table, sample=True, uri=self.uri))

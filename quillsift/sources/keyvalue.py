@@ -1,20 +1,40 @@
 """A key-value store as a table of cells: the key is the column, the keyspace the table.
 
 A Spark Python data source; the client is made in the task by a factory named in the options, so any
-client with ``scan_iter``, ``type`` and the readers of its types will do.
+client with ``scan_iter``, ``type`` and the readers of its types will do. Option ``partitions`` deals the keys out by
+checksum: every task walks the names of all keys and reads the values of its own.
 """
 
 from __future__ import annotations
 
 import importlib
+import zlib
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Items read of a list.
+from quillsift.operators.cells import SAMPLE_ROWS, tidy
+
+#: Items of a list that are asked for at once.
 LIST_ITEMS = 1001
 
 
+def client_of(factory: str):
+    module, _, name = factory.rpartition(".")
+    return getattr(importlib.import_module(module), name)()
+
+
+def _items(client, key: str) -> Iterator:
+    at, part = 0, client.lrange(key, 0, LIST_ITEMS - 1)
+    while part:
+        yield from part
+        at += LIST_ITEMS
+        part = client.lrange(key, at, at + LIST_ITEMS - 1) if len(part) == LIST_ITEMS else []
+
+
 def values(client, key: str) -> Iterator[str]:
     """The texts under a key, by its type. Hashes and sorted sets give every item, names and scores among them."""
     kind = client.type(key)
@@ -22,7 +42,7 @@ def values(client, key: str) -> Iterator[str]:
     if kind == "string":
         found = [client.get(key)]
     elif kind == "list":
-        found = client.lrange(key, 0, LIST_ITEMS - 1)
+        found = _items(client, key)
     elif kind == "set":
         found = client.sscan_iter(key)
     elif kind == "hash":
@@ -52,17 +72,21 @@ class KeyValueReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [InputPartition(0)]
+        parts = 1 if int(self.options.get("sample", "0")) else max(1, int(self.options.get("partitions", "1")))
+        return [InputPartition((i, parts)) for i in range(parts)]
 
     def read(self, partition):
-        module, _, name = self.options["client"].rpartition(".")
-        client = getattr(importlib.import_module(module), name)()
+        client = client_of(self.options["client"])
         n = int(self.options.get("sample", "0"))
         table = "db" + self.options.get("db", "0")
+        mine, parts = partition.value if partition is not None else (0, 1)
         for key in sampled_keys(client, n) if n else client.scan_iter():
-            key = key.decode() if isinstance(key, bytes) else key
-            for v in values(client, key):
-                yield table, key, v
+            raw = key if isinstance(key, bytes) else key.encode()
+            if zlib.crc32(raw) % parts != mine:
+                continue
+            name = raw.decode(errors="replace")
+            for v in values(client, name if name.encode() == raw else raw):
+                yield table, name, v
 
 
 class KeyValueSource(DataSource):
@@ -77,3 +101,31 @@ class KeyValueSource(DataSource):
 
     def reader(self, schema):
         return KeyValueReader(self.options)
+
+
+class KeyValues:
+    """A keyspace as a source of scans; its keys are names that are judged as they come. ``partitions`` tasks read it."""
+
+    def __init__(self, spark: SparkSession, client: str, db: int = 0, partitions: int = 1):
+        self.spark, self.client, self.db, self.partitions = spark, client, db, partitions
+        spark.dataSource.register(KeyValueSource)
+
+    def tables(self) -> list[str]:
+        return [f"db{self.db}"]
+
+    def schema(self, table: str) -> T.StructType:
+        return T.StructType()
+
+    def rows(self, table: str) -> int:
+        return client_of(self.client).dbsize()
+
+    def cells(self, table: str, sample: bool) -> DataFrame:
+        options = {"client": self.client, "db": str(self.db), "partitions": str(self.partitions), "sample": str(SAMPLE_ROWS if sample else 0)}
+        read = self.spark.read.format("keyvalue").options(**options).load()
+        return read.select("table", "column", tidy(F.col("value")).alias("value")).where("value is not null")
+
+    def whole(self, table: str) -> DataFrame:
+        return self.cells(table, False)
+
+    def sample(self, table: str) -> DataFrame:
+        return self.cells(table, True)

@@ -3,12 +3,13 @@
 import datetime
 import glob
 import os
+import tomllib
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillsift.operators import cells, score
-from quillsift.plans import catalogue, report
+from quillsift.plans import catalogue, report, run
 from quillsift.plans.scan import ScanConfig, plan, scan, scan_targets, spread, with_timeout
 from quillsift.sources import databases, files, keyvalue
 from quillsift.streaming import live
@@ -102,6 +103,11 @@ def test_targets_and_timeout(spark):
     found, skipped = scan_targets(spark, {"good": lambda: {"t": spark.createDataFrame([("a@b.co",)], "email string")}, "bad": lambda: 1 / 0})
     assert {r["target"] for r in found.collect()} == {"good"} and list(skipped) == ["bad"]
     assert with_timeout(spark, 60, lambda: spark.range(3).count()) == 3
+    with pytest.raises(TimeoutError):
+        with_timeout(spark, 0.5, lambda: spark.range(4).select(F.udf(lambda x: __import__("time").sleep(5) or x, "long")("id").alias("x")).agg(F.sum("x")).collect())
+    with pytest.raises(ZeroDivisionError):
+        with_timeout(spark, 60, lambda: 1 / 0)
+    assert spark.range(3).count() == 3
 
 
 def findings(spark):
@@ -136,18 +142,95 @@ def test_connections():
     assert databases.partitioned(databases.Database("h", "d"), "t", "k", 0, 9, 3)["numPartitions"] == "3"
 
 
-def test_database_catalog(spark):
-    def reader(session, db, query):
-        if "schemata" in query:
-            return session.createDataFrame([("public",)], "n string")
-        if "information_schema.tables" in query:
-            return session.createDataFrame([("users",), ("",)], "n string")
-        return session.createDataFrame([("a@b.co",)], "email string")
+@pytest.fixture(scope="module")
+def shop(spark):
+    """A database in memory with the catalog views of the engines, and a reader of it; ``asked`` holds what was read."""
+    url = "jdbc:derby:memory:shop;create=true"
+    con = spark._jvm.java.sql.DriverManager.getConnection(url)
+    run = con.createStatement().execute
+    for text in (
+        'CREATE SCHEMA "public"',
+        "CREATE SCHEMA information_schema",
+        "CREATE TABLE information_schema.schemata (schema_name VARCHAR(20))",
+        "CREATE TABLE information_schema.tables (table_name VARCHAR(20), table_schema VARCHAR(20), table_type VARCHAR(20))",
+        "CREATE TABLE information_schema.table_constraints (constraint_name VARCHAR(20), table_schema VARCHAR(20), table_name VARCHAR(20), constraint_type VARCHAR(20))",
+        "CREATE TABLE information_schema.key_column_usage (constraint_name VARCHAR(20), table_schema VARCHAR(20), table_name VARCHAR(20), column_name VARCHAR(20), ordinal_position INT)",
+        'CREATE TABLE "public"."users" ("age" INT, "Key" BIGINT, "email" VARCHAR(40))',
+        'CREATE TABLE "public"."notes" ("text" VARCHAR(40))',
+        "INSERT INTO information_schema.schemata VALUES 'public'",
+        "INSERT INTO information_schema.tables VALUES ('users', 'public', 'BASE TABLE'), ('notes', 'public', 'BASE TABLE'), ('v', 'public', 'VIEW')",
+        "INSERT INTO information_schema.table_constraints VALUES ('pk', 'public', 'users', 'PRIMARY KEY')",
+        "INSERT INTO information_schema.key_column_usage VALUES ('pk', 'public', 'users', 'Key', 1)",
+        "INSERT INTO \"public\".\"notes\" VALUES 'x', 'call me'",
+        'INSERT INTO "public"."users" VALUES ' + ", ".join(f"({i % 7}, {i}, 'u{i}@x.co')" for i in range(100)) + ", (1, NULL, 'none@x.co')",
+    ):
+        run(text)
+    asked = []
+
+    def reader(session, given):
+        asked.append(given)
+        given = given | {"url": url}
+        if "query" in given:
+            given["query"] = given["query"].replace("TABLESAMPLE BERNOULLI (10) REPEATABLE (47) LIMIT 10000", "FETCH FIRST 10 ROWS ONLY")
+        return session.read.format("jdbc").options(**{k: v for k, v in given.items() if v}).load()
+
+    return reader, asked
+
+
+def test_database_source(spark, shop):
+    reader, asked = shop
+    db = databases.Jdbc(spark, databases.Database("h", "d"), reader, part_rows=30)
+    assert db.tables() == ["notes", "users"] and db.rows("users") == 101 and db.split_column("users") == "Key" and db.split_column("notes") is None
+    whole = db.whole("users")
+    assert whole.rdd.getNumPartitions() == 4 and whole.count() == 101 and whole.distinct().count() == 101
+    assert db.whole("notes").rdd.getNumPartitions() == 1 and db.whole("notes").count() == 2
+    assert db.sample("users").columns == ["age", "Key", "email"] and db.sample("users").count() == 10
+    shown = lambda f: sorted(map(str, f.withColumn("weight", F.round("weight", 9)).collect()))
+    assert shown(scan(spark, db)) == shown(scan(spark, {t: db.whole(t) for t in db.tables()}))
+    del asked[:]
+    found = scan(spark, db, ScanConfig("datascan", include=("users",))).where("detector_type like '%ata%'").collect()
+    assert {r["scanned_count"] for r in found if r["column"] == "email"} <= {10, 0} and any("TABLESAMPLE" in o.get("query", "") for o in asked) and not any("partitionColumn" in o for o in asked)
+
+
+def test_mongo_source(spark):
+    asked = []
+
+    def reader(session, given):
+        asked.append(given)
+        return session.createDataFrame([(("a@b.co",), 1)], "who struct<email: string>, n int")
+
+    db = databases.Mongo(spark, databases.Database("h", "d", "mongodb", user="a", password="p@"), reader=reader, lister=lambda uri, name: ["users", "system.views", "old"])
+    assert db.tables() == ["old", "users"] and db.rows("users") == 1
+    assert {r["column"] for r in scan(spark, db, ScanConfig("datascan")).collect()} == {"who.email"}
+    assert any("$sample" in o.get("aggregation.pipeline", "") for o in asked) and asked[0]["connection.uri"] == "mongodb://a:p%40@h:27017"
+    assert databases.Mongo(spark, databases.Database("h", "d", "mongodb"), ["one"], "mongodb://other").tables() == ["one"]
+
+
+def test_configuration(spark, tmp_path, monkeypatch, capsys, shop):
+    (tmp_path / "config.toml").write_text(
+        '[[instances]]\nhost = "a"\ndatabases = ["d", "e"]\nsslmode = "disable"\n'
+        '[[instances]]\nengine = "mysql"\nhost = "b"\nport = 7\ndatabases = ["d"]\ntlsmode = "false"\n'
+        '[[instances]]\nengine = "mongodb"\nuri = "mongodb://me:secret@m:1,n:2/x"\ndatabases = ["d"]\n'
+        '[[instances]]\nengine = "oracle"\nhost = "c"\ndatabases = ["d"]\n'
+        '[[instances]]\nengine = "redis"\nhost = "r"\nredis_dbs = [0, 3]\nclient = "x.y"\n'
+    )
+    found = list(run.targets(tomllib.loads((tmp_path / "config.toml").read_text())["instances"]))
+    assert [t.label for t in found] == ["a_5432_d", "a_5432_e", "b_7_d", "m_1_n_2_d", "c_d", "r_6379_db0", "r_6379_db3"]
+    assert [t.label for t in run.chosen(found, database="d", host="a")] == ["a_5432_d"] and len(run.chosen(found, engine="redis")) == 2
+    with pytest.raises(ValueError):
+        run.chosen(found, database="gone")
+    opened, real = [], databases.Jdbc
+    monkeypatch.setattr(databases, "Jdbc", lambda session, db: opened.append(db) or real(session, db, shop[0]))
+    out = str(tmp_path / "out")
+    assert run.main(["--config", str(tmp_path), "--host", "a", "--database", "d", "--exclude", "notes", "--output", out], spark) == 0
+    assert os.path.exists(f"{out}/a_5432_d/report.html") and opened[0].sslmode == "disable" and "email" in capsys.readouterr().out
+    assert run.main(["--config", str(tmp_path), "--engine", "oracle", "--output", out], spark) == 1 and "not opened" in capsys.readouterr().out
+    assert run.main(["postgres://h/d", "--schema", "public", "--mode", "metascan", "--print-summary", "--no-timeout", "--output", out], spark) == 0
+
 
-    loaded = databases.load(spark, databases.Database("h", "d"), reader)
-    assert list(loaded) == ["users"] and loaded["users"].count() == 1
+def test_database_without_schema(spark):
     with pytest.raises(ValueError):
-        databases.load(spark, databases.Database("h", "d"), lambda s, d, q: s.createDataFrame([], "n string"))
+        databases.Jdbc(spark, databases.Database("h", "d"), lambda s, o: s.createDataFrame([], "n string"))
 
 
 class FakeStore:
@@ -183,6 +266,19 @@ def test_key_value_store(spark, tmp_path, monkeypatch):
     rows = list(read.read(None))
     assert rows[0] == ("db3", "k1", "a@b.co") and ("db3", "k4", "1.5") in rows and len(rows) == 8
     assert keyvalue.sampled_keys(FakeStore(), 9) == ["k1", "k2"]
+    parts = keyvalue.KeyValueReader({"client": f"{__name__}.FakeStore", "partitions": "3"}).partitions()
+    split = keyvalue.KeyValueReader({"client": f"{__name__}.FakeStore", "db": "3", "partitions": "3"})
+    assert len(parts) == 3 and sorted(r for p in parts for r in split.read(p)) == sorted(rows)
+    monkeypatch.setitem(FakeStore.data, "k2", ("list", [str(i).encode() for i in range(2502)]))
+    assert list(keyvalue.values(FakeStore(), "k2")) == [str(i) for i in range(2502)]
+
+
+def test_scan_of_key_values(spark, monkeypatch):
+    rows = [("db0", "email:1", "a@b.co"), ("db0", "note", " "), ("db0", "note", "x")]
+    store = keyvalue.KeyValues(spark, f"{__name__}.FakeStore")
+    monkeypatch.setattr(store, "rows", lambda t: 3)
+    monkeypatch.setattr(store, "cells", lambda t, sample: spark.createDataFrame(rows, "table string, column string, value string"))
+    assert ("db0", "email:1", "Email") in {(r["table"], r["column"], r["label"]) for r in scan(spark, store).collect()}
 
 
 def test_files(spark, tmp_path):
