@@ -31,6 +31,8 @@ from quillsift.llm.common import fresh_path, join_small, staged
 from quillsift.llm.tokens import encoder, vocabulary_path
 
 SEGMENT = 2 << 20
+#: Segments that one task reads where there are more than the cores need to be busy.
+PER_TASK = 64
 MAGIC = b"QSSEG001"
 _PARTS = (("doc_ids", "<i8"), ("null_ids", "u1"), ("lengths", "<i8"), ("symbols", "<u4"), ("freq", "<u4"), ("states", "<u8"), ("sizes", "<u4"), ("crc", "<u4"), ("words", "<u4"))
 
@@ -116,8 +118,9 @@ def placed(segments: DataFrame) -> DataFrame:
 
 
 def read(segments: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files; one segment is read at a time."""
-    tasks = max(1, segments.count())
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files; a task has many segments and reads one at a time."""
+    n = segments.count()
+    tasks = max(1, min(n, 4 * segments.sparkSession.sparkContext.defaultParallelism), -(-n // PER_TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, root = fs.FileSystem.from_uri(folder)
@@ -132,7 +135,7 @@ def read(segments: DataFrame, folder: str) -> DataFrame:
                 names = pa.array(seg["doc_ids"], mask=seg["null_ids"].astype(bool))
                 yield pa.record_batch([names, pa.array(row["base"] + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed(segments).repartition(tasks, "file", "offset").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed(segments).repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int = 2) -> DataFrame:
