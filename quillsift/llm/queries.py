@@ -108,10 +108,29 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+items AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sized s ON s.doc_id = a JOIN sized t ON t.doc_id = b WHERE 100 * inter >= 75 * (s.n + t.n - inter)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id,
+       w.doc_id <= coalesce(low, w.doc_id) AS kept
+FROM worded w LEFT JOIN sized s ON s.doc_id = w.doc_id LEFT JOIN lowest ON a = w.doc_id
+"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op5_language, op6_decontamination, op7_token_counts, op8_lm_score, op9_secrets, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op10_near_dedup": OP10_SQL}

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm import decontam, langid, lm_score, media, mixing, near_dedup, pieces, rans, secrets, token_output, tokens, url_filter
+from quillsift.llm import decontam, langid, lm_score, media, mixing, near_dedup, pieces, queries, rans, secrets, token_output, tokens, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, n long, digest string, band string, base string"
@@ -525,6 +525,19 @@ def test_near_dedup_on_awkward_rows(docs, nothing):
     assert kept.columns == docs.columns and 11 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_sql_of_the_queries(spark):
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
+    for name, sql in queries.oracle_sql().items():
+        df, want = queries.queries()[name](spark, folder), con.execute(sql).df()
+        names = sorted(df.columns)
+        assert names == sorted(want.columns)
+        plain = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+        assert plain(df.select(*names).toPandas().astype(object).values.tolist()) == plain(want[names].astype(object).values.tolist()), name
+
+
 def test_near_dedup_is_exact_on_chains_and_stars(spark):
     rng = np.random.default_rng(9)
     words = [f"v{i}" for i in range(4000)]
