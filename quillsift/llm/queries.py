@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import decontam, langid, lm_score, media, mixing, near_dedup, secrets, token_output, tokens, url_filter
-from quillsift.llm.common import documents
+from quillsift.llm import clusters, decontam, langid, lm_score, media, mixing, near_dedup, neighbours, secrets, token_output, tokens, url_filter, whitening
+from quillsift.llm.common import documents, embeddings
 
 #: Fixed rules of the URL query, then the method's own patterns for what no host rule decides.
 URL_RULES = [
@@ -59,6 +59,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_table(embeddings(spark, sf_dir))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(embeddings(spark, sf_dir))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_table(embeddings(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -128,9 +140,36 @@ FROM worded w LEFT JOIN sized s ON s.doc_id = w.doc_id LEFT JOIN lowest ON a = w
 """
 
 
+# Integer vectors of 64 components; three rounds of centroids, each of the assignment before it.
+_OP13_ASSIGN = """
+  SELECT vec_id, x, cluster, distance FROM (
+    SELECT v.vec_id, v.x, c.cluster, list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c.c[j]) * (v.x[j] - c.c[j])))::BIGINT AS distance
+    FROM v, {centroids} c)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, x ORDER BY distance, cluster) = 1"""
+_OP13_MOVE = """
+  SELECT c.cluster, coalesce(m.c, c.c) AS c FROM {centroids} c LEFT JOIN (
+    SELECT cluster, list(m ORDER BY j) AS c FROM (
+      SELECT cluster, j, floor(sum(x[j])::DOUBLE / count(*))::BIGINT AS m FROM {assigned}, (SELECT unnest(range(1, 65)) AS j) GROUP BY cluster, j)
+    GROUP BY cluster) m USING (cluster)"""
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS cluster, x AS c FROM v QUALIFY cluster < 16),
+a0 AS MATERIALIZED ({_OP13_ASSIGN.format(centroids="c0")}), c1 AS MATERIALIZED ({_OP13_MOVE.format(centroids="c0", assigned="a0")}),
+a1 AS MATERIALIZED ({_OP13_ASSIGN.format(centroids="c1")}), c2 AS MATERIALIZED ({_OP13_MOVE.format(centroids="c1", assigned="a1")}),
+a2 AS MATERIALIZED ({_OP13_ASSIGN.format(centroids="c2")}), c3 AS MATERIALIZED ({_OP13_MOVE.format(centroids="c2", assigned="a2")}),
+a3 AS MATERIALIZED ({_OP13_ASSIGN.format(centroids="c3")})
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op5_language, op6_decontamination, op7_token_counts, op8_lm_score, op9_secrets, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_media, op3_token_output, op4_url_filter, op5_language, op6_decontamination, op7_token_counts, op8_lm_score, op9_secrets, op10_near_dedup, op11_whitening, op12_neighbours, op13_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op10_near_dedup": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_url_filter": OP4_SQL, "op10_near_dedup": OP10_SQL, "op13_clusters": OP13_SQL}
