@@ -1,91 +1,91 @@
-"""What names stand for, and recognised entities: the two lookups of a scan that are Python functions over Arrow batches."""
+"""What runs as Python over Arrow batches: what names stand for, and detectors that judge texts by a function."""
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import functions as F
 
-from quillsift.functions import dialect
-from quillsift.functions.column_rules import COLUMN_RULES
-from quillsift.functions.value_rules import Rule, for_region
+from quillsift.functions.rulebook import STANDARD, Detector, Found, Isolation, Names, Rulebook
+from quillsift.functions.workers import LOST, Failed, Workers
 
-#: text -> (entity, type) of a recogniser
-Ner = Callable[[str], list[tuple[str, str]]]
-#: Entity types of a recogniser and the labels they stand for.
-ENTITIES = {"PERSON": "Name", "GPE": "Address"}
-#: Calls of a recogniser that run at once in a worker, and the seconds one may take; a late call finds nothing.
-NER_CALLS, NER_SECONDS = 4, 5.0
+log = logging.getLogger(__name__)
 
+#: text -> (entity, type) or (entity, type, start, end) of a recogniser of named entities
+Ner = Callable[[str], list[tuple]]
+#: Entity types of a recogniser and the labels they stand for, all of this weight.
+ENTITIES, ENTITY_WEIGHT = {"PERSON": "Name", "GPE": "Address"}, 0.7
 
-class Names:
-    """Labels of column names and keys for a region ("" for all)."""
+#: (label, weight, start, end) with start -1 for a match without a position.
+Match = tuple[str, float, int, int]
 
-    def __init__(self, region: str = ""):
-        self.rules = [(label, [(dialect.python(r.pattern), r.weight) for r in rules]) for label, rules in for_region(COLUMN_RULES, region).items()]
 
-    def labels(self, name: str) -> dict[str, float]:
-        """label -> weight of its first matching rule."""
-        name, out = name.lower(), {}
-        for label, rules in self.rules:
-            for pattern, weight in rules:
-                if pattern.search(name):
-                    out[label] = weight
-                    break
-        return out
-
-    def context(self, name: str) -> str | None:
-        """The label that a name stands for: largest weight, then first by label."""
-        found = self.labels(name)
-        return min(found, key=lambda label: (-found[label], label)) if found else None
-
-
-@lru_cache(maxsize=None)
-def names(region: str = "") -> Names:
-    out = Names(region)
-    out.labels, out.context = lru_cache(maxsize=65536)(out.labels), lru_cache(maxsize=65536)(out.context)
-    return out
-
-
-def context_of(region: str = ""):
+def context_of(book: Rulebook = STANDARD):
     """Column function: name -> the label it stands for."""
-    return F.udf(lambda name: None if name is None else names(region).context(name), "string", useArrow=True)
+    names = Names(book)
+    return F.udf(lambda name: None if name is None else names.context(name), "string", useArrow=True)
 
 
-def name_labels(region: str = ""):
+def name_labels(book: Rulebook = STANDARD):
     """Column function: name -> all its labels, sorted."""
-    return F.udf(lambda name: sorted(names(region).labels(name or "")), "array<string>", useArrow=True)
-
-
-def entity_kinds(ner: Ner, pieces: list[dict]) -> list[list[str]]:
-    """The labels that a recogniser finds in each of a cell's pieces (raw, context). It is asked only where the context is one of its
-    labels; a call that takes too long finds nothing."""
-    out: list[list[str]] = [[] for _ in pieces]
-    asked = [i for i, p in enumerate(pieces) if p["context"] in ENTITIES.values()]
-    if asked:
-        pool = ThreadPoolExecutor(NER_CALLS)
-        calls = {i: pool.submit(ner, re.sub(r"[\r\n]+", " ", pieces[i]["raw"])) for i in asked}
-        for i, call in calls.items():
-            try:
-                kinds = {kind for _, kind in call.result(NER_SECONDS)}
-            except Late:
+    names = Names(book)
+    return F.udf(lambda name: sorted(names.labels(name or "")), "array<string>", useArrow=True)
+
+
+def recogniser(ner: Ner | None = None, make: Callable[[], Ner] | None = None, isolation: Isolation | None = Isolation()) -> Detector:
+    """A recogniser of named entities as a detector: asked where the context is one of its labels, in one line. ``make`` loads a model in each process."""
+    load = make if make is not None else (lambda: ner)
+
+    def judge():
+        call = load()
+
+        def run(text: str, context: frozenset[str]) -> list[Found]:
+            out: dict[str, Found] = {}
+            for _, kind, *place in call(re.sub(r"[\r\n]", " ", text)):
+                if kind in ENTITIES:
+                    out.setdefault(ENTITIES[kind], (ENTITIES[kind], ENTITY_WEIGHT, *place))
+            return list(out.values())
+
+        return run
+
+    return Detector("spacy", make=judge, asks=frozenset(ENTITIES.values()), isolation=isolation)
+
+
+def _match(found: Found) -> Match:
+    label, weight, *place = found
+    start, end = place if len(place) == 2 and place[1] > place[0] else (-1, -1)
+    return str(label), float(weight), int(start), int(end)
+
+
+class Asked:
+    """A detector's function for the pieces of many cells, in this process or in workers; ``close`` ends them."""
+
+    def __init__(self, detector: Detector):
+        self.detector, self.call, self.workers = detector, None, None
+        if (at := detector.isolation) is not None:
+            self.workers = Workers(detector.maker(), at.processes, at.seconds, at.start_seconds)
+
+    def __call__(self, cells: list[list[dict]]) -> Iterator[list[list[Match]]]:
+        """For each cell's pieces (raw, context) what is found in them."""
+        sets = [[frozenset([p["context"]] if p["context"] else ()) for p in pieces] for pieces in cells]
+        wanted = [(i, j) for i, pieces in enumerate(cells) for j in range(len(pieces)) if self.detector.asks is None or self.detector.asks & sets[i][j]]
+        calls = [(cells[i][j]["raw"], sets[i][j]) for i, j in wanted]
+        if self.workers is not None:
+            results = self.workers.map(calls) if calls else []
+        else:
+            if self.call is None:
+                self.call = self.detector.maker()()
+            results = [self.call(*c) for c in calls]
+        out: list[list[list[Match]]] = [[[] for _ in pieces] for pieces in cells]
+        for (i, j), found in zip(wanted, results):
+            if found is LOST or isinstance(found, Failed):
+                log.warning("detector %s: a call was lost%s", self.detector.name, f", {found}" if found is not LOST else "")
                 continue
-            out[i] = [label for kind, label in ENTITIES.items() if kind in kinds]
-        pool.shutdown(wait=False, cancel_futures=True)
-    return out
-
-
-def register(label: str, columns: list[Rule] = (), values: list[Rule] = (), tier: str = "Tier3", domain: str | None = None) -> None:
-    """Add a detector of one's own: rules for names and for values of a new or known label, tried after those it has."""
-    from quillsift.functions import registry
-    from quillsift.functions.value_rules import VALUE_RULES
+            out[i][j] = [_match(f) for f in found or ()]
+        yield from out
 
-    registry.LABELS.setdefault(label, (tier, domain))
-    for rules, more in ((COLUMN_RULES, columns), (VALUE_RULES, values)):
-        if more:
-            rules[label] = [*rules.get(label, []), *more]
-    names.cache_clear()
+    def close(self) -> None:
+        if self.workers is not None:
+            self.workers.close()

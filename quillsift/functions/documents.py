@@ -17,7 +17,7 @@ from urllib.parse import unquote_plus
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillsift.functions.cell import names
+from quillsift.functions.rulebook import STANDARD, Names, Rulebook
 from quillsift.functions.validators import mac
 
 #: Loose pairs in broken JSON and in text.
@@ -188,14 +188,15 @@ def may_hold_fields(value: Column) -> Column:
     return value.rlike(rf"^[{BLANK}]*[{{\[<]|[:=]|%3[dD]") | (F.length(value) >= 8) & value.rlike(rf"^[A-Za-z0-9+/_=\-{BLANK}]*\z")
 
 
-def document(region: str = ""):
+def document(book: Rulebook = STANDARD):
     """Column function: the text after one layer of unwrapping, and its pairs with the labels that the keys stand for."""
+    names = Names(book)
 
     def run(value):
         if value is None:
             return None
         text, pairs = extract(value)
-        return text, [(k, v, names(region).context(k)) for k, v in pairs]
+        return text, [(k, v, names.context(k)) for k, v in pairs]
 
     return F.udf(run, "struct<text:string,pairs:array<struct<key:string,value:string,context:string>>>", useArrow=True)
 

@@ -51,9 +51,6 @@ MERGED = frozenset({
     "RationCard", "SEBIRegistration", "TAN", "UAN", "UPIID", "VehicleNumber", "VoterID",
 })
 
-#: Rank of tiers for callers that sort by it; unknown tiers rank last.
-TIER_RANK = {"Tier1": 3, "Tier2": 2, "Tier3": 1}
-
 
 def tier(label: str) -> str:
     return LABELS.get(label, ("Tier3", None))[0]

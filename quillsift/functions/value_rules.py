@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 # Two-letter state codes as they stand in the formats below.
@@ -18,14 +19,6 @@ _HANDLES = (
     "mobikwik|amazonpay|flipkart|phonepe|gpay|bhim|upi"
 )
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_H = "[0-9a-f]{1,4}"
-#: Forms of an IPv6 address: all eight groups, a gap at the end, a gap after i groups with up to 7 - i behind it, a gap in front, a mapped IPv4 address.
-_V6 = "|".join([
-    f"(?:{_H}:){{7}}{_H}", f"(?:{_H}:){{1,7}}:", f"(?:{_H}:){{1,6}}:{_H}", *[f"(?:{_H}:){{1,{i}}}(?::{_H}){{1,{7 - i}}}" for i in (5, 4, 3, 2)],
-    f"{_H}:(?::{_H}){{1,6}}", f":(?:(?::{_H}){{1,7}}|:)", r"::ffff:\d{1,3}(?:\.\d{1,3}){3}",
-])
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -105,8 +98,8 @@ VALUE_RULES: dict[str, list[Rule]] = {
         _india(r"(?i)\b[0-9]{3}[ -]?(?:CD|CC|UN)[ -]?[0-9]{4}\b", 0.8),
     ],
     "IPAddress": [
-        Rule(rf"(?:^|[^0-9])({_OCTET}(?:\.{_OCTET}){{3}}(?::(?:6553[0-5]|655[0-2]\d|65[0-4]\d{{2}}|6[0-4]\d{{3}}|[1-5]?\d{{1,4}}))?)(?:$|[^0-9])", 1.0),
-        Rule(rf"(?i)(?:^|[^0-9A-Fa-f:])({_V6})(?:%[0-9A-Za-z._-]+)?(?:$|[^0-9A-Fa-f:])", 1.0),
+        Rule(r"(?:^|[^0-9])((?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?::(?:6553[0-5]|655[0-2]\d|65[0-4]\d{2}|6[0-4]\d{3}|[1-5]?\d{1,4}))?)(?:$|[^0-9])", 1.0),
+        Rule(r"(?i)(?:^|[^0-9A-Fa-f:])((?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,7}:|(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,5}(?::[0-9a-f]{1,4}){1,2}|(?:[0-9a-f]{1,4}:){1,4}(?::[0-9a-f]{1,4}){1,3}|(?:[0-9a-f]{1,4}:){1,3}(?::[0-9a-f]{1,4}){1,4}|(?:[0-9a-f]{1,4}:){1,2}(?::[0-9a-f]{1,4}){1,5}|[0-9a-f]{1,4}:(?::[0-9a-f]{1,4}){1,6}|:(?:(?::[0-9a-f]{1,4}){1,7}|:)|::ffff:\d{1,3}(?:\.\d{1,3}){3})(?:%[0-9A-Za-z._-]+)?(?:$|[^0-9A-Fa-f:])", 1.0),
     ],
     "MacAddress": [Rule(r"(?i)\b[0-9a-f]{2}(?:[:\-][0-9a-f]{2}){5}\b|\b[0-9a-f]{4}(?:\.[0-9a-f]{4}){2}\b", 1.0)],
     "OAuthToken": [
@@ -130,7 +123,7 @@ VALUE_RULES: dict[str, list[Rule]] = {
 }
 
 
-def for_region(rules: dict[str, list[Rule]], region: str = "") -> dict[str, list[Rule]]:
+def for_region(rules: Mapping[str, Sequence[Rule]], region: str = "") -> Mapping[str, Sequence[Rule]]:
     """All rules without a region, else the untagged ones and those of the region."""
     if not region:
         return rules

@@ -19,6 +19,8 @@ IGNORED = (
 IGNORED_NAMES = frozenset({"user_agent", "id"})
 
 SAMPLE_FRACTION, SAMPLE_ROWS, SAMPLE_SEED = 0.1, 10_000, 47
+#: Bins in which a sample is counted.
+BINS = 4096
 
 #: White space that trimming removes.
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -105,9 +107,33 @@ def cells(df: DataFrame, table: str, decimals: bool = True) -> DataFrame:
     return out.select(F.lit(table).alias("table"), "cell.column", "cell.value")
 
 
+def draw(df: DataFrame, seed: int = SAMPLE_SEED) -> Column:
+    """A number from 0 to 1 for each row, from the MD5 of the seed and the row's scanned cells with their lengths: the same in
+    every layout of files and in every engine. Rows whose scanned cells are equal have the same one."""
+    texts = [F.concat(F.coalesce(F.length(t).cast("string"), F.lit("")), F.lit(":"), F.coalesce(t, F.lit(""))) for t in scannable(df).values()]
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), *texts))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def sample(df: DataFrame, fraction: float = SAMPLE_FRACTION, rows: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED) -> DataFrame:
-    """A Bernoulli sample of at most ``rows`` rows, the same for a seed and a layout of files."""
-    return df.sample(False, fraction, seed).limit(rows)
+    """A Bernoulli sample by :func:`draw`; of more than ``rows`` rows those with the smallest numbers.
+
+    Where the cut lies is found by counts of rows in bins, so that no task sorts or holds the sample: bins below it are
+    taken whole, only the bin with the cut is ordered."""
+    if fraction <= 0 or rows <= 0:
+        return df.limit(0)
+    name = "drawn"
+    while name in df.columns:
+        name += "_"
+    at = F.floor(F.col(name) * (BINS / fraction))
+    kept = df.withColumn(name, draw(df, seed)).where(F.col(name) < fraction)
+    below = 0
+    for b in kept.groupBy(at.alias("bin")).count().orderBy("bin").collect():  # BINS rows at most
+        if below + b["count"] > rows:
+            cut = kept.where(at == b["bin"]).orderBy(name).limit(rows - below)
+            return kept.where(at < b["bin"]).unionByName(cut).drop(name)
+        below += b["count"]
+    return kept.drop(name)
 
 
 def counts(cell_rows: DataFrame) -> DataFrame:

@@ -1,13 +1,13 @@
 """From cells to evidence: fields, segments, rules, resolution and sums, as expressions on one row a cell.
 
-Only two things leave the JVM, in Arrow batches: values that may hold a document (JSON, XML, queries, Base64, loose pairs) and,
-if one is given, the recogniser of named entities. Nothing is shuffled before the sums of evidence, which hold one row a column
+Only two things leave the JVM, in Arrow batches: values that may hold a document (JSON, XML, queries, Base64, loose pairs) and
+pieces of text for detectors that are functions, if there are any. Nothing is shuffled before the sums of evidence, which hold one row a column
 and label.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillsift.functions import dialect, documents
-from quillsift.functions.cell import ENTITIES, Names, Ner, context_of, entity_kinds, name_labels
-from quillsift.functions.registry import confidence, domain, tier
+from quillsift.functions.cell import Asked, context_of, name_labels
+from quillsift.functions.registry import confidence
+from quillsift.functions.rulebook import STANDARD, Names, Rulebook, rulebook
 from quillsift.functions.validators import gstin_expr, ip_expr, luhn_expr, mac_expr, verhoeff_expr
-from quillsift.functions.value_rules import VALUE_RULES, Rule, for_region
+from quillsift.functions.value_rules import VALUE_RULES, Rule
 from quillsift.operators import resolve
 
 #: Values of up to so many bytes are judged once a column.
@@ -36,7 +37,7 @@ _MARKS = sorted(set(_NEEDS.values()))
 _CHECKS = {"CreditCard": lambda m: luhn_expr(F.translate(m, " -+", "")), "AdharcardNumber": lambda m: verhoeff_expr(F.translate(m, " -", "")), "GSTIN": gstin_expr, "MacAddress": mac_expr, "IPAddress": ip_expr}
 
 
-def _first(label: str, rules: list[Rule], low: Column, contexts: Column, make, checked: bool = True) -> Column:
+def _first(label: str, rules: Sequence[Rule], low: Column, contexts: Column, make, checked: bool = True) -> Column:
     """What ``make`` says of the first rule of a label that matches ``low`` and whose leftmost match stands its check; else null."""
     out, check = F.lit(None), _CHECKS.get(label) if checked else None
     for i, r in reversed(list(enumerate(rules))):
@@ -56,9 +57,9 @@ def prepared(text: Column) -> Column:
     return F.struct(low.alias("low"), *[low.rlike(mark).alias(f"has{i}") for i, mark in enumerate(_MARKS)])
 
 
-def matches(text: Column, contexts: Column, rules: dict[str, list[Rule]] | None = None) -> Column:
+def matches(text: Column, contexts: Column, rules: Mapping[str, Sequence[Rule]] | None = None, own: frozenset[str] = frozenset()) -> Column:
     """array<MATCH> of every label whose first matching and valid rule fires on a :func:`prepared` text; positions are those of its
-    leftmost match. Gated rules fire only for labels among ``contexts``."""
+    leftmost match. Gated rules fire only for labels among ``contexts``. Labels in ``own`` have rules that the quick patterns do not know."""
     low, rules = text["low"], VALUE_RULES if rules is None else rules
 
     def found(label: str) -> Column:
@@ -70,17 +71,17 @@ def matches(text: Column, contexts: Column, rules: dict[str, list[Rule]] | None
 
     parts = []
     for need in ("", *_MARKS):
-        some = [found(label) for label in rules if _NEEDS.get(label, "") == need]
+        some = [found(label) for label in rules if ("" if label in own else _NEEDS.get(label, "")) == need]
         if some:
             hits = F.filter(F.array(*some), lambda m: m.isNotNull())
             parts.append(F.when(text[f"has{_MARKS.index(need)}"], hits).otherwise(F.array().cast(f"array<{resolve.MATCH}>")) if need else hits)
     return F.concat(*parts)
 
 
-def fields(value: Column, context: Column, region: str = "") -> Column:
+def fields(value: Column, context: Column, book: Rulebook = STANDARD) -> Column:
     """struct<extracted, parts array<struct<text, context>>>: the key-value pairs that a value without a context holds, each with its
     own context; else the value itself, or what it wraps."""
-    asked = documents.document(region)(F.when(context.isNull() & documents.may_hold_fields(value), value))
+    asked = documents.document(book)(F.when(context.isNull() & documents.may_hold_fields(value), value))
     return resolve.let(asked, lambda doc: _fields(value, context, doc))
 
 
@@ -99,18 +100,32 @@ def counted(cell_rows: DataFrame) -> DataFrame:
     return short.unionByName(cell_rows.where(size > SHORT).withColumn("n", F.lit(1).cast("long")))
 
 
-def recognised(rows: DataFrame, ner: Ner) -> DataFrame:
-    """Rows with ``entities``, what a recogniser finds in each of their ``pieces``, in Arrow batches."""
+_MATCHES = pa.list_(pa.list_(pa.struct([("label", pa.string()), ("weight", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("in_context", pa.bool_())])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [entity_kinds(ner, pieces) for pieces in batch.column("pieces").to_pylist()]
-            yield batch.append_column("entities", pa.array(found, pa.list_(pa.list_(pa.string()))))
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("entities", T.ArrayType(T.ArrayType(T.StringType())))]))
 
+def asked(rows: DataFrame, book: Rulebook) -> DataFrame:
+    """Rows with a column ``by0``, ``by1``, ... for each detector that is a function: array<array<MATCH>>, what it finds in each of
+    their ``pieces``, in Arrow batches."""
+    detectors = book.asked
 
-def judged(cell_rows: DataFrame, contexts: dict[str, str | None], region: str = "", ner: Ner | None = None, regex: bool = True, open_names: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions = [Asked(d) for d in detectors]
+        try:
+            for batch in batches:
+                cells = batch.column("pieces").to_pylist()
+                for i, judge in enumerate(functions):
+                    found = [[[dict(zip(("label", "weight", "start", "end", "in_context"), (*m, False))) for m in piece] for piece in cell] for cell in judge(cells)]
+                    batch = batch.append_column(f"by{i}", pa.array(found, _MATCHES))
+                yield batch
+        finally:
+            for judge in functions:
+                judge.close()
+
+    more = T.StructType.fromDDL(", ".join(f"by{i} array<array<{resolve.MATCH}>>" for i in range(len(detectors))))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more.fields]))
+
+
+def judged(cell_rows: DataFrame, contexts: dict[str, str | None], book: Rulebook = STANDARD, regex: bool = True, open_names: bool = False) -> DataFrame:
     """(table, column, n, found): per cell of (table, column, value) and, if there is one, its number n, the merged evidence of its fields and segments, array<struct<detector, label, weight, in_context>>.
 
     ``contexts`` holds what the columns' names stand for; with ``open_names`` other names occur too (keys of maps and stores) and
@@ -118,37 +133,28 @@ def judged(cell_rows: DataFrame, contexts: dict[str, str | None], region: str =
     known = {k: v for k, v in contexts.items() if v is not None}
     context = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("column")] if known else F.lit(None).cast("string")
     if open_names:
-        context = context_of(region)(F.col("column"))
+        context = context_of(book)(F.col("column"))
     rows = cell_rows if "n" in cell_rows.columns else cell_rows.withColumn("n", F.lit(1).cast("long"))
     rows = rows.withColumn("context", context)
-    rows = rows.withColumn("fields", fields(F.col("value"), F.col("context"), region))
+    rows = rows.withColumn("fields", fields(F.col("value"), F.col("context"), book))
     loose = F.col("context").isNull() & ~F.col("fields.extracted")
     cut = F.transform(F.col("fields.parts"), lambda f: F.transform(documents.segments(f["text"]), lambda s: F.struct(prepared(s).alias("text"), s.alias("raw"), f["context"].alias("context"))))
     rows = rows.select("table", "column", "n", loose.alias("loose"), F.flatten(cut).alias("pieces"))
-    rules = for_region(VALUE_RULES, region)
-
-    def piece(p: Column) -> Column:
-        found = matches(p["text"], F.array(p["context"]), rules)
-        found = resolve.capped(resolve.boosted(found, p["context"]), p["context"])
-        return F.struct(found.alias("all"))
+    own = frozenset(label for d in book.detectors for label in d.values)
+    weighed = lambda found, p: resolve.capped(resolve.boosted(found, p["context"]), p["context"], book)
+    resolved = lambda found: F.when(F.col("loose"), resolve.occurrence_groups(found)).otherwise(resolve.field_winner(found))
 
     parts = []
     if regex:
-        each = F.transform(F.col("pieces"), piece)
-        kept = F.transform(each, lambda e: F.when(F.col("loose"), resolve.occurrence_groups(e["all"])).otherwise(resolve.field_winner(e["all"])))
-        parts.append(("regex", F.flatten(kept)))
-    if ner is not None:
-        rows = recognised(rows, ner)
-
-        def entities(p: Column, kinds: Column) -> Column:
-            every = [F.struct(F.lit(label).alias("label"), F.lit(0.7).alias("weight"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(False).alias("in_context")) for label in ENTITIES.values()]
-            hit = F.filter(F.array(*every), lambda m: F.array_contains(kinds, m["label"]))
-            weighed = resolve.capped(resolve.boosted(hit, p["context"]), p["context"])
-            return F.when(F.col("loose"), resolve.occurrence_groups(weighed)).otherwise(resolve.field_winner(weighed))
-
-        parts.append(("spacy", F.flatten(F.zip_with("pieces", "entities", entities))))
-    def by(detector: str, found: Column) -> Column:
-        return F.transform(resolve.row_merge(found), lambda m: F.struct(F.lit(detector).alias("detector"), m["label"].alias("label"), m["weight"].alias("weight"), m["in_context"].alias("in_context")))
+        each = F.transform(F.col("pieces"), lambda p: F.struct(weighed(matches(p["text"], F.array(p["context"]), book.values, own), p).alias("all")))
+        parts.append(("regex", F.flatten(F.transform(each, lambda e: resolved(e["all"])))))
+    if book.asked:
+        rows = asked(rows, book)
+        for i, d in enumerate(book.asked):
+            each = F.zip_with("pieces", f"by{i}", lambda p, found: F.struct(weighed(found, p).alias("all")))
+            parts.append((d.name, F.flatten(F.transform(each, lambda e: resolved(e["all"])))))
+
+    by = lambda detector, found: F.transform(resolve.row_merge(found), lambda m: F.struct(F.lit(detector).alias("detector"), m["label"].alias("label"), m["weight"].alias("weight"), m["in_context"].alias("in_context")))
 
     merged = [by(*p) for p in parts]
     return rows.select("table", "column", "n", F.concat(*merged).alias("found"))
@@ -168,27 +174,31 @@ def added(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return total.where("label is not null"), total.where("label is null").select("table", "column", F.col("matched").alias("scanned"))
 
 
-def pair_labels(column: str, value: str, region: str = "") -> Column:
+def pair_labels(column: str, value: str, book: Rulebook = STANDARD) -> Column:
     """Label of (column, value) pairs, both of them data: every label of the column's name is context. An empty or "?" value says
     nothing; a value without a label takes the name's first one; else the first label that both have, else none."""
-    by_name = name_labels(region)(F.col(column))
+    by_name = name_labels(book)(F.col(column))
     pair = F.array(F.struct(prepared(F.col(value)).alias("text"), by_name.alias("names")))
-    judge = lambda p: F.struct(p["names"].alias("names"), F.transform(matches(p["text"], p["names"], for_region(VALUE_RULES, region)), lambda m: m["label"]).alias("labels"))
+    judge = lambda p: F.struct(p["names"].alias("names"), F.transform(matches(p["text"], p["names"], book.values), lambda m: m["label"]).alias("labels"))
     both = lambda p: F.when(F.size(p["labels"]) == 0, F.array_min(p["names"])).otherwise(F.array_min(F.array_intersect(p["labels"], p["names"])))
     return F.when(~F.col(value).isin("", "?"), F.transform(F.transform(pair, judge), both)[0])
 
 
-def column_evidence(spark: SparkSession, names: list[tuple[str, str]], region: str = "") -> DataFrame:
+def by_name(names: list[tuple[str, str]], book: Rulebook = STANDARD) -> list[tuple[str, str, str, float]]:
     """(table, column, label, weight) of every label that a column's name stands for. Runs on the driver: names only."""
-    known = Names(region)
-    rows = [(t, c, label, w) for t, c in names for label, w in sorted(known.labels(c).items())]
-    return spark.createDataFrame(rows, "table string, column string, label string, weight double")
+    known = Names(book)
+    return [(t, c, label, w) for t, c in names for label, w in sorted(known.labels(c).items())]
+
+
+def column_evidence(spark: SparkSession, names: list[tuple[str, str]], book: Rulebook = STANDARD) -> DataFrame:
+    return spark.createDataFrame(by_name(names, book), "table string, column string, label string, weight double")
 
 
 def named(spark: SparkSession, names: list[tuple[str, str]], region: str = "") -> DataFrame:
     """Column findings with the winner of each column marked: table, column, label, weight, confidence, tier, domain, is_context."""
-    known = Names(region)
-    rows = [(t, c, label, w, confidence(w), tier(label), domain(label), label == known.context(c)) for t, c in names for label, w in sorted(known.labels(c).items())]
+    book = rulebook(region)
+    known = Names(book)
+    rows = [(t, c, label, w, confidence(w), *book.labels[label], label == known.context(c)) for t, c in names for label, w in sorted(known.labels(c).items())]
     return spark.createDataFrame(rows, "table string, column string, label string, weight double, confidence string, tier string, domain string, is_context boolean")
 
 

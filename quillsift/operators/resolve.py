@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillsift.functions.rulebook import STANDARD, Rulebook
 from quillsift.operators.score import tier_of
 
 MATCH = "struct<label:string,weight:double,start:int,end:int,in_context:boolean>"
@@ -35,9 +36,9 @@ def boosted(matches: Column, context: Column) -> Column:
     return F.transform(matches, one)
 
 
-def capped(matches: Column, context: Column) -> Column:
+def capped(matches: Column, context: Column, book: Rulebook = STANDARD) -> Column:
     """Without a context, weights of 0.70 or more outside Tier1 become 0.69."""
-    cut = lambda m: context.isNull() & (m["weight"] >= 0.70) & (tier_of(m["label"]) != "Tier1")
+    cut = lambda m: context.isNull() & (m["weight"] >= 0.70) & (tier_of(m["label"], book) != "Tier1")
     return F.transform(matches, lambda m: _match(m, F.when(cut(m), 0.69).otherwise(m["weight"]), m["in_context"]))
 
 

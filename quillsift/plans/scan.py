@@ -2,6 +2,7 @@
 
 All tables of a scan form one job: their cells are unpivoted and judged by expressions on one row a cell,
 and meet again in one small aggregation. Its sums, one row a column and label, are written once; scoring reads them.
+A scan that reads no rows, of names or of empty tables, is made on the driver without any job.
 """
 
 from __future__ import annotations
@@ -11,18 +12,22 @@ import threading
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.functions.cell import Ner, Names
+from quillsift.functions.cell import Ner, recogniser
+from quillsift.functions.rulebook import Detector, Names, Rulebook, rulebook
 from quillsift.operators import cells, detect, score
-from quillsift.sources.source import CellSource, Source, as_source
+from quillsift.sources.source import CellSource, Countable, Named, Source, as_source
 from quillsift.sources.staging import staged
 
 log = logging.getLogger(__name__)
+Result = TypeVar("Result")
 
 MODES = {"metascan": "Meta Scan", "datascan": "Data Scan", "deepscan": "Deep Scan", "spacyscan": "Spacy Scan"}
 AUTO_TITLE = "Auto Scan"
@@ -34,20 +39,23 @@ AUTO_ROWS, LARGE_ROWS, LARGE_ROWS_NER = 10_000, 100_000, 10_000
 class ScanConfig:
     """Mode ("" for auto), filters and options of a scan.
 
-    ``spacyscan`` is a sampled scan with the recogniser and all findings printed. ``on_large_table`` is asked
-    (table, rows) before a large table is read whole; if it says no, the table keeps its name findings only.
+    ``spacyscan`` is a sampled scan with the recogniser and all findings printed; ``ner`` is a function or a
+    :class:`Detector` that :func:`~quillsift.functions.cell.recogniser` has made. ``detectors`` are further ones of one's own.
+    ``on_large_table`` is asked (table, rows) before a large table is read whole; if it says no, the table keeps its name
+    findings only.
     """
 
     mode: str = ""
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     region: str = ""
-    ner: Ner | None = None
+    ner: Ner | Detector | None = None
     ner_only: bool = False
     print_all: bool = False
     print_summary: bool = False
     scan_decimals: bool = True
     on_large_table: Callable[[str, int], bool] | None = field(default=None, compare=False)
+    detectors: tuple[Detector, ...] = ()
 
     def __post_init__(self) -> None:
         if self.mode and self.mode not in MODES:
@@ -65,6 +73,11 @@ class ScanConfig:
     def title(self) -> str:
         return MODES.get(self.mode, AUTO_TITLE)
 
+    @cached_property
+    def book(self) -> Rulebook:
+        own = () if self.ner is None else (self.ner if isinstance(self.ner, Detector) else recogniser(self.ner),)
+        return rulebook(self.region, (*own, *self.detectors))
+
 
 @dataclass(frozen=True)
 class TablePlan:
@@ -115,8 +128,15 @@ def value_cells(config: ScanConfig, source: Source, plans: Iterable[TablePlan])
 
 def judge(config: ScanConfig, cell_rows: DataFrame, names: Iterable[tuple[str, str]], open_names: bool = False) -> DataFrame:
     """Cells of columns with these names, judged as the configuration says."""
-    known = Names(config.region)
-    return detect.judged(detect.counted(cell_rows), {c: known.context(c) for _, c in names}, config.region, config.ner, not config.ner_only, open_names)
+    known = Names(config.book)
+    return detect.judged(detect.counted(cell_rows), {c: known.context(c) for _, c in names}, config.book, not config.ner_only, open_names)
+
+
+def row_counts(config: ScanConfig, source: Source, tables: list[str]) -> dict[str, int]:
+    """Rows of the tables, in one job where the source can; none are counted for a scan of names."""
+    if config.mode == "metascan" or not tables:
+        return {}
+    return source.counts(tables) if isinstance(source, Countable) else {t: source.rows(t) for t in tables}
 
 
 def scan(spark: SparkSession, tables: Source | Mapping[str, DataFrame], config: ScanConfig | None = None) -> DataFrame:
@@ -128,68 +148,89 @@ def scan(spark: SparkSession, tables: Source | Mapping[str, DataFrame], config:
     missing = [t for t in chosen if t not in known]
     if missing:
         raise KeyError(f"no such table: {', '.join(missing)}")
-    plans = [plan(config, t, lambda t=t: source.rows(t)) for t in chosen]
-    schemas = {t: source.schema(t) for t in chosen}
-    names = [(t, c) for t in chosen for c in cells.wanted(cells.flattened(schemas[t]))]
-    by_name = detect.column_evidence(spark, names, config.region)
-    found = value_cells(config, source, plans)
-    if found is None:
-        found = spark.createDataFrame([], "table string, column string, value string")
-    open_names = isinstance(source, CellSource) or any(isinstance(kind, T.MapType) for t in chosen for _, kind in cells.leaves(schemas[t]))
+    counts = row_counts(config, source, chosen)
+    plans = [plan(config, t, lambda t=t: counts[t]) for t in chosen]
+    read = [p for p in plans if p.reads != "names"]
+    listed = source.names(chosen) if isinstance(source, Named) else {t: cells.flattened(source.schema(t)) for t in chosen}
+    names = [(t, c) for t in chosen for c in cells.wanted(listed[t])]
+    if not read:
+        return score.name_findings(spark, detect.by_name(names, config.book), config.book)
+    by_name = detect.column_evidence(spark, names, config.book)
+    found = value_cells(config, source, read)
+    open_names = isinstance(source, CellSource) or any(isinstance(kind, T.MapType) for p in read for _, kind in cells.leaves(source.schema(p.table)))
     values, scanned = detect.added(staged(detect.evidence(judge(config, found, names, open_names)), "evidence"))
-    return score.findings(values, scanned, by_name)
+    return score.findings(values, scanned, by_name, config.book)
 
 
 def scan_targets(
-    spark: SparkSession, targets: Mapping[str, Callable[[], Source | Mapping[str, DataFrame]]], config: ScanConfig | None = None, timeout: float | None = None
+    spark: SparkSession,
+    targets: Mapping[str, Callable[[], Source | Mapping[str, DataFrame]]],
+    config: ScanConfig | None = None,
+    timeout: float | None = None,
+    report: Callable[[str, DataFrame], None] | None = None,
 ) -> tuple[DataFrame | None, dict[str, str]]:
     """Several databases: findings with a ``target`` column, and why targets were skipped. A database that cannot be opened, or
-    whose scan fails or takes more than ``timeout`` seconds, does not end the others' scan; what failed inside a scan is logged."""
+    whose scan fails, does not end the others' scan; what failed inside a scan is logged. Opening, listing, scanning and, if
+    given, ``report`` (name, findings) together may take ``timeout`` seconds."""
     parts, skipped = [], {}
     for name, load in targets.items():
+        opened: list[Source | Mapping[str, DataFrame]] = []
+
+        def work(name=name, load=load, opened=opened) -> DataFrame:
+            opened.append(load())
+            found = scan(spark, opened[0], config)
+            if report is not None:
+                report(name, found)
+            return found
+
         try:
-            source = load()
-        except Exception as e:
-            skipped[name] = f"not opened: {e}"
-            continue
-        try:
-            parts.append(with_timeout(spark, timeout, lambda source=source: scan(spark, source, config)).withColumn("target", F.lit(name)))
+            parts.append(with_timeout(spark, timeout, work).withColumn("target", F.lit(name)))
         except TimeoutError as e:
             skipped[name] = f"stopped: {e}"
         except Exception as e:
-            log.exception("scan of %s", name)
-            skipped[name] = f"scan failed: {e}"
+            if opened:
+                log.exception("scan of %s", name)
+            skipped[name] = f"scan failed: {e}" if opened else f"not opened: {e}"
     return (reduce(DataFrame.unionByName, parts) if parts else None), skipped
 
 
-def with_timeout(spark: SparkSession, seconds: float | None, work: Callable[[], object]):
-    """Run ``work``; after ``seconds`` (None: no limit) its Spark jobs are cancelled and TimeoutError is raised."""
+def with_timeout(spark: SparkSession, seconds: float | None, work: Callable[[], Result]) -> Result:
+    """Run ``work``; after ``seconds`` (None: no limit) TimeoutError is raised and its Spark jobs are cancelled.
+
+    The work has a thread of its own, since what hangs outside Spark (a connection, a library) cannot be stopped; that thread
+    is left behind, and whatever job it still starts is cancelled."""
     if seconds is None:
         return work()
-    context, group, done, late = spark.sparkContext, f"quillsift-{uuid.uuid4().hex}", threading.Event(), threading.Event()
-
-    def watch() -> None:
-        if not done.wait(seconds):
-            late.set()
-            while True:  # a job may be about to start
-                context.cancelJobGroup(group)
-                if done.wait(0.5):
-                    return
-
-    watcher = threading.Thread(target=watch, daemon=True)
-    context.setJobGroup(group, "scan", interruptOnCancel=True)
-    watcher.start()
-    try:
-        return work()
-    except Exception as e:
-        if late.is_set():
-            raise TimeoutError(f"no end after {seconds:g} seconds") from e
-        raise
-    finally:
-        done.set()
-        watcher.join()
-        context.setLocalProperty("spark.jobGroup.id", None)
-
+    context, group, done = spark.sparkContext, f"quillsift-{uuid.uuid4().hex}", threading.Event()
+    out: list[tuple[Result | None, BaseException | None]] = []
 
+    def run() -> None:
+        context.setJobGroup(group, "scan", interruptOnCancel=True)
+        try:
+            out.append((work(), None))
+        except BaseException as e:  # noqa: BLE001 - raised again where the result is awaited
+            out.append((None, e))
+        finally:
+            done.set()
+
+    def sweep() -> None:
+        while True:
+            context.cancelJobGroup(group)
+            if done.wait(0.5) or context._jsc is None:
+                return
+
+    threading.Thread(target=inheritable_thread_target(spark)(run), daemon=True).start()
+    if not done.wait(seconds):
+        threading.Thread(target=sweep, daemon=True).start()
+        done.wait(GRACE)
+        raise TimeoutError(f"no end after {seconds:g} seconds")
+    result, error = out[0]
+    if error is not None:
+        raise error
+    return result
+
+
+#: Seconds that work which is late gets to end by itself once its jobs are cancelled.
+GRACE = 5.0
 #: Seconds for a database, unless the caller says otherwise.
 DEFAULT_TIMEOUT = 300.0

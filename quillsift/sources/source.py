@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillsift.operators import cells
@@ -33,6 +35,20 @@ class CellSource(Source, Protocol):
     def cells(self, table: str, sample: bool) -> DataFrame: ...
 
 
+@runtime_checkable
+class Countable(Protocol):
+    """A source that counts the rows of several tables at once."""
+
+    def counts(self, tables: list[str]) -> dict[str, int]: ...
+
+
+@runtime_checkable
+class Named(Protocol):
+    """A source that lists the columns of several tables at once, or names without a schema (keys)."""
+
+    def names(self, tables: list[str]) -> dict[str, list[str]]: ...
+
+
 class Frames:
     """DataFrames by name; a sample is taken by Spark."""
 
@@ -48,6 +64,10 @@ class Frames:
     def rows(self, table: str) -> int:
         return self.frames[table].count()
 
+    def counts(self, tables: list[str]) -> dict[str, int]:
+        each = [self.frames[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t in tables]
+        return {r["table"]: r["n"] for r in reduce(DataFrame.unionByName, each).collect()} if each else {}
+
     def whole(self, table: str) -> DataFrame:
         return self.frames[table]
 

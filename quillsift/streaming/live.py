@@ -38,4 +38,4 @@ def findings(spark: SparkSession, store: str, names: list[tuple[str, str]], conf
     """Findings of everything judged so far."""
     config = config or ScanConfig()
     values, scanned = detect.added(spark.read.parquet(store).drop("batch"))
-    return score.findings(values, scanned, detect.column_evidence(spark, names, config.region))
+    return score.findings(values, scanned, detect.column_evidence(spark, names, config.book), config.book)

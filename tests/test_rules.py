@@ -11,6 +11,7 @@ from plain_cells import CellScanner, PairScanner, occurrences, segments, winner
 from quillsift.functions import dialect, documents, validators
 from quillsift.functions.column_rules import COLUMN_RULES
 from quillsift.functions.registry import LABELS, MERGED, confidence, domain, tier
+from quillsift.functions.rulebook import Names
 from quillsift.functions.value_rules import VALUE_RULES, for_region
 
 CELLS = CellScanner()
@@ -198,7 +199,11 @@ def test_scan_expressions_against_plain_python(spark):
 
     cells = [(c, v) for v in sample_values() for c in ("col_1", "email", "gender", "dob", "loan account", "full name", "fastag id")]
     for plain, more in ((CellScanner(), {}), (CellScanner("india"), {"region": "india"}), (CellScanner("", ner), {"ner": ner}), (CellScanner("", ner, regex=False), {"ner": ner, "regex": False})):
-        got = judged(spark, cells, plain._context, **more)
+        from quillsift.functions.cell import recogniser
+        from quillsift.functions.rulebook import rulebook
+
+        own = [recogniser(more["ner"], isolation=None)] if "ner" in more else []
+        got = judged(spark, cells, plain._context, book=rulebook(more.get("region", ""), own), regex=more.get("regex", True))
         for (column, value), found in zip(cells, got):
             assert found == plain.scan(column, value), (column, value)
 
@@ -220,31 +225,6 @@ def test_segments_as_expressions(spark):
     assert all(list(r["s"]) == segments(values[r["i"]]) for r in got)
 
 
-def test_late_recognisers_find_nothing(monkeypatch):
-    import time
-
-    from quillsift.functions import cell
-
-    monkeypatch.setattr(cell, "NER_SECONDS", 0.05)
-    ner = lambda text: time.sleep(0.3 if "slow" in text else 0) or [("x", "PERSON")]
-    assert cell.entity_kinds(ner, [{"raw": "slow", "context": "Name"}, {"raw": "quick", "context": "Name"}, {"raw": "quick", "context": None}]) == [[], ["Name"], []]
-
-
-def test_a_detector_of_ones_own(spark):
-    from quillsift.functions import cell
-    from quillsift.functions.value_rules import Rule
-    from quillsift.plans.scan import ScanConfig, scan
-
-    try:
-        cell.register("BadgeNumber", [Rule(r"\bbadge\b", 1.0)], [Rule(r"^bdg-[0-9]{5}$", 0.9)], tier="Tier1")
-        found = {(r["column"], r["label"], r["detector_type"]) for r in scan(spark, {"t": spark.createDataFrame([("BDG-12345", "x")], "code string, badge string")}, ScanConfig("deepscan")).collect()}
-        assert {("code", "BadgeNumber", "value detector"), ("badge", "BadgeNumber", "column detector")} <= found
-    finally:
-        for some in (COLUMN_RULES, VALUE_RULES, LABELS):
-            some.pop("BadgeNumber", None)
-        cell.names.cache_clear()
-
-
 def test_native_pairs(spark):
     from quillsift.operators import detect
 
@@ -252,3 +232,17 @@ def test_native_pairs(spark):
     df = spark.createDataFrame(cells, "c string, v string").withColumn("label", detect.pair_labels("c", "v"))
     plain = PairScanner()
     assert all(r["label"] == (plain.detect(r["c"], r["v"]) if r["v"] is not None else None) for r in df.collect())
+
+
+#: Names, and the labels that they stand for with their weights.
+NAMES = {
+    "driving_lics": {}, "driver_lics": {"DrivingLicenceNumber": 1.0}, "driving licence": {"DrivingLicenceNumber": 1.0}, "dl": {"DrivingLicenceNumber": 0.5}, "dl_no": {"DrivingLicenceNumber": 1.0},
+    "loginid": {"Username": 1.0}, "user": {"Username": 0.5}, "users": {}, "user_id": {"Username": 0.5}, "firstname": {"Name": 1.0}, "person": {"Name": 0.5},
+    "tax_id": {"PANNumber": 0.5}, "payer_pan_number": {"PANNumber": 0.3}, "mail": {"Email": 0.5}, "mymailbox": {"Email": 0.3}, "emailaddress": {"Email": 1.0}, "cellphone": {"Phone": 1.0}, "hotel": {"Phone": 0.3},
+    "ip": {"IPAddress": 0.5}, "zip": {}, "tan": {"TAN": 1.0}, "cin": {"CIN": 1.0}, "mac": {"MacAddress": 0.5}, "cvv": {"CVV": 1.0}, "long": {"Location": 0.5}, "dob": {"BirthDate": 1.0}, "unisex": {"Gender": 0.3},
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_stand_for(name):
+    assert Names().labels(name) == NAMES[name]
