@@ -1,13 +1,16 @@
 """Benchmark passages in documents, with edits, by q-gram lemma filtering.
 
-Texts are compared as characters (code points) with A-Z lower-cased, white space as single
-blanks, and rules such as ``-----`` or ``. . . .`` cut to a few characters. An item is cut twice: into overlapping windows of ``WINDOW`` characters (shorter items
-are one window), for whole passages whose edits are spread unevenly, and into windows of
+Texts are compared as characters (code points) with A-Z lower-cased and white space as single
+blanks. To find candidates, and for that alone, long repetitions such as ``-----`` or ``. . . .`` are cut to a few
+characters; edits are counted between the texts as they are. An item is cut twice: into overlapping windows of
+``WINDOW`` characters (shorter items are one window), for whole passages whose edits are spread unevenly, and into windows of
 ``SHORT`` characters every ``SHORT_STEP``, so that a copied stretch of ``SHORT + SHORT_STEP - 1``
 characters holds a whole window wherever it lies. A region within ``k`` edits of a window keeps
 all but ``k * Q`` of any set of its q-grams, on k + 1 neighbouring diagonals. So the q-grams that
 a text shares with the benchmark are counted by window and overlapping diagonal band, bands that
-reach the bound are regions, and a region is confirmed by an alignment along the band.
+reach the bound are regions, and a region is confirmed by an alignment along the band, of the whole texts
+with their repetitions. A window may have as many edits as its length without what was cut allows. An edit within a
+repetition that is cut can hide the windows that hold it; the item's other windows are not touched.
 
 A q-gram that stands in more than ``COMMON`` places is left out of the set that is counted, as long
 as the window's other q-grams suffice for the bound; windows that consist of little else are
@@ -48,7 +51,7 @@ WINDOW, STEP = 200, 100
 SHORT, SHORT_STEP = 80, 20
 #: From here on the lemma's bound is above zero with the edits allowed.
 LEAST = 32
-#: Repetitions of up to so many characters are cut to so many characters more than one period.
+#: For candidates, repetitions of up to so many characters are cut to so many characters more than one period.
 PERIOD, AGAIN = 4, 8
 COMMON, STEP_HITS = 64, 1 << 17
 PORTION = 4 << 20
@@ -71,8 +74,7 @@ def normal(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at, _, cp = pieces.points(out)
         x[at] = cp
         x, bounds = x[begins], np.concatenate([[0], np.cumsum(begins)])[bounds]
-    keep = ~repeated(x, bounds)
-    return x[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+    return x, bounds
 
 
 def repeated(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -88,12 +90,23 @@ def repeated(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def normal_text(text: str) -> np.ndarray:
+def whole_text(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
     x = normal(raw, np.array([0, len(raw)]))[0] if len(raw) else np.zeros(0, np.uint32)
     return x[:-1] if len(x) and x[-1] == 0x20 else x
 
 
+def kept(x: np.ndarray) -> np.ndarray:
+    """Places of a text's characters without what is cut."""
+    return np.flatnonzero(~repeated(x, np.array([0, len(x)])))
+
+
+def normal_text(text: str) -> np.ndarray:
+    """A text as candidates are sought in it."""
+    x = whole_text(text)
+    return x[kept(x)]
+
+
 def grams(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each q-gram, out of hashes of 2, 4 and 8 characters."""
     if len(x) < Q:
@@ -120,13 +133,19 @@ class Index:
     """Windows of a portion of the benchmark and their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        cut = [(item, normal_text(text)) for item, text in items]
-        texts = [(item, x) for item, x in cut if len(x) >= LEAST]
+        full = [(item, x, kept(x)) for item, x in ((item, whole_text(text)) for item, text in items)]
+        texts = [(item, x[at]) for item, x, at in full if len(at) >= LEAST]
         self.short: dict[str, list[int]] = {}
-        for item, x in cut:
+        for item, x, at in full:
             words = "".join(map(chr, x.tolist()))
-            if len(x) < LEAST and any(map(str.isalnum, words)):
+            if len(at) < LEAST and any(map(str.isalnum, words)):
                 self.short.setdefault(words, []).append(item)
+        long = [(x, at) for _, x, at in full if len(at) >= LEAST]
+        shifts = np.cumsum([0, *(len(x) for x, _ in long)])
+        #: All items as they are, end to end; where each character of the cut ones stands in them, and where its item ends there.
+        self.whole = np.concatenate([x for x, _ in long]) if long else np.zeros(0, np.uint32)
+        self.stands = np.concatenate([np.zeros(0, np.int64), *(at + shift for (_, at), shift in zip(long, shifts))])
+        self.ends = np.concatenate([np.zeros(0, np.int64), *(np.full(len(at), end) for (_, at), end in zip(long, shifts[1:]))])
         self.flat = np.concatenate([x for _, x in texts]) if texts else np.zeros(0, np.uint32)
         begins = np.cumsum([0, *(len(x) for _, x in texts)])
         item, start, size = [], [], []
@@ -161,7 +180,7 @@ class Index:
         #: Windows of mostly common q-grams, equal ones once, and all q-grams of these.
         dull: dict[bytes, list[int]] = {}
         for w in np.flatnonzero(self.need < 1).tolist():
-            dull.setdefault(self.window(w).tobytes(), []).append(w)
+            dull.setdefault(self.window(w).tobytes() + self.uncut(w).tobytes(), []).append(w)
         self.alike = {ws[0]: ws for ws in dull.values()}
         at = [(w, grams(self.window(w))) for w in self.alike]
         self.dull_gram = np.concatenate([np.zeros(0, np.uint64), *(g for _, g in at)])
@@ -175,6 +194,12 @@ class Index:
     def window(self, w: int) -> np.ndarray:
         return self.flat[self.start[w] : self.start[w] + self.size[w]]
 
+    def uncut(self, w: int) -> np.ndarray:
+        """A window with its repetitions, up to the item's end if it is the item's last one."""
+        last = self.start[w] + self.size[w] - 1
+        closes = last + 1 == len(self.ends) or self.ends[last + 1] != self.ends[last]
+        return self.whole[self.stands[self.start[w]] : self.ends[last] if closes else self.stands[last] + 1]
+
     def _counted(self, window: np.ndarray, place: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of (window, band) and how many positions hit each; a hit counts for its band and the one before."""
         band = (pos - (place - self.start[window]) + WINDOW) // (self.edits[window] + 1) + 1
@@ -276,16 +301,32 @@ def _verbatim(short: dict[str, list[int]], texts: list[str]) -> Iterator[tuple[i
         yield from ((doc, item) for w in found for item in short[w])
 
 
+def stretches(x: np.ndarray, stands: np.ndarray, most: int) -> list[np.ndarray]:
+    """A text in parts of which one holds any stretch of up to ``most`` characters that has characters with places ``stands`` on
+    both sides or at an end: where more than two times ``most`` characters in a row were cut, the middle is left out."""
+    edges = np.concatenate([[-1], stands, [len(x)]])
+    wide = np.flatnonzero(np.diff(edges) > 2 * most + 1)
+    begins = [0, *(int(edges[i + 1]) - most for i in wide)]
+    ends = [*(int(edges[i]) + 1 + most for i in wide), len(x)]
+    return [x[max(0, a) : b] for a, b in zip(begins, ends)]
+
+
 def leaks(index: Index, texts: pa.Array) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """(number of the text, item) -> (size, edits) of its windows that are found within their budget."""
-    x, bounds = normal(*pieces.buffers(texts))
+    full, ends = normal(*pieces.buffers(texts))
+    keep = ~repeated(full, ends)
+    x, stands, bounds = full[keep], np.flatnonzero(keep), np.concatenate([[0], np.cumsum(keep)])[ends]
     best: dict[tuple[int, int], int] = {}
     for w, d in zip(*(v.tolist() for v in index.regions(x))):
-        k, t = int(index.edits[w]), index.window(w)
-        lo, hi = max(d - k, 0), min(d + 3 * k + 2 + len(t), len(x))
+        k, t = int(index.edits[w]), index.uncut(w)
+        lo, hi = max(d - k, 0), min(d + 3 * k + 2 + int(index.size[w]), len(x))
         for doc in range(int(np.searchsorted(bounds, lo, "right")) - 1, int(np.searchsorted(bounds, hi, "left"))):
-            if best.get((doc, w), k + 1):
-                part = x[max(lo, int(bounds[doc])) : min(hi, int(bounds[doc + 1]))]
+            first, behind = max(lo, int(bounds[doc])), min(hi, int(bounds[doc + 1]))
+            if first >= behind or not best.get((doc, w), k + 1):
+                continue
+            a = int(stands[first]) if first > bounds[doc] else int(ends[doc])
+            b = int(stands[behind]) if behind < bounds[doc + 1] else int(ends[doc + 1])
+            for part in stretches(full[a:b], stands[first:behind] - a, len(t) + k):
                 best[doc, w] = min(best.get((doc, w), k + 1), align(t, part, k))
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for (doc, w), e in best.items():
@@ -293,8 +334,8 @@ def leaks(index: Index, texts: pa.Array) -> dict[tuple[int, int], list[tuple[int
             for same in index.alike.get(w, [w]):
                 found.setdefault((doc, index.item[same]), []).append((int(index.size[same]), e))
     if index.short:
-        flat = x.astype("<u4").tobytes().decode("utf-32-le")
-        for doc, item in _verbatim(index.short, [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]):
+        flat = full.astype("<u4").tobytes().decode("utf-32-le")
+        for doc, item in _verbatim(index.short, [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]):
             found.setdefault((doc, item), []).append((0, 0))
     return found
 

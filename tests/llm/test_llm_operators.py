@@ -354,6 +354,23 @@ def test_repeated_signs_and_templates_stay_bounded():
     assert "".join(map(chr, decontam.normal_text("A" + "-" * 50 + " b. . . . . . . . c 10000000000000000"))) == "a" + "-" * 9 + " b. . . . . c 1000000000"
 
 
+def test_repetitions_count_with_all_their_characters():
+    """Candidates are found in cut texts; edits are those of the whole ones."""
+    head, tail = "the sum of all the numbers that were written down on the board is ", " and nobody in the room could tell how they had come to it at all"
+    for inner in ("1000000000000", "-" * 60, "ab" * 40, "x" * 3000):
+        item = head + inner + tail
+        index, size = decontam.Index([(1, item)]), len(head + tail) + min(len(inner), 9 + 1)
+        most = decontam.budget(len(decontam.normal_text(item)))
+        grown = [head + inner + inner[-2:] * n + tail for n in (0, 1, 3, 10, 40, 4000)] + ["0" * 5000 + " " + item + " " + "-" * 5000, (inner + " ") * 3 + item, inner * 30 + tail]
+        found = decontam.leaks(index, pa.array(grown))
+        for i, text in enumerate(grown):
+            whole = [e for s, e in found.get((i, 1), []) if s == len(decontam.normal_text(item))]
+            edits = 0 if item in text else 2 * (1, 3, 10, 40, 4000)[i - 1] if 0 < i < 6 else most + 1
+            assert whole == ([edits] if edits <= most else []), (inner[:5], i, whole, edits, size)
+    assert not decontam.leaks(decontam.Index([(1, "1" + "0" * 40)]), pa.array(["see 1" + "0" * 52, "1" + "0" * 39]))
+    assert decontam.leaks(decontam.Index([(1, "1" + "0" * 40)]), pa.array(["see 1" + "0" * 40 + "."]))
+
+
 def test_many_portions_and_awkward_rows(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, ITEM.replace("council", f"council {i}")) for i in range(30)] + [(None, ITEM), (99, None), (98, "")], "item_id long, text string")
     some = docs.union(docs.limit(1).select(F.lit(77).alias("doc_id"), F.lit(LONG + " " + ITEM.replace("council", "council 3") + " " + LONG).alias("text"), *docs.columns[2:])).withColumn("__keep", F.lit(1))
