@@ -18,7 +18,9 @@ smoothed share among such words; all tokens' probabilities add up to one in ever
 Training reads every training token once: tasks run stochastic steps over their blocks, with
 noise classes and noise words drawn from the unigram distribution, and their parameters are
 averaged by numbers of tokens. That happens ``ROUNDS`` times, each time over its own part of the
-blocks. Parameters never leave the size above, whatever the corpus.
+blocks. Parameters never leave the size above, whatever the corpus. A block's name comes from its
+content and sums are taken in a fixed order, so a table in the same files and on as many cores gives
+the same scores again.
 
 Defined cases: a null or empty text is the end token alone; with no training document the
 counts are 0 and the model is uniform; a very long text is a block of its own and scored whole;
@@ -29,7 +31,7 @@ are read, so further columns do no harm.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,7 +81,10 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
                 codes = np.insert(rank[code], of[1:], 0)
                 sizes = np.diff(of) + 1
                 train = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(names))
-                row = [[uuid.uuid4().int >> 65], [some.column("doc_id").to_pylist()], [held.tolist()], [sizes.tolist()], [_press(codes)], [names], [train.tolist()]]
+                packed = _press(codes)
+                # a name by content: the same table gives the same blocks, and so the same rounds and parameters
+                name = hashlib.blake2b(packed + b"\0".join(names) + repr(some.column("doc_id").to_pylist()).encode(), digest_size=8).digest()
+                row = [[int.from_bytes(name) >> 1], [some.column("doc_id").to_pylist()], [held.tolist()], [sizes.tolist()], [packed], [names], [train.tolist()]]
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
                 yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], ["block", "doc_ids", "held", "sizes", "codes", "words", "train_n"])
 
@@ -275,8 +280,8 @@ def train(table: DataFrame, stats: Stats, rounds: int = ROUNDS, dim: int = DIM)
                         yield pa.record_batch([pa.array([name]), pa.array([at]), pa.array([done]), pa.array([part.tobytes()], pa.binary())], ["name", "at", "n", "part"])
 
         def mean(group: pa.Table) -> pa.Table:
-            n = group.column("n").to_numpy().astype(np.float64)
-            parts = np.stack([np.frombuffer(b, np.float32) for b in group.column("part").to_pylist()])
+            rows = sorted(zip(group.column("n").to_pylist(), group.column("part").to_pylist()))  # sums of floats depend on their order
+            n, parts = np.array([r[0] for r in rows], np.float64), np.stack([np.frombuffer(r[1], np.float32) for r in rows])
             part = np.where(np.isfinite(parts[0]), (n / n.sum()) @ np.where(np.isfinite(parts), parts, 0.0), parts[0]).astype(np.float32)
             return pa.table({"name": group.column("name").slice(0, 1), "at": group.column("at").slice(0, 1), "part": pa.array([part.tobytes()], pa.binary())})
 

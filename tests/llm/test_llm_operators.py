@@ -429,6 +429,13 @@ def test_lm_scores_against_brute_force(docs):
         assert all(math.isclose(g["score"], total, rel_tol=1e-4) for g in out[r[0]] if g["n_tokens"] == len(es)), r[0]
 
 
+def test_lm_scores_are_the_same_again(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(5, "doc_id")
+    one, two = ({r["doc_id"]: r["score"] for r in lm_score.score(some).collect()} for _ in range(2))
+    assert len(one) > 100 and one.keys() == two.keys() and all(math.isclose(one[d], two[d], rel_tol=1e-6) for d in one)
+
+
 def test_lm_vocabulary_grows_and_uses_its_context(spark):
     assert lm_score.vocabulary_size(0) == 2 and lm_score.vocabulary_size(10**8) > 10_000 and lm_score.vocabulary_size(10**13) < 10**6
     rng = np.random.default_rng(6)
