@@ -46,7 +46,7 @@ from quillsift.llm.common import staged
 from quillsift.llm.langid import held_out
 
 #: Words of context, size of the vectors, noise classes a step and noise words a token, tokens a step, rounds of averaging.
-CONTEXT, DIM, NOISE_CLASSES, NOISE_WORDS, STEP, ROUNDS = 2, 16, 24, 2, 4096, 2
+CONTEXT, DIM, NOISE_CLASSES, NOISE_WORDS, STEP, ROUNDS = 3, 24, 32, 3, 4096, 2
 RATE = 0.1
 #: About so many bytes of text make a block.
 BLOCK_BYTES = 8 << 20

@@ -414,7 +414,7 @@ def test_lm_scores_against_brute_force(docs):
         return e / e.sum()
 
     def chances(before):
-        q = sum(p["context"][e] @ p["matrix"][j * 16 : j * 16 + 16] for j, e in enumerate(before))
+        q = sum(p["context"][e] @ p["matrix"][j * lm_score.DIM : (j + 1) * lm_score.DIM] for j, e in enumerate(before))
         kinds = softmax(p["class"] @ q + p["class_bias"][:, 0])
         return np.concatenate([kinds[k] * softmax(p["word"][k * wide : (k + 1) * wide] @ q + p["word_bias"][k * wide : (k + 1) * wide, 0]) for k in range(wide) if kinds[k] > 0])
 
