@@ -6,8 +6,10 @@ No driver or server is part of this repository; everything up to ``spark.read``
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 from urllib.parse import parse_qs, quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,8 +140,15 @@ def key_query(db: Database, table: str) -> str:
     )
 
 
+#: Seconds to connect, and for a statement of the catalog, before a host counts as hanging. What reads rows may take longer.
+CONNECT_SECONDS, CATALOG_SECONDS = 10, 60
+#: Names of the drivers' connection timeouts, and how many of their units a second has.
+_TIMEOUTS = {"postgres": (("connectTimeout", 1), ("loginTimeout", 1)), "mysql": (("connectTimeout", 1000),), "sqlserver": (("loginTimeout", 1),)}
+
+
 def options(db: Database, query: str) -> dict[str, str]:
-    return {"url": jdbc_url(db), "user": db.user, "password": db.password, "query": query, "fetchsize": "10000"}
+    waits = {name: str(CONNECT_SECONDS * units) for name, units in _TIMEOUTS.get(db.engine, ())}
+    return {"url": jdbc_url(db), "user": db.user, "password": db.password, "query": query, "fetchsize": "10000"} | waits
 
 
 def partitioned(db: Database, table: str, column: str, low: int, high: int, parts: int) -> dict[str, str]:
@@ -148,29 +157,113 @@ def partitioned(db: Database, table: str, column: str, low: int, high: int, part
     return base | {"dbtable": qualified(db, table), "partitionColumn": quoted(db, column), "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
 
 
-def _jdbc(spark: SparkSession, given: dict[str, str]) -> DataFrame:
-    return spark.read.format("jdbc").options(**given).load()
+def literal(db: Database, value: object) -> str:
+    """A value of a key in the engine's SQL."""
+    if isinstance(value, (int, Decimal)):
+        return str(value)
+    if isinstance(value, datetime):
+        return f"{{ts '{value:%Y-%m-%d %H:%M:%S.%f}'}}" if db.engine == "sqlserver" else f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+    if isinstance(value, date):
+        return f"'{value:%Y-%m-%d}'" if db.engine == "sqlserver" else f"DATE '{value:%Y-%m-%d}'"
+    text = str(value).replace("'", "''")
+    return "'" + (text.replace("\\", "\\\\") if db.engine == "mysql" else text) + "'"
+
+
+def next_query(db: Database, table: str, key: str, after: object | None, skip: int) -> str:
+    """The key that ``skip`` rows lie in front of, of the rows with a key above ``after``, in the key's order."""
+    k = quoted(db, key)
+    some = f"SELECT {k} AS k FROM {qualified(db, table)} WHERE {k} {'IS NOT NULL' if after is None else '> ' + literal(db, after)} ORDER BY {k}"
+    return f"{some} LIMIT 1 OFFSET {skip}" if db.engine == "mysql" else f"{some} OFFSET {skip} ROWS FETCH NEXT 1 ROWS ONLY"
+
+
+def ranges(db: Database, key: str, bounds: Sequence[object]) -> list[str]:
+    """Conditions that part the rows at the bounds; rows without a key are in the first part."""
+    k = quoted(db, key)
+    marks = [literal(db, b) for b in bounds]
+    if not marks:
+        return ["1 = 1"]
+    inner = [f"{k} >= {a} AND {k} < {b}" for a, b in zip(marks, marks[1:])]
+    return [f"({k} < {marks[0]} OR {k} IS NULL)", *inner, f"{k} >= {marks[-1]}"]
+
+
+def slices(db: Database, columns: Sequence[str], parts: int, pages: int = 0) -> list[str]:
+    """Conditions that part a table without a key: by page ranges in postgres, by a checksum of the row elsewhere."""
+    if db.engine == "postgres":
+        cuts = sorted({pages * i // parts for i in range(1, parts)} - {0})
+        marks = [f"'({c},0)'::tid" for c in cuts]
+        return [" AND ".join(x for x in (a and f"ctid >= {a}", b and f"ctid < {b}") if x) or "1 = 1" for a, b in zip(["", *marks], [*marks, ""])]
+    if db.engine == "mysql":
+        row = ", ".join(f"COALESCE(CAST({quoted(db, c)} AS CHAR), '')" for c in columns)
+        return [f"MOD(CRC32(CONCAT_WS('|', {row})), {parts}) = {i}" for i in range(parts)]
+    return [f"ABS(CAST(BINARY_CHECKSUM(*) AS BIGINT)) % {parts} = {i}" for i in range(parts)]
+
+
+def pages_query(db: Database, table: str) -> str:
+    """How many pages a postgres table has."""
+    name = qualified(db, table).replace("'", "''")
+    return f"SELECT pg_relation_size('{name}') / current_setting('block_size')::int AS pages"
+
+
+def names_query(db: Database) -> str:
+    """Columns of all base tables of the schema, in order."""
+    text = db.schema.replace("'", "''")
+    return (
+        "SELECT c.table_name, c.column_name FROM information_schema.columns c JOIN information_schema.tables t ON c.table_schema = t.table_schema AND c.table_name = t.table_name "
+        f"WHERE c.table_schema = '{text}' AND t.table_type = 'BASE TABLE' ORDER BY c.table_name, c.ordinal_position"
+    )
+
+
+def counts_query(db: Database, tables: Sequence[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS i, COUNT(*) AS n FROM {qualified(db, t)}" for i, t in enumerate(tables))
+
+
+def _jdbc(spark: SparkSession, given: dict[str, str], predicates: list[str] | None = None) -> DataFrame:
+    """A DataFrame from JDBC options; a partition for each of the predicates, if there are any."""
+    if predicates is None:
+        return spark.read.format("jdbc").options(**given).load()
+    return spark.read.jdbc(given["url"], given["dbtable"], predicates=predicates, properties={k: v for k, v in given.items() if k not in ("url", "dbtable")})
 
 
 class Jdbc:
     """The base tables of a database as a source of scans.
 
-    The engine draws the samples. A table read whole comes in ranges of an integer column, of the primary key if it has
-    one, a partition for every ``part_rows`` rows; without an integer column it comes in one. ``reader`` opens a
-    DataFrame from JDBC options. Raises ValueError if the schema does not exist.
+    The engine draws the samples. A table read whole comes in a partition for about every ``part_rows`` rows: in ranges of
+    an integer column, of the primary key if it has one; else in ranges of the first column of its primary key, whatever its
+    type, at bounds that the engine finds by walking the key's index once; and without a key by pages or a checksum.
+    Columns of all tables come from one query of the catalog, counts of many tables from one query. Connections and catalog
+    queries have time limits. ``reader`` opens a DataFrame from JDBC options and predicates. Raises ValueError if the schema
+    does not exist.
     """
 
-    def __init__(self, spark: SparkSession, db: Database, reader: Callable[[SparkSession, dict[str, str]], DataFrame] = _jdbc, part_rows: int = 500_000):
+    def __init__(self, spark: SparkSession, db: Database, reader: Callable[..., DataFrame] = _jdbc, part_rows: int = 500_000):
         self.spark, self.db, self.reader, self.part_rows = spark, db, reader, part_rows
-        if self._query(schema_query(db)).isEmpty():
+        if self._catalog(schema_query(db)).isEmpty():
             raise ValueError(f"schema {db.schema} does not exist")
         self._schemas: dict[str, T.StructType] = {}
+        self._keys: dict[str, list[str]] = {}
 
     def _query(self, query: str) -> DataFrame:
         return self.reader(self.spark, options(self.db, query))
 
+    def _catalog(self, query: str) -> DataFrame:
+        return self.reader(self.spark, options(self.db, query) | {"queryTimeout": str(CATALOG_SECONDS)})
+
+    def names(self, tables: list[str]) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {t: [] for t in tables}
+        for table, column in self._catalog(names_query(self.db)).collect():
+            if table in out:
+                out[table].append(column)
+        return out
+
+    def counts(self, tables: list[str]) -> dict[str, int]:
+        out = {}
+        for at in range(0, len(tables), 100):
+            some = tables[at : at + 100]
+            out |= {some[int(r[0])]: int(r[1]) for r in self._query(counts_query(self.db, some)).collect()}
+        return out
+
     def tables(self) -> list[str]:
-        return [r[0] for r in self._query(tables_query(self.db)).collect() if r[0]]
+        return [r[0] for r in self._catalog(tables_query(self.db)).collect() if r[0]]
 
     def schema(self, table: str) -> T.StructType:
         if table not in self._schemas:
@@ -183,9 +276,30 @@ class Jdbc:
     def split_column(self, table: str) -> str | None:
         """An integer column to read by: the first of the primary key, else the first of the table."""
         whole = {f.name for f in self.schema(table) if isinstance(f.dataType, T.IntegralType) or isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0}
-        keys = [r[0] for r in self._query(key_query(self.db, table)).collect()] if whole else []
+        keys = self.keys(table) if whole else []
         return next((c for c in [*keys, *self.schema(table).names] if c in whole), None)
 
+    def keys(self, table: str) -> list[str]:
+        if table not in self._keys:
+            self._keys[table] = [r[0] for r in self._catalog(key_query(self.db, table)).collect()]
+        return self._keys[table]
+
+    def bounds(self, table: str, key: str) -> list[object]:
+        """Keys that part the table into ranges of ``part_rows`` rows, each found from the one before."""
+        out: list[object] = []
+        while (r := self._query(next_query(self.db, table, key, out[-1] if out else None, self.part_rows - (1 if out else 0))).first()) is not None:
+            out.append(r[0])
+        return out
+
+    def conditions(self, table: str, rows: int) -> list[str]:
+        """Predicates for a table that has no integer column."""
+        kinds = {f.name: f.dataType for f in self.schema(table)}
+        key = next((k for k in self.keys(table)[:1] if isinstance(kinds.get(k), (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType))), None)
+        if key is not None:
+            return ranges(self.db, key, self.bounds(table, key))
+        pages = int(self._catalog(pages_query(self.db, table)).first()[0]) if self.db.engine == "postgres" else 0
+        return slices(self.db, self.schema(table).names, -(-rows // self.part_rows), pages)
+
     def whole(self, table: str) -> DataFrame:
         column, name = self.split_column(table), qualified(self.db, table)
         if column:
@@ -193,6 +307,9 @@ class Jdbc:
             low, high, n = self._query(f"SELECT MIN({c}) AS low, MAX({c}) AS high, COUNT(*) AS n FROM {name}").first()
             if n > self.part_rows and low is not None:
                 return self.reader(self.spark, partitioned(self.db, table, column, int(low), int(high) + 1, -(-int(n) // self.part_rows)))
+        elif (n := self.rows(table)) > self.part_rows:
+            base = {k: v for k, v in options(self.db, "").items() if k != "query"}
+            return self.reader(self.spark, base | {"dbtable": name}, self.conditions(table, n))
         return self._query(f"SELECT * FROM {name}")
 
     def sample(self, table: str) -> DataFrame:

@@ -155,6 +155,12 @@ def shop(spark):
         "CREATE TABLE information_schema.tables (table_name VARCHAR(20), table_schema VARCHAR(20), table_type VARCHAR(20))",
         "CREATE TABLE information_schema.table_constraints (constraint_name VARCHAR(20), table_schema VARCHAR(20), table_name VARCHAR(20), constraint_type VARCHAR(20))",
         "CREATE TABLE information_schema.key_column_usage (constraint_name VARCHAR(20), table_schema VARCHAR(20), table_name VARCHAR(20), column_name VARCHAR(20), ordinal_position INT)",
+        "CREATE TABLE information_schema.columns (table_schema VARCHAR(20), table_name VARCHAR(20), column_name VARCHAR(20), ordinal_position INT)",
+        'CREATE TABLE "public"."people" ("Mail" VARCHAR(40) NOT NULL, "born" DATE)',
+        "INSERT INTO information_schema.columns VALUES ('public', 'users', 'age', 1), ('public', 'users', 'Key', 2), ('public', 'users', 'email', 3), ('public', 'notes', 'text', 1), ('public', 'v', 'w', 1)",
+        "INSERT INTO information_schema.table_constraints VALUES ('pk2', 'public', 'people', 'PRIMARY KEY')",
+        "INSERT INTO information_schema.key_column_usage VALUES ('pk2', 'public', 'people', 'Mail', 1)",
+        'INSERT INTO "public"."people" VALUES ' + ", ".join(f"('o''{i % 10}{i:03d}@x.co', DATE('1990-01-{i % 28 + 1:02d}'))" for i in range(200)),
         'CREATE TABLE "public"."users" ("age" INT, "Key" BIGINT, "email" VARCHAR(40))',
         'CREATE TABLE "public"."notes" ("text" VARCHAR(40))',
         "INSERT INTO information_schema.schemata VALUES 'public'",
@@ -167,9 +173,11 @@ def shop(spark):
         run(text)
     asked = []
 
-    def reader(session, given):
+    def reader(session, given, predicates=None):
         asked.append(given)
-        given = given | {"url": url}
+        given = {k: v for k, v in given.items() if k not in ("connectTimeout", "loginTimeout")} | {"url": url}
+        if predicates is not None:
+            return databases._jdbc(session, {k: v for k, v in given.items() if v}, predicates)
         if "query" in given:
             given["query"] = given["query"].replace("TABLESAMPLE BERNOULLI (10) REPEATABLE (47) LIMIT 10000", "FETCH FIRST 10 ROWS ONLY")
         return session.read.format("jdbc").options(**{k: v for k, v in given.items() if v}).load()
@@ -192,6 +200,36 @@ def test_database_source(spark, shop):
     assert {r["scanned_count"] for r in found if r["column"] == "email"} <= {10, 0} and any("TABLESAMPLE" in o.get("query", "") for o in asked) and not any("partitionColumn" in o for o in asked)
 
 
+def test_tables_without_an_integer_column_are_read_in_ranges(spark, shop):
+    reader, asked = shop
+    db = databases.Jdbc(spark, databases.Database("h", "d"), reader, part_rows=30)
+    assert db.split_column("people") is None and len(db.bounds("people", "Mail")) == 6
+    whole = db.whole("people")
+    assert whole.rdd.getNumPartitions() == 7 and whole.count() == 200 and whole.distinct().count() == 200
+    assert max(len(p) for p in whole.select("Mail").rdd.glom().collect()) == 30
+    assert databases.Jdbc(spark, databases.Database("h", "d"), reader).whole("people").rdd.getNumPartitions() == 1
+    my = databases.Database("h", "d", "mysql")
+    assert databases.ranges(my, "k", ["a\\b", "c'd"]) == ["(`k` < 'a\\\\b' OR `k` IS NULL)", "`k` >= 'a\\\\b' AND `k` < 'c''d'", "`k` >= 'c''d'"]
+    assert databases.ranges(my, "k", [datetime.date(2024, 1, 2)])[1] == "`k` >= DATE '2024-01-02'" and databases.ranges(my, "k", []) == ["1 = 1"]
+    assert databases.next_query(my, "t", "k", None, 9).endswith("`k` IS NOT NULL ORDER BY `k` LIMIT 1 OFFSET 9")
+    assert databases.slices(databases.Database("h", "d"), ["a"], 3, 90) == ["ctid < '(30,0)'::tid", "ctid >= '(30,0)'::tid AND ctid < '(60,0)'::tid", "ctid >= '(60,0)'::tid"]
+    assert databases.slices(databases.Database("h", "d"), ["a"], 3, 0) == ["1 = 1"]
+    assert databases.slices(my, ["a", "b"], 2)[1] == "MOD(CRC32(CONCAT_WS('|', COALESCE(CAST(`a` AS CHAR), ''), COALESCE(CAST(`b` AS CHAR), ''))), 2) = 1"
+    assert databases.slices(databases.Database("h", "d", "sqlserver"), ["a"], 2)[0] == "ABS(CAST(BINARY_CHECKSUM(*) AS BIGINT)) % 2 = 0"
+
+
+def test_the_catalog_is_asked_once(spark, shop):
+    reader, asked = shop
+    db = databases.Jdbc(spark, databases.Database("h", "d"), reader)
+    assert db.names(["users", "notes", "gone"]) == {"users": ["age", "Key", "email"], "notes": ["text"], "gone": []} and db.counts(["notes", "users"]) == {"notes": 2, "users": 101}
+    del asked[:]
+    found = scan(spark, db, ScanConfig("metascan")).collect()
+    assert [(r["table"], r["column"], r["label"]) for r in found] == [("users", "email", "Email")] and len(asked) == 2  # tables and columns
+    assert all(o["connectTimeout"] == "10" and o["queryTimeout"] == "60" for o in asked)
+    waits = databases.options(databases.Database("h", "d", "mysql"), "q")
+    assert waits["connectTimeout"] == "10000" and databases.options(databases.Database("h", "d", "sqlserver"), "q")["loginTimeout"] == "10"
+
+
 def test_mongo_source(spark):
     asked = []
 
@@ -234,43 +272,100 @@ def test_database_without_schema(spark):
 
 
 class FakeStore:
-    data = {"k1": ("string", b"a@b.co"), "k2": ("list", [b"1", b"2"]), "k3": ("hash", [(b"f", b"v")]), "k4": ("zset", [(b"m", 1.5)]), "k5": ("set", [b"s"]), "k6": ("stream", [])}
+    data = {"k1": ("string", b"a@b.co"), "k2": ("list", [b"1", b"2"]), "k3": ("hash", {b"f": b"v"}), "k4": ("zset", [(b"m", 1.5)]), "k5": ("set", [b"s"]), "k6": ("stream", [])}
 
     def scan_iter(self):
         return iter(k.encode() for k in self.data)
 
     def type(self, key):
-        return self.data[key][0].encode()
+        return self.data[key.decode()][0].encode()
 
     def get(self, key):
-        return self.data[key][1]
+        return self.data[key.decode()][1]
 
     def lrange(self, key, a, b):
-        return self.data[key][1][a : b + 1]
+        return self.data[key.decode()][1][a : b + 1]
 
-    def sscan_iter(self, key):
-        return self.data[key][1]
+    def sscan(self, key, cursor, count):
+        items = self.data[key.decode()][1]
+        if isinstance(items, dict):
+            return 0, items
+        return (cursor + 2 if cursor + 2 < len(items) else 0), items[cursor : cursor + 2]
 
-    hscan_iter = zscan_iter = sscan_iter
+    hscan = zscan = sscan
 
     def __init__(self):
         self.draws = iter([b"k1", b"k2", b"k1", None])
 
     def randomkey(self):
-        return next(self.draws)
+        return next(self.draws, None)
+
+
+class Cluster(FakeStore):
+    """With pipelines and hash slots; ``trips`` counts round trips."""
 
+    trips = 0
 
-def test_key_value_store(spark, tmp_path, monkeypatch):
-    read = keyvalue.KeyValueReader({"client": f"{__name__}.FakeStore", "db": "3"})
+    def pipeline(self, transaction):
+        store, calls = self, []
+
+        class Pipe:
+            def __getattr__(self, name):
+                return lambda *a, **k: calls.append((name, a, k))
+
+            def execute(self):
+                Cluster.trips += 1
+                return [getattr(store, name)(*a, **k) for name, a, k in calls]
+
+        return Pipe()
+
+    def execute_command(self, command, slot, *most):
+        mine = [k for i, k in enumerate(self.data) if i * 3000 == slot]
+        return len(mine) if command.startswith("CLUSTER COUNT") else mine[: most[0]]
+
+
+@pytest.mark.parametrize("kind", [FakeStore, Cluster])
+def test_key_value_store(kind, monkeypatch):
+    client = kind()
+    keys = list(map(str.encode, kind.data))
+    rows = list(keyvalue.values(client, keys))
+    assert rows[0] == (b"k1", "a@b.co") and (b"k4", "1.5") in rows and (b"k3", "f") in rows and len(rows) == 8
+    assert keyvalue.random_keys(kind(), 9) == [b"k1", b"k2"]
+    monkeypatch.setitem(kind.data, "k2", ("list", [str(i).encode() for i in range(2502)]))
+    monkeypatch.setitem(kind.data, "k5", ("set", [str(i).encode() for i in range(7)]))
+    assert [v for k, v in keyvalue.values(client, [b"k2", b"k5"])] == [str(i) for i in range(2502)] + [str(i) for i in range(7)]
+
+
+def test_each_key_is_listed_by_one_task(monkeypatch):
     monkeypatch.setitem(__import__("sys").modules, __name__, __import__("sys").modules[FakeStore.__module__])
-    rows = list(read.read(None))
-    assert rows[0] == ("db3", "k1", "a@b.co") and ("db3", "k4", "1.5") in rows and len(rows) == 8
-    assert keyvalue.sampled_keys(FakeStore(), 9) == ["k1", "k2"]
-    parts = keyvalue.KeyValueReader({"client": f"{__name__}.FakeStore", "partitions": "3"}).partitions()
-    split = keyvalue.KeyValueReader({"client": f"{__name__}.FakeStore", "db": "3", "partitions": "3"})
-    assert len(parts) == 3 and sorted(r for p in parts for r in split.read(p)) == sorted(rows)
-    monkeypatch.setitem(FakeStore.data, "k2", ("list", [str(i).encode() for i in range(2502)]))
-    assert list(keyvalue.values(FakeStore(), "k2")) == [str(i) for i in range(2502)]
+    read = keyvalue.KeyReader({"client": f"{__name__}.Cluster", "cluster": "true", "partitions": "4"})
+    listed = [[k for k, in read.read(p)] for p in read.partitions()]
+    assert len(listed) == 4 and sorted(k for part in listed for k in part) == sorted(map(str.encode, FakeStore.data)) and sum(map(bool, listed)) == 4
+    Cluster.trips = 0
+    assert len(list(keyvalue.slot_keys(Cluster(), 0, keyvalue.SLOTS))) == 6 and Cluster.trips == 2 * -(-keyvalue.SLOTS // keyvalue.KEYS)
+    one = keyvalue.KeyReader({"client": f"{__name__}.FakeStore", "partitions": "4"})
+    assert len(one.partitions()) == 1 and len(list(one.read(one.partitions()[0]))) == 6
+    draws = keyvalue.KeyReader({"client": f"{__name__}.FakeStore", "partitions": "3", "sample": "10"})
+    assert [p.value for p in draws.partitions()] == [("draws", 0, 3), ("draws", 3, 6), ("draws", 6, 10)] and [k for k, in draws.read(draws.partitions()[2])] == [b"k1", b"k2"]
+
+
+def test_key_values_through_spark(spark, tmp_path):
+    """The source as a whole, with a client that a module on the executors' path makes."""
+    (tmp_path / "kv_client.py").write_text(
+        "class Store:\n"
+        "    data = {f'user:{i}:email': f'u{i}@x.co' for i in range(40)}\n"
+        "    def scan_iter(self): return iter(self.data)\n"
+        "    def type(self, key): return 'string'\n"
+        "    def get(self, key): return self.data[key.decode()]\n"
+        "    def randomkey(self): import random; return random.choice(list(self.data))\n"
+        "    def dbsize(self): return len(self.data)\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "kv_client.py"))
+    store = keyvalue.KeyValues(spark, "kv_client.Store", 2, 4)
+    assert store.cells("db2", False).distinct().count() == 40 and store.keys().count() == 40
+    assert {(r["table"], r["label"]) for r in scan(spark, store, ScanConfig("metascan")).collect()} == {("db2", "Email")}
+    found = scan(spark, store, ScanConfig("datascan")).where("detector_type = 'value detector' and label = 'Email'")
+    assert found.count() == store.sample("db2").select("column").distinct().count() == 40
 
 
 def test_scan_of_key_values(spark, monkeypatch):
