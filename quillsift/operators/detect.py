@@ -206,6 +206,8 @@ def named(spark: SparkSession, names: list[tuple[str, str]], region: str = "") -
 
 
 def rule_number(label: str, value: Column, context: bool = False) -> Column:
-    """Number of the first rule of a label whose pattern occurs in the value (before checks); null if none."""
-    contexts = F.array(F.lit(label)) if context else F.array().cast("array<string>")
-    return _first(label, VALUE_RULES[label], F.lower(value), contexts, lambda i, r, pattern: F.lit(i), checked=False).cast("int")
+    """Number of the first rule of a label whose pattern occurs in the value (before checks); null if none. As in a scan, rules are
+    tried only on texts that have what the label needs."""
+    contexts, low = F.array(F.lit(label)) if context else F.array().cast("array<string>"), F.lower(value)
+    first = _first(label, VALUE_RULES[label], low, contexts, lambda i, r, pattern: F.lit(i), checked=False).cast("int")
+    return F.when(low.rlike(_NEEDS[label]), first) if label in _NEEDS else first

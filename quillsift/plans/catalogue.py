@@ -8,12 +8,13 @@ DuckDB's own operators, with rules in their RE2 form.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.functions import documents as docs
-from quillsift.functions import validators
+from quillsift.functions import sql, validators
 from quillsift.functions.column_rules import COLUMN_RULES
 from quillsift.functions.registry import LABELS, MERGED
 from quillsift.functions.value_rules import VALUE_RULES, for_region
@@ -112,7 +113,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: table(spark, sf_dir, t) for t in TABLES}
+    """All tables; their footers are read at once, as each is a job of its own to Spark."""
+    with ThreadPoolExecutor(len(TABLES)) as pool:
+        return dict(zip(TABLES, pool.map(lambda t: table(spark, sf_dir, t), TABLES)))
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +165,12 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.sample(table(spark, sf_dir, "documents")).select("doc_id")
 
 
+#: The same draw in DuckDB's words: MD5 of the seed and the scanned cells with their lengths.
+_SAMPLE_SQL = """SELECT doc_id FROM (
+  SELECT doc_id, ('0x' || substr(md5('47|' || """ + " || ".join(f"coalesce(length({c})::VARCHAR, '') || ':' || coalesce({c}, '')" for c in _SCANNED["documents"]) + """), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM documents) WHERE u < 0.1 ORDER BY u LIMIT 10000"""
+
+
 # --- names ---
 
 
@@ -243,13 +252,41 @@ _IPV6_SQL = f"SELECT c_custkey, address, regexp_full_match(address, '{'|'.join(_
 
 
 def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(region, label, len(rules)) for region in ("", "india", "us") for label, rules in for_region(VALUE_RULES, region).items()]
-    return spark.createDataFrame(rows, "region string, label string, rules int")
+    """(region, label, cells): in how many derived cells a region's rules for a label fire, without any context."""
+    each = derived(spark, sf_dir).select(F.explode(F.array(*_VALUES)).alias("value")).select(detect.prepared(F.col("value")).alias("text"))
+    none = F.array().cast("array<string>")
+    parts = [each.select(F.lit(region).alias("region"), F.explode(detect.matches(F.col("text"), none, for_region(VALUE_RULES, region))).alias("m")) for region in ("", "india", "us")]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("region", F.col("m.label").alias("label")).agg(F.count("*").alias("cells"))
+
+
+#: Checks of a match's text ``{m}`` in DuckDB's words. Addresses that the patterns admit are valid.
+_CHECK_SQL = {
+    "CreditCard": "list_sum(list_transform(list_reverse(string_split(translate({m}, ' -+', ''), '')), lambda d, i: CASE WHEN i % 2 = 0 THEN (d::INT * 2) % 10 + (d::INT * 2) // 10 ELSE d::INT END)) % 10 = 0",
+    "AdharcardNumber": f"list_reduce(list_prepend(0, list_transform(list_reverse(string_split(translate({{m}}, ' -().', ''), '')), lambda d, i: ({[x for r in validators.PERMUTED for x in r]})[((i - 1) % 8) * 10 + d::INT + 1])), lambda c, x: ({[x for r in validators.PRODUCT for x in r]})[c * 10 + x + 1]) = 0",
+    "GSTIN": "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((36 - list_sum(list_transform(string_split(substr(upper({m}), 1, 14), ''), lambda x, i: (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)) // 36 + (CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END * (strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)) % 36)) % 36) % 36 + 1 AS INT), 1) = substr(upper({m}), 15, 1)",
+}
+
+
+def _fires_sql(label: str, rules, low: str, result: Callable, context: str | None = None) -> str:
+    """CASE over the rules of a label: ``result`` (rule, hit) of the first that matches ``low`` and stands its check, else NULL."""
+    arms = []
+    for rule in rules:
+        hit = f"regexp_extract({low}, {_quote(rule.pattern)})"
+        # CASE keeps the check from texts without a match
+        ok = f"CASE WHEN {hit} = '' THEN regexp_matches({low}, {_quote(rule.pattern)}) ELSE {_CHECK_SQL[label].replace('{m}', hit)} END" if label in _CHECK_SQL else f"regexp_matches({low}, {_quote(rule.pattern)})"
+        if rule.gated:
+            ok = "false" if context is None else f"({ok}) AND coalesce({context} = {_quote(label)}, false)"
+        arms.append(f"WHEN {ok} THEN {result(rule, hit)}")
+    return f"CASE {' '.join(arms)} END"
 
 
 def _region_sql() -> str:
-    rows = ", ".join(f"({_quote(label)}, {_quote(r.region or '')})" for label, rules in VALUE_RULES.items() for r in rules)
-    return f"WITH rules(label, tag) AS (VALUES {rows}), asked(region) AS (VALUES (''), ('india'), ('us')) SELECT region, label, count(*)::INT AS rules FROM asked JOIN rules ON region = '' OR tag = '' OR tag = region GROUP BY ALL"
+    cells_sql = f"SELECT lower(value) AS low FROM ({_LONG})"
+    parts = [
+        f"SELECT {_quote(region)} AS region, {_quote(label)} AS label, count(*) AS cells FROM cells WHERE {_fires_sql(label, rules, 'low', lambda rule, hit: '1')} = 1 HAVING count(*) > 0"
+        for region in ("", "india", "us") for label, rules in for_region(VALUE_RULES, region).items()
+    ]
+    return f"WITH cells AS MATERIALIZED ({cells_sql}) {' UNION ALL '.join(parts)}"
 
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,8 +371,9 @@ def _proof(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     k = F.col("p_partkey")
     label = F.element_at(F.array(*map(F.lit, _PROOF_LABELS)), (F.floor(k / 48) % len(_PROOF_LABELS) + 1).cast("int"))
     p = table(spark, sf_dir, "part").select(F.concat(F.lit("t"), (k % 4).cast("string")).alias("table"), F.concat(F.lit("c"), (k % 12).cast("string")).alias("column"), label.alias("label"), ((k % 10 + 1) / 10).alias("w"), (k % 97 == 0).alias("ctx"))
-    values = p.where("w > 0.3").groupBy("table", "column", "label").agg(F.sum("w").alias("weight"), F.count("*").alias("matched"), F.bool_or("ctx").alias("in_context")).withColumn("detector", F.lit("regex"))
-    scanned = p.groupBy("table", "column").agg(F.count("*").alias("scanned"))
+    found = F.when(F.col("w") > 0.3, F.array(F.struct(F.lit("regex").alias("detector"), "label", F.col("w").alias("weight"), F.col("ctx").alias("in_context"))))
+    judged = p.select("table", "column", F.lit(1).cast("long").alias("n"), F.coalesce(found, F.array().cast("array<struct<detector:string,label:string,weight:double,in_context:boolean>>")).alias("found"))
+    values, scanned = detect.added(detect.evidence(judged))
     names = spark.createDataFrame([("t0", "c0", "PANNumber", 1.0), ("t1", "c1", "Email", 0.5), ("t1", "c1", "Phone", 1.0), ("t2", "c2", "UAN", 0.3)], "table string, column string, label string, weight double")
     return values, scanned, names
 
@@ -346,7 +384,9 @@ _PROOF_SQL = f"""WITH p AS (SELECT 't' || (p_partkey % 4) AS t, 'c' || (p_partke
 hits AS (SELECT t, c, label, sum(w) AS weight, count(*) AS matched, bool_or(ctx) AS in_context FROM p WHERE w > 0.3 GROUP BY ALL),
 scanned AS (SELECT t, c, count(*) AS n FROM p GROUP BY ALL),
 names(t, c, label, weight) AS (VALUES ('t0', 'c0', 'PANNumber', 1.0), ('t1', 'c1', 'Email', 0.5), ('t1', 'c1', 'Phone', 1.0), ('t2', 'c2', 'UAN', 0.3)),
-tiers(label, tier, domain) AS (VALUES {', '.join(f"({_quote(x)}, {_quote(LABELS[x][0])}, {_quote(LABELS[x][1])})" for x in _PROOF_LABELS)}),
+"""
+#: From hits(t, c, label, weight, matched, in_context), scanned(t, c, n) and names(t, c, label, weight) to findings.
+_CHAIN_SQL = f"""tiers(label, tier, domain) AS (VALUES {', '.join(f"({_quote(x)}, {_quote(t)}, {'NULL' if d is None else _quote(d)})" for x, (t, d) in LABELS.items())}),
 final AS (SELECT h.*, n, EXISTS (FROM names m WHERE m.t = h.t AND m.c = h.c) AS named,
   CASE WHEN h.label IN ({', '.join(_quote(x) for x in sorted(MERGED))}) AND m.weight >= 0.4 THEN (m.weight + h.weight / n) / 2 ELSE h.weight / n END::DOUBLE AS final
   FROM hits h JOIN scanned USING (t, c) LEFT JOIN names m ON m.t = h.t AND m.c = h.c AND m.label = h.label),
@@ -413,6 +453,17 @@ def _pairs_sql(*pairs: tuple[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT c_custkey, '{k}' AS key, {v} AS value FROM customer" for k, v in pairs)
 
 
+def _fields_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function for SQL users over all pages' urls."""
+    sql.register(spark)
+    return spark.sql("SELECT p.page_id, f.key, f.value, f.context FROM {pages} p, LATERAL document_fields(p.url) f", pages=table(spark, sf_dir, "pages"))
+
+
+#: A url's parameters; of one without a query, the scheme and the rest.
+_URL_SQL = """SELECT page_id, key, value{context} FROM (
+  SELECT page_id, split_part(p, '=', 1) AS key, substr(p, strpos(p, '=') + 1) AS value FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '^[^#?]*[?]([^#]*)', 1), '&')) AS p FROM pages WHERE contains(url, '?'))
+  UNION ALL SELECT page_id, split_part(url, ':', 1), rtrim(substr(url, strpos(url, ':') + 1), '()[]') FROM pages WHERE NOT contains(url, '?'))"""
+
 _CVV = "lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')"
 _EXTRACT: dict[str, tuple[Query, str | None]] = {
     "extract_json": (_extract("events", "event_id", "props"), "SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"),
@@ -425,7 +476,8 @@ _EXTRACT: dict[str, tuple[Query, str | None]] = {
         f"SELECT * FROM ({_pairs_sql(('card', 'CAST(c_custkey % 1000 AS STRING)'), ('phone', _MOBILE))}) WHERE length(value) >= 2",
     ),
     "extract_base64": (lambda s, d: _pairs_of(derived(s, d), "c_custkey", F.base64(F.encode("payload_json", "utf-8"))), _pairs_sql(("cvv", _CVV), ("mobile", _MOBILE))),
-    "extract_pages_url": (_extract("pages", "page_id", "url"), None),
+    "extract_pages_url": (_extract("pages", "page_id", "url"), _URL_SQL.format(context="")),
+    "fields_in_sql": (_fields_in_sql, _URL_SQL.format(context=", NULL::VARCHAR AS context")),
     "segment_512": (
         lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(docs.segments(F.col("text"))).alias("nth", "segment")),
         r"""WITH packed AS (SELECT doc_id, list_reduce(string_split_regex(trim(regexp_replace(text, '[\s\x0B\x85\xA0]+', ' ', 'g')), ' '),
@@ -456,6 +508,40 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRS_SQL = "SELECT c_custkey, name, label FROM customer, (VALUES ('email', 'Email'), ('phone number', 'Phone'), ('pan', 'PANNumber'), ('description', NULL), ('dob', NULL)) v(name, label)"
 
+def _derived_sql() -> str:
+    """A scan of the derived view in DuckDB's words: contexts of names, fields of documents, rules with checks, weights by context,
+    winners of fields, groups of overlapping matches, sums by column, and the chain of scores."""
+    keys = {  # columns whose cells are documents: key (in names, by example) and value
+        "payload_json": (("'cvv'", _CVV), ("'mobile'", _MOBILE)), "payload_xml": (("'cvv'", _CVV), ("'z'", "CAST(c_custkey % 10 AS STRING)")), "payload_query": (("'mobile'", _MOBILE), ("'note'", "'x' || (c_custkey % 10)")),
+        "payload_encoded": (("'mobile'", _MOBILE),), "kv_text": (("'card: 1, phone'", _MOBILE),),
+    }
+    rules = ", ".join(f"({_quote(label)}, {i}, {_quote(r.pattern)}, {r.weight})" for label, some in COLUMN_RULES.items() for i, r in enumerate(some))
+    names = ", ".join(f"({_quote(n)})" for n in [*_VALUES, "cvv", "mobile", "z", "note", "card: 1, phone"])
+    plain = " UNION ALL ".join(f"SELECT c_custkey AS k, {_quote(c)} AS c, {_quote(c)} AS name, {c} AS value, false AS inner_field FROM base" for c in _VALUES if c not in keys)
+    parts = " UNION ALL ".join(f"SELECT c_custkey, {_quote(c)}, {key}, {value}, true FROM customer" for c, pairs in keys.items() for key, value in pairs)
+    match = " UNION ALL ".join(
+        f"SELECT k, c, name, loose, context, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, low, unnest({_fires_sql(label, rules_, 'low', lambda rule, hit: f'[({rule.weight}, {hit})]', 'context')}) AS m FROM pieces" for label, rules_ in VALUE_RULES.items()
+    )
+    return f"""WITH base AS ({DERIVED_SQL}), rules(label, nth, pattern, weight) AS (VALUES {rules}), asked(name) AS (VALUES {names}),
+known AS (SELECT name, label, arg_min(weight, nth)::DOUBLE AS weight FROM asked JOIN rules ON regexp_matches(lower(name), pattern) GROUP BY ALL),
+context AS (SELECT name, arg_min(label, (-weight, label)) AS context FROM known GROUP BY name),
+pieces AS MATERIALIZED (SELECT k, c, name, lower(value) AS low, context, context IS NULL AND NOT inner_field AS loose FROM ({plain} UNION ALL {parts}) LEFT JOIN context USING (name) WHERE value <> ''),
+raw AS ({match}),
+matches AS (SELECT k, c, name, loose, context, label, tier, m[1]::DOUBLE AS weight, (strpos(low, m[2]) - 1)::INT AS "start", (strpos(low, m[2]) - 1 + length(m[2]))::INT AS "end", coalesce(label = context, false) AS ctx FROM raw),
+boosted AS (SELECT * REPLACE (CASE WHEN ctx THEN 1.0 ELSE weight END::DOUBLE AS weight) FROM matches),
+capped0 AS (SELECT * REPLACE (CASE WHEN context IS NULL AND tier <> 'Tier1' AND weight >= 0.7 THEN 0.69 ELSE weight END::DOUBLE AS weight) FROM boosted),
+reach AS (SELECT *, max("end") OVER (PARTITION BY k, c ORDER BY "start", "end" DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM capped0 WHERE loose),
+grouped AS (SELECT *, sum((r IS NULL OR "start" >= r)::INT) OVER (PARTITION BY k, c ORDER BY "start", "end" DESC, label ROWS UNBOUNDED PRECEDING)::INT AS g FROM reach),
+best AS (
+  SELECT k, c, label, weight, ctx FROM grouped QUALIFY row_number() OVER (PARTITION BY k, c, g ORDER BY weight DESC, label) = 1
+  UNION ALL SELECT k, c, label, weight, ctx FROM capped0 WHERE NOT loose QUALIFY row_number() OVER (PARTITION BY k, c, name ORDER BY ctx DESC, weight DESC, label) = 1),
+merged AS (SELECT k, c, label, max(weight) AS weight, bool_or(ctx) AS ctx FROM best GROUP BY ALL),
+hits AS (SELECT 'derived' AS t, c, label, sum(weight) AS weight, count(*) AS matched, bool_or(ctx) AS in_context FROM merged GROUP BY ALL),
+scanned AS (SELECT 'derived' AS t, c, count(DISTINCT k) AS n FROM pieces GROUP BY ALL),
+names AS (SELECT 'derived' AS t, name AS c, label, weight FROM known WHERE name IN ({', '.join(map(_quote, _VALUES))})), {_CHAIN_SQL}
+SELECT {_OUT}, kind AS detector_type, 'regex' AS detector, round(weight, 6) AS weight, confidence, tier, domain, ctx AS context_matched, matched AS matched_count, n AS scanned_count FROM won"""
+
+
 #: What a full scan of the raw tables finds: two column names, nothing by value.
 _RAW_SQL = """SELECT * FROM (VALUES ('events', 'user_id', 'Username', 'column detector', 'regex', 0.5::DOUBLE, 'Medium', 'Tier3', 'Digital', false, 0::BIGINT, 0::BIGINT),
   ('lineitem', 'l_quantity', 'UAN', 'column detector', 'regex', 0.3::DOUBLE, 'Low', 'Tier3', 'Employment', false, 0::BIGINT, 0::BIGINT))
@@ -466,7 +552,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {
         "scan_cells_unpivot": (_unpivot, _cells_sql(("region", "nation", "supplier", "orders"))),
         "scan_cell_counts": (_counts, f'SELECT "table", "column", count(*) AS scanned FROM ({_cells_sql(_SCANNED)}) GROUP BY ALL'),
-        "scan_sample_10pct": (_sample, None),
+        "scan_sample_10pct": (_sample, _SAMPLE_SQL),
         "meta_scan_columns": (_meta, _meta_sql()),
         "region_filter": (_region, _region_sql()),
         "context_gate": (_gate, _gate_sql()),
@@ -475,15 +561,15 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         "scan_meta": (_scan("metascan"), _RAW_SQL),
         "scan_deep": (_scan("deepscan"), _RAW_SQL),
         "scan_auto": (_scan(""), _RAW_SQL),
-        "scan_deep_derived": (_scan_derived, None),
+        "scan_deep_derived": (_scan_derived, _derived_sql()),
     }
     for label in VALUE_RULES:
         out[f"detect_{label.lower()}"] = (_detect(label), _detect_sql(label))
     checks = {"luhn": ("card_number", validators.luhn_expr), "verhoeff": ("aadhaar", validators.verhoeff_expr), "gstin": ("gstin", validators.gstin_expr), "ipv4": ("ip_addr", validators.ipv4_expr), "mac": ("device_mac", validators.mac_expr)}
     for name, (column, check) in checks.items():
         out[f"validate_{name}"] = (_validate(column, check), _VALIDATE_SQL[f"validate_{name}"].replace("__D", DERIVED_SQL))
-    out |= {name: (q, f"{_matches_sql()} {sql}") for name, (q, sql) in _RESOLVE.items()}
-    out |= {name: (q, _PROOF_SQL + sql) for name, (q, sql) in _SCORE.items()}
+    out |= {name: (q, f"{_matches_sql()} {text}") for name, (q, text) in _RESOLVE.items()}
+    out |= {name: (q, _PROOF_SQL + _CHAIN_SQL + text) for name, (q, text) in _SCORE.items()}
     return out | _EXTRACT
 
 
@@ -492,4 +578,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _all().items() if sql is not None}
+    return {name: text for name, (_, text) in _all().items() if text is not None}

@@ -399,6 +399,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert shown(got) == shown(scan(spark, {"t": df}))
 
 
+def test_state_of_a_stream_stays_small(spark, tmp_path):
+    kinds = "email string, note string, m map<string,string>"
+    for i in range(12):
+        spark.createDataFrame([(f"u{i}{j}@x.co", f"call 98765{i:02d}{j:03d}", {"gender": "male"}) for j in range(5)], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert [r["label"] for r in live.findings(spark, f"{tmp_path}/store", [("t", "email")]).collect()] == ["Email"]  # nothing judged yet
+    q = live.start(stream, "t", f"{tmp_path}/store", f"{tmp_path}/check")
+    q.awaitTermination(200)
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: __import__("json").loads(p.json), q.recentProgress) if p["stateOperators"]]
+    assert len(sizes) >= 10 and sizes[-1] == sizes[1] and len(glob.glob(f"{tmp_path}/store/batch=*")) == live.KEPT
+    got = live.findings(spark, f"{tmp_path}/store", [("t", "email"), ("t", "note"), ("t", "m")])
+    shown = lambda f: sorted(map(str, f.withColumn("weight", F.round("weight", 9)).collect()))
+    assert shown(got) == shown(scan(spark, {"t": spark.read.schema(kinds).parquet(f"{tmp_path}/in")}))
+
+
 def test_windowed_stream(spark, tmp_path):
     df = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, m), v) for m, v in ((1, "a@b.co"), (5, "x"), (12, "c@d.co"), (50, "z"))], "at timestamp, value string")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -417,7 +432,7 @@ def test_queries_against_sql(spark):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from read_parquet('{p}')")
     oracle = catalogue.oracle_sql()
     assert set(oracle) <= set(entry.queries())
-    for name in ("scan_cells_unpivot", "meta_scan_columns", "detect_email", "detect_cin", "detect_birthdate", "validate_verhoeff", "validate_ipv6", "pair_detect", "row_merge", "field_winner", "occurrence_groups", "column_winner", "extract_query", "segment_512"):
+    for name in ("scan_cells_unpivot", "meta_scan_columns", "detect_email", "detect_cin", "detect_birthdate", "validate_verhoeff", "validate_ipv6", "pair_detect", "row_merge", "field_winner", "occurrence_groups", "column_winner", "extract_query", "segment_512", "scan_deep_derived", "scan_sample_10pct", "region_filter", "hit_aggregate", "extract_pages_url", "fields_in_sql", "detect_creditcard"):
         df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
         want = con.execute(oracle[name]).df()
         names = sorted(df.columns)
