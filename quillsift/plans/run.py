@@ -7,23 +7,26 @@ The JDBC driver of the engine must be among Spark's jars (``spark.jars`` in its
 
 ``config.toml`` has a list ``instances`` with ``engine, host, port, user, password, databases`` and, by engine,
 ``sslmode, sslrootcert, sslcert, sslkey`` (postgres), ``tlsmode`` (mysql), ``encrypt`` (sqlserver), ``uri`` (mongodb),
-``redis_dbs`` and ``client``, the factory of a client (redis).
+``redis_dbs``, ``cluster`` and ``partitions`` (redis), and ``client``, the factory of a client (redis; for mongodb in place of
+the connector).
 """
 
 from __future__ import annotations
 
 import argparse
 import os
+import sys
 import tomllib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from urllib.parse import urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quillsift.plans import report
 from quillsift.plans.scan import DEFAULT_TIMEOUT, MODES, ScanConfig, scan_targets
 from quillsift.sources import databases
+from quillsift.sources.documentstore import Documents
 from quillsift.sources.keyvalue import KeyValues
 from quillsift.sources.source import Source
 
@@ -74,7 +77,7 @@ def targets(instances: Sequence[dict], schema: str = "") -> Iterator[Target]:
         port = at.get("port") or databases.ENGINES[engine][0]
         if engine == "redis":
             for n in at.get("redis_dbs") or [0]:
-                yield Target(engine, host, f"db{n}", f"{host}_{port}_db{n}", lambda spark, n=n, at=at: KeyValues(spark, at["client"], n, int(at.get("partitions", 1))))
+                yield Target(engine, host, f"db{n}", f"{host}_{port}_db{n}", lambda spark, n=n, at=at: KeyValues(spark, at["client"], n, int(at.get("partitions", 1)), bool(at.get("cluster", False))))
             continue
         place = urlsplit(uri).netloc.rpartition("@")[2].replace(":", "_").replace(",", "_") if uri else f"{host}_{port}"
         off = str(at.get({"mysql": "tlsmode", "sqlserver": "encrypt"}.get(engine, ""), "")).lower() in OFF
@@ -82,7 +85,9 @@ def targets(instances: Sequence[dict], schema: str = "") -> Iterator[Target]:
         for name in at.get("databases", []):
             def open_(spark: SparkSession, at: dict = at, engine: str = engine, name: str = name, uri: str = uri, host: str = host, port: int = port, ssl: dict = ssl) -> Source:
                 db = databases.Database(host or "mongodb", name, engine, port, at.get("user", ""), at.get("password", ""), schema if engine in ("postgres", "sqlserver") else "", **ssl)
-                return databases.Mongo(spark, db, at.get("collections"), uri) if engine == "mongodb" else databases.Jdbc(spark, db)
+                if engine == "mongodb":
+                    return Documents(spark, at["client"], name) if at.get("client") else databases.Mongo(spark, db, at.get("collections"), uri)
+                return databases.Jdbc(spark, db)
 
             yield Target(engine, host, name, f"{place}_{name}", open_)
 
@@ -102,27 +107,47 @@ def chosen(found: Sequence[Target], engine: str = "", host: str = "", database:
     return out
 
 
+class Prompt:
+    """Asks at the terminal before a large table is read whole: yes, no, or yes to all. Without a terminal nothing is asked."""
+
+    def __init__(self, read: Callable[[str], str] = input, interactive: bool | None = None):
+        self.read, self.all = read, not (sys.stdin.isatty() if interactive is None else interactive)
+
+    def __call__(self, table: str, rows: int) -> bool:
+        while not self.all:
+            answer = self.read(f"{table} has {rows} rows. Read all of them? (yes=Y | no=N | yes to all=A): ").strip().lower()
+            if answer in ("y", "n"):
+                return answer == "y"
+            self.all = answer == "a"
+        return True
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, ask: Callable[[str, int], bool] | None = None) -> int:
     """Scan and write reports; the number of targets that were skipped is the result."""
     a = arguments(argv)
     names = lambda text: tuple(n for n in text.split(",") if n.strip())
-    config = ScanConfig(a.mode, names(a.include), names(a.exclude), a.region, print_all=a.print_all, print_summary=a.print_summary, on_large_table=ask)
+    config = ScanConfig(a.mode, names(a.include), names(a.exclude), a.region, print_all=a.print_all, print_summary=a.print_summary, on_large_table=ask or Prompt())
     if a.uri:
         found = [from_uri(a.uri, a.schema)]
     else:
         with open(os.path.join(a.config, "config.toml"), "rb") as f:
             found = list(targets(tomllib.load(f).get("instances", []), a.schema))
     spark = spark or SparkSession.builder.appName("quillsift").getOrCreate()
+
+    def show(t: Target) -> Callable[[str, DataFrame], None]:
+        def write(_: str, findings: DataFrame) -> None:
+            print(report.summary_text(findings) if config.print_summary else report.text(findings, config.print_all))
+            folder = os.path.join(a.output, t.label)
+            report.write_logs(findings, folder, config.print_all)
+            report.write_html(findings, os.path.join(folder, "report.html"), t.label, config.print_all)
+
+        return write
+
     skips = 0
     for t in chosen(found, a.engine, a.host, a.database):
-        findings, skipped = scan_targets(spark, {t.label: lambda t=t: t.open(spark)}, config, None if a.no_timeout else DEFAULT_TIMEOUT)
         print(f"{t.label} ({t.engine}), {config.title}")
-        if findings is None:
+        _, skipped = scan_targets(spark, {t.label: lambda t=t: t.open(spark)}, config, None if a.no_timeout else DEFAULT_TIMEOUT, show(t))
+        if skipped:
             skips += 1
             print(f"skipped, {skipped[t.label]}")
-            continue
-        print(report.summary_text(findings) if config.print_summary else report.text(findings, config.print_all))
-        folder = os.path.join(a.output, t.label)
-        report.write_logs(findings, folder, config.print_all)
-        report.write_html(findings, os.path.join(folder, "report.html"), t.label, config.print_all)
     return skips

@@ -266,6 +266,13 @@ def test_configuration(spark, tmp_path, monkeypatch, capsys, shop):
     assert run.main(["postgres://h/d", "--schema", "public", "--mode", "metascan", "--print-summary", "--no-timeout", "--output", out], spark) == 0
 
 
+def test_large_tables_are_asked_for():
+    answers = iter(["", "maybe", "n", "y", "A"])
+    ask = run.Prompt(lambda text: next(answers), interactive=True)
+    assert [ask("t", 200_000) for _ in range(4)] == [False, True, True, True] and next(answers, None) is None
+    assert run.Prompt(lambda text: 1 / 0, interactive=False)("t", 200_000)
+
+
 def test_database_without_schema(spark):
     with pytest.raises(ValueError):
         databases.Jdbc(spark, databases.Database("h", "d"), lambda s, o: s.createDataFrame([], "n string"))
