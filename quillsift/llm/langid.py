@@ -1,6 +1,9 @@
 """Language of words, spans and texts.
 
-A word's script, read from code point ranges, narrows the candidate languages to those that
+A word is a run of letters (with their marks) of one script; signs in between, and a change of
+script, end it, so glued text such as a Latin name inside Chinese falls apart. Where a script sets
+no blanks (Han, Kana) a run is cut into pairs of characters. A word's script, read from code point
+ranges, narrows the candidate languages to those that
 the training texts write in that script. Over these, a word's score is its smoothed log
 probability in each language: its count in the training texts backed off to a byte
 four-gram model of words. A Viterbi pass with a penalty for each switch of language labels
@@ -13,12 +16,16 @@ cells a language. Prediction reads the text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no
 labelled row everything is ``und``; ties go to the language that sorts first; repeated
-rows get equal results.
+rows get equal results; a very long text is labelled whole, word by word, in memory that grows
+with its number of words; an empty table gives an empty result; other columns, of any name,
+are not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +41,8 @@ SAMPLE = 1500
 CELLS = 1 << 18
 #: What a switch of language costs, and the most by which one word can speak against a language.
 SWITCH, MOST = 8.0, 6.0
+#: What a word costs in a language that is not written in its script: more than to leave the language for one word.
+CLOSED = 2 * SWITCH + MOST
 #: A language is a candidate for a script that so large a part of its words use.
 SCRIPT_SHARE = 0.01
 
@@ -51,7 +60,19 @@ _SCRIPT_AT = np.array([SCRIPTS.index(s) for _, s in SCRIPT_RANGES])
 _LATIN = SCRIPTS.index("Latin")
 
 _LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[0x80:] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+#: Scripts without blanks between words.
+_UNSPACED = np.array([SCRIPTS.index("Han"), SCRIPTS.index("Kana")])
+
+
+@lru_cache(maxsize=1)
+def _lettered() -> np.ndarray:
+    """Whether each code point is a letter or a mark on one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+def _scripts(points: np.ndarray) -> np.ndarray:
+    return _SCRIPT_AT[np.searchsorted(_STARTS, points, "right") - 1]
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -61,10 +82,28 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 def text_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Codes of the words of all texts, the distinct words and their scripts (-1: no letter in it), and each text's first word."""
     data, bounds = pieces.buffers(texts)
+    firsts = bounds[:-1][np.diff(bounds) > 0]
     keep = _LETTER[data]
+    breaks = np.zeros(0, np.int64)
+    if len(data) and data.max() >= 0x80:
+        at, size, point = pieces.points(data)
+        some = _lettered()[point]
+        at, size, kind = at[some], size[some], _scripts(point[some])
+        for i in range(int(size.max(initial=0))):
+            keep[at[size > i] + i] = True
+        joins = np.zeros(len(at), bool)  # to the character in front, which is not ASCII either
+        joins[1:] = at[1:] == at[:-1] + size[:-1]
+        joins &= ~np.isin(at, firsts)
+        same = joins.copy()
+        same[1:] &= kind[1:] == kind[:-1]
+        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at)))) if len(at) else at
+        behind = at + size
+        behind, strange = behind[behind < len(data)], kind[behind < len(data)] != _LATIN
+        # where another script begins, every second character without blanks, and Latin letters after another script
+        breaks = np.concatenate([at[~same & (joins | (kind != _LATIN))], at[np.isin(kind, _UNSPACED) & (nth % 2 == 0)], behind[strange & (data[behind] < 0x80)]])
     start = keep.copy()
     start[1:] &= ~keep[:-1]
-    firsts = bounds[:-1][np.diff(bounds) > 0]
+    start[breaks] |= keep[breaks]
     start[firsts] = keep[firsts]
     of = np.searchsorted(np.flatnonzero(start), bounds)
     code, distinct = pieces.coded(pieces.as_binary(pieces._LOWER[data[keep]], np.flatnonzero(start[keep])))
@@ -73,7 +112,7 @@ def text_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np
     for i, w in enumerate(names):
         if not w.isascii():
             letters = [c for c in w.decode() if c.isalpha()]
-            script[i] = _SCRIPT_AT[np.searchsorted(_STARTS, ord(letters[0]), "right") - 1] if letters else -1
+            script[i] = _scripts(ord(letters[0])) if letters else -1
     return code, names, script, of
 
 
@@ -135,7 +174,7 @@ class Model:
         prior = np.exp(np.maximum(spelled, -60.0))
         s = np.log((self.word[word] + 50.0 * prior) / (self.total + 50.0) + np.float32(1e-30))
         s = np.where(self.open[np.maximum(script, 0)], s, -np.inf)
-        s = np.maximum(s - s.max(axis=1, keepdims=True), -MOST).astype(np.float32)
+        s = np.where(np.isfinite(s), np.maximum(s - s.max(axis=1, keepdims=True), -MOST), -CLOSED).astype(np.float32)
         s[script < 0] = 0
         return s
 

@@ -235,6 +235,62 @@ def test_language_of_texts_and_spans(spark, docs, nothing):
     assert len(langid.language_table(docs).collect()) == len(rows())
 
 
+def plain_text_words(text):
+    """Words and their scripts, character by character."""
+    import unicodedata
+
+    out, word, kind = [], "", None
+    for c in [*(text or "").translate(AZ), " "]:
+        now = langid.SCRIPTS[langid._scripts(ord(c))] if unicodedata.category(c)[0] in "LM" and (c > "\x7f" or c.isalpha()) else None
+        if word and (now != kind or kind in ("Han", "Kana") and len(word) == 2):
+            out.append((word, kind if any(map(str.isalpha, word)) else None))
+            word = ""
+        word, kind = word + c if now else "", now
+    return out
+
+
+MIXED = ["中文English混合", "日本語とenglish", "foo—bar “baz” x’y", "привет, hello мир", "naïve café e\u0301te", "한국어와 한자漢字", "aя b", "яa", "हिन्दी text", "\u0301", "a\u0301б", "漢", "漢字漢字漢字", "ab漢cd字ef", "—", "😀 ok😀ok", "ｆｕｌｌ", "ꙮa"]
+
+
+def test_words_end_where_the_script_changes():
+    rng = np.random.default_rng(3)
+    signs = list("abz .—’–12éßя漢字かカ한ह्\u0301😀\u2028Ωλ")
+    texts = MIXED + ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(400)] + [None, "", ONE, GERMAN]
+    code, names, script, of = langid.text_words(pa.array(texts))
+    for i, text in enumerate(texts):
+        mine = code[of[i] : of[i + 1]].tolist()
+        assert [(names[c].decode(), langid.SCRIPTS[script[c]] if script[c] >= 0 else None) for c in mine] == plain_text_words(text), text
+
+
+def test_languages_against_brute_force(spark):
+    """Labels, spans and scores of texts by the best of all paths, word by word in plain Python, on the trained model's scores."""
+    en, zh, ru = "the house is on the hill and we went there", "我们 昨天 在 山上 的 房子 里 看见 了 他们", "мы вчера видели их в доме на холме"
+    train = spark.createDataFrame([(i, f"{(en, zh, ru)[i % 3]} {i}", ("en", "zh", "ru")[i % 3]) for i in range(300)], "doc_id long, text string, lang string")
+    model = langid.train(train)
+    texts = MIXED + [en, zh, ru, "我们看见了the house他们在山上", "мы the house видели and we", en + zh + ru, None, ""]
+    out = got(langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, spans=True))
+    for i, text in enumerate(texts):
+        words = plain_text_words(text)
+        scores = [model.scores([w.encode()], np.array([langid.SCRIPTS.index(k) if k else -1]))[0].astype(float) for w, k in words]
+        best, back = np.zeros(3), []
+        for s in scores:
+            stay = best >= best.max() - langid.SWITCH
+            back.append([j if stay[j] else int(best.argmax()) for j in range(3)])
+            best = np.where(stay, best, best.max() - langid.SWITCH) + s
+        path = [int(best.argmax())] if words else []
+        for b in back[:0:-1]:
+            path.append(b[path[-1]])
+        path = [model.langs[p] for p in path[::-1]]
+        cuts = [j for j in range(len(path)) if not j or path[j] != path[j - 1]] + [len(path)]
+        spans = ",".join(f"{path[a]}:{a}-{b - 1}" for a, b in zip(cuts, cuts[1:]))
+        votes = Counter(p for p, (_, k) in zip(path, words) if k)
+        top = min(votes, key=lambda p: (-votes[p], p)) if votes else "und"
+        assert (out[i][0]["spans"], out[i][0]["lang_pred"]) == (spans, top), text
+        assert math.isclose(out[i][0]["score"], votes[top] / sum(votes.values()) if votes else 0)
+    assert [s.partition(":")[0] for s in out[len(MIXED) + 3][0]["spans"].split(",")] == ["zh", "en", "zh"]
+    assert out[0][0]["spans"] == "zh:0-0,en:1-1,zh:2-2"  # 中文 English 混合
+
+
 def test_held_out_accuracy(spark):
     found = langid.language_table(table := spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     wrong = found.join(table.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> lang").count()
