@@ -11,7 +11,9 @@ Spark commits them, so a lost or repeated task leaves at most an unused file beh
 Equal pictures in different shards are stored again: gathering them would move the payloads.
 
 Defined cases: null and empty texts give one row of fill bytes; equal texts give equal
-digests, metadata and features; an empty table gives an empty result and no shard.
+digests, metadata and features, also where rows repeat; a very long text is one tall picture; an
+empty table gives an empty result and no shard; only ``doc_id`` and ``text`` are read, so further
+columns of any name do no harm.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ can be read without the others. File names are unique to the attempt, so repeate
 no harm; the table of segments says which count.
 
 Defined cases: a null or empty text has the end id alone; repeated ids are kept, each row
-for itself; an empty table gives no segment.
+for itself, in the order of their texts' ids; a very long text makes a segment of its own size, in
+blocks like any other; an empty table gives no segment; only ``doc_id`` and ``text`` are read, so
+further columns of any name do no harm.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ expression, so nothing is shuffled; beyond that the distinct URLs' tokens are jo
 with the index table.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no
-host rule; repeated rows each get the same verdict; an empty table gives an empty result.
+host rule; repeated rows each get the same verdict; a very long URL is judged whole; of equally
+long rules the one later by name counts; an empty table gives an empty result; only ``page_id`` and
+``url`` are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
