@@ -5,6 +5,13 @@
 3. decontamination: documents that hold a benchmark passage go.
 4. mixing: sources are brought to their target weights; a document comes as often as it is taken.
 5. token_output: the mixed corpus is tokenised and written; the result describes the files' documents.
+
+Defined cases: a null text, or one without letters, has no language and goes at the first stage, unless nothing is labelled
+and no model exists, when all rows stay; null labels and sources are values like any other (documents without a source are one
+source, the last); a null id is kept and names no group of near-duplicates unless all its ids are null; repeated rows are
+near-duplicates of each other, so one stays, and what mixing takes more than once comes as often; very long texts go through
+whole; ties are broken as each stage says; an empty table gives an empty result; further columns, also of names that a stage
+uses within, are carried to the last stage unchanged.
 """
 
 from __future__ import annotations
