@@ -115,7 +115,7 @@ class Prompt:
 
     def __call__(self, table: str, rows: int) -> bool:
         while not self.all:
-            answer = self.read(f"{table} has {rows} rows. Read all of them? (yes=Y | no=N | yes to all=A): ").strip().lower()
+            answer = self.read(f"Read all {rows:,} rows of {table}? [y]es, [n]o, yes to [a]ll: ").strip().lower()
             if answer in ("y", "n"):
                 return answer == "y"
             self.all = answer == "a"
