@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import unicodedata
@@ -33,6 +34,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         hi = max(lo + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(lo, hi - lo)
         lo, done = hi, int(ends[hi - 1])
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system. Workers live on from stage to stage, and what allocators keep for themselves counts as theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except OSError:  # a system without such a library
+        return None
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -702,7 +702,7 @@ def test_near_dedup_on_awkward_rows(docs, nothing):
 def test_sql_of_the_queries(spark):
     duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
     for name, sql in queries.oracle_sql().items():
         df, want = queries.queries()[name](spark, folder), con.execute(sql).df()
