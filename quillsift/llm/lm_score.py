@@ -33,11 +33,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,11 @@ def _unpress(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def _list(values: pa.Array) -> pa.Array:
+    """One row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
     """The staged blocks; the end token is the empty word."""
 
@@ -74,19 +80,20 @@ def blocks(docs: DataFrame, parts: int = 7, part: int = 2) -> DataFrame:
                 code, distinct = pieces.coded(found)
                 held = some.column("held").to_numpy(zero_copy_only=False)
                 rank = np.empty(len(distinct), np.int64)
-                rank[np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")] = np.arange(1, len(distinct) + 1)
-                names = [b""] * (len(distinct) + 1)
-                for r, w in zip(rank.tolist(), distinct.to_pylist()):
-                    names[r] = w
+                order = np.argsort(-np.bincount(code, minlength=len(distinct)), kind="stable")
+                rank[order] = np.arange(1, len(distinct) + 1)
+                names = pa.concat_arrays([pa.array([b""], distinct.type), distinct.take(pa.array(order))])
                 codes = np.insert(rank[code], of[1:], 0)
                 sizes = np.diff(of) + 1
                 train = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(names))
                 packed = _press(codes)
                 # a name by content: the same table gives the same blocks, and so the same rounds and parameters
-                name = hashlib.blake2b(packed + b"\0".join(names) + repr(some.column("doc_id").to_pylist()).encode(), digest_size=8).digest()
-                row = [[int.from_bytes(name) >> 1], [some.column("doc_id").to_pylist()], [held.tolist()], [sizes.tolist()], [packed], [names], [train.tolist()]]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-                yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], ["block", "doc_ids", "held", "sizes", "codes", "words", "train_n"])
+                name = hashlib.blake2b(packed + repr(some.column("doc_id").to_pylist()).encode(), digest_size=8)
+                for part_of in pieces.buffers(names):
+                    name.update(part_of)
+                block = int.from_bytes(name.digest()) >> 1
+                columns = [_list(x) for x in (some.column("doc_id").cast(pa.int64()), pa.array(held), pa.array(sizes), names, pa.array(train))]
+                yield pa.record_batch([pa.array([block]), *columns[:3], pa.array([packed], pa.binary()), *columns[3:]], ["block", "doc_ids", "held", "sizes", "codes", "words", "train_n"])
 
     return staged(docs.select("doc_id", "text", held_out(F.col("doc_id"), parts, part).alias("held")).mapInArrow(run, _BLOCK), "lm-blocks")
 
@@ -148,11 +155,6 @@ class Model:
         self.class_noise = np.log(NOISE_CLASSES * np.maximum(mass, 1e-30)).astype(np.float32)
         self.word_noise = np.log(NOISE_WORDS * np.maximum(inside.reshape(-1), 1e-30)).astype(np.float32)
 
-    def ahead(self, context: np.ndarray) -> np.ndarray:
-        """The predicted vectors; column j of ``context`` is the word j + 1 before."""
-        d = self.p["context"].shape[1]
-        return sum(self.p["context"][context[:, j]] @ self.p["matrix"][j * d : (j + 1) * d] for j in range(CONTEXT))
-
     def log_probs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised natural log probabilities of words after contexts, by products of batches and matrices."""
         p, wide, out = self.p, self.wide, np.empty(len(word), np.float64)
@@ -164,22 +166,32 @@ class Model:
             for j in range(1, CONTEXT):
                 q += turned[j][some[:, j]]
             kind, got = w // wide, np.empty(len(w), np.float32)
+            reach = np.sqrt(np.einsum("nd,nd->n", q, q).max(initial=0.0))
             for lo in range(0, len(w), 1024):  # parts that stay in the processor's cache
-                got[lo : lo + 1024] = _log_share(q[lo : lo + 1024] @ p["class"].T + p["class_bias"][:, 0], kind[lo : lo + 1024])
+                got[lo : lo + 1024] = _log_share(q[lo : lo + 1024], p["class"], p["class_bias"][:, 0], kind[lo : lo + 1024], reach)
             order = np.argsort(_narrow(kind, wide), kind="stable")
             ends = np.cumsum(np.bincount(kind, minlength=wide))
             for k in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
                 rows = slice(k * wide, (k + 1) * wide)
                 for lo in range(ends[k - 1] if k else 0, ends[k], 1024):
                     mine = order[lo : min(lo + 1024, ends[k])]
-                    got[mine] += _log_share(q[mine] @ p["word"][rows].T + p["word_bias"][rows, 0], w[mine] - k * wide)
+                    got[mine] += _log_share(q[mine], p["word"][rows], p["word_bias"][rows, 0], w[mine] - k * wide, reach)
             out[at : at + len(w)] = got
         return out
 
-    def learn(self, context: np.ndarray, word: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation with rates by AdaGrad."""
-        p, d, n = self.p, self.p["context"].shape[1], len(word)
-        q, kind = self.ahead(context), word // self.wide
+    def learn(self, near: np.ndarray, outside: np.ndarray, state: dict[str, np.ndarray], rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation with rates by AdaGrad.
+
+        ``near`` holds tokens that follow each other, the first ``CONTEXT`` of them as context only. Where ``outside`` holds in
+        column j, the token j + 1 before belongs to another document, and the end token stands for it. Gradients of contexts are
+        added up by token before they are by word."""
+        p, d, word = self.p, self.p["context"].shape[1], near[CONTEXT:]
+        vectors, kind, n = p["context"][near], word // self.wide, len(word)
+        ends = [np.flatnonzero(outside[:, j]) for j in range(CONTEXT)]
+        before = [vectors[CONTEXT - 1 - j :][:n].copy() for j in range(CONTEXT)]
+        for x, at in zip(before, ends):
+            x[at] = p["context"][END]
+        q = sum(before[j] @ p["matrix"][j * d : (j + 1) * d] for j in range(CONTEXT))
         ones = np.concatenate([q, np.ones((n, 1), np.float32)], axis=1)
         noise = np.searchsorted(self.class_upto, rng.random(NOISE_CLASSES) * self.class_upto[-1], "right")
         # classes: one true one and shared noise
@@ -187,7 +199,8 @@ class Model:
         good = 1.0 - _logistic(np.einsum("nd,nd->n", q, p["class"][kind]) + bias[kind])
         bad = -_logistic(q @ p["class"][noise].T + bias[noise])
         to_q = good[:, None] * p["class"][kind] + bad @ p["class"][noise]
-        self._add("class", np.concatenate([kind, noise]), np.concatenate([good[:, None] * ones, bad.T @ ones]), state, self.wide)
+        to_class = np.concatenate([good[:, None] * ones, bad.T @ ones])
+        self._add("class", np.concatenate([kind, noise]), lambda order: to_class[order], state, self.wide)
         # words of the true class: the true one and noise of its own
         begin = np.where(kind > 0, self.upto[kind * self.wide - 1], 0.0)
         drawn = np.searchsorted(self.upto, begin + rng.random((NOISE_WORDS, n), np.float32) * self.mass[kind], "right")
@@ -197,19 +210,24 @@ class Model:
         g = -_logistic(np.einsum("knd,nd->kn", rows, q) + (p["word_bias"][:, 0] - self.word_noise)[every])
         g[0] += 1.0
         to_q += np.einsum("kn,knd->nd", g, rows)
-        self._add("word", every.reshape(-1), (g[:, :, None] * ones).reshape(-1, d + 1), state, self.size)
-        back = [to_q @ p["matrix"][j * d : (j + 1) * d].T for j in range(CONTEXT)]
-        turn = np.concatenate([p["context"][context[:, j]].T @ to_q for j in range(CONTEXT)])
-        self._add("context", context.T.reshape(-1), np.concatenate(back), state, self.size)
+        self._add("word", every.reshape(-1), lambda order: _scaled(ones[order % n], g.reshape(-1)[order]), state, self.size)
+        back = np.zeros((len(near) + 1, d), np.float32)  # behind the tokens the end
+        for j, at in enumerate(ends):
+            mine = to_q @ p["matrix"][j * d : (j + 1) * d].T
+            back[-1] += mine[at].sum(axis=0)
+            mine[at] = 0.0
+            back[CONTEXT - 1 - j :][:n] += mine
+        turn = np.concatenate([x.T @ to_q for x in before])
+        self._add("context", np.append(near, END), lambda order: back[order], state, self.size)
         self._step("matrix", slice(None), turn / n, state)
 
-    def _add(self, name: str, rows: np.ndarray, grad: np.ndarray, state: dict[str, np.ndarray], size: int) -> None:
-        """Add up the gradients of each row, then step; a column beyond the vectors is the bias."""
+    def _add(self, name: str, rows: np.ndarray, grad: Callable[[np.ndarray], np.ndarray], state: dict[str, np.ndarray], size: int) -> None:
+        """Add up the gradients of each row, given in any order asked for, then step; a column beyond the vectors is the bias."""
         rows = _narrow(rows, size)
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g = np.add.reduceat(grad[order], begins, axis=0)
+        g = np.add.reduceat(grad(order), begins, axis=0)
         d = self.p[name].shape[1]
         self._step(name, rows[begins].astype(np.int64), g[:, :d], state)
         if g.shape[1] > d:
@@ -227,51 +245,74 @@ def _narrow(x: np.ndarray, size: int) -> np.ndarray:
     return x.astype(np.uint16) if size <= 1 << 16 else x
 
 
+def _scaled(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    rows *= by[:, None]
+    return rows
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row of scores at one place."""
+def _log_share(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray, reach: float) -> np.ndarray:
+    """Log of the softmax of ``q @ vectors.T + bias`` in each row at one place; no row of ``q`` is longer than ``reach``."""
+    s = q @ vectors.T
+    s += bias
     top = s[np.arange(len(s)), at]
-    np.exp(np.clip(s, None, 80.0, out=s), out=s)
-    return top - np.log(s.sum(axis=1))
+    if reach * np.sqrt(np.einsum("nd,nd->n", vectors, vectors).max()) + bias.max() > 80.0:  # sums of larger powers could overflow
+        np.minimum(s, np.float32(80.0), out=s)
+    np.exp(s, out=s)
+    return top - np.log(s @ np.ones(s.shape[1], s.dtype))
+
+
+def _openings(sizes: np.ndarray, deep: int) -> np.ndarray:
+    """Places of the first ``deep`` tokens of each document."""
+    begins = np.cumsum(sizes) - sizes
+    return np.concatenate([begins[sizes > i] + i for i in range(deep)])
 
 
 def contexts(now: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The entries before each token of its document; the end token stands in front of a document."""
-    inner = np.arange(len(now)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = np.full((len(now), CONTEXT), END, np.int64)
     for j in range(CONTEXT):
-        ok = inner > j
-        out[ok, j] = now[np.flatnonzero(ok) - j - 1]
+        out[j + 1 :, j] = now[: max(0, len(now) - j - 1)]
+        out[_openings(sizes, j + 1), j] = END
     return out
 
 
+def steps(now: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What :meth:`Model.learn` takes, for runs of ``STEP`` tokens."""
+    outside = np.zeros((len(now), CONTEXT), bool)
+    for j in range(CONTEXT):
+        outside[_openings(sizes, j + 1), j] = True
+    led = np.concatenate([np.full(CONTEXT, END), now])
+    for at in range(0, len(now), STEP):
+        yield led[at : at + STEP + CONTEXT], outside[at : at + STEP]
+
+
 _CHUNK = 1 << 12
 
 
 def train(table: DataFrame, stats: Stats, rounds: int = ROUNDS, dim: int = DIM) -> Model:
     """Average what the tasks learn from their blocks, round by round."""
     context = table.sparkSession.sparkContext
-    model, entries = Model(stats.entry_counts, dim), context.broadcast(stats.entries)  # vocabulary_size(n) words
+    model, words = Model(stats.entry_counts, dim), context.broadcast(stats.words)  # vocabulary_size(n) words
 
     for turn in range(rounds):
         shared = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine, known, state, rng, done = shared.value, entries.value, {}, np.random.default_rng(turn), 0
+            mine, known, state, rng, done = shared.value, pa.array([b"", *words.value], pa.binary()), {}, np.random.default_rng(turn), 0
             mine.p = {k: v.copy() for k, v in mine.p.items()}
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = {c: batch.column(c)[i].as_py() for c in ("held", "sizes", "codes", "words")}
-                    now = np.fromiter((known.get(w, OTHER) for w in row["words"]), np.int64, len(row["words"]))[_unpress(row["codes"])]
-                    sizes = np.array(row["sizes"], np.int64)
-                    own = np.flatnonzero(np.repeat(~np.array(row["held"], bool), sizes))
-                    before = contexts(now, sizes)
-                    for at in range(0, len(own), STEP):
-                        some = own[at : at + STEP]
-                        mine.learn(before[some], now[some], state, rng)
+                    held, sizes, distinct = (batch.column(c)[i].values for c in ("held", "sizes", "words"))
+                    # the end is entry 1, the words follow, and 0 is what is none of them
+                    entry = pc.fill_null(pc.index_in(distinct.cast(pa.binary()), known), OTHER - 1).to_numpy().astype(np.int64) + 1
+                    learns, sizes = ~held.to_numpy(zero_copy_only=False), sizes.to_numpy()
+                    own = entry[_unpress(batch.column("codes")[i].as_py())][np.repeat(learns, sizes)]
+                    for near, outside in steps(own, sizes[learns]):
+                        mine.learn(near, outside, state, rng)
                     done += len(own)
             if done:
                 for name, value in mine.p.items():

@@ -485,6 +485,45 @@ def test_lm_scores_against_brute_force(docs):
         assert all(math.isclose(g["score"], total, rel_tol=1e-4) for g in out[r[0]] if g["n_tokens"] == len(es)), r[0]
 
 
+def test_lm_training_steps_against_plain_loops(monkeypatch):
+    """Two steps of learning token by token: contexts within documents, noise, gradients added up by row, AdaGrad."""
+    monkeypatch.setattr(lm_score, "STEP", 40)
+    sizes = np.array([1, 2, 30, 3, 1, 1, 37])
+    now = np.random.default_rng(2).integers(0, 30, sizes.sum())
+    fast = lm_score.Model(np.arange(30, 0, -1.0), dim=4)
+    plain = {k: v.astype(float) for k, v in lm_score.Model(np.arange(30, 0, -1.0), dim=4).p.items()}
+    state, seen, d = {}, {k: np.full(v.shape, 1e-2) for k, v in plain.items()}, 4
+    for near, outside in lm_score.steps(now, sizes):
+        fast.learn(near, outside, state, np.random.default_rng(9))
+    before = [([now[t - j - 1] if t - j - 1 >= b else 1 for j in range(lm_score.CONTEXT)], now[t]) for b, n in zip(np.cumsum(sizes) - sizes, sizes) for t in range(b, b + n)]
+    assert lm_score.contexts(now, sizes).tolist() == [c for c, _ in before]
+    for at in (0, 40):
+        some, rng, grad = before[at : at + 40], np.random.default_rng(9), {k: np.zeros(v.shape) for k, v in plain.items()}
+        noise = np.searchsorted(fast.class_upto, rng.random(lm_score.NOISE_CLASSES) * fast.class_upto[-1], "right")
+        begin = np.array([fast.upto[w // fast.wide * fast.wide - 1] if w >= fast.wide else 0.0 for _, w in some])
+        kinds = [w // fast.wide for _, w in some]
+        drawn = np.searchsorted(fast.upto, begin + rng.random((lm_score.NOISE_WORDS, len(some)), np.float32) * fast.mass[kinds], "right")
+        for i, (context, w) in enumerate(some):
+            m = [plain["matrix"][j * d : (j + 1) * d] for j in range(lm_score.CONTEXT)]
+            q, to_q = sum(plain["context"][c] @ m[j] for j, c in enumerate(context)), np.zeros(d)
+            low = kinds[i] * fast.wide
+            own = [min(max(x, low), min(low + fast.wide, 30) - 1) for x in drawn[:, i]]
+            cases = [("class", kinds[i], 1, fast.class_noise), *(("class", k, 0, fast.class_noise) for k in noise), ("word", w, 1, fast.word_noise), *(("word", x, 0, fast.word_noise) for x in own)]
+            for name, row, true, log_noise in cases:
+                g = true - 1 / (1 + math.exp(-(plain[name][row] @ q + plain[f"{name}_bias"][row, 0] - log_noise[row])))
+                grad[name][row] += g * q
+                grad[f"{name}_bias"][row] += g
+                to_q += g * plain[name][row]
+            for j, c in enumerate(context):
+                grad["context"][c] += m[j] @ to_q
+                grad["matrix"][j * d : (j + 1) * d] += np.outer(plain["context"][c], to_q) / len(some)
+        for k, g in grad.items():
+            seen[k] += g * g
+            plain[k] += lm_score.RATE * g / np.sqrt(seen[k])
+    for k, v in plain.items():
+        assert np.allclose(fast.p[k][np.isfinite(v)], v[np.isfinite(v)], rtol=1e-3, atol=1e-4), k
+
+
 def test_lm_scores_are_the_same_again(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
     some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(5, "doc_id")
