@@ -3,12 +3,13 @@
 A rule is a host and a path prefix, or a regular expression over the whole URL with
 literal tokens that every match contains. The tokens of all URLs are counted, each rule
 is filed under the rarest of its own tokens, a URL's tokens fetch the rules filed under
-them, and only those rules' regular expressions run on it. Rules with no complete token
-are filed under the empty token, which every URL has.
+them, and only those are tried on it: a host rule by the ends of host and path, any other
+by its regular expression. Rules with no complete token are filed under the empty token,
+which every URL has.
 
 The rules are configuration: up to ``INLINE_RULES`` they become a map literal inside the
-expression, so nothing is shuffled; beyond that the distinct URLs' tokens are joined
-with the index table.
+expression, so nothing is shuffled, and each pattern is a literal that is compiled once a
+task; beyond that the distinct URLs' tokens are joined with the index table.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no
 host rule; repeated rows each get the same verdict; a very long URL is judged whole; of equally
@@ -46,11 +47,6 @@ class Rule:
     def name(self) -> str:
         return self.host + self.path if self.host else ""
 
-    @property
-    def regex(self) -> str:
-        """Over ``host + path`` for a host rule, over the URL else."""
-        return self.pattern or rf"^(?:[^/]*\.)?{re.escape(self.host)}{re.escape(self.path)}"
-
     def tokens(self) -> list[str]:
         """The complete lower-case tokens that every URL that the rule fits must have."""
         if self.pattern:
@@ -88,10 +84,10 @@ def rarest(pages: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, l
     return index
 
 
-def fits(rule, url: Column, host: Column, path: Column) -> Column:
-    """Whether a candidate's regular expression holds; for host rules over host and path. ``^`` and the
-    escaped host keep the host's end exact: the path is empty or begins with a slash."""
-    return F.coalesce(F.when(rule["general"], F.rlike(url, rule["regex"])).otherwise(F.rlike(F.concat(host, path), rule["regex"])), F.lit(False))
+def fits(rule, host: Column, path: Column, general: Column) -> Column:
+    """Whether a candidate holds: a host rule for its host and all below it where the path begins with the rule's; else ``general``."""
+    own = ((host == rule["host"]) | F.endswith(host, F.concat(F.lit("."), rule["host"]))) & F.startswith(path, rule["path"])
+    return F.coalesce(F.when(rule["general"], general).otherwise(own), F.lit(False))
 
 
 def _best(found: Column) -> Column:
@@ -107,7 +103,14 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", inline: i
 
     def literal(i: int) -> Column:
         r = rules[i]
-        return F.struct(F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.regex).alias("regex"), F.lit(bool(r.pattern)).alias("general"))
+        return F.struct(*[F.lit(v).alias(k) for k, v in {"nth": i, "name": r.name, "action": r.action, "host": r.host, "path": r.path, "general": bool(r.pattern)}.items()])
+
+    def one_of(nth: Column) -> Column:
+        """The regular expression of one rule; the others of the chain are not run."""
+        chain = F
+        for i, r in enumerate(rules):
+            chain = chain.when(nth == i, F.col("url").rlike(r.pattern)) if r.pattern else chain
+        return F.lit(False) if chain is F else chain.otherwise(False)
 
     if not rules:
         return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
@@ -115,15 +118,15 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", inline: i
         table = F.create_map(*[x for t, ids in sorted(index.items()) for x in (F.lit(t), F.array(*map(literal, ids)))])
         keys = F.array_intersect(url_tokens(F.col("url")), F.array(*map(F.lit, sorted(index))))
         fetched = F.flatten(F.transform(keys, lambda t: table[t]))
-        held = F.filter(fetched, lambda r: fits(r, F.col("url"), F.col("host"), F.col("path")))
+        held = F.filter(fetched, lambda r: fits(r, F.col("host"), F.col("path"), one_of(r["nth"])))
         out = base.withColumn("best", _best(held))
     else:
         spark = pages.sparkSession
-        rows = [(t, rules[i].name, rules[i].action, rules[i].regex, bool(rules[i].pattern)) for t, ids in index.items() for i in ids]
-        table = staged(spark.createDataFrame(rows, "token string, name string, action string, regex string, general boolean"), "url-rules")
+        rows = [(t, r.name, r.action, r.host, r.path, r.pattern, bool(r.pattern)) for t, ids in index.items() for r in (rules[i] for i in ids)]
+        table = staged(spark.createDataFrame(rows, "token string, name string, action string, rule_host string, rule_path string, pattern string, general boolean"), "url-rules")
         urls = base.select("url", "host", "path").distinct().withColumn("token", F.explode(url_tokens(F.col("url"))))
-        rule = F.struct("name", "action", "regex", "general")
-        got = join_small(urls, table, "token").where(fits(rule, F.col("url"), F.col("host"), F.col("path")))
+        rule = {"host": F.col("rule_host"), "path": F.col("rule_path"), "general": F.col("general")}
+        got = join_small(urls, table, "token").where(fits(rule, F.col("host"), F.col("path"), F.rlike("url", "pattern")))
         best = got.groupBy("url").agg(F.max(F.struct((~F.col("general")).alias("own"), F.length("name").alias("n"), "name", "action")).alias("best")).withColumnRenamed("url", "of")
         out = join_small(base, staged(best, "url-best"), F.col("url").eqNullSafe(F.col("of")), "left")
     rule = F.when(F.col("best.own"), F.col("best.name"))

@@ -188,7 +188,7 @@ def test_rans_finds_damage():
         rans.decode(seg)
 
 
-URLS = ["http://a.org/x", "https://EXAMPLE.org/es/1", "http://b.example.org/en/12?q#f", "http://example.org", "http://x.com/de/y", "http://xcom/de/", "http://a.com/fr/", None, "no scheme", "http://c.net/?utm_source=feed", "http://borg/", "http://a.org", "http://a.net/a?page=2&ref=x", "HTTP://com/fr/é", ""]
+URLS = ["http://a.org/x", "https://EXAMPLE.org/es/1", "http://b.example.org/en/12?q#f", "http://example.org", "http://x.com/de/y", "http://xcom/de/", "http://a.com/fr/", None, "no scheme", "http://c.net/?utm_source=feed", "http://borg/", "http://a.org", "http://a.net/a?page=2&ref=x", "HTTP://com/fr/é", "", "http://a.example.org/en/1" + "x1/" * 100_000, "http://a.net/" + "y-" * 100_000 + "?page=7&ref="]
 
 
 def judge(url):
