@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,8 +140,7 @@ def _quote(text: str) -> str:
 
 
 def _unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [cells.cells(table(spark, sf_dir, t), t) for t in ("region", "nation", "supplier", "orders")]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return reduce(DataFrame.union, [cells.cells(df, t) for t, df in tables(spark, sf_dir).items()])
 
 
 def _cell_sql(t: str, c: str) -> str:
@@ -289,43 +289,47 @@ def _region_sql() -> str:
     return f"WITH cells AS MATERIALIZED ({cells_sql}) {' UNION ALL '.join(parts)}"
 
 
+#: Labels whose rules all need their context.
+_GATED = [label for label, rules in VALUE_RULES.items() if all(r.gated for r in rules)]
+
+
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = derived(spark, sf_dir)
-    gated = [x for x in VALUE_RULES if all(r.gated for r in VALUE_RULES[x])]
-    parts = [df.agg(F.count(detect.rule_number(x, F.col("mobile_no"))).alias("plain"), F.count(detect.rule_number(x, F.col("mobile_no"), True)).alias("in_context")).select(F.lit(x).alias("label"), "plain", "in_context") for x in gated]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """(source, label, plain, in_context): cells of the derived view and of the samples where a gated label fires without and in its context."""
+    fires = [F.struct(F.lit(x).alias("label"), *[detect.rule_number(x, F.col("value"), within).isNotNull().cast("long").alias(n) for n, within in (("plain", False), ("in_context", True))]) for x in _GATED]
+    each = corpus(spark, sf_dir).where(F.col("source").startswith("derived.") | F.col("source").startswith("samples."))
+    return each.select("source", F.explode(F.array(*fires)).alias("m")).groupBy("source", "m.label").agg(F.sum("m.plain").alias("plain"), F.sum("m.in_context").alias("in_context"))
 
 
 def _gate_sql() -> str:
-    gated = [x for x in VALUE_RULES if all(r.gated for r in VALUE_RULES[x])]
-    return " UNION ALL ".join(f"SELECT {_quote(x)} AS label, 0::BIGINT AS plain, count(*) FILTER (WHERE regexp_matches(mobile_no, {_quote(VALUE_RULES[x][0].pattern)})) AS in_context FROM ({DERIVED_SQL})" for x in gated)
+    any_of = lambda label: " OR ".join(f"regexp_matches(lower(value), {_quote(r.pattern)})" for r in VALUE_RULES[label])
+    parts = [f"SELECT source, {_quote(x)} AS label, 0::BIGINT AS plain, count(*) FILTER (WHERE {any_of(x)}) AS in_context FROM each GROUP BY source" for x in _GATED]
+    return f"WITH each AS MATERIALIZED ({_LONG} UNION ALL {_SAMPLES_SQL}) {' UNION ALL '.join(parts)}"
 
 
 # --- matches, for resolution ---
 
-_MATCHED = ("Email", "Phone", "UPIID", "CIFNumber", "UAN", "PANNumber")
+#: Columns of the derived view whose cells are judged as they stand, by all rules.
+_TEXTS = ("notes", "kv_text", "payload_query", "email", "upi", "card_number", "aadhaar", "gstin", "vehicle", "ip_addr")
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c_custkey, context, found): the scan's matches of some labels in ``notes``."""
+    """(c_custkey, source, context, found): the scan's matches of all labels in some columns, a half of the cells with a context."""
     context = F.when(F.col("c_custkey") % 4 == 0, "Phone").when(F.col("c_custkey") % 4 == 1, "Email")
-    found = detect.matches(detect.prepared(F.col("notes")), F.array(context), {label: VALUE_RULES[label] for label in _MATCHED})
-    return derived(spark, sf_dir).select("c_custkey", context.alias("context"), found.alias("found"))
+    each = derived(spark, sf_dir).select("c_custkey", context.alias("context"), F.explode(F.array(*[F.struct(F.lit(n).alias("source"), F.col(n).alias("value")) for n in _TEXTS])).alias("t"))
+    text = each.select("c_custkey", "t.source", "context", detect.prepared(F.col("t.value")).alias("text"))
+    return text.select("c_custkey", "source", "context", detect.matches(F.col("text"), F.array("context"), VALUE_RULES).alias("found"))
 
 
 def _matches_sql() -> str:
-    parts = []
-    for label in _MATCHED:
-        rules = VALUE_RULES[label]
-        hit = "coalesce(" + ", ".join(f"nullif(regexp_extract(lower(notes), {_quote(r.pattern)}), '')" for r in rules) + ")"
-        weight = "CASE " + " ".join(f"WHEN regexp_matches(lower(notes), {_quote(r.pattern)}) THEN {r.weight}" for r in rules) + " END::DOUBLE"
-        parts.append(f"SELECT c_custkey, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, {weight} AS weight, lower(notes) AS low, {hit} AS hit FROM ({DERIVED_SQL})")
-    return f"""WITH raw AS ({' UNION ALL '.join(parts)}),
-matches AS (SELECT c_custkey, label, tier, weight, (strpos(low, hit) - 1)::INT AS "start", (strpos(low, hit) - 1 + length(hit))::INT AS "end",
-  CASE c_custkey % 4 WHEN 0 THEN 'Phone' WHEN 1 THEN 'Email' END AS context FROM raw WHERE hit IS NOT NULL),
+    texts = " UNION ALL ".join(f"SELECT c_custkey, {_quote(c)} AS source, lower({c}) AS low FROM base" for c in _TEXTS)
+    parts = [
+        f"SELECT c_custkey, source, context, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, low, unnest({_fires_sql(label, rules, 'low', lambda rule, hit: f'[({rule.weight}, {hit})]', 'context')}) AS m FROM texts"
+        for label, rules in VALUE_RULES.items()
+    ]
+    return f"""WITH base AS ({DERIVED_SQL}),
+texts AS MATERIALIZED (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'Phone' WHEN 1 THEN 'Email' END AS context FROM ({texts})),
+raw AS ({' UNION ALL '.join(parts)}),
+matches AS (SELECT c_custkey, source, label, tier, m[1]::DOUBLE AS weight, (strpos(low, m[2]) - 1)::INT AS "start", (strpos(low, m[2]) - 1 + length(m[2]))::INT AS "end", context FROM raw),
 marked AS (SELECT *, label IS NOT DISTINCT FROM context AS in_context FROM matches),
 boosted AS (SELECT * REPLACE (CASE WHEN in_context THEN 1.0 ELSE weight END::DOUBLE AS weight) FROM marked),
 capped AS (SELECT * REPLACE (CASE WHEN context IS NULL AND tier <> 'Tier1' AND weight >= 0.7 THEN 0.69 ELSE weight END::DOUBLE AS weight) FROM boosted)"""
@@ -334,7 +338,8 @@ capped AS (SELECT * REPLACE (CASE WHEN context IS NULL AND tier <> 'Tier1' AND w
 def _with_matches(f: Callable[..., object], *columns: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = f(F.col("found"), F.col("context"))
-        return _matches(spark, sf_dir).select("c_custkey", F.posexplode(found).alias("nth", "m")).select("c_custkey", (F.col("nth") + 1).alias("occurrence"), "m.*").select("c_custkey", *columns)
+        each = _matches(spark, sf_dir).select("c_custkey", "source", F.posexplode(found).alias("nth", "m"))
+        return each.select("c_custkey", "source", (F.col("nth") + 1).alias("occurrence"), "m.*").select("c_custkey", "source", *columns)
 
     return run
 
@@ -344,21 +349,21 @@ def _weighed(m, c):
 
 
 _RESOLVE = {
-    "context_boost": (_with_matches(resolve.boosted, "label", "weight", "in_context"), "SELECT c_custkey, label, weight, in_context FROM boosted"),
-    "unknown_cap": (_with_matches(_weighed, "label", "weight"), "SELECT c_custkey, label, weight FROM capped"),
+    "context_boost": (_with_matches(resolve.boosted, "label", "weight", "in_context"), "SELECT c_custkey, source, label, weight, in_context FROM boosted"),
+    "unknown_cap": (_with_matches(_weighed, "label", "weight"), "SELECT c_custkey, source, label, weight FROM capped"),
     "field_winner": (
         _with_matches(lambda m, c: resolve.field_winner(_weighed(m, c)), "label", "weight", "in_context"),
-        "SELECT c_custkey, label, weight, in_context FROM capped QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY in_context DESC, weight DESC, label) = 1",
+        "SELECT c_custkey, source, label, weight, in_context FROM capped QUALIFY row_number() OVER (PARTITION BY c_custkey, source ORDER BY in_context DESC, weight DESC, label) = 1",
     ),
     "occurrence_groups": (
         _with_matches(lambda m, c: resolve.occurrence_groups(_weighed(m, c)), "occurrence", "label", "weight", "start", "end"),
-        """, reach AS (SELECT *, max("end") OVER (PARTITION BY c_custkey ORDER BY "start", "end" DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM capped),
-        grouped AS (SELECT *, sum((r IS NULL OR "start" >= r)::INT) OVER (PARTITION BY c_custkey ORDER BY "start", "end" DESC, label ROWS UNBOUNDED PRECEDING)::INT AS occurrence FROM reach)
-        SELECT c_custkey, occurrence, label, weight, "start", "end" FROM grouped QUALIFY row_number() OVER (PARTITION BY c_custkey, occurrence ORDER BY weight DESC, label) = 1""",
+        """, reach AS (SELECT *, max("end") OVER (PARTITION BY c_custkey, source ORDER BY "start", "end" DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM capped),
+        grouped AS (SELECT *, sum((r IS NULL OR "start" >= r)::INT) OVER (PARTITION BY c_custkey, source ORDER BY "start", "end" DESC, label ROWS UNBOUNDED PRECEDING)::INT AS occurrence FROM reach)
+        SELECT c_custkey, source, occurrence, label, weight, "start", "end" FROM grouped QUALIFY row_number() OVER (PARTITION BY c_custkey, source, occurrence ORDER BY weight DESC, label) = 1""",
     ),
     "row_merge": (
         _with_matches(lambda m, c: resolve.row_merge(F.concat(m, _weighed(m, c))), "label", "weight", "in_context"),
-        "SELECT c_custkey, label, max(weight) AS weight, bool_or(in_context) AS in_context FROM (SELECT c_custkey, label, weight, false AS in_context FROM marked UNION ALL SELECT c_custkey, label, weight, in_context FROM capped) GROUP BY ALL",
+        "SELECT c_custkey, source, label, max(weight) AS weight, bool_or(in_context) AS in_context FROM (SELECT c_custkey, source, label, weight, false AS in_context FROM marked UNION ALL SELECT c_custkey, source, label, weight, in_context FROM capped) GROUP BY ALL",
     ),
 }
 
@@ -550,7 +555,7 @@ _RAW_SQL = """SELECT * FROM (VALUES ('events', 'user_id', 'Username', 'column de
 
 def _all() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {
-        "scan_cells_unpivot": (_unpivot, _cells_sql(("region", "nation", "supplier", "orders"))),
+        "scan_cells_unpivot": (_unpivot, _cells_sql(_SCANNED)),
         "scan_cell_counts": (_counts, f'SELECT "table", "column", count(*) AS scanned FROM ({_cells_sql(_SCANNED)}) GROUP BY ALL'),
         "scan_sample_10pct": (_sample, _SAMPLE_SQL),
         "meta_scan_columns": (_meta, _meta_sql()),
