@@ -268,14 +268,15 @@ _CHECK_SQL = {
 
 
 def _fires_sql(label: str, rules, low: str, result: Callable, context: str | None = None) -> str:
-    """CASE over the rules of a label: ``result`` (rule, hit) of the first that matches ``low`` and stands its check, else NULL."""
+    """CASE over the rules of a label: ``result`` (rule, hit) of the first that matches ``low`` and stands its check, else NULL.
+    ``context`` is a list of labels."""
     arms = []
     for rule in rules:
         hit = f"regexp_extract({low}, {_quote(rule.pattern)})"
         # CASE keeps the check from texts without a match
         ok = f"CASE WHEN {hit} = '' THEN regexp_matches({low}, {_quote(rule.pattern)}) ELSE {_CHECK_SQL[label].replace('{m}', hit)} END" if label in _CHECK_SQL else f"regexp_matches({low}, {_quote(rule.pattern)})"
         if rule.gated:
-            ok = "false" if context is None else f"({ok}) AND coalesce({context} = {_quote(label)}, false)"
+            ok = "false" if context is None else f"({ok}) AND list_contains({context}, {_quote(label)})"
         arms.append(f"WHEN {ok} THEN {result(rule, hit)}")
     return f"CASE {' '.join(arms)} END"
 
@@ -323,7 +324,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _matches_sql() -> str:
     texts = " UNION ALL ".join(f"SELECT c_custkey, {_quote(c)} AS source, lower({c}) AS low FROM base" for c in _TEXTS)
     parts = [
-        f"SELECT c_custkey, source, context, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, low, unnest({_fires_sql(label, rules, 'low', lambda rule, hit: f'[({rule.weight}, {hit})]', 'context')}) AS m FROM texts"
+        f"SELECT c_custkey, source, context, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, low, unnest({_fires_sql(label, rules, 'low', lambda rule, hit: f'[({rule.weight}, {hit})]', '[context]')}) AS m FROM texts"
         for label, rules in VALUE_RULES.items()
     ]
     return f"""WITH base AS ({DERIVED_SQL}),
@@ -504,14 +505,29 @@ def _scan_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(scan(spark, {"derived": derived(spark, sf_dir)}, ScanConfig("deepscan")), "weight")
 
 
+#: (name, column of the derived view): each column under its own name, and under names that say the same, something else or nothing.
+_PAIRED = [(c, c) for c in _VALUES] + [
+    ("phone number", "mobile_no"), ("pan", "pan_number"), ("description", "email"), ("dob", "vehicle"), ("bank account number", "mobile_no"), ("account_number", "card_number"),
+    ("fastag id", "ifsc"), ("policy no", "vehicle"), ("address", "notes"), ("epf member id", "gstin"), ("x", "ip_addr"), ("email", "upi"), ("card holder's mobile", "card_number"),
+]
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"email": "email", "phone number": "mobile_no", "pan": "pan_number", "description": "email", "dob": "vehicle"}
-    df = derived(spark, sf_dir)
-    each = df.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in names.items()])).alias("p"))
-    return each.select("c_custkey", "p.name", detect.pair_labels("p.name", "p.value").alias("label"))
+    each = derived(spark, sf_dir).select("c_custkey", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("source"), F.col(c).alias("value")) for n, c in _PAIRED])).alias("p"))
+    return each.select("c_custkey", "p.name", "p.source", detect.pair_labels("p.name", "p.value").alias("label"))
+
 
+def _pairs_of_names_sql() -> str:
+    rules = ", ".join(f"({_quote(label)}, {_quote(r.pattern)})" for label, some in COLUMN_RULES.items() for r in some)
+    asked = ", ".join(f"({_quote(n)})" for n in dict.fromkeys(n for n, _ in _PAIRED))
+    pairs = " UNION ALL ".join(f"SELECT c_custkey, {_quote(n)} AS name, {_quote(c)} AS source, lower({c}) AS low FROM base" for n, c in _PAIRED)
+    fired = ", ".join(_fires_sql(label, some, "low", lambda rule, hit, label=label: _quote(label), "names") for label, some in VALUE_RULES.items())
+    return f"""WITH base AS ({DERIVED_SQL}), rules(label, pattern) AS (VALUES {rules}), asked(name) AS (VALUES {asked}),
+known AS (SELECT name, list(DISTINCT label) FILTER (WHERE label IS NOT NULL) AS names FROM asked LEFT JOIN rules ON regexp_matches(lower(name), pattern) GROUP BY name),
+fired AS (SELECT c_custkey, name, source, coalesce(names, []) AS names, list_filter([{fired}], lambda x: x IS NOT NULL) AS labels
+  FROM ({pairs}) JOIN (SELECT name, coalesce(names, []) AS names FROM known) USING (name))
+SELECT c_custkey, name, source, CASE WHEN len(labels) = 0 THEN list_min(names) ELSE list_min(list_intersect(labels, names)) END AS label FROM fired"""
 
-_PAIRS_SQL = "SELECT c_custkey, name, label FROM customer, (VALUES ('email', 'Email'), ('phone number', 'Phone'), ('pan', 'PANNumber'), ('description', NULL), ('dob', NULL)) v(name, label)"
 
 def _derived_sql() -> str:
     """A scan of the derived view in DuckDB's words: contexts of names, fields of documents, rules with checks, weights by context,
@@ -525,7 +541,7 @@ def _derived_sql() -> str:
     plain = " UNION ALL ".join(f"SELECT c_custkey AS k, {_quote(c)} AS c, {_quote(c)} AS name, {c} AS value, false AS inner_field FROM base" for c in _VALUES if c not in keys)
     parts = " UNION ALL ".join(f"SELECT c_custkey, {_quote(c)}, {key}, {value}, true FROM customer" for c, pairs in keys.items() for key, value in pairs)
     match = " UNION ALL ".join(
-        f"SELECT k, c, name, loose, context, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, low, unnest({_fires_sql(label, rules_, 'low', lambda rule, hit: f'[({rule.weight}, {hit})]', 'context')}) AS m FROM pieces" for label, rules_ in VALUE_RULES.items()
+        f"SELECT k, c, name, loose, context, {_quote(label)} AS label, {_quote(LABELS[label][0])} AS tier, low, unnest({_fires_sql(label, rules_, 'low', lambda rule, hit: f'[({rule.weight}, {hit})]', '[context]')}) AS m FROM pieces" for label, rules_ in VALUE_RULES.items()
     )
     return f"""WITH base AS ({DERIVED_SQL}), rules(label, nth, pattern, weight) AS (VALUES {rules}), asked(name) AS (VALUES {names}),
 known AS (SELECT name, label, arg_min(weight, nth)::DOUBLE AS weight FROM asked JOIN rules ON regexp_matches(lower(name), pattern) GROUP BY ALL),
@@ -562,7 +578,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         "region_filter": (_region, _region_sql()),
         "context_gate": (_gate, _gate_sql()),
         "validate_ipv6": (_ipv6, _IPV6_SQL),
-        "pair_detect": (_pairs, _PAIRS_SQL),
+        "pair_detect": (_pairs, _pairs_of_names_sql()),
         "scan_meta": (_scan("metascan"), _RAW_SQL),
         "scan_deep": (_scan("deepscan"), _RAW_SQL),
         "scan_auto": (_scan(""), _RAW_SQL),
