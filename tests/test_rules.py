@@ -246,3 +246,32 @@ NAMES = {
 @pytest.mark.parametrize("name", NAMES)
 def test_names_stand_for(name):
     assert Names().labels(name) == NAMES[name]
+
+
+#: Fixed cases: what a name or a value must or must not stand for, with the labels of its context and the region.
+CASES = [
+    ("name", "email_address", "", "", "Email", True), ("name", "pan_number", "", "", "PANNumber", True), ("name", "aadhaar_number", "", "", "AdharcardNumber", True), ("name", "epf", "", "", "EPFMemberID", True),
+    ("name", "vehicle", "", "", "VehicleNumber", True), ("name", "driving_lics", "", "", "DrivingLicenceNumber", False), ("value", "alice@example.com", "", "", "Email", True), ("value", "ABCDE1234F", "", "", "PANNumber", True),
+    ("value", "378282246310005", "", "", "CreditCard", True), ("value", "378282246310006", "", "", "CreditCard", False), ("value", "123456789012", "", "", "AdharcardNumber", False),
+    ("value", "9876543210123", "BankAccountNumber", "", "BankAccountNumber", True), ("value", "9876543210123", "", "", "BankAccountNumber", False), ("value", "ABCDE1234F", "", "india", "PANNumber", True),
+    ("value", "ABCDE1234F", "", "us", "PANNumber", False), ("value", "192.168.1.10", "", "", "IPAddress", True), ("value", "00:1A:2B:3C:4D:5E", "", "", "MacAddress", True), ("value", "ordinary product description", "", "", "", True),
+]
+
+
+def test_cases_through_the_scan(spark):
+    """The cases by the expressions that scans use, by the plain version, and names as a scan looks them up."""
+    from pyspark.sql import functions as F
+
+    from quillsift.operators import detect
+
+    found = {}
+    for region in {c[3] for c in CASES}:
+        some = [(text, context) for kind, text, context, at, *_ in CASES if kind == "value" and at == region]
+        rows = spark.createDataFrame(some, "text string, context string")
+        names = F.when(F.col("context") == "", F.array().cast("array<string>")).otherwise(F.array("context"))
+        judged = rows.select("text", "context", detect.matches(detect.prepared(F.col("text")), names, for_region(VALUE_RULES, region)).alias("m"))
+        found |= {(r["text"], r["context"], region): {m["label"] for m in r["m"]} for r in judged.collect()}
+    for kind, text, context, region, label, there in CASES:
+        got = {x for _, _, x, _ in detect.by_name([("t", text)])} if kind == "name" else found[text, context, region]
+        assert kind == "name" or region or got == labels(text, *filter(None, [context]))
+        assert (not got) if not label else (label in got) == there, (text, label, got)
