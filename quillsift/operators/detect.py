@@ -1,95 +1,72 @@
-"""From cells to evidence: fields, segments, rules, resolution and sums, as expressions on one row a cell.
+"""From cells to evidence: fields, segments, rules, resolution and sums.
 
-Only two things leave the JVM, in Arrow batches: values that may hold a document (JSON, XML, queries, Base64, loose pairs) and
-pieces of text for detectors that are functions, if there are any. Nothing is shuffled before the sums of evidence, which hold one row a column
+Cells leave the JVM once, in Arrow batches: there documents (JSON, XML, queries, Base64, loose pairs) are taken apart, long texts cut and
+rules tried on all texts of a batch at once; only pieces with a match come back. Detectors that are functions get the pieces in batches of their
+own, if there are any. Resolution is expressions on one row a cell. Nothing is shuffled before the sums of evidence, which hold one row a column
 and label.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.functions import dialect, documents
-from quillsift.functions.cell import Asked, context_of, name_labels
+from quillsift.functions import documents, matcher
+from quillsift.functions.cell import Asked, context_of
 from quillsift.functions.registry import confidence
 from quillsift.functions.rulebook import STANDARD, Names, Rulebook, rulebook
-from quillsift.functions.validators import gstin_expr, ip_expr, luhn_expr, mac_expr, verhoeff_expr
 from quillsift.functions.value_rules import VALUE_RULES, Rule
 from quillsift.operators import resolve
 
 #: Values of up to so many bytes are judged once a column.
 SHORT = 64
-#: What every match of a label's rules holds, in patterns that are quick to search; a text without it is not tried. Labels not named
-#: are tried always: their rules are tied to both ends of the text, or need a context.
-_NEEDS = {
-    "Email": "@|%40", "UPIID": "@", "OAuthToken": "ya29|1//|gh[opur]_|xox|eyj", "MacAddress": "[0-9a-f]{2}[:-][0-9a-f]{2}[:-]|[0-9a-f]{4}\\.[0-9a-f]{4}", "IPAddress": "[0-9]\\.[0-9]|[0-9a-f:]:[0-9a-f:]",
-    "Address": "[0-9][^\n]{0,99}(?:st|ave|rd|road|dr|h(?:igh)?wa?y|sq|tra?i?l|c(?:our)?t|park|pkwy|cir|boul|blvd)",
-    **dict.fromkeys(("PANNumber", "AdharcardNumber", "CreditCard", "ABHANumber", "GSTIN", "VehicleNumber"), "[0-9]{4}"), "TAN": "[0-9]{5}", "Phone": "[0-9]{5}",
-    **dict.fromkeys(("CIFNumber", "CIN", "PassportNumber", "ESIC"), "[0-9]{6}"), **dict.fromkeys(("DrivingLicenceNumber", "VoterID", "EPFMemberID"), "[0-9]{7}"),
-    "SEBIRegistration": "[0-9]{9}", "UAN": "[0-9]{12}", "DematAccountNumber": "[0-9]{14}",
-}
-_MARKS = sorted(set(_NEEDS.values()))
-_CHECKS = {"CreditCard": lambda m: luhn_expr(F.translate(m, " -+", "")), "AdharcardNumber": lambda m: verhoeff_expr(F.translate(m, " -", "")), "GSTIN": gstin_expr, "MacAddress": mac_expr, "IPAddress": ip_expr}
-
-
-def _first(label: str, rules: Sequence[Rule], low: Column, contexts: Column, make, checked: bool = True) -> Column:
-    """What ``make`` says of the first rule of a label that matches ``low`` and whose leftmost match stands its check; else null."""
-    out, check = F.lit(None), _CHECKS.get(label) if checked else None
-    for i, r in reversed(list(enumerate(rules))):
-        pattern = dialect.java(r.pattern)
-        hit = low.rlike(pattern)
-        if check is not None:
-            hit = hit & check(F.regexp_extract(low, pattern, 1 if label == "IPAddress" else 0))
-        if r.gated:
-            hit = F.array_contains(contexts, label) & hit
-        out = F.when(hit, make(i, r, pattern)).otherwise(out)
-    return out
 
 
 def prepared(text: Column) -> Column:
-    """A text in the form that rules are tried on, and which characters it has."""
-    low = F.lower(text)
-    return F.struct(low.alias("low"), *[low.rlike(mark).alias(f"has{i}") for i, mark in enumerate(_MARKS)])
+    """A text in the form that rules are tried on."""
+    return F.lower(text)
+
+
+def _by_slices(low: pa.Array, contexts: pa.Array, judge: Callable[[pa.Array, pa.Array], pa.Array]) -> pa.Array:
+    parts = [judge(low[lo:hi], contexts[lo:hi]) for lo, hi in matcher.slices(low)]
+    if len(parts) > 1:
+        matcher.release()
+    return pa.concat_arrays(parts) if parts else judge(low, contexts)
 
 
 def matches(text: Column, contexts: Column, rules: Mapping[str, Sequence[Rule]] | None = None, own: frozenset[str] = frozenset()) -> Column:
     """array<MATCH> of every label whose first matching and valid rule fires on a :func:`prepared` text; positions are those of its
     leftmost match. Gated rules fire only for labels among ``contexts``. Labels in ``own`` have rules that the quick patterns do not know."""
-    low, rules = text["low"], VALUE_RULES if rules is None else rules
+    known = dict(VALUE_RULES if rules is None else rules)
 
-    def found(label: str) -> Column:
-        def make(i: int, r: Rule, pattern: str) -> Column:
-            start = F.regexp_instr(low, F.lit(pattern)) - 1
-            return F.struct(F.lit(label).alias("label"), F.lit(float(r.weight)).alias("weight"), start.alias("start"), (start + F.length(F.regexp_extract(low, pattern, 0))).alias("end"), F.lit(False).alias("in_context"))
+    def run(low: pa.Array, contexts: pa.Array) -> pa.Array:
+        return _by_slices(low, contexts, lambda t, c: matcher.matches(t, known, matcher.in_lists(c), own))
 
-        return _first(label, rules[label], low, contexts, make)
+    return F.arrow_udf(run, f"array<{resolve.MATCH}>")(text, contexts)
 
-    parts = []
-    for need in ("", *_MARKS):
-        some = [found(label) for label in rules if ("" if label in own else _NEEDS.get(label, "")) == need]
-        if some:
-            hits = F.filter(F.array(*some), lambda m: m.isNotNull())
-            parts.append(F.when(text[f"has{_MARKS.index(need)}"], hits).otherwise(F.array().cast(f"array<{resolve.MATCH}>")) if need else hits)
-    return F.concat(*parts)
 
+def fired(text: Column, rules: Mapping[str, Sequence[Rule]]) -> Column:
+    """array<string>: labels of :func:`matches` without any context."""
+    known = dict(rules)
 
-def fields(value: Column, context: Column, book: Rulebook = STANDARD) -> Column:
-    """struct<extracted, parts array<struct<text, context>>>: the key-value pairs that a value without a context holds, each with its
-    own context; else the value itself, or what it wraps."""
-    asked = documents.document(book)(F.when(context.isNull() & documents.may_hold_fields(value), value))
-    return resolve.let(asked, lambda doc: _fields(value, context, doc))
+    def labels(low: pa.Array) -> pa.Array:
+        hits = list(matcher.fires(low, known, lambda _: np.zeros(len(low), bool), spans=False))
+        texts = np.concatenate([np.zeros(0, np.int64), *(f.texts for f in hits)])
+        order = np.argsort(texts, kind="stable")
+        which = np.repeat(np.arange(len(hits)), [len(f.texts) for f in hits])[order].astype(np.int64)
+        ends = np.append(0, np.cumsum(np.bincount(texts, minlength=len(low))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([f.label for f in hits], pa.string()).take(pa.array(which)))
 
+    def run(low: pa.Array) -> pa.Array:
+        return _by_slices(low, low, lambda t, _: labels(t))
 
-def _fields(value: Column, context: Column, doc: Column) -> Column:
-    extracted = F.coalesce(F.size(doc["pairs"]) > 0, F.lit(False))
-    alone = F.array(F.struct(F.coalesce(F.nullif(doc["text"], F.lit("")), value).alias("text"), context.alias("context")))
-    pairs = F.transform(doc["pairs"], lambda p: F.struct(p["value"].alias("text"), p["context"].alias("context")))
-    return F.struct(extracted.alias("extracted"), F.when(extracted, pairs).otherwise(alone).alias("parts"))
+    return F.arrow_udf(run, "array<string>")(text)
 
 
 def counted(cell_rows: DataFrame) -> DataFrame:
@@ -100,7 +77,61 @@ def counted(cell_rows: DataFrame) -> DataFrame:
     return short.unionByName(cell_rows.where(size > SHORT).withColumn("n", F.lit(1).cast("long")))
 
 
-_MATCHES = pa.list_(pa.list_(pa.struct([("label", pa.string()), ("weight", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("in_context", pa.bool_())])))
+_MATCHES = pa.list_(pa.list_(matcher.MATCH))
+_READ = pa.list_(pa.struct([("raw", pa.string()), ("context", pa.string()), ("found", pa.list_(matcher.MATCH))]))
+
+
+def _cut(values: pa.Array, contexts: pa.Array, asked: np.ndarray, names: Names) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """(place of each piece's value, pieces, their contexts, whether a value holds fields): the key-value pairs of values that may hold
+    some, each with its own context; else the value itself, or what it wraps; long ones in segments."""
+    size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(~asked & (size > 0) & (size < 512))
+    extracted, at, texts, own = np.zeros(len(values), bool), [], [], []
+    for i in np.flatnonzero((asked | (size >= 512)) & (size > 0)):
+        value, context = values[i].as_py(), contexts[i].as_py()
+        parts = [(value, context)]
+        if asked[i]:
+            text, pairs = documents.extract(value)
+            extracted[i] = bool(pairs)
+            parts = [(v, names.context(k)) for k, v in pairs] or [(text or value, context)]
+        for text, c in parts:
+            pieces = documents.packed(text)
+            at += [i] * len(pieces)
+            texts += pieces
+            own += [c] * len(pieces)
+    place = np.concatenate([plain, np.array(at, np.int64)])
+    order = pa.array(np.argsort(place, kind="stable"))
+    whole = pa.concat_arrays([values.take(pa.array(plain)), pa.array(texts, pa.string())])
+    return np.sort(place), whole.take(order), pa.concat_arrays([contexts.take(pa.array(plain)), pa.array(own, pa.string())]).take(order), extracted
+
+
+def _read(rows: DataFrame, book: Rulebook, regex: bool) -> DataFrame:
+    """(table, column, n, loose, pieces) of rows (table, column, n, value, context, asked): what the rules find in each piece. Pieces without
+    a match are left out, unless detectors that are functions will be asked of them."""
+    own, raw = frozenset(label for d in book.detectors for label in d.values), bool(book.asked)
+    rules = dict(book.values) if regex else {}
+
+    def judge(batch: pa.RecordBatch, names: Names) -> pa.RecordBatch:
+        values, contexts = batch.column("value"), batch.column("context")
+        place, texts, within, extracted = _cut(values, contexts, pc.fill_null(batch.column("asked"), False).to_numpy(zero_copy_only=False), names)
+        found = matcher.matches(matcher.lower(texts), rules, matcher.among(within), own)
+        if not raw:
+            kept = np.flatnonzero(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            place, within, found = place[kept], within.take(pa.array(kept)), found.take(pa.array(kept))
+            texts = pa.nulls(len(kept), pa.string())
+        ends = np.append(0, np.cumsum(np.bincount(place, minlength=len(values))))
+        pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([texts, within, found], fields=list(_READ.value_type)))
+        loose = pa.array(pc.is_null(contexts).to_numpy(zero_copy_only=False) & ~extracted)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("table", "column", "n")), loose, pieces], names=["table", "column", "n", "loose", "pieces"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names(book)
+        for batch in batches:
+            for lo, hi in matcher.slices(batch.column("value")):
+                yield judge(batch.slice(lo, hi - lo), names)
+            matcher.release()
+
+    return rows.mapInArrow(run, f"table string, column string, n bigint, loose boolean, pieces array<struct<raw:string,context:string,found:array<{resolve.MATCH}>>>")
 
 
 def asked(rows: DataFrame, book: Rulebook) -> DataFrame:
@@ -135,18 +166,14 @@ def judged(cell_rows: DataFrame, contexts: dict[str, str | None], book: Rulebook
     if open_names:
         context = context_of(book)(F.col("column"))
     rows = cell_rows if "n" in cell_rows.columns else cell_rows.withColumn("n", F.lit(1).cast("long"))
-    rows = rows.withColumn("context", context)
-    rows = rows.withColumn("fields", fields(F.col("value"), F.col("context"), book))
-    loose = F.col("context").isNull() & ~F.col("fields.extracted")
-    cut = F.transform(F.col("fields.parts"), lambda f: F.transform(documents.segments(f["text"]), lambda s: F.struct(prepared(s).alias("text"), s.alias("raw"), f["context"].alias("context"))))
-    rows = rows.select("table", "column", "n", loose.alias("loose"), F.flatten(cut).alias("pieces"))
-    own = frozenset(label for d in book.detectors for label in d.values)
+    rows = rows.select("table", "column", "n", "value", context.alias("context"))
+    rows = _read(rows.withColumn("asked", F.col("context").isNull() & documents.may_hold_fields(F.col("value"))), book, regex)
     weighed = lambda found, p: resolve.capped(resolve.boosted(found, p["context"]), p["context"], book)
     resolved = lambda found: F.when(F.col("loose"), resolve.occurrence_groups(found)).otherwise(resolve.field_winner(found))
 
     parts = []
     if regex:
-        each = F.transform(F.col("pieces"), lambda p: F.struct(weighed(matches(p["text"], F.array(p["context"]), book.values, own), p).alias("all")))
+        each = F.transform(F.col("pieces"), lambda p: F.struct(weighed(p["found"], p).alias("all")))
         parts.append(("regex", F.flatten(F.transform(each, lambda e: resolved(e["all"])))))
     if book.asked:
         rows = asked(rows, book)
@@ -177,11 +204,26 @@ def added(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pair_labels(column: str, value: str, book: Rulebook = STANDARD) -> Column:
     """Label of (column, value) pairs, both of them data: every label of the column's name is context. An empty or "?" value says
     nothing; a value without a label takes the name's first one; else the first label that both have, else none."""
-    by_name = name_labels(book)(F.col(column))
-    pair = F.array(F.struct(prepared(F.col(value)).alias("text"), by_name.alias("names")))
-    judge = lambda p: F.struct(p["names"].alias("names"), F.transform(matches(p["text"], p["names"], book.values), lambda m: m["label"]).alias("labels"))
-    both = lambda p: F.when(F.size(p["labels"]) == 0, F.array_min(p["names"])).otherwise(F.array_min(F.array_intersect(p["labels"], p["names"])))
-    return F.when(~F.col(value).isin("", "?"), F.transform(F.transform(pair, judge), both)[0])
+    names, ranked = Names(book), sorted(book.labels)
+    rank = {label: i for i, label in enumerate(ranked)}
+    own = frozenset(label for d in book.detectors for label in d.values)
+
+    def judge(name: pa.Array, low: pa.Array) -> pa.Array:
+        words = pc.dictionary_encode(pc.fill_null(name, ""))
+        known, code = [names.labels(w) for w in words.dictionary.to_pylist()], words.indices.to_numpy()
+        within = lambda label: np.array([label in k for k in known], bool)[code]
+        alone = np.array([min((rank[x] for x in k), default=len(rank)) for k in known], np.int64)[code]
+        any_label, both = np.zeros(len(low), bool), np.full(len(low), len(rank))
+        for f in matcher.fires(low, book.values, within, own, spans=False):
+            any_label[f.texts] = True
+            shared = f.texts[within(f.label)[f.texts]]
+            both[shared] = np.minimum(both[shared], rank[f.label])
+        return pa.array([*ranked, None], pa.string()).take(pa.array(np.where(any_label, both, alone)))
+
+    def run(name: pa.Array, low: pa.Array) -> pa.Array:
+        return _by_slices(low, name, lambda t, n: judge(n, t))
+
+    return F.when(~F.col(value).isin("", "?"), F.arrow_udf(run, "string")(F.col(column), prepared(F.col(value))))
 
 
 def by_name(names: list[tuple[str, str]], book: Rulebook = STANDARD) -> list[tuple[str, str, str, float]]:
@@ -208,6 +250,15 @@ def named(spark: SparkSession, names: list[tuple[str, str]], region: str = "") -
 def rule_number(label: str, value: Column, context: bool = False) -> Column:
     """Number of the first rule of a label whose pattern occurs in the value (before checks); null if none. As in a scan, rules are
     tried only on texts that have what the label needs."""
-    contexts, low = F.array(F.lit(label)) if context else F.array().cast("array<string>"), F.lower(value)
-    first = _first(label, VALUE_RULES[label], low, contexts, lambda i, r, pattern: F.lit(i), checked=False).cast("int")
-    return F.when(low.rlike(_NEEDS[label]), first) if label in _NEEDS else first
+    rules = {label: VALUE_RULES[label]}
+
+    def judge(low: pa.Array) -> pa.Array:
+        rule = np.full(len(low), -1, np.int32)
+        for f in matcher.fires(low, rules, lambda _: np.full(len(low), context), checked=False, spans=False):
+            rule[f.texts] = f.rule
+        return pa.array(rule, mask=rule < 0)
+
+    def run(low: pa.Array) -> pa.Array:
+        return _by_slices(low, low, lambda t, _: judge(t))
+
+    return F.arrow_udf(run, "int")(prepared(value))

@@ -21,7 +21,7 @@ from quillsift.functions.registry import LABELS, MERGED
 from quillsift.functions.value_rules import VALUE_RULES, for_region
 from quillsift.operators import cells, detect, resolve, score
 from quillsift.plans import report
-from quillsift.plans.scan import ScanConfig, scan
+from quillsift.plans.scan import ScanConfig, scan, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,16 +120,20 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{e} AS {n}" for n, e in DERIVED.items()])
+    """The view's rows come from keys alone, which may lie in one small file however many there are; so they are dealt out first."""
+    parts = max(32, 3 * spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "customer").select("c_custkey").repartition(parts, "c_custkey").selectExpr("c_custkey", *[f"{e} AS {n}" for n, e in DERIVED.items()])
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, value): the derived view's cells, the samples and three raw columns."""
+    """(source, value, n): the derived view's cells, the samples and three raw columns, flags once with their number of cells."""
     one = derived(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(f"derived.{n}").alias("source"), F.col(n).alias("value")) for n in _VALUES])).alias("c")).select("c.*")
     one = one.unionByName(spark.createDataFrame([(f"samples.{label}", v) for label, values in SAMPLES.items() for v in values], "source string, value string"))
-    for t, c in (("documents", "text"), ("customer", "c_name"), ("lineitem", "l_returnflag")):
-        one = one.unionByName(table(spark, sf_dir, t).select(F.lit(f"{t}.{c}").alias("source"), F.col(c).alias("value")))
-    return one
+    one = one.withColumn("n", F.lit(1).cast("long"))
+    for t, c in (("documents", "text"), ("customer", "c_name")):
+        one = one.unionByName(spread(table(spark, sf_dir, t).select(c)).select(F.lit(f"{t}.{c}").alias("source"), F.col(c).alias("value"), F.lit(1).cast("long").alias("n")))
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return one.unionByName(flags.select(F.lit("lineitem.l_returnflag").alias("source"), F.col("l_returnflag").alias("value"), "n"))
 
 
 def _quote(text: str) -> str:
@@ -214,8 +218,8 @@ SELECT t AS "table", c AS "column", label, weight, CASE WHEN weight < 0.4 THEN '
 
 def _detect(label: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hit = corpus(spark, sf_dir).select("source", detect.rule_number(label, F.col("value"), context=True).alias("rule"))
-        return hit.where("rule is not null").groupBy("source", "rule").agg(F.count("*").alias("hits"))
+        hit = corpus(spark, sf_dir).select("source", "n", detect.rule_number(label, F.col("value"), context=True).alias("rule"))
+        return hit.where("rule is not null").groupBy("source", "rule").agg(F.sum("n").alias("hits"))
 
     return run
 
@@ -254,9 +258,9 @@ _IPV6_SQL = f"SELECT c_custkey, address, regexp_full_match(address, '{'|'.join(_
 def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(region, label, cells): in how many derived cells a region's rules for a label fire, without any context."""
     each = derived(spark, sf_dir).select(F.explode(F.array(*_VALUES)).alias("value")).select(detect.prepared(F.col("value")).alias("text"))
-    none = F.array().cast("array<string>")
-    parts = [each.select(F.lit(region).alias("region"), F.explode(detect.matches(F.col("text"), none, for_region(VALUE_RULES, region))).alias("m")) for region in ("", "india", "us")]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("region", F.col("m.label").alias("label")).agg(F.count("*").alias("cells"))
+    fired = [F.struct(F.lit(region).alias("region"), detect.fired(F.col("text"), for_region(VALUE_RULES, region)).alias("labels")) for region in ("", "india", "us")]
+    each = each.select(F.explode(F.array(*fired)).alias("r")).select("r.region", F.explode("r.labels").alias("label"))
+    return each.groupBy("region", "label").agg(F.count("*").alias("cells"))
 
 
 #: Checks of a match's text ``{m}`` in DuckDB's words. Addresses that the patterns admit are valid.
@@ -298,7 +302,7 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, label, plain, in_context): cells of the derived view and of the samples where a gated label fires without and in its context."""
     fires = [F.struct(F.lit(x).alias("label"), *[detect.rule_number(x, F.col("value"), within).isNotNull().cast("long").alias(n) for n, within in (("plain", False), ("in_context", True))]) for x in _GATED]
     each = corpus(spark, sf_dir).where(F.col("source").startswith("derived.") | F.col("source").startswith("samples."))
-    return each.select("source", F.explode(F.array(*fires)).alias("m")).groupBy("source", "m.label").agg(F.sum("m.plain").alias("plain"), F.sum("m.in_context").alias("in_context"))
+    return each.select("source", F.explode(F.array(*fires)).alias("m"), "n").groupBy("source", "m.label").agg(F.sum(F.col("m.plain") * F.col("n")).alias("plain"), F.sum(F.col("m.in_context") * F.col("n")).alias("in_context"))
 
 
 def _gate_sql() -> str:
