@@ -28,12 +28,6 @@ def context_of(book: Rulebook = STANDARD):
     return F.udf(lambda name: None if name is None else names.context(name), "string", useArrow=True)
 
 
-def name_labels(book: Rulebook = STANDARD):
-    """Column function: name -> all its labels, sorted."""
-    names = Names(book)
-    return F.udf(lambda name: sorted(names.labels(name or "")), "array<string>", useArrow=True)
-
-
 def recogniser(ner: Ner | None = None, make: Callable[[], Ner] | None = None, isolation: Isolation | None = Isolation()) -> Detector:
     """A recogniser of named entities as a detector: asked where the context is one of its labels, in one line. ``make`` loads a model in each process."""
     load = make if make is not None else (lambda: ner)
