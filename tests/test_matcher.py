@@ -10,7 +10,7 @@ from quillsift.plans import catalogue
 from test_rules import sample_values
 
 #: Queries that try many rules on cells of the derived view.
-ON_CELLS = ["field_winner", "occurrence_groups", "row_merge", "unknown_cap", "context_boost", "region_filter", "pair_detect"]
+ON_CELLS = ["field_winner", "occurrence_groups", "row_merge", "unknown_cap", "context_boost", "region_filter", "pair_detect", "context_gate"]
 
 
 @pytest.mark.parametrize("context", [None, "Phone", "BankAccountNumber", "LoanAccountNumber", "InsurancePolicyNumber", "FASTagID", "BirthDate"])
