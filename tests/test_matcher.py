@@ -40,3 +40,17 @@ def test_the_derived_view_is_dealt_out(spark):
 def test_rules_are_tried_on_batches(spark, name):
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" not in plan and "ArrowEvalPython" in plan and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("name", ["detect_address"])
+def test_one_rule_is_tried_on_batches_and_flags_once(spark, name):
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "ArrowEvalPython" in plan and "hashpartitioning(l_returnflag" in plan
+    source = catalogue.corpus(spark, "/root/testdata/sf0.001").where("source = 'lineitem.l_returnflag'").collect()
+    assert len(source) == 3 and sum(r["n"] for r in source) == catalogue.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+
+
+def test_addresses_are_tried_where_a_street_word_stands():
+    low = pa.array(["12 long winding lane, oak street", "7 1 " * 20_000 + "12 straight on", "221 baker st.", "a drive of 20 years", "12-x park ", "9 x park "])
+    hits = {int(t): f.rule for f in matcher.fires(low, {"Address": VALUE_RULES["Address"]}, lambda _: None, spans=False) for t in f.texts}
+    assert hits == {0: 0, 2: 0, 5: 1}
