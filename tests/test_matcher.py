@@ -42,7 +42,7 @@ def test_rules_are_tried_on_batches(spark, name):
     assert "RLIKE" not in plan and "ArrowEvalPython" in plan and "REPARTITION_BY_NUM" in plan
 
 
-@pytest.mark.parametrize("name", ["detect_address"])
+@pytest.mark.parametrize("name", ["detect_address", "detect_vehiclenumber"])
 def test_one_rule_is_tried_on_batches_and_flags_once(spark, name):
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" not in plan and "ArrowEvalPython" in plan and "hashpartitioning(l_returnflag" in plan
