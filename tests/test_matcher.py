@@ -54,3 +54,15 @@ def test_addresses_are_tried_where_a_street_word_stands():
     low = pa.array(["12 long winding lane, oak street", "7 1 " * 20_000 + "12 straight on", "221 baker st.", "a drive of 20 years", "12-x park ", "9 x park "])
     hits = {int(t): f.rule for f in matcher.fires(low, {"Address": VALUE_RULES["Address"]}, lambda _: None, spans=False) for t in f.texts}
     assert hits == {0: 0, 2: 0, 5: 1}
+
+
+def test_long_texts_are_judged_in_slices(spark):
+    """One crossing into Python; a batch of long texts is worked on in slices, and pieces without a match do not come back."""
+    from quillsift.operators import detect
+
+    texts = [("word " * 3000) + ("9876543210" if i % 2 else "none") for i in range(400)]  # 6 MB
+    rows = spark.createDataFrame([("t", "c", v) for v in texts], "table string, column string, value string").coalesce(1)
+    judged = detect.judged(rows, {"c": None})
+    assert judged._jdf.queryExecution().executedPlan().toString().count("Python") + judged._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    got = [[m["label"] for m in r["found"]] for r in judged.collect()]
+    assert got == [["Phone"] if i % 2 else [] for i in range(400)]
