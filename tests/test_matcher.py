@@ -66,3 +66,11 @@ def test_long_texts_are_judged_in_slices(spark):
     assert judged._jdf.queryExecution().executedPlan().toString().count("Python") + judged._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
     got = [[m["label"] for m in r["found"]] for r in judged.collect()]
     assert got == [["Phone"] if i % 2 else [] for i in range(400)]
+
+
+def test_the_scan_of_the_view_tries_rules_on_batches(spark):
+    from quillsift.operators import cells, detect
+
+    view = cells.cells(catalogue.derived(spark, "/root/testdata/sf0.001"), "derived")
+    plan = detect.judged(detect.counted(view), {c: None for c in catalogue.DERIVED})._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "REPARTITION_BY_NUM" in plan
