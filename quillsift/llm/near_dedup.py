@@ -11,9 +11,10 @@ Buckets are never expanded into all their pairs: in a few rounds each bucket com
 members with one leader (another one each round) and components grow from the confirmed
 links; members in the leader's component are skipped. Of what is left in different components,
 a member is set aside if too few of its shingles occur in any other component to reach the
-threshold with whatever text; the others are compared completely, inside the join, by tests that
+threshold with whatever text; the others are compared completely, on arrays, by tests that
 bound the similarity from above (sizes, signatures, bitmaps of the sets), each pair in the first
-band it shares. So no link between members of a bucket is lost. Components are found by alternating large-star and small-star
+band it shares. Large buckets fall into parts, and each two parts are a piece of work of their own. So no
+link between members of a bucket is lost. Components are found by alternating large-star and small-star
 steps; all tables between steps lie in the shared folder.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
@@ -32,6 +33,7 @@ a band. Tables of intermediate steps are deleted before the result is returned.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ BITS = 2
 PERCENT = 75
 #: Estimates below this are six standard deviations under the threshold.
 CUT = 0.47
+#: Members of one part of a bucket in complete comparisons, and 64-bit words that one step of them holds.
+PART, CELLS = 2048, 1 << 21
 #: Rounds with leaders go on until one confirms less than this part of what the best one did.
 SHRINK = 20
 
@@ -173,22 +177,114 @@ def sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return staged(join_small(full_sets(some), staged(asked, "asked"), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
 
 
-def reachable(a_n: Column, b_n: Column, a_bits: Column, b_bits: Column) -> Column:
-    """False only for pairs that cannot be linked: a bit that only one of two bitmaps has stands for a shingle that only it has,
-    so bit counts bound the intersection from above."""
-    small = F.least(F.size(a_bits), F.size(b_bits))
-
-    def fold(bits: Column) -> Column:
-        half = F.zip_with(F.slice(bits, F.lit(1), small), F.slice(bits, small + 1, small), lambda p, q: p.bitwiseOR(q))
-        return F.when(F.size(bits) == small, bits).otherwise(half)
+def parted(left: DataFrame) -> DataFrame:
+    """Rows of ``left`` with the two parts ``i`` <= ``j`` of their bucket that meet: every pair of a bucket's members meets once.
+    Buckets of more than PART members fall into parts by digest, and a member comes once for each part that its own one meets."""
+    sizes = staged(left.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > PART), "large-buckets")
+    cut = join_small(left, sizes, "band", "left").withColumn("parts", F.coalesce(F.ceil(F.col("m") / PART), F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("digest"), "parts").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    return cut.withColumns({"i": F.least("part", "met"), "j": F.greatest("part", "met")}).drop("m", "parts", "met")
+
+
+def _matrix(column: pa.Array, wide: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, wide)
+
+
+def meetings(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the two rows of each pair that meets, a million pairs or so at a time. Rows lie by band, i, j and part."""
+    band, i, j, part = (rows.column(c).to_numpy() for c in ("band", "i", "j", "part"))
+    begins = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    sizes = np.diff(np.append(begins, len(band)))
+    end, here = np.repeat(begins + sizes, sizes), np.arange(len(band))
+    second = np.repeat(begins + np.add.reduceat((part == i).astype(np.int64), begins), sizes)
+    first = np.where(i == j, here + 1, np.where(part == i, second, end))
+    upto = np.cumsum(end - first)
+    lo = 0
+    while lo < len(here):
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + CELLS // 4, "right")))
+        many = (end - first)[lo:hi]
+        a = np.repeat(here[lo:hi], many)
+        yield a, np.arange(len(a)) + np.repeat(first[lo:hi] - (upto[lo:hi] - many - done), many)
+        lo = hi
+
+
+def tested(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those pairs of :func:`meetings` in different components that tests from above cannot rule out, each in the first band it shares."""
+    n, most, band = (rows.column(c).to_numpy() for c in ("n", "most", "band"))
+    comp = rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+    sig, bands, maps = (rows.column(c).combine_chunks() for c in ("sig", "bands", "bits"))
+    sig, bands = _matrix(sig, HASHES * BITS // 64), _matrix(bands, HASHES // ROWS)
+    flat, wide = maps.flatten().to_numpy(zero_copy_only=False).view(np.uint64), maps.value_lengths().to_numpy()
+    begin, place, bits = np.cumsum(wide) - wide, np.zeros(len(wide), np.int64), {}
+    for w in np.unique(wide).tolist():
+        mine = np.flatnonzero(wide == w)
+        place[mine], bits[w] = np.arange(len(mine)), flat[begin[mine][:, None] + np.arange(w)]
+    chance = 1.0 / (1 << BITS)
 
-    def alone(p: Column, q: Column) -> Column:
-        only = F.zip_with(p, q, lambda x, y: F.bit_count(x) - F.bit_count(x.bitwiseAND(y)))
-        return F.aggregate(only, F.lit(0), lambda s, v: s + v)
+    def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = sig[a] ^ sig[b]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+        return (1.0 - differ / HASHES - chance) / (1.0 - chance) >= CUT
+
+    def at_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return bands[a, (bands[a] == bands[b]).argmax(axis=1)] == band[a].view(np.uint64)
+
+    def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False only for pairs that cannot be linked: a bit that only one of two bitmaps has stands for a shingle that only it has,
+        so bit counts bound the intersection from above."""
+        out = np.ones(len(a), bool)
+        kinds = wide[a].astype(np.int64) << 32 | wide[b]
+        for kind in np.unique(kinds).tolist():
+            small = min(kind >> 32, kind & 0xFFFFFFFF)
+            if max(kind >> 32, kind & 0xFFFFFFFF) > 2 * small:
+                continue
+            mine = np.flatnonzero(kinds == kind)
+            for lo in range(0, len(mine), max(1, CELLS // (4 * small))):
+                at = mine[lo : lo + max(1, CELLS // (4 * small))]
+                x, y = (v if v.shape[1] == small else v[:, :small] | v[:, small:] for v in (bits[int(w)][place[p]] for w, p in ((kind >> 32, a[at]), (kind & 0xFFFFFFFF, b[at]))))
+                total = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
+                both = total(x & y)
+                top = np.minimum(n[a[at]] - total(x) + both, n[b[at]] - total(y) + both)
+                out[at] = top * 100 >= (n[a[at]] + n[b[at]] - top) * PERCENT
+        return out
+
+    for a, b in meetings(rows):
+        least = np.minimum(most[a], most[b])
+        ok = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT) & (least * 100 >= (n[a] + n[b] - least) * PERCENT)
+        a, b = a[ok], b[ok]
+        for test in (likely, at_first, reach):
+            for_sure = [test(a[lo : lo + CELLS // 32], b[lo : lo + CELLS // 32]) for lo in range(0, len(a), CELLS // 32)]
+            ok = np.concatenate(for_sure) if for_sure else np.zeros(0, bool)
+            a, b = a[ok], b[ok]
+        yield a, b
+
+
+def linkable(parts: DataFrame) -> DataFrame:
+    """(p, q) of digests: pairs of :func:`parted` rows that are to be confirmed. Whole groups of (band, i, j) are compared by arrays,
+    many small ones at once; a task holds one batch and the group that goes on in the next."""
 
-    a, b = fold(a_bits), fold(b_bits)
-    most = F.least(a_n - alone(a, b), b_n - alone(b, a))
-    return (F.greatest(F.size(a_bits), F.size(b_bits)) > 2 * small) | (most * 100 >= (a_n + b_n - most) * PERCENT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            rows = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if rest is not None or batch is not None else None
+            if rows is None or not rows.num_rows:
+                continue
+            cut = rows.num_rows
+            if batch is not None:
+                last = [rows.column(c).to_numpy() == rows.column(c)[-1].as_py() for c in ("band", "i", "j")]
+                cut = int(np.argmax(last[0] & last[1] & last[2]))
+            rest = rows.slice(cut).combine_chunks().to_batches()[0] if cut < rows.num_rows else None
+            if cut:
+                whole = rows.slice(0, cut)
+                names = whole.column("digest").combine_chunks()
+                for a, b in tested(whole):
+                    if len(a):
+                        yield pa.record_batch([names.take(pa.array(a)), names.take(pa.array(b))], ["p", "q"])
+        pieces.release()
+
+    columns = ["band", "i", "j", "part", "digest", "n", "comp", "most", "sig", "bands", "bits"]
+    return parts.select(*columns).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "part").mapInArrow(run, "p binary, q binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,14 +372,8 @@ def _named(docs: DataFrame, rows: DataFrame) -> DataFrame:
             members = staged(left.select("digest", "n", "comp").distinct(), "members")
             able = shareable(members, sets).join(sets.select("digest", "bits"), "digest").join(classes.select("digest", "bands"), "digest")
             left = staged(join_small(left, staged(able, "able"), "digest"), "left")
-            other = left.select(*[F.col(c).alias(f"{c}2") for c in ("band", "digest", "n", "sig", "comp", "most", "bits", "bands")])
-            most_both = F.least("most", "most2")
-            enough = most_both * 100 >= (F.col("n") + F.col("n2") - most_both) * PERCENT
-            ours, theirs = F.col("bands"), F.col("bands2")
-            first = F.coalesce(*[F.when(ours[i] == theirs[i], ours[i]) for i in range(HASHES // ROWS)]) == F.col("band")
-            tests = enough & near(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2")) & first & reachable(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"))
-            found = left.join(other, (F.col("band") == F.col("band2")) & (F.col("comp") < F.col("comp2")) & tests)
-            pairs = staged(found.select(F.least("digest", "digest2").alias("a"), F.greatest("digest", "digest2").alias("b")).distinct(), "pairs")
+            found = linkable(parted(left))
+            pairs = staged(found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "pairs")
             links = pairs if pairs.isEmpty() else confirm(pairs, sets)
         new = links.count()
         if new:

@@ -837,6 +837,42 @@ def test_near_dedup_in_a_hot_bucket(spark):
     assert {r["doc_id"]: r["component_id"] for r in out.where("not kept").collect()} == {5000 + i: i for i in range(7)}
 
 
+def test_near_dedup_compares_parts_of_a_bucket(spark, monkeypatch):
+    """Every pair of a bucket is tested once, in whatever parts and batches its members come, as by plain counting."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 150, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(116, 148)], rng.integers(0, 2**63, rng.integers(0, 10), dtype=np.uint64)])) for _ in range(60)]
+    sig, bands = near_dedup.sign(np.stack([near_dedup.minima(s) for s in sets]))
+    rows = []
+    for i, s in enumerate(sets):
+        row = i.to_bytes(2), len(s), bytes([i % 7]), int(rng.integers(len(s) * 9 // 10, len(s) + 1)), sig[i].tolist()
+        # all share band 7; odd ones also 8, of which only those without 7 in front count
+        rows += [(band, *row, [7 if i % 3 else -i, 8, *bands[i][2:].tolist()], near_dedup.bitmap(s).tolist()) for band in ((7, 8) if i % 2 else (7,)) if band == 8 or i % 3]
+    mark = lambda x: [bin(v & (2**64 - 1)).count("1") for v in x]
+
+    def linked(x, y) -> bool:
+        (_, _, n, c, m, g, b, t), (_, _, n2, c2, m2, g2, b2, t2) = x, y
+        least, differ = min(m, m2), sum(mark([((p ^ q) | ((p ^ q) % 2**64 >> 1)) & 0x5555555555555555 for p, q in zip(g, g2)]))
+        if c == c2 or least * 100 < (n + n2 - least) * 75 or min(n, n2) * 100 < max(n, n2) * 75 or (1 - differ / 128 - 0.25) / 0.75 < near_dedup.CUT or next(p for p, q in zip(b, b2) if p == q) != x[0]:
+            return False
+        w = min(len(t), len(t2))
+        t, t2 = ([p | q for p, q in zip(v, v[w:])] if len(v) > w else v for v in (t, t2))
+        both = sum(mark([p & q for p, q in zip(t, t2)]))
+        most = min(n - sum(mark(t)) + both, n2 - sum(mark(t2)) + both)
+        return most * 100 >= (n + n2 - most) * 75
+
+    want = sorted(tuple(sorted((x[1], y[1]))) for i, x in enumerate(rows) for y in rows[:i] if x[0] == y[0] and linked(x, y))
+    assert len(want) > 20
+    left = spark.createDataFrame(rows, "band long, digest binary, n long, comp binary, most long, sig array<long>, bands array<long>, bits array<long>")
+    for part, batch in ((2048, 10000), (7, 10000), (7, 9)):
+        monkeypatch.setattr(near_dedup, "PART", part)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert sorted(tuple(sorted((bytes(r["p"]), bytes(r["q"])))) for r in near_dedup.linkable(near_dedup.parted(left)).collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_tables_between_steps_are_deleted(spark, docs, tmp_path, monkeypatch):
     import os
 
