@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,24 +88,30 @@ def tidy(value: Column) -> Column:
     return F.when((value != "") & ~value.isin("NULL", "<nil>") & (trimmed != ""), trimmed)
 
 
-def cells(df: DataFrame, table: str, decimals: bool = True) -> DataFrame:
-    """(table, column, value), one row a cell that is not blank. Only scanned columns are read."""
+def texts(df: DataFrame, table: str, decimals: bool = True, longer: int | None = None) -> DataFrame:
+    """(table, column, value), one row a cell that is not null, its text not yet :func:`tidy`; only scanned columns are read. With ``longer``
+    only texts of more bytes than that: columns that cannot have one are not read."""
     columns = scannable(df, decimals)
-    entries = [F.struct(F.lit(name).alias("column"), tidy(text).alias("value")) for name, text in columns.items()]
+    if longer is not None:
+        short = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+        columns = {".".join(path): columns[".".join(path)] for path, kind in leaves(df.schema) if ".".join(path) in columns and not isinstance(kind, short)}
+    kept = lambda text: text.isNotNull() if longer is None else F.octet_length(text) > longer
     parts = []
-    if entries:
-        parts.append(df.select(F.explode(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())).alias("cell")))
+    if columns:
+        entries = [F.struct(F.lit(name).alias("column"), text.alias("value")) for name, text in columns.items()]
+        parts.append(df.select(F.explode(F.array(*entries)).alias("cell")).select("cell.*"))
     for path, kind in leaves(df.schema):
         if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType) and not ignored(".".join(path)):
             each = df.select(F.explode(_at(path)).alias("k", "v"))
-            name = F.concat(F.lit(".".join(path) + "."), F.col("k").cast("string"))
-            parts.append(each.select(F.struct(name.alias("column"), tidy(F.col("v")).alias("value")).alias("cell")).where("cell.value is not null"))
+            parts.append(each.select(F.concat(F.lit(".".join(path) + "."), F.col("k").cast("string")).alias("column"), F.col("v").cast("string").alias("value")))
     if not parts:
         return df.sparkSession.createDataFrame([], "table string, column string, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(table).alias("table"), "cell.column", "cell.value")
+    return reduce(DataFrame.unionByName, parts).where(kept(F.col("value"))).select(F.lit(table).alias("table"), "column", "value")
+
+
+def cells(df: DataFrame, table: str, decimals: bool = True) -> DataFrame:
+    """(table, column, value), one row a cell that is not blank. Only scanned columns are read."""
+    return texts(df, table, decimals).select("table", "column", tidy(F.col("value")).alias("value")).where("value is not null")
 
 
 def draw(df: DataFrame, seed: int = SAMPLE_SEED) -> Column:

@@ -69,12 +69,14 @@ def fired(text: Column, rules: Mapping[str, Sequence[Rule]]) -> Column:
     return F.arrow_udf(run, "array<string>")(text)
 
 
-def counted(cell_rows: DataFrame) -> DataFrame:
+def counted(cell_rows: DataFrame, long_rows: DataFrame | None = None) -> DataFrame:
     """(table, column, value, n): short values once a column with their number of cells, long ones as they are. Flags, dates and codes
-    are judged once; the longer a text, the less likely it comes again, and it would have to be moved."""
+    are judged once; the longer a text, the less likely it comes again, and it would have to be moved. Long ones may come as ``long_rows``
+    from a pass of their own over fewer columns."""
     size = F.octet_length("value")
+    long_rows = cell_rows.where(size > SHORT) if long_rows is None else long_rows
     short = cell_rows.where(size <= SHORT).groupBy("table", "column", "value").agg(F.count("*").alias("n"))
-    return short.unionByName(cell_rows.where(size > SHORT).withColumn("n", F.lit(1).cast("long")))
+    return short.unionByName(long_rows.withColumn("n", F.lit(1).cast("long")))
 
 
 _MATCHES = pa.list_(pa.list_(matcher.MATCH))
@@ -87,8 +89,10 @@ def _cut(values: pa.Array, contexts: pa.Array, asked: np.ndarray, names: Names)
     size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     plain = np.flatnonzero(~asked & (size > 0) & (size < 512))
     extracted, at, texts, own = np.zeros(len(values), bool), [], [], []
-    for i in np.flatnonzero((asked | (size >= 512)) & (size > 0)):
-        value, context = values[i].as_py(), contexts[i].as_py()
+    some = np.flatnonzero((asked | (size >= 512)) & (size > 0))
+    taken = zip(values.take(pa.array(some)).to_pylist(), contexts.take(pa.array(some)).to_pylist())
+    for i in some:
+        value, context = next(taken)
         parts = [(value, context)]
         if asked[i]:
             text, pairs = documents.extract(value)
@@ -105,9 +109,9 @@ def _cut(values: pa.Array, contexts: pa.Array, asked: np.ndarray, names: Names)
     return np.sort(place), whole.take(order), pa.concat_arrays([contexts.take(pa.array(plain)), pa.array(own, pa.string())]).take(order), extracted
 
 
-def _read(rows: DataFrame, book: Rulebook, regex: bool) -> DataFrame:
+def _read(rows: DataFrame, book: Rulebook, regex: bool, counted: bool) -> DataFrame:
     """(table, column, n, loose, pieces) of rows (table, column, n, value, context, asked): what the rules find in each piece. Pieces without
-    a match are left out, unless detectors that are functions will be asked of them."""
+    a match are left out, unless detectors that are functions will be asked of them. Counted rows without a value are left out."""
     own, raw = frozenset(label for d in book.detectors for label in d.values), bool(book.asked)
     rules = dict(book.values) if regex else {}
 
@@ -122,11 +126,14 @@ def _read(rows: DataFrame, book: Rulebook, regex: bool) -> DataFrame:
         ends = np.append(0, np.cumsum(np.bincount(place, minlength=len(values))))
         pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([texts, within, found], fields=list(_READ.value_type)))
         loose = pa.array(pc.is_null(contexts).to_numpy(zero_copy_only=False) & ~extracted)
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("table", "column", "n")), loose, pieces], names=["table", "column", "n", "loose", "pieces"])
+        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("table", "column", "n")), loose, pieces], names=["table", "column", "n", "loose", "pieces"])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(book)
         for batch in batches:
+            if counted:
+                batch = batch.filter(pc.is_valid(batch.column("value")))
             for lo, hi in matcher.slices(batch.column("value")):
                 yield judge(batch.slice(lo, hi - lo), names)
             matcher.release()
@@ -157,7 +164,8 @@ def asked(rows: DataFrame, book: Rulebook) -> DataFrame:
 
 
 def judged(cell_rows: DataFrame, contexts: dict[str, str | None], book: Rulebook = STANDARD, regex: bool = True, open_names: bool = False) -> DataFrame:
-    """(table, column, n, found): per cell of (table, column, value) and, if there is one, its number n, the merged evidence of its fields and segments, array<struct<detector, label, weight, in_context>>.
+    """(table, column, n, found): per cell of (table, column, value) the merged evidence of its fields and segments, array<struct<detector, label, weight, in_context>>.
+    Of :func:`counted` cells, with their number n, those whose value is null are left out.
 
     ``contexts`` holds what the columns' names stand for; with ``open_names`` other names occur too (keys of maps and stores) and
     are looked up in Arrow batches."""
@@ -167,7 +175,7 @@ def judged(cell_rows: DataFrame, contexts: dict[str, str | None], book: Rulebook
         context = context_of(book)(F.col("column"))
     rows = cell_rows if "n" in cell_rows.columns else cell_rows.withColumn("n", F.lit(1).cast("long"))
     rows = rows.select("table", "column", "n", "value", context.alias("context"))
-    rows = _read(rows.withColumn("asked", F.col("context").isNull() & documents.may_hold_fields(F.col("value"))), book, regex)
+    rows = _read(rows.withColumn("asked", F.col("context").isNull() & documents.may_hold_fields(F.col("value"))), book, regex, "n" in cell_rows.columns)
     weighed = lambda found, p: resolve.capped(resolve.boosted(found, p["context"]), p["context"], book)
     resolved = lambda found: F.when(F.col("loose"), resolve.occurrence_groups(found)).otherwise(resolve.field_winner(found))
 

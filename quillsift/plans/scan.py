@@ -113,23 +113,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def value_cells(config: ScanConfig, source: Source, plans: Iterable[TablePlan]) -> DataFrame | None:
-    parts = []
-    for p in plans:
-        if p.reads == "names":
-            continue
-        if isinstance(source, CellSource):
-            parts.append(source.cells(p.table, p.reads == "sample"))
-            continue
-        # a sample is one partition; to ask for their number would run it
-        df = dealt(source.sample(p.table)) if p.reads == "sample" else spread(source.whole(p.table))
-        parts.append(cells.cells(df, p.table, config.scan_decimals))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    """Counted cells of all tables that are read. Texts of columns are counted as they are and made tidy once each, not once a cell."""
+    read = [p for p in plans if p.reads != "names"]
+    if not read:
+        return None
+    if isinstance(source, CellSource):
+        return detect.counted(reduce(DataFrame.unionByName, [source.cells(p.table, p.reads == "sample") for p in read]))
+    # a sample is one partition; to ask for their number would run it
+    tables = {p.table: dealt(source.sample(p.table)) if p.reads == "sample" else spread(source.whole(p.table)) for p in read}
+    each, long = (reduce(DataFrame.unionByName, [cells.texts(df, t, config.scan_decimals, least) for t, df in tables.items()]) for least in (None, detect.SHORT))
+    return detect.counted(each, long).withColumn("value", cells.tidy(F.col("value")))
 
 
 def judge(config: ScanConfig, cell_rows: DataFrame, names: Iterable[tuple[str, str]], open_names: bool = False) -> DataFrame:
-    """Cells of columns with these names, judged as the configuration says."""
+    """Counted cells of columns with these names, judged as the configuration says."""
     known = Names(config.book)
-    return detect.judged(detect.counted(cell_rows), {c: known.context(c) for _, c in names}, config.book, not config.ner_only, open_names)
+    return detect.judged(cell_rows, {c: known.context(c) for _, c in names}, config.book, not config.ner_only, open_names)
 
 
 def row_counts(config: ScanConfig, source: Source, tables: list[str]) -> dict[str, int]:

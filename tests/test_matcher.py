@@ -74,3 +74,19 @@ def test_the_scan_of_the_view_tries_rules_on_batches(spark):
     view = cells.cells(catalogue.derived(spark, "/root/testdata/sf0.001"), "derived")
     plan = detect.judged(detect.counted(view), {c: None for c in catalogue.DERIVED})._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_cells_are_counted_before_they_are_made_tidy(spark):
+    """Cells are unpivoted in compiled code, and only different texts are trimmed; nothing is lost."""
+    from quillsift.operators import detect
+    from quillsift.plans import scan
+    from quillsift.sources.source import as_source
+
+    df = spark.sql("SELECT explode(array(' a', 'a', 'a', ' NULL', 'NULL', '', ' ', null, repeat('x', 70) || ' ', repeat(' ', 70) || 'y')) AS s, DATE'2024-05-06' AS d, map('k', 'v ') AS m")
+    source = as_source({"t": df})
+    found = scan.value_cells(scan.ScanConfig("deepscan"), source, [scan.TablePlan("t", "all", 10)])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    held = sorted((r["column"], r["value"], r["n"]) for r in found.where("value is not null").groupBy("column", "value").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect())
+    assert held == [("d", "2024-05-06", 10), ("m.k", "v", 10), ("s", "NULL", 1), ("s", "a", 3), ("s", "x" * 70, 1), ("s", "y", 1)]
+    scanned = {r["column"]: r["matched"] for r in detect.evidence(detect.judged(found, {})).where("label is null").collect()}
+    assert scanned == {"d": 10, "m.k": 10, "s": 6}
