@@ -109,9 +109,36 @@ def _cut(values: pa.Array, contexts: pa.Array, asked: np.ndarray, names: Names)
     return np.sort(place), whole.take(order), pa.concat_arrays([contexts.take(pa.array(plain)), pa.array(own, pa.string())]).take(order), extracted
 
 
+def _alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (table, column, n, loose, pieces without texts) that differ in nothing but ``n`` as one, with the sum of their ``n``."""
+    code = lambda column: pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    pieces = batch.column("pieces")
+    each = pieces.flatten()
+    found = each.field("found").flatten()
+    # numbers of each row: for every piece its context and number of matches, then those
+    sizes = pc.list_value_length(each.field("found")).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(sizes + 1))
+    numbers = np.zeros((ends[-1], 4), np.int32)
+    heads = np.zeros(len(numbers), bool)
+    heads[ends[:-1]] = True
+    numbers[heads, 0], numbers[heads, 1] = code(each.field("context")), sizes
+    for i, column in enumerate((code(found.field("label")), code(found.field("weight")), found.field("start"), found.field("end"))):
+        numbers[~heads, i] = column
+    held, width = numbers.tobytes(), numbers.strides[0]
+    at = (ends[np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False)))] * width).tolist()
+    cells = zip(code(batch.column("table")).tolist(), code(batch.column("column")).tolist(), batch.column("loose").to_pylist(), at, at[1:])
+    seen: dict[tuple, int] = {}
+    group = np.array([seen.setdefault((t, c, loose, held[lo:hi]), len(seen)) for t, c, loose, lo, hi in cells], np.int64)
+    n = np.zeros(len(seen), np.int64)
+    np.add.at(n, group, batch.column("n").to_numpy(zero_copy_only=False))
+    kept = batch.take(pa.array(np.unique(group, return_index=True)[1]))
+    return kept.set_column(kept.schema.get_field_index("n"), "n", pa.array(n))
+
+
 def _read(rows: DataFrame, book: Rulebook, regex: bool, counted: bool) -> DataFrame:
     """(table, column, n, loose, pieces) of rows (table, column, n, value, context, asked): what the rules find in each piece. Pieces without
-    a match are left out, unless detectors that are functions will be asked of them. Counted rows without a value are left out."""
+    a match are left out, unless detectors that are functions will be asked of them. Of counted rows those without a value are left out, and
+    rows of a batch in which the same is found become one, so that far fewer rows are resolved than values are read."""
     own, raw = frozenset(label for d in book.detectors for label in d.values), bool(book.asked)
     rules = dict(book.values) if regex else {}
 
@@ -127,7 +154,7 @@ def _read(rows: DataFrame, book: Rulebook, regex: bool, counted: bool) -> DataFr
         pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([texts, within, found], fields=list(_READ.value_type)))
         loose = pa.array(pc.is_null(contexts).to_numpy(zero_copy_only=False) & ~extracted)
         out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("table", "column", "n")), loose, pieces], names=["table", "column", "n", "loose", "pieces"])
-        return out
+        return _alike(out) if counted and not raw else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(book)
@@ -165,7 +192,7 @@ def asked(rows: DataFrame, book: Rulebook) -> DataFrame:
 
 def judged(cell_rows: DataFrame, contexts: dict[str, str | None], book: Rulebook = STANDARD, regex: bool = True, open_names: bool = False) -> DataFrame:
     """(table, column, n, found): per cell of (table, column, value) the merged evidence of its fields and segments, array<struct<detector, label, weight, in_context>>.
-    Of :func:`counted` cells, with their number n, those whose value is null are left out.
+    Of :func:`counted` cells, with their number n, those with the same evidence may share a row, and those whose value is null are left out.
 
     ``contexts`` holds what the columns' names stand for; with ``open_names`` other names occur too (keys of maps and stores) and
     are looked up in Arrow batches."""

@@ -90,3 +90,24 @@ def test_cells_are_counted_before_they_are_made_tidy(spark):
     assert held == [("d", "2024-05-06", 10), ("m.k", "v", 10), ("s", "NULL", 1), ("s", "a", 3), ("s", "x" * 70, 1), ("s", "y", 1)]
     scanned = {r["column"]: r["matched"] for r in detect.evidence(detect.judged(found, {})).where("label is null").collect()}
     assert scanned == {"d": 10, "m.k": 10, "s": 6}
+
+
+def test_cells_with_the_same_evidence_are_resolved_once(spark):
+    from quillsift.operators import detect
+
+    values = [("t", c, v) for i in range(300) for c, v in (("mobile", f"9{i:09d}"), ("x", f"call 9{i:09d}, or user{i % 10}@mail.example.com"), ("x", f'{{"cvv":"{i:03d}","z":"none"}}'), ("x", f"word {i}"), ("y", f"word {i}"))]
+    rows = spark.createDataFrame(values, "table string, column string, value string").coalesce(1)
+    once = detect.judged(detect.counted(rows), {"mobile": "Phone"})
+    assert once.count() < 100
+    total = lambda judged: {(r["column"], r["label"]): (r["matched"], round(r["weight"], 6), r["in_context"]) for r in detect.evidence(judged).collect()}
+    got = total(once)
+    assert got == total(detect.judged(rows, {"mobile": "Phone"}))
+    assert got["x", None][0] == 900 and got["mobile", "Phone"][0] == 300 and got["x", "CVV"][:1] == (300,)
+
+
+def test_texts_without_a_sign_of_a_pair_have_none():
+    from quillsift.functions import documents
+
+    for text in ("ABCPE0001K", "[1, 2]", "a?b", "{}", '["a", "b"]', "word%20word", "x" * 40):
+        assert documents.extract(text) == (text, [])
+    assert documents.extract("bW9iaWxlPTk4NzY1NDMyMTAmYT1i")[1] == [("a", "b"), ("mobile", "9876543210")]
