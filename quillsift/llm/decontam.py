@@ -15,7 +15,8 @@ repetition that is cut can hide the windows that hold it; the item's other windo
 A q-gram that stands in more than ``COMMON`` places is left out of the set that is counted, as long
 as the window's other q-grams suffice for the bound; windows that consist of little else are
 counted with all of theirs, equal ones once. Hits are expanded in steps of ``STEP_HITS`` places,
-so no text takes more memory than another.
+so no text takes more memory than another. Texts are searched in slices of ``SLICE_BYTES``, as the
+arrays of a slice take about 45 times its bytes.
 
 Items of fewer than ``LEAST`` characters allow no edit and hold too few q-grams for a bound. They are
 searched verbatim, between characters that are neither letters nor digits.
@@ -54,7 +55,7 @@ LEAST = 32
 #: For candidates, repetitions of up to so many characters are cut to so many characters more than one period.
 PERIOD, AGAIN = 4, 8
 COMMON, STEP_HITS = 64, 1 << 17
-PORTION = 4 << 20
+PORTION, SLICE_BYTES = 4 << 20, 1 << 20
 _BITS = 22
 
 
@@ -340,6 +341,12 @@ def leaks(index: Index, texts: pa.Array) -> dict[tuple[int, int], list[tuple[int
     return found
 
 
+def searched(index: Index, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[tuple[int, int], list[tuple[int, int]]]]]:
+    """A batch of rows in slices, each with the leaks of its texts."""
+    for part in pieces.slices(batch, "text", SLICE_BYTES):
+        yield part, leaks(index, part.column("text"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits (of the item's best window among the longest that match) and windows (how many match) of each leaked item."""
 
@@ -348,8 +355,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in pieces.slices(batch, "text"):
-                    rows = leaks(shared.value, part.column("text"))
+                for part, rows in searched(shared.value, batch):
                     if rows:
                         names = part.column("doc_id").to_pylist()
                         edits = [min((-size, e) for size, e in v)[1] for v in rows.values()]
@@ -370,9 +376,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = 0
-                for part in pieces.slices(batch, "text"):
+                for part, found in searched(shared.value, batch):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[doc for doc, _ in leaks(shared.value, part.column("text"))]] = False
+                    keep[[doc for doc, _ in found]] = False
                     yield batch.slice(at, part.num_rows).filter(pa.array(keep))
                     at += part.num_rows
 

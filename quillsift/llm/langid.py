@@ -258,7 +258,7 @@ def predict(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFr
 
 def slice_bytes(model: Model) -> int:
     """Slices of text whose scores for all languages stay small."""
-    return max(1 << 20, min(6 << 20, (48 << 20) // len(model.langs)))
+    return max(1 << 20, min(4 << 20, (48 << 20) // len(model.langs)))
 
 
 def verdict(model: Model, label: np.ndarray, lettered: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[list[str], np.ndarray]:

@@ -410,6 +410,21 @@ def test_repeated_signs_and_templates_stay_bounded():
     assert "".join(map(chr, decontam.normal_text("A" + "-" * 50 + " b. . . . . . . . c 10000000000000000"))) == "a" + "-" * 9 + " b. . . . . c 1000000000"
 
 
+def test_memory_of_slices():
+    """Two workers of these stand beside a JVM that keeps what earlier stages of the pipeline took."""
+    import tracemalloc
+
+    index = decontam.Index([(1, ITEM)])
+    batch = pa.record_batch([pa.array([f"{LONG[:2000]} {i}" for i in range(4_000)] + [ITEM])], ["text"])
+    tracemalloc.start()
+    try:
+        found = [len(rows) for _, rows in decontam.searched(index, batch)]
+        assert sum(found) == 1 and tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+    assert langid.slice_bytes(langid.Model(["de", "en"], np.zeros((2, 8)), np.zeros((2, 8)), np.ones((2, len(langid.SCRIPTS))))) <= 4 << 20
+
+
 def test_repetitions_count_with_all_their_characters():
     """Candidates are found in cut texts; edits are those of the whole ones."""
     head, tail = "the sum of all the numbers that were written down on the board is ", " and nobody in the room could tell how they had come to it at all"
