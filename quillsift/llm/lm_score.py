@@ -51,6 +51,8 @@ CONTEXT, DIM, NOISE_CLASSES, NOISE_WORDS, STEP, ROUNDS = 3, 24, 32, 3, 4096, 2
 RATE = 0.1
 #: About so many bytes of text make a block.
 BLOCK_BYTES = 8 << 20
+#: Gradients of a token that occurs more often in a step are added up by a loop of their own.
+SHORT_RUN = 16
 #: Vocabulary entries of other words and of the end token.
 OTHER, END = 0, 1
 _BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, codes binary, words array<binary>, train_n array<long>"
@@ -162,9 +164,9 @@ class Model:
         turned = [p["context"] @ p["matrix"][j * d : (j + 1) * d] for j in range(CONTEXT)]
         for at in range(0, len(word), 1 << 15):
             some, w = context[at : at + (1 << 15)], word[at : at + (1 << 15)]
-            q = turned[0][some[:, 0]]
+            q = turned[0].take(some[:, 0], axis=0)
             for j in range(1, CONTEXT):
-                q += turned[j][some[:, j]]
+                q += turned[j].take(some[:, j], axis=0)
             kind, got = w // wide, np.empty(len(w), np.float32)
             reach = np.sqrt(np.einsum("nd,nd->n", q, q).max(initial=0.0))
             for lo in range(0, len(w), 1024):  # parts that stay in the processor's cache
@@ -175,7 +177,7 @@ class Model:
                 rows = slice(k * wide, (k + 1) * wide)
                 for lo in range(ends[k - 1] if k else 0, ends[k], 1024):
                     mine = order[lo : min(lo + 1024, ends[k])]
-                    got[mine] += _log_share(q[mine], p["word"][rows], p["word_bias"][rows, 0], w[mine] - k * wide, reach)
+                    got[mine] += _log_share(q.take(mine, axis=0), p["word"][rows], p["word_bias"][rows, 0], w[mine] - k * wide, reach)
             out[at : at + len(w)] = got
         return out
 
@@ -186,7 +188,7 @@ class Model:
         column j, the token j + 1 before belongs to another document, and the end token stands for it. Gradients of contexts are
         added up by token before they are by word."""
         p, d, word = self.p, self.p["context"].shape[1], near[CONTEXT:]
-        vectors, kind, n = p["context"][near], word // self.wide, len(word)
+        vectors, kind, n = p["context"].take(near, axis=0), word // self.wide, len(word)
         ends = [np.flatnonzero(outside[:, j]) for j in range(CONTEXT)]
         before = [vectors[CONTEXT - 1 - j :][:n].copy() for j in range(CONTEXT)]
         for x, at in zip(before, ends):
@@ -196,21 +198,22 @@ class Model:
         noise = np.searchsorted(self.class_upto, rng.random(NOISE_CLASSES) * self.class_upto[-1], "right")
         # classes: one true one and shared noise
         bias = p["class_bias"][:, 0] - self.class_noise
-        good = 1.0 - _logistic(np.einsum("nd,nd->n", q, p["class"][kind]) + bias[kind])
-        bad = -_logistic(q @ p["class"][noise].T + bias[noise])
-        to_q = good[:, None] * p["class"][kind] + bad @ p["class"][noise]
+        true, drawn = p["class"].take(kind, axis=0), p["class"].take(noise, axis=0)
+        good = 1.0 - _logistic(np.einsum("nd,nd->n", q, true) + bias[kind])
+        bad = -_logistic(q @ drawn.T + bias[noise])
+        to_q = good[:, None] * true + bad @ drawn
         to_class = np.concatenate([good[:, None] * ones, bad.T @ ones])
-        self._add("class", np.concatenate([kind, noise]), lambda order: to_class[order], state, self.wide)
+        self._add("class", np.concatenate([kind, noise]), lambda order: to_class.take(order, axis=0), state, self.wide)
         # words of the true class: the true one and noise of its own
         begin = np.where(kind > 0, self.upto[kind * self.wide - 1], 0.0)
         drawn = np.searchsorted(self.upto, begin + rng.random((NOISE_WORDS, n), np.float32) * self.mass[kind], "right")
         drawn = np.clip(drawn, kind * self.wide, np.minimum(kind * self.wide + self.wide, self.size) - 1)
         every = np.concatenate([word[None, :], drawn])
-        rows = p["word"][every]
-        g = -_logistic(np.einsum("knd,nd->kn", rows, q) + (p["word_bias"][:, 0] - self.word_noise)[every])
+        rows = p["word"].take(every, axis=0)
+        g = -_logistic(np.einsum("knd,nd->kn", rows, q) + (p["word_bias"][:, 0] - self.word_noise).take(every))
         g[0] += 1.0
         to_q += np.einsum("kn,knd->nd", g, rows)
-        self._add("word", every.reshape(-1), lambda order: _scaled(ones[order % n], g.reshape(-1)[order]), state, self.size)
+        self._add("word", every.reshape(-1), lambda order: _scaled(ones.take(order % n, axis=0), g.reshape(-1).take(order)), state, self.size)
         back = np.zeros((len(near) + 1, d), np.float32)  # behind the tokens the end
         for j, at in enumerate(ends):
             mine = to_q @ p["matrix"][j * d : (j + 1) * d].T
@@ -218,7 +221,7 @@ class Model:
             mine[at] = 0.0
             back[CONTEXT - 1 - j :][:n] += mine
         turn = np.concatenate([x.T @ to_q for x in before])
-        self._add("context", np.append(near, END), lambda order: back[order], state, self.size)
+        self._add("context", np.append(near, END), lambda order: back.take(order, axis=0), state, self.size)
         self._step("matrix", slice(None), turn / n, state)
 
     def _add(self, name: str, rows: np.ndarray, grad: Callable[[np.ndarray], np.ndarray], state: dict[str, np.ndarray], size: int) -> None:
@@ -227,17 +230,22 @@ class Model:
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        g = np.add.reduceat(grad(order), begins, axis=0)
+        g = _sums(grad(order), begins)
         d = self.p[name].shape[1]
         self._step(name, rows[begins].astype(np.int64), g[:, :d], state)
         if g.shape[1] > d:
             self._step(f"{name}_bias", rows[begins].astype(np.int64), g[:, d:], state)
 
     def _step(self, name: str, rows, g: np.ndarray, state: dict[str, np.ndarray]) -> None:
-        seen = state.setdefault(name, np.full_like(self.p[name], 1e-2))
-        total = seen[rows] + g * g
+        if name not in state:
+            state[name] = np.full_like(self.p[name], 1e-2)
+        seen, value, total = state[name], self.p[name], g * g
+        total += seen if isinstance(rows, slice) else seen.take(rows, axis=0)
         seen[rows] = total
-        self.p[name][rows] += RATE * g / np.sqrt(total)
+        by = RATE * g
+        by /= np.sqrt(total, out=total)
+        by += value if isinstance(rows, slice) else value.take(rows, axis=0)
+        value[rows] = by
 
 
 def _narrow(x: np.ndarray, size: int) -> np.ndarray:
@@ -245,6 +253,20 @@ def _narrow(x: np.ndarray, size: int) -> np.ndarray:
     return x.astype(np.uint16) if size <= 1 << 16 else x
 
 
+def _sums(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: of short runs all second rows, then all third ones and so on; a long run at once."""
+    sizes = np.diff(begins, append=len(rows))
+    out, deep = rows.take(begins, axis=0), 1
+    live = np.flatnonzero((sizes > 1) & (sizes <= SHORT_RUN))
+    while len(live):
+        out[live] += rows.take(begins.take(live) + deep, axis=0)
+        deep += 1
+        live = live[sizes.take(live) > deep]
+    for i in np.flatnonzero(sizes > SHORT_RUN).tolist():
+        out[i] = rows[begins[i] : begins[i] + sizes[i]].sum(axis=0)
+    return out
+
+
 def _scaled(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
     rows *= by[:, None]
     return rows

@@ -539,6 +539,14 @@ def test_lm_training_steps_against_plain_loops(monkeypatch):
         assert np.allclose(fast.p[k][np.isfinite(v)], v[np.isfinite(v)], rtol=1e-3, atol=1e-4), k
 
 
+def test_sums_of_runs():
+    rng = np.random.default_rng(5)
+    for longest in (1, 3, 40, 500):
+        sizes = rng.integers(1, longest + 1, 50)
+        rows, begins = rng.random((sizes.sum(), 5)), np.cumsum(sizes) - sizes
+        assert np.allclose(lm_score._sums(rows, begins), [rows[a : a + n].sum(axis=0) for a, n in zip(begins, sizes)])
+
+
 def test_lm_scores_are_the_same_again(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
     some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(5, "doc_id")
